@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, pareto_mix, url_sweep, zlang
+from . import common, minhash, pack, pareto_mix, sphere_caps, suffix_dedup, topk, url_sweep, zlang
 
 #: (host, path, action) of the query on page addresses.
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "block"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
@@ -17,6 +17,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of documents: 5-word shingles, similarity of 0.75 or more."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op3_sphere_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of vectors of one label: cosine of 0.98 or more."""
+    return sphere_caps.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op4_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents mixed to source weights 5, 2, 1, repeating."""
     return pareto_mix.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
@@ -28,6 +44,12 @@ def op5_url_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_sweep.apply_rules(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op6_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents packed into sequences of at most 2048 tokens."""
+    packed = pack.pack(table(spark, sf_dir, "documents"), tokenizer_file())
+    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
 def op7_zstd_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document, learned from those not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", common.is_held_out(F.col("doc_id")))
@@ -35,6 +57,17 @@ def op7_zstd_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return zlang.identify(docs.select("doc_id", "text", "held_out"), dictionaries).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents without the bytes of 100-byte strings that start earlier."""
+    out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op10_block_max_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best others for every embedding whose vec_id is divisible by 50."""
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def _rules_sql() -> str:
     return ", ".join(f"('{h}', '{p}', '{a}')" for h, p, a in URL_RULES)
 
@@ -82,7 +115,7 @@ FROM d LEFT JOIN x ON d.doc_id = x.doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_pareto_mix, op5_url_sweep, op7_zstd_language)}
+    return {f.__name__: f for f in (op1_minhash_bayes, op3_sphere_caps, op4_pareto_mix, op5_url_sweep, op6_sum_of_squares_packing, op7_zstd_language, op9_suffix_array_dedup, op10_block_max_topk)}
 
 
 def oracle_sql() -> dict[str, str]:
