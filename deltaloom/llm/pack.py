@@ -10,15 +10,16 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from itertools import filterfalse
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
-
 #: Words kept per Python worker; the store is emptied when full. Longer words are not kept.
-MEMO_WORDS, MEMO_LENGTH = 400_000, 64
+MEMO_WORDS, MEMO_LENGTH = 1_000_000, 64
+#: Bytes of text whose new words are encoded together.
+TOGETHER = 2 << 20
 _memos: dict[str, "_Memo"] = {}
 
 
@@ -26,25 +27,54 @@ class _Memo(dict):
     """Ids (little-endian unsigned 32-bit) by white-space separated word, in UTF-8.
 
     The tokenizer never joins tokens over white space, so a text's ids are
-    those of its words in turn.
+    those of its words in turn. New words are encoded many at a time, with a
+    mark between them that is one token of its own.
     """
 
+    MARK = "\x01"
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        mark, some = self.encoded(self.MARK), "wordé-1,"
+        self.mark = int.from_bytes(mark, "little") if len(mark) == 4 and self.encoded(f"{some} {self.MARK} {some}") == self.encoded(some) + mark + self.encoded(some) else None
+
+    def encoded(self, text: str) -> bytes:
+        import numpy as np
+
+        return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
 
-    def __missing__(self, word: bytes) -> bytes:
+    def learn(self, words: list[bytes]) -> None:
+        """Makes sure of the ids of all ``words``."""
         import numpy as np
 
-        ids = np.asarray(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if len(word) <= MEMO_LENGTH:
-            if len(self) >= MEMO_WORDS:
-                self.clear()
-            self[word] = ids
-        return ids
+        for at in range(0, len(words), 2000):
+            some = words[at : at + 2000]
+            raw = self.encoded(f" {self.MARK} ".join([w.decode() for w in some]))
+            stops = np.flatnonzero(np.frombuffer(raw, "<u4") == self.mark)
+            if self.mark is not None and len(stops) == len(some) - 1:
+                stops = (4 * stops).tolist()
+                self.update(zip(some, [raw[s:e] for s, e in zip([0, *[s + 4 for s in stops]], [*stops, len(raw)])]))
+            else:  # a word that holds the mark
+                self.update((w, self.encoded(w.decode())) for w in some)
+
+    def ids(self, texts: list[bytes]) -> list[bytes]:
+        words = [text.split() for text in texts]
+        new: set[bytes] = set()
+        for w in words:
+            new.update(filterfalse(self.__contains__, w))
+        if len(self) + len(new) > MEMO_WORDS:
+            self.clear()
+            new = {w for some in words for w in some}
+        self.learn(list(new))
+        out = [b"".join(map(self.__getitem__, w)) for w in words]
+        for w in new:
+            if len(w) > MEMO_LENGTH:
+                del self[w]
+        return out
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", capacity: int = 2048, end_id: int = 0) -> DataFrame:
@@ -62,21 +92,22 @@ def token_pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text:
         memo = _memos.setdefault(tokenizer, None) or _Memo(tokenizer)
         _memos[tokenizer] = memo
         for batch in batches:
-            rows, piece, ids = [], [], []
-            size = 0
+            texts, size, first = [], 0, 0
             for i, value in enumerate(batch.column("text")):
-                whole = b"".join(map(memo.__getitem__, (value.as_py() or "").encode().split())) + end
-                for n, at in enumerate(range(0, len(whole), 4 * capacity)):
-                    rows.append(i)
-                    piece.append(n)
-                    ids.append(whole[at : at + 4 * capacity])
-                size += len(whole)
-                if size >= 8 << 20:
-                    yield out(batch, rows, piece, ids)
-                    rows, piece, ids, size = [], [], [], 0
-            yield out(batch, rows, piece, ids)
-
-    def out(batch: pa.RecordBatch, rows: list, piece: list, ids: list) -> pa.RecordBatch:
+                texts.append((value.as_py() or "").encode())
+                size += len(texts[-1])
+                if size >= TOGETHER or i + 1 == batch.num_rows:
+                    yield out(batch, first, memo.ids(texts))
+                    texts, size, first = [], 0, i + 1
+
+    def out(batch: pa.RecordBatch, first: int, wholes: list[bytes]) -> pa.RecordBatch:
+        rows, piece, ids = [], [], []
+        for i, whole in enumerate(wholes, first):
+            whole += end
+            for n, at in enumerate(range(0, len(whole), 4 * capacity)):
+                rows.append(i)
+                piece.append(n)
+                ids.append(whole[at : at + 4 * capacity])
         id_column = batch.column("doc_id").take(pa.array(rows, pa.int64()))
         return pa.RecordBatch.from_arrays([id_column, pa.array(piece, pa.int32()), pa.array([n * capacity for n in piece], pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "piece", "start", "length", "ids"])
 
