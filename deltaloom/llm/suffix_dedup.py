@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-#: Bytes of an anchor; bytes of text hashed at once.
-GRAM, CHUNK = 32, 8 << 20
+#: Bytes of an anchor; bytes of text whose passages are compared in a task before any are passed on; bytes of text hashed at once.
+GRAM, CHUNK, PART = 32, 8 << 20, 1 << 20
 #: Bytes of text for each group that passages, or documents, are dealt to.
 GROUP_BYTES = 4 << 20
 _ODD = 0x9E3779B97F4A7C15
@@ -77,7 +77,7 @@ def passages(raw, doc_starts, length: int):
         return (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64))
     hasher = _Hasher(raw)
     at = np.arange(len(raw) - GRAM + 1)
-    low = np.uint64((1 << 24) - 1)  # a chunk is shorter than this, or else one document and cut in parts by the caller
+    low = np.uint64((1 << 24) - 1)  # the caller cuts longer texts
     order = (hasher.of(at, at + GRAM) & ~low) | (at.astype(np.uint64) & low)
     width, reach = length - GRAM + 1, 1
     while 2 * reach <= width:
@@ -302,7 +302,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         for held in chunks():
             held.sort(key=lambda r: r[:2])
             # A document is laid in parts that overlap by all but one byte of a window, so that no part is too long for the anchors' order.
-            piece = CHUNK // 2
+            piece = PART
             doc, tie, group, offset, parts = [], [], [], [], []
             for d, t, g, r in held:
                 for at in range(0, max(1, len(r) - length + 1), piece):
@@ -314,9 +314,9 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             rows, at = [], 0
             doc, tie, group, offset = np.array(doc), np.array(tie, np.uint32), np.array(group), np.array(offset)
             found = []
-            while at < len(parts):  # lay parts end to end, up to a chunk
+            while at < len(parts):  # lay parts end to end
                 some, size = at, 0
-                while at < len(parts) and (at == some or size + len(parts[at]) < CHUNK + piece):
+                while at < len(parts) and (at == some or size + len(parts[at]) < PART + piece):
                     size += len(parts[at])
                     at += 1
                 starts = np.concatenate([[0], np.cumsum([len(p) for p in parts[some:at]])])
