@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, minhash, pack, pareto_mix, sphere_caps, suffix_dedup, topk, url_sweep, zlang
+from . import common, lm_score, minhash, pack, pareto_mix, rule_quality, sphere_caps, suffix_dedup, topk, url_sweep, zlang
 
 #: (host, path, action) of the query on page addresses.
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "block"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
@@ -28,6 +28,13 @@ def op1_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's loss as conversation less its loss as a document, per token."""
+    docs, target = table(spark, sf_dir, "documents"), table(spark, sf_dir, "conversations")
+    scored = lm_score.score(docs.select("doc_id", "text"), lm_score.fit(docs, target))
+    return scored.select("doc_id", "n_tokens", *(F.round(c, 9).alias(c) for c in ("loss_background", "loss_target", "score")))
+
+
 def op3_sphere_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of vectors of one label: cosine of 0.98 or more."""
     return sphere_caps.near_duplicates(table(spark, sf_dir, "embeddings"))
@@ -57,6 +64,14 @@ def op7_zstd_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return zlang.identify(docs.select("doc_id", "text", "held_out"), dictionaries).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
+def op8_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learned from labels of those not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", common.is_held_out(F.col("doc_id")))
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality").filter(F.col("quality").isNotNull() & ~common.is_held_out(F.col("doc_id")))
+    model = rule_quality.fit(docs.select("doc_id", "text").join(labels, "doc_id"))
+    return rule_quality.score(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents without the bytes of 100-byte strings that start earlier."""
     out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
@@ -87,7 +102,7 @@ SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM m WH
 """
 
 _MIX_PASS = """
-f{n} AS (SELECT l.*, b.lim, sum(l.size) OVER (PARTITION BY l.source ORDER BY l.rk, l.doc_id, l.size) AS upto FROM l{p} l JOIN b{p} b ON l.source IS NOT DISTINCT FROM b.source WHERE l.size <= b.lim),
+f{n} AS (SELECT l.*, b.lim, sum(l.size) OVER (PARTITION BY l.source ORDER BY l.rk, l.size) AS upto FROM l{p} l JOIN b{p} b ON l.source IS NOT DISTINCT FROM b.source WHERE l.size <= b.lim),
 t{n} AS (SELECT doc_id, source, size FROM f{n} WHERE upto <= lim),
 b{n} AS (SELECT b.source, b.lim - coalesce((SELECT sum(size) FROM t{n} t WHERE t.source IS NOT DISTINCT FROM b.source), 0) AS lim FROM b{p} b),
 l{n} AS (SELECT l.* FROM l{p} l WHERE l.doc_id NOT IN (SELECT doc_id FROM t{n})),"""
@@ -105,7 +120,7 @@ p AS (SELECT *, CAST(floor(expected) AS BIGINT) AS whole, expected - floor(expec
 d AS (SELECT s.doc_id, s.source, s.size, p.source_size, p.target, p.whole, p.part, p.source_size / CAST(p.documents AS DOUBLE) AS mean,
         (CAST(('0x' || substr(md5(CAST(s.doc_id AS VARCHAR)), 1, 12)) AS BIGINT) + 0.5e0) / 281474976710656e0 AS u
       FROM s JOIN p ON s.source IS NOT DISTINCT FROM p.source),
-l0 AS (SELECT doc_id, source, size, u / (1 - u) / (part / (1 - part) * pow(size / mean, 0.5e0)) AS rk FROM d WHERE part > 0 AND size > 0),
+l0 AS (SELECT doc_id, source, size, u / (1 - u) / (part / (1 - part) * sqrt(size / mean)) AS rk FROM d WHERE part > 0 AND size > 0),
 b0 AS (SELECT source, CAST(floor(part * source_size + 0.5e0) AS BIGINT) AS lim FROM p),
 {"".join(_MIX_PASS.format(n=n, p=n - 1) for n in (1, 2, 3, 4))}
 x AS (SELECT doc_id FROM t1 UNION ALL SELECT doc_id FROM t2 UNION ALL SELECT doc_id FROM t3 UNION ALL SELECT doc_id FROM t4)
@@ -114,9 +129,32 @@ FROM d LEFT JOIN x ON d.doc_id = x.doc_id
 """
 
 
+OP2_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws, 0 AS side FROM documents
+  UNION ALL SELECT conv_id * 1000 + turn, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), 1 FROM conversations),
+t AS (SELECT row_number() OVER () AS r, * FROM w),
+o AS (SELECT r, doc_id, side, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM t),
+c AS (SELECT word, count_if(side = 0) AS n, count_if(side = 1) AS m FROM o GROUP BY word),
+z AS (SELECT sum(n) AS n, sum(m) AS m FROM c),
+v AS (SELECT word, c.n, c.m FROM c, z WHERE c.n >= 2e-6 * z.n),
+u AS (SELECT word, n, m FROM v UNION ALL SELECT '' AS word, z.n - (SELECT sum(n) FROM v), z.m - (SELECT sum(m) FROM v) FROM z),
+k AS (SELECT r, doc_id, side, i, CASE WHEN v.word IS NULL THEN '' ELSE o.word END AS word FROM o LEFT JOIN v ON o.word = v.word),
+b AS (SELECT *, coalesce(lag(word) OVER (PARTITION BY r ORDER BY i), ' ') AS prev FROM k),
+f AS (SELECT prev, count_if(side = 0) AS n, count_if(side = 1) AS m FROM b GROUP BY prev),
+g AS (SELECT prev, word, count_if(side = 0) AS n, count_if(side = 1) AS m FROM b GROUP BY prev, word),
+h AS (SELECT prev, word, g.n, g.m FROM g, z WHERE g.n >= 2e-6 * z.n),
+p AS (SELECT b.r, b.doc_id,
+        0.75e0 * CASE WHEN f.n > 0 THEN coalesce(h.n, 0) / CAST(f.n AS DOUBLE) ELSE 0e0 END + 0.25e0 * ((u.n + 1) / CAST(z.n + (SELECT count(*) FROM u) AS DOUBLE)) AS pb,
+        0.75e0 * CASE WHEN f.m > 0 THEN coalesce(h.m, 0) / CAST(f.m AS DOUBLE) ELSE 0e0 END + 0.25e0 * ((u.m + 1) / CAST(z.m + (SELECT count(*) FROM u) AS DOUBLE)) AS pt
+      FROM b JOIN f ON b.prev = f.prev LEFT JOIN h ON b.prev = h.prev AND b.word = h.word JOIN u ON b.word = u.word, z WHERE b.side = 0),
+s AS (SELECT r, count(*) AS n, -avg(ln(pb)) AS lb, -avg(ln(pt)) AS lt FROM p GROUP BY r)
+SELECT t.doc_id, coalesce(s.n, 0) AS n_tokens, round(lb, 9) AS loss_background, round(lt, 9) AS loss_target, round(lt - lb, 9) AS score FROM t LEFT JOIN s ON t.r = s.r WHERE side = 0
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_bayes, op3_sphere_caps, op4_pareto_mix, op5_url_sweep, op6_sum_of_squares_packing, op7_zstd_language, op9_suffix_array_dedup, op10_block_max_topk)}
+    return {f.__name__: f for f in (op1_minhash_bayes, op2_cross_entropy_difference, op3_sphere_caps, op4_pareto_mix, op5_url_sweep, op6_sum_of_squares_packing, op7_zstd_language, op8_rule_ensemble, op9_suffix_array_dedup, op10_block_max_topk)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_pareto_mix": OP4_SQL, "op5_url_sweep": OP5_SQL}
+    return {"op2_cross_entropy_difference": OP2_SQL, "op4_pareto_mix": OP4_SQL, "op5_url_sweep": OP5_SQL}
