@@ -8,73 +8,165 @@ an open sequence or a new one.
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 from itertools import filterfalse
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words kept per Python worker; the store is emptied when full. Longer words are not kept.
-MEMO_WORDS, MEMO_LENGTH = 1_000_000, 64
-#: Bytes of text whose new words are encoded together.
-TOGETHER = 2 << 20
+#: Words, or parts of words, kept per Python worker; emptied when full. Longer ones are not kept.
+MEMO_SIZE, MEMO_LENGTH = 1_000_000, 64
+#: Bytes of text tokenised together.
+TOGETHER = 4 << 20
+#: The pattern of pre-tokenizers for which ``cut`` is written (a fixed value).
+WORDS_AND_SIGNS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+SPACE, LETTER, NUMBER, SIGN, ODD = range(5)
 _memos: dict[str, "_Memo"] = {}
 
 
+def _latin():
+    """Kind and lower case of each Latin-1 character; control characters and unusual spaces are ODD."""
+    import unicodedata
+
+    import numpy as np
+
+    kind, lower = np.full(256, ODD, np.uint8), np.arange(256, dtype=np.uint8)
+    for i in range(256):
+        category = unicodedata.category(chr(i))[0]
+        if 9 <= i <= 13 or i == 32:
+            kind[i] = SPACE
+        elif category in "LNPS" or chr(i) == "\u00ad":
+            kind[i] = {"L": LETTER, "N": NUMBER}.get(category, SIGN)
+            if category == "L" and ord(chr(i).lower()) < 256:
+                lower[i] = ord(chr(i).lower())
+    return kind, lower
+
+
+def cut(texts: list[bytes], kind, lower):
+    """Lower-cased matches of WORDS_AND_SIGNS in Latin-1 texts, all of them in turn, and how many each text has."""
+    import numpy as np
+
+    raw = np.frombuffer(b"\n".join(texts) + b"\n\n\n", np.uint8)
+    kinds, low = kind[raw], lower[raw]
+    before = np.concatenate([[SPACE], kinds[:-1]])
+    start = (kinds != SPACE) & ((kinds != before) | (kinds == NUMBER))
+    # A contraction begins at an apostrophe that no run of signs has taken.
+    at = np.flatnonzero((raw == 39) & (before != SIGN))
+    one, two = low[at + 1], low[np.minimum(at + 2, len(low) - 1)]
+    short = np.isin(one, np.frombuffer(b"stmd", np.uint8))
+    long = ((one == 114) | (one == 118)) & (two == 101) | (one == 108) & (two == 108)
+    for which, size in ((short, 2), (long & ~short, 3)):
+        start[at[which] + 1] = False
+        after = at[which] + size
+        start[after[kinds[after] == LETTER]] = True
+    where = np.flatnonzero(start)
+    solid = kinds != SPACE
+    offsets = np.append(np.cumsum(solid)[where] - 1, solid.sum()).astype(np.int32)
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    parts = pa.Array.from_buffers(pa.binary(), len(where), [None, pa.py_buffer(offsets), pa.py_buffer(low[solid])])
+    return parts, np.diff(np.searchsorted(where, ends), prepend=0)
+
+
 class _Memo(dict):
-    """Ids (little-endian unsigned 32-bit) by white-space separated word, in UTF-8.
+    """Ids (little-endian unsigned 32-bit) by word, or by part of a word.
 
     The tokenizer never joins tokens over white space, so a text's ids are
-    those of its words in turn. New words are encoded many at a time, with a
-    mark between them that is one token of its own.
+    those of its words in turn, and a word met before need not be encoded
+    again. New words are encoded many at a time, with a mark between them that
+    is one token of its own. Where the tokenizer's file says that it
+    lower-cases, keeps the matches of WORDS_AND_SIGNS and marks their ends,
+    texts of visible Latin-1 characters and white space, which Unicode
+    normalisation leaves alone, are cut first: such parts recur more often than
+    words.
     """
 
     MARK = "\x01"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import numpy as np
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         mark, some = self.encoded(self.MARK), "wordé-1,"
         self.mark = int.from_bytes(mark, "little") if len(mark) == 4 and self.encoded(f"{some} {self.MARK} {some}") == self.encoded(some) + mark + self.encoded(some) else None
+        told = json.loads(self.tokenizer.to_str())
+        step = ((told.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+        lowers = [n["type"] for n in (told.get("normalizer") or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
+        suffix = told["model"].get("end_of_word_suffix")
+        self.cuts = bool(suffix and lowers and step.get("type") == "Split" and step.get("invert") and step.get("behavior") == "Removed" and step["pattern"].get("Regex") == WORDS_AND_SIGNS)
+        if self.cuts:
+            vocabulary = self.tokenizer.get_vocab()
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+            self.special = [t["content"].encode() for t in told["added_tokens"]]
+            self.kind, self.lower = _latin()
+            self.visible = bytes(i for i in range(256) if self.kind[i] != ODD)
 
     def encoded(self, text: str) -> bytes:
         import numpy as np
 
         return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
 
-    def learn(self, words: list[bytes]) -> None:
-        """Makes sure of the ids of all ``words``."""
+    def encoded_words(self, words: list[str], are_cut: bool) -> Iterator[bytes]:
+        """are_cut: each is one match of the pattern, so with spaces between them each has one token that ends it."""
         import numpy as np
 
         for at in range(0, len(words), 2000):
             some = words[at : at + 2000]
-            raw = self.encoded(f" {self.MARK} ".join([w.decode() for w in some]))
-            stops = np.flatnonzero(np.frombuffer(raw, "<u4") == self.mark)
-            if self.mark is not None and len(stops) == len(some) - 1:
-                stops = (4 * stops).tolist()
-                self.update(zip(some, [raw[s:e] for s, e in zip([0, *[s + 4 for s in stops]], [*stops, len(raw)])]))
-            else:  # a word that holds the mark
-                self.update((w, self.encoded(w.decode())) for w in some)
-
-    def ids(self, texts: list[bytes]) -> list[bytes]:
-        words = [text.split() for text in texts]
-        new: set[bytes] = set()
-        for w in words:
-            new.update(filterfalse(self.__contains__, w))
-        if len(self) + len(new) > MEMO_WORDS:
+            raw = self.encoded((" " if are_cut else f" {self.MARK} ").join(some))
+            ids = np.frombuffer(raw, "<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1 if are_cut else np.append(np.flatnonzero(ids == self.mark), len(ids))
+            if (self.mark is None and not are_cut) or len(stops) != len(some):  # one of them holds the mark
+                yield from map(self.encoded, some)
+            else:
+                starts = [0, *(4 * stops[:-1] + (0 if are_cut else 4)).tolist()]
+                yield from (raw[s:e] for s, e in zip(starts, (4 * stops).tolist()))
+
+    def latin(self, text: str) -> bytes | None:
+        """The text in Latin-1 if it can be cut, else None."""
+        try:
+            raw = text.encode("latin-1")
+        except UnicodeEncodeError:
+            return None
+        return None if not self.cuts or raw.translate(None, self.visible) or any(s in raw for s in self.special) else raw
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        plain = [self.latin(t) for t in texts]
+        if some := [p for p in plain if p is not None]:
+            first = iter(self.joined(*cut(some, self.kind, self.lower), are_cut=True))
+        if len(some) < len(texts):
+            words = [t.encode().split() for t, p in zip(texts, plain) if p is None]
+            other = iter(self.joined(pa.array([w for ws in words for w in ws], pa.binary()), [len(ws) for ws in words], are_cut=False))
+        return [next(other) if p is None else next(first) for p in plain]
+
+    def joined(self, words: pa.Array, counts, are_cut: bool) -> list[bytes]:
+        """The ids of each text, ``counts`` of the words."""
+        import numpy as np
+
+        coded = words.dictionary_encode()
+        distinct, which = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        if len(self) > MEMO_SIZE:
             self.clear()
-            new = {w for some in words for w in some}
-        self.learn(list(new))
-        out = [b"".join(map(self.__getitem__, w)) for w in words]
-        for w in new:
-            if len(w) > MEMO_LENGTH:
-                del self[w]
-        return out
+        key = distinct if are_cut else [(w,) for w in distinct]  # a part is in Latin-1, a word in UTF-8
+        new = list(filterfalse(self.__contains__, key))
+        self.update(zip(new, self.encoded_words([k.decode("latin-1") if are_cut else k[0].decode() for k in new], are_cut)))
+        of_word = list(map(self.__getitem__, key))
+        for k in new:
+            if len(k if are_cut else k[0]) > MEMO_LENGTH:
+                del self[k]
+        size = np.fromiter(map(len, of_word), np.int64, len(of_word)) // 4
+        ids, start = np.frombuffer(b"".join(of_word), "<u4"), np.cumsum(size) - size
+        size = size[which]
+        end = np.concatenate([[0], np.cumsum(size)])
+        raw = ids[np.repeat(start[which] - end[:-1], size) + np.arange(end[-1])].tobytes()
+        cuts = (4 * end[np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])]).tolist()
+        return [raw[s:e] for s, e in zip(cuts, cuts[1:])]
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", capacity: int = 2048, end_id: int = 0) -> DataFrame:
@@ -89,21 +181,23 @@ def token_pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text:
     end = int(end_id).to_bytes(4, "little")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
         memo = _memos.setdefault(tokenizer, None) or _Memo(tokenizer)
         _memos[tokenizer] = memo
         for batch in batches:
-            texts, size, first = [], 0, 0
-            for i, value in enumerate(batch.column("text")):
-                texts.append((value.as_py() or "").encode())
-                size += len(texts[-1])
-                if size >= TOGETHER or i + 1 == batch.num_rows:
-                    yield out(batch, first, memo.ids(texts))
-                    texts, size, first = [], 0, i + 1
+            texts = batch.column("text")
+            ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            at = 0
+            while at < batch.num_rows:
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TOGETHER, side="right")))
+                yield out(batch, at, memo.ids([t or "" for t in texts.slice(at, to - at).to_pylist()]))
+                at = to
 
     def out(batch: pa.RecordBatch, first: int, wholes: list[bytes]) -> pa.RecordBatch:
         rows, piece, ids = [], [], []
         for i, whole in enumerate(wholes, first):
-            whole += end
+            whole = whole + end
             for n, at in enumerate(range(0, len(whole), 4 * capacity)):
                 rows.append(i)
                 piece.append(n)
