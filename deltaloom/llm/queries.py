@@ -67,8 +67,9 @@ def op7_zstd_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document, learned from labels of those not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", common.is_held_out(F.col("doc_id")))
+    docs = common.stored(rule_quality.measured(docs).drop("text"), "measured")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality").filter(F.col("quality").isNotNull() & ~common.is_held_out(F.col("doc_id")))
-    model = rule_quality.fit(docs.select("doc_id", "text").join(labels, "doc_id"))
+    model = rule_quality.fit(docs.join(labels, "doc_id"))
     return rule_quality.score(docs, model).select("doc_id", "held_out", "score", "predicted")
 
 

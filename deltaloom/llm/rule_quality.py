@@ -60,17 +60,21 @@ def _condition(rule: tuple, columns: list[Column]) -> Column:
     return test
 
 
-def fit(labelled: DataFrame, label: str = "quality", text: str = "text", trees: int = 10, depth: int = 3, penalty: float = 0.002, seed: int = 1, most_parts: int = 8) -> dict:
-    """The rules and their weights: {"intercept", "rules": [(rule, weight)]}.
+def measured(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with a struct column ``statistics``, of the whole text."""
+    return docs.withColumn("statistics", F.struct(*(c.alias(n) for n, c in statistics(F.col(text)).items())))
+
+
+def fit(labelled: DataFrame, label: str = "quality", trees: int = 10, depth: int = 3, penalty: float = 0.002, seed: int = 1, most_parts: int = 8) -> dict:
+    """The rules and their weights: {"names", "intercept", "rules": [(rule, weight)]}, from ``measured`` rows with a label.
 
     All labelled rows are used, on the cluster; rows with a null label are
     left out. With one label or none there are no rules, and every text gets the share
-    of label 1 (0.5 without rows). The statistics are written once, in
+    of label 1 (0.5 without rows). Label and statistics are written once, in
     at most ``most_parts`` files, as the trees and weights read them often.
     """
-    rows = labelled.filter(F.col(label).isNotNull())
-    names = list(statistics(F.col(text)))
-    rows = rows.select(F.col(label).cast("double").alias("label"), F.array(*statistics(F.col(text)).values()).alias("x"))
+    names = labelled.schema["statistics"].dataType.names
+    rows = labelled.filter(F.col(label).isNotNull()).select(F.col(label).cast("double").alias("label"), F.array(*(F.col(f"statistics.{n}") for n in names)).alias("x"))
     rows = stored(rows.coalesce(most_parts), "statistics")
     counts = {r.label: r["count"] for r in rows.groupBy("label").count().limit(3).collect()}
     if len(counts) < 2:
@@ -90,16 +94,15 @@ def fit(labelled: DataFrame, label: str = "quality", text: str = "text", trees:
     return {"names": names, "intercept": float(lasso.intercept), "rules": [(r, w) for r, w in zip(rules, weights) if w]}
 
 
-def score(docs: DataFrame, model: dict, text: str = "text", cut: float = 0.7) -> DataFrame:
-    """``docs`` with score, the probability of label 1 (0 to 1), and predicted, 1 if score >= cut, else 0.
+def score(docs: DataFrame, model: dict, cut: float = 0.7) -> DataFrame:
+    """``measured`` rows with score, the probability of label 1 (0 to 1), and predicted, 1 if score >= cut, else 0.
 
-    Every whole text is scored, empty and null ones too (all statistics 0).
-    Columns of these names are replaced, all others stay.
+    Every row is scored, those of empty and null texts too (all statistics 0).
+    Columns of these names are replaced, all others but ``statistics`` stay.
     """
-    keep = [c for c in docs.columns if c not in ("score", "predicted")]
-    told = docs.select(*keep, F.struct(*(c.alias(n) for n, c in statistics(F.col(text)).items())).alias("deltaloom_statistics"))
-    columns = [F.col(f"deltaloom_statistics.{n}") for n in model["names"]]
+    keep = [c for c in docs.columns if c not in ("score", "predicted", "statistics")]
+    columns = [F.col(f"statistics.{n}") for n in model["names"]]
     total = F.lit(model["intercept"])
     for rule, weight in model["rules"]:
         total = total + F.when(_condition(rule, columns), F.lit(weight)).otherwise(F.lit(0.0))
-    return told.withColumn("score", 1 / (1 + F.exp(-total))).select(*keep, "score", (F.col("score") >= cut).cast("int").alias("predicted"))
+    return docs.withColumn("score", 1 / (1 + F.exp(-total))).select(*keep, "score", (F.col("score") >= cut).cast("int").alias("predicted"))

@@ -136,6 +136,7 @@ def test_quality_on_held_out_rows(spark):
 def test_quality_edges(spark):
     data = [(i, "a fine text of words number %d." % i, 1) for i in range(30)] + [(100 + i, "$$$ ### %d &&&" % i, 0) for i in range(30)] + [(200, None, 1), (201, "", 0), (202, "x " * 50000, None)]
     labelled = spark.createDataFrame(data, "doc_id long, text string, quality int").withColumn("score", F.lit("x")).withColumn("n_words", F.lit(1))
+    labelled = rule_quality.measured(labelled)
     model = rule_quality.fit(labelled)
     out = rule_quality.score(labelled, model).toPandas()
     assert len(out) == 63 and out.score.between(0, 1).all() and (out.predicted == (out.score >= 0.7)).all()
