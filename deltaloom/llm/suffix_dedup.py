@@ -24,11 +24,12 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from .common import stored
+from .common import dropped, stored
 
 #: Bytes of an anchor; bytes of text whose passages are compared in a task before any are passed on; bytes of text hashed at once.
-GRAM, CHUNK, PART = 32, 8 << 20, 1 << 20
+GRAM, CHUNK, PART = 32, 4 << 20, 1 << 19
 #: Bytes of text for each group that passages, or documents, are dealt to.
 GROUP_BYTES = 4 << 20
 _ODD = 0x9E3779B97F4A7C15
@@ -260,9 +261,9 @@ def _by_doc(doc, tie, groups: int):
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 100) -> DataFrame:
-    """(doc_id, n_bytes, kept, spans), one row for each row of ``docs``.
+    """``docs`` without ``text``, with n_bytes, kept and spans.
 
-    Texts are UTF-8 bytes (null: empty). kept: the bytes left, laid end to
+    Columns of these names are replaced, all others stay. Texts are UTF-8 bytes (null: empty). kept: the bytes left, laid end to
     end; spans: the maximal removed runs as (start, length). A string is
     repeated if it starts earlier: in a smaller doc_id, or in the same
     document at a smaller start. Rows with the same doc_id count as places of
@@ -281,14 +282,17 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         raise ValueError(f"length must be more than {GRAM}")
     n_bytes = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
     groups = max(1, -(-n_bytes // GROUP_BYTES))
-    source = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("doc"), F.encode(F.coalesce(text, F.lit("")), "UTF-8").alias("raw"), F.col(doc_id).isNull().alias("no_id"))
+    others = [c for c in docs.columns if c not in (text, "n_bytes", "kept", "spans")]
+    source = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("doc"), F.encode(F.coalesce(text, F.lit("")), "UTF-8").alias("raw"), F.struct(*others).alias("others"))
     source = source.withColumn("tie", F.crc32("raw")).withColumn("group", F.pmod(F.xxhash64("doc", "tie"), F.lit(groups)))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def chunks():
             held, size = [], 0
             for batch in batches:
-                for row in zip(*(batch.column(c).to_pylist() for c in ("doc", "tie", "group", "raw"))):
+                columns = [batch.column(c) for c in ("doc", "tie", "group", "raw")]
+                for i in range(batch.num_rows):  # one text at a time is copied
+                    row = tuple(c[i].as_py() for c in columns)
                     if len(row[3]) < length:
                         continue
                     held.append(row)
@@ -417,17 +421,19 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             kept.append(np.frombuffer(raw, np.uint8)[~gone].tobytes())
             edge = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0)).tolist()
             spans.append([{"start": s, "length": e - s} for s, e in zip(edge[::2], edge[1::2])])
-        return pa.table({"doc": texts.column("doc"), "no_id": texts.column("no_id"), "n_bytes": pa.array([len(x) for x in texts.column("raw").to_pylist()], pa.int64()), "kept": pa.array(kept, pa.binary()), "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])))})
+        return pa.table({"others": texts.column("others"), "n_bytes": pa.array([len(x) for x in texts.column("raw").to_pylist()], pa.int64()), "kept": pa.array(kept, pa.binary()), "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])))})
 
     dealt = stored(source.select("doc", "tie", "group", "raw").mapInArrow(cut, _BLOB), "passages")
-    joined = stored(dealt.filter("kind = 1").groupBy("group").applyInArrow(join_passages, _BLOB), "classes")
+    joined = dealt.filter("kind = 1").groupBy("group").applyInArrow(join_passages, _BLOB)
+    joined = stored(joined.unionByName(dealt.filter("kind = 0")), "classes")
+    dropped(dealt)
     texts = source.groupBy("group")
     asked = joined.filter("kind = 1").groupBy("group")
     sorted_ = texts.cogroup(asked).applyInArrow(fetch, _BLOB).groupBy("group").applyInArrow(sort_suffixes, _BLOB)
-    repeats = dealt.filter("kind = 0").unionByName(joined.filter("kind = 0")).unionByName(sorted_)
-    kind = docs.schema[doc_id].dataType.simpleString()
-    out = texts.cogroup(repeats.groupBy("group")).applyInArrow(remove, "doc long, no_id boolean, n_bytes long, kept binary, spans array<struct<start:long,length:long>>")
-    return out.select(F.when(~F.col("no_id"), F.col("doc")).cast(kind).alias("doc_id"), "n_bytes", "kept", "spans")
+    repeats = joined.filter("kind = 0").unionByName(sorted_)
+    span = StructType([StructField("start", LongType()), StructField("length", LongType())])
+    schema = StructType([StructField("others", docs.select(*others).schema), StructField("n_bytes", LongType()), StructField("kept", BinaryType()), StructField("spans", ArrayType(span))])
+    return texts.cogroup(repeats.groupBy("group")).applyInArrow(remove, schema).select("others.*", "n_bytes", "kept", "spans")
 
 
 def _later(run: dict):
