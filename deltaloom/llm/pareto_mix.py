@@ -49,60 +49,67 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0
     return marked.withColumn("target", target).select("source", "source_size", "documents", "target")
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, cap: float = 2.0, size_power: float = 0.5, passes: int = 4) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies, taken), one row for each row of ``docs``.
+def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, cap: float = 2.0, passes: int = 4) -> DataFrame:
+    """``docs`` with size, source_size, target, copies and taken.
 
     size is the number of words (null text: 0), copies the number of times the
-    mix has the document, taken = copies * size. size_power: inclusion odds
-    grow with the document's size over its source's mean size to this power,
-    so that a budget's end falls on shorter documents. passes: how often the
-    order is continued with the documents that still fit; what is left of the
-    budget is then mostly shorter than any document left.
-
-    A null source is a source of its own. Documents of size 0 are taken 0 words
-    and have the certain copies alone. Repeated rows of one doc_id draw the
-    same number and are told apart by their size and place; rows alike in all
-    columns are exchangeable. An empty table gives an empty result. The
-    random numbers hang on doc_id alone, so reruns agree.
+    mix has the document, taken = copies * size. Inclusion odds are those of
+    the source's sampled part times the square root of the document's size over
+    its source's mean size, so that a budget's end falls on shorter documents.
+    passes: how often the order is continued with the documents that still fit;
+    what is left of the budget is then mostly shorter than any document left.
+
+    A null source is a source of its own. Documents of size 0 have the certain
+    copies alone. The random numbers hang on doc_id alone, so reruns agree;
+    rows of one doc_id and size, and all rows of equal rank and size, are taken
+    together or not at all. An empty table gives an empty result. Columns of
+    the names above are replaced, all others stay.
 
     No task sorts a whole source: the ranking is cut into ranges, sums of the
-    ranges say in which one the budget ends, and only that range is sorted.
+    ranges say in which one the budget ends, and only that range is sorted. A
+    pass leaves one row for each source: the budget it had and the place in the
+    order where it ended, from which each document's copies follow.
     """
-    sizes = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"))
-    sizes = stored(sizes.withColumn("row", F.monotonically_increasing_id()), "sizes")
-    targets = stored(source_targets(sizes, weights, share, cap), "targets").withColumn("expected", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)).withColumn("whole", F.floor("expected")).withColumn("part", F.col("expected") - F.col("whole"))
-
-    # Per row only what depends on the row's source; one row per source on the right, so skew is split by AQE or broadcast.
-    rows = sizes.join(targets, sizes["source"].eqNullSafe(targets["source"])).select("doc_id", sizes["source"], "size", "row", "source_size", "target", "whole", "part", (F.col("source_size") / F.col("documents")).alias("mean"))
-    u = uniform(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
-    odds = F.col("part") / (1 - F.col("part")) * F.pow(F.col("size") / F.col("mean"), F.lit(size_power))
-    rank = u / (1 - u) / odds
-    drawn = rows.filter("part > 0 and size > 0").select("row", "doc_id", "source", "size", F.least(F.lit(RANGES - 1), F.greatest(F.lit(0), F.floor((F.log2(rank) + 16) * (RANGES / 32)))).cast("int").alias("range"), rank.alias("rank"))
-    budget = targets.select("source", F.floor(F.col("part") * F.col("source_size") + 0.5).cast("long").alias("left"))
-    left = stored(drawn, "drawn")
-    taken = None
+    added = ("size", "source_size", "target", "copies", "taken")
+    keep = [c for c in docs.columns if c not in added]
+    sizes = stored(docs.select(F.col(doc_id).cast("string").alias("id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size")), "sizes")
+    expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    plan = source_targets(sizes, weights, share, cap).withColumn("whole", F.floor(expected)).withColumn("part", expected - F.floor(expected))
+    plan = plan.withColumn("left", F.floor(F.col("part") * F.col("source_size") + 0.5).cast("long")).withColumn("cuts", F.array().cast("array<struct<left:bigint,last:struct<rank:double,size:bigint>>>"))
+    plan = stored(plan, "plan")
+    of_source = lambda d, p: d.join(p.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    drawn = of_source(sizes, plan.filter("part > 0").select("source", "part", "source_size", "documents")).filter("size > 0")
+    drawn = drawn.select("source", "size", _rank(F.col("id"), F.col("size")).alias("rank"))
+    place = F.floor((F.log2("rank") + 16) * (RANGES / 32))
+    drawn = stored(drawn.withColumn("range", F.least(F.lit(RANGES - 1), F.greatest(F.lit(0), place)).cast("int")), "drawn")
     for _ in range(passes):
-        left, more, budget = _prefix(left, budget)
-        taken = more if taken is None else taken.unionByName(more)
-    copies = F.col("whole") + F.coalesce("more", F.lit(0))
-    out = rows.join(taken.select("row", F.lit(1).alias("more")), "row", "left").withColumn("copies", copies.cast("long"))
-    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
-
-
-def _prefix(left: DataFrame, budget: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """One pass: of the documents that fit in their source's budget, the start of the order whose sum fits.
-
-    Returns those left, those taken (row) and the new budgets.
-    """
-    same = F.col("b.source").eqNullSafe(F.col("l.source"))
-    fits = left.alias("l").join(budget.alias("b"), same & (F.col("size") <= F.col("left"))).select("l.*", "left")
-    sums = fits.groupBy("source", "range").agg(F.sum("size").alias("in_range"), F.first("left").alias("left"))
-    upto = F.sum("in_range").over(Window.partitionBy("source").orderBy("range"))
-    ranges = stored(sums.withColumn("before", upto - F.col("in_range")).filter("before < left"), "ranges").withColumn("inside", F.col("before") + F.col("in_range") <= F.col("left"))
-    near = fits.alias("l").join(ranges.alias("b"), same & (F.col("l.range") == F.col("b.range"))).select("l.*", "before", "inside")
-    running = F.col("before") + F.sum("size").over(Window.partitionBy("source", "range").orderBy("rank", "doc_id", "size", "row"))
-    ends = near.filter("not inside").withColumn("upto", running).filter("upto <= left").select("row", "source", "size")
-    more = stored(near.filter("inside").select("row", "source", "size").unionByName(ends), "taken")
-    spent = more.groupBy("source").agg(F.sum("size").alias("spent"))
-    over = stored(budget.alias("b").join(spent.alias("l"), same, "left").select("b.source", (F.col("left") - F.coalesce("spent", F.lit(0))).alias("left")), "budget")
-    return left.join(more.select("row"), "row", "left_anti"), more, over
+        fits = of_source(drawn, plan.select("source", "left", "cuts")).filter((F.col("size") <= F.col("left")) & ~_taken(F.col("cuts")))
+        sums = fits.groupBy("source", "range").agg(F.sum("size").alias("in_range"), F.first("left").alias("left"))
+        upto = F.sum("in_range").over(Window.partitionBy("source").orderBy("range"))
+        ranges = stored(sums.withColumn("before", upto - F.col("in_range")).filter("before < left"), "ranges")
+        ranges = ranges.select(F.col("source").alias("of"), F.col("range").alias("at"), "before", (F.col("before") + F.col("in_range") <= F.col("left")).alias("inside"))
+        near = fits.join(ranges, F.col("source").eqNullSafe(F.col("of")) & (F.col("range") == F.col("at")))
+        running = F.col("before") + F.sum("size").over(Window.partitionBy("source", "range").orderBy("rank", "size"))
+        ends = near.filter("not inside").withColumn("upto", running).filter("upto <= left").select("source", "rank", "size")
+        taken = near.filter("inside").select("source", "rank", "size").unionByName(ends)
+        cut = taken.groupBy(F.col("source").alias("of")).agg(F.sum("size").alias("spent"), F.max(F.struct("rank", "size")).alias("last"))
+        cuts = F.when(F.col("last").isNull(), F.col("cuts")).otherwise(F.array_append("cuts", F.struct("left", "last")))
+        fresh = plan.join(cut, F.col("source").eqNullSafe(F.col("of")), "left").withColumn("cuts", cuts).withColumn("left", F.col("left") - F.coalesce("spent", F.lit(0)))
+        plan = stored(fresh.select(*plan.columns), "plan")
+    told = docs.select(F.struct(*keep).alias("doc"), F.col(doc_id).cast("string").alias("id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"))
+    # One row for each source on the right: broadcast where small, else a skewed join that AQE splits.
+    told = of_source(told, plan).withColumn("rank", F.when((F.col("part") > 0) & (F.col("size") > 0), _rank(F.col("id"), F.col("size"))))
+    told = told.withColumn("copies", F.col("whole").cast("long") + F.coalesce(_taken(F.col("cuts")).cast("long"), F.lit(0)))
+    return told.select("doc.*", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def _rank(key: Column, size: Column) -> Column:
+    """Random odds over inclusion odds; only sums, products, quotients and square roots, which are the same on every machine."""
+    u = uniform(F.coalesce(key, F.lit("null")))
+    mean = F.col("source_size") / F.col("documents")
+    return u / (1 - u) / (F.col("part") / (1 - F.col("part")) * F.sqrt(size / mean))
+
+
+def _taken(cuts: Column) -> Column:
+    """Whether one of the passes took the row: it fitted, and came no later than the last one taken."""
+    return F.exists(cuts, lambda c: (F.col("size") <= c["left"]) & (F.struct("rank", "size") <= c["last"]))
