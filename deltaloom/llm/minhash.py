@@ -8,9 +8,10 @@ are verified on their full sets.
 
 Documents of the same words in the same order are one class and are compared
 once. In a band's bucket each class is first compared with one leader, not with
-all others; only classes of a bucket that are still in different components
-are compared further, so that no link between components is lost while a
-large group of copies costs a number of comparisons near its size.
+all others, so that a large group of copies costs a number of comparisons near
+its size. What is left are buckets with classes of different components; those
+are paired by an exact rule on their rarest shingles, so that no link between
+components is lost and a passage that many documents share does not pair them.
 """
 
 from __future__ import annotations
@@ -20,10 +21,10 @@ from functools import cache
 from math import comb
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, dropped, stored
+from .common import WORD, components, dropped, stored
 
 #: Words kept with their hash in a task; emptied when full.
 MEMO_WORDS = 400_000
@@ -80,9 +81,12 @@ def signature(shingles, hashes: int):
     """The upper 32 bits of the least value of ``hashes`` random linear maps of the shingles."""
     import numpy as np
 
-    out = np.empty(hashes, np.uint64)
-    for i, (a, b) in enumerate(zip(*_multipliers(hashes))):
-        out[i] = (shingles * a + b).min()
+    a, b = (x[:, None] for x in _multipliers(hashes))
+    out = np.full(hashes, 2**64 - 1, np.uint64)
+    for at in range(0, len(shingles), 256):  # small enough to stay in a core's cache
+        values = a * shingles[at : at + 256]
+        values += b
+        np.minimum(out, values.min(axis=1), out=out)
     return (out >> np.uint64(32)).astype(np.uint32)
 
 
@@ -108,7 +112,7 @@ def least_matches(hashes: int, threshold: float, miss: float) -> tuple[int, ...]
 
 
 def _signed(docs: DataFrame, doc_id: str, text: str, length: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, class, n_shingles, bands, signature): class null and both arrays empty without words."""
+    """(doc_id, text_hash, class, n_shingles, bands, signature): class null and both arrays empty without words."""
     hashes = bands * rows
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,41 +129,41 @@ def _signed(docs: DataFrame, doc_id: str, text: str, length: int, bands: int, ro
                 if not words:
                     names.append(None)
                     keys.append([])
-                    signs.append(b"")
+                    signs.append([])
                     continue
                 names.append(blake2b(b" ".join(words), digest_size=16).digest())
                 s = signature(shingles, hashes)
                 keys.append([xxhash.xxh3_64_intdigest(s[i * rows : (i + 1) * rows].tobytes(), seed=i) - 2**63 for i in range(bands)])
-                signs.append((s & 255).astype("u1").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(signs, pa.binary())], names=["doc_id", "class", "n_shingles", "bands", "signature"])
+                signs.append((s & 255).astype("u1").view("<i8"))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(names, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(signs, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "class", "n_shingles", "bands", "signature"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(sign, f"doc_id {kind}, class binary, n_shingles long, bands array<long>, signature binary")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash")).mapInArrow(sign, f"doc_id {kind}, text_hash long, class binary, n_shingles long, bands array<long>, signature array<long>")
+
+
+def _agreeing(p: str, q: str, limits: tuple[int, ...]) -> Column:
+    """Whether no batch of two signatures (arrays of eight bytes each) rules the pair out."""
+    differ, passed = F.lit(0), F.lit(True)
+    for batch, least in enumerate(limits, 1):
+        for i in range((batch - 1) * BATCH // 8, batch * BATCH // 8):
+            x = F.get(F.col(p), F.lit(i)).bitwiseXOR(F.get(F.col(q), F.lit(i)))
+            for shift in (4, 2, 1):  # the lowest bit of each byte tells whether any of it is set
+                x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
+            differ = differ + F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
+        if batch in (2, 4, len(limits)):
+            passed = passed & (differ <= batch * BATCH - least)
+    return passed
 
 
 def _promising(pairs: DataFrame, signs: DataFrame, limits: tuple[int, ...]) -> DataFrame:
     """Pairs (a, b) that no batch of their signatures rules out."""
     two = pairs.join(signs.select(F.col("class").alias("a"), F.col("signature").alias("p")), "a").join(signs.select(F.col("class").alias("b"), F.col("signature").alias("q")), "b")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
-        for batch in batches:
-            p, q = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("p", "q"))
-            alive, matches = np.arange(batch.num_rows), np.zeros(batch.num_rows, np.int64)
-            for n, least in enumerate(limits):
-                part = slice(n * BATCH, (n + 1) * BATCH)
-                matches = matches + (p[alive, part] == q[alive, part]).sum(axis=1)
-                alive, matches = alive[matches >= least], matches[matches >= least]
-            yield batch.select(["a", "b"]).take(pa.array(alive))
-
-    return two.mapInArrow(compare, "a binary, b binary")
+    return two.filter(_agreeing("p", "q", limits)).select("a", "b")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, signs: DataFrame, doc_id: str, text: str, length: int, share: tuple[int, int]) -> DataFrame:
-    """Pairs (a, b) of classes whose sets, of the texts themselves, have intersection / union >= share."""
-    named = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
-    wanted = named.join(signs.select("class", "least_id", "least_size"), "class")
+def _texts(named: DataFrame, docs: DataFrame, signs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(class, text) for each class of ``named``."""
+    wanted = named.select("class").distinct().join(signs.select("class", "least_id"), "class")
     source = docs.select(F.col(doc_id).alias("least_id"), F.col(text).alias("text"))
     held = source.join(wanted, source["least_id"].eqNullSafe(wanted["least_id"])).select("class", "text")
 
@@ -169,9 +173,13 @@ def _verified(pairs: DataFrame, docs: DataFrame, signs: DataFrame, doc_id: str,
 
         for batch in batches:
             keep = [blake2b(b" ".join(words_of(t)), digest_size=16).digest() == c for t, c in zip(batch.column("text").to_pylist(), batch.column("class").to_pylist())]
-            yield batch.filter(pa.array(keep))
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return stored(held.mapInArrow(own, "class binary, text string").dropDuplicates(["class"]), "texts")
+
 
-    texts = stored(held.mapInArrow(own, "class binary, text string").dropDuplicates(["class"]), "texts")
+def _verified(pairs: DataFrame, texts: DataFrame, length: int, share: tuple[int, int]) -> DataFrame:
+    """Pairs (a, b) of classes whose sets, of the texts themselves, have intersection / union >= share."""
     two = pairs.join(texts.select(F.col("class").alias("b"), F.col("text").alias("q")), "b").join(texts.select(F.col("class").alias("a"), F.col("text").alias("p")), "a")
     # The same leader in a row of pairs: its set is made once.
     two = two.select("a", "b", "p", "q").sortWithinPartitions("a")
@@ -193,64 +201,125 @@ def _verified(pairs: DataFrame, docs: DataFrame, signs: DataFrame, doc_id: str,
     return two.mapInArrow(check, "a binary, b binary")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 5, share: tuple[int, int] = (75, 100), bands: int = 32, rows: int = 4, miss: float = 1e-6, leaders: int = 3) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept), one row for each row of ``docs``.
+def _fitting(share: tuple[int, int], a: str, b: str) -> Column:
+    """Whether sets of the sizes in columns ``a`` and ``b`` can reach the share."""
+    return F.least(a, b) * share[1] >= F.greatest(a, b) * share[0]
+
+
+def _by_prefix(rest: DataFrame, texts: DataFrame, length: int, share: tuple[int, int]) -> DataFrame:
+    """Pairs of classes in different components that can reach the share: an exact way that needs no pairs of all.
+
+    With each set's shingles in the order of how many sets have them, two sets
+    that reach the share have a shingle in common among the first
+    size - ceil(share * size) + 1 of either, and from the first such shingle on
+    both have enough left for the intersection they need. What very many sets
+    have comes last, so a passage that they share does not pair them unless it is
+    most of them.
+    """
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        for batch in batches:
+            for name, value in zip(batch.column("class"), batch.column("text")):
+                shingles = shingle_hashes(words_of(value.as_py()), length)
+                yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(shingles), pa.binary()), pa.array(shingles.view(np.int64))], names=["class", "shingle"])
+
+    every = stored(texts.mapInArrow(split, "class binary, shingle long"), "shingles")
+    often = every.groupBy("shingle").agg(F.count("*").alias("sets")).filter("sets > 1")
+    # Shingles of one set alone come first in its order and pair it with none.
+    of_class = every.join(often, "shingle").groupBy("class").agg(F.sort_array(F.collect_list(F.struct("sets", "shingle"))).alias("shared"))
+    told = of_class.join(rest, "class").withColumn("alone", F.col("size") - F.size("shared"))
+    first = F.col("size") - F.ceil(F.col("size") * share[0] / F.lit(share[1])) + 1 - F.col("alone")
+    prefix = told.filter(first > 0).select("class", "component", "size", "alone", F.posexplode(F.slice("shared", F.lit(1), first.cast("int"))["shingle"]).alias("at", "shingle"))
+    prefix = stored(prefix.withColumn("left", F.col("size") - F.col("alone") - F.col("at")).drop("alone", "at"), "prefix")
+    x, y = (prefix.select("shingle", *(F.col(c).alias(f"{c}_{s}") for c in ("class", "component", "size", "left"))) for s in "xy")
+    enough = F.least("left_x", "left_y") * (share[0] + share[1]) >= (F.col("size_x") + F.col("size_y")) * share[0]
+    met = x.join(y, "shingle").filter((F.col("component_x") < F.col("component_y")) & enough)
+    return met.select(F.col("class_x").alias("leader"), F.col("class_y").alias("other"))
+
+
+def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 5, share: tuple[int, int] = (75, 100), bands: int = 32, rows: int = 4, miss: float = 1e-5, leaders: int = 2) -> DataFrame:
+    """(doc_id, text_hash, n_shingles, component, component_id), one row for each row of ``docs``.
 
     Words are runs of bytes other than ASCII white space, A-Z lower-cased; a
     document's set is its distinct runs of ``length`` words, or its whole word
     sequence if that is shorter. Documents whose sets have intersection /
-    union >= share are linked. component_id is the smallest doc_id reachable;
-    kept: doc_id equals it. Documents without words (null, empty, white space)
-    link with nothing. Null ids count only where a component has no other;
+    union >= share are linked. component_id is the smallest doc_id reachable,
+    component names the group. Documents without words (null, empty, white
+    space) link with nothing and have no component. Null ids count only where a component has no other;
     repeated rows of one doc_id each belong to the component of their own
     text. An empty table gives an empty result. Sets are of 64-bit hashes of
     shingles, classes are known by 128-bit hashes of their words.
 
     At a similarity equal to the threshold a pair shares no band with
     probability (1 - 0.75 ** rows) ** bands, 5e-6 as set, and less above it.
-    ``leaders`` rounds compare each class of a bucket with one leader; then
-    all pairs of a bucket in different components are compared.
+    ``leaders`` rounds compare each class of a bucket with one leader of the
+    bucket's largest component; then the classes of buckets that still hold
+    several components are paired by the rarest of their shingles.
     """
     signed = stored(_signed(docs, doc_id, text, length, bands, rows), "signed")
     # One row for each class, of which copies know nothing.
     signs = stored(signed.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("least_id"), F.first("n_shingles").alias("least_size"), F.first("bands").alias("bands"), F.first("signature").alias("signature")), "classes")
     limits = least_matches(bands * rows, share[0] / share[1], miss)
-    spread = signs.select("class", F.explode("bands").alias("bucket"))
+    spread = signs.select("class", F.col("least_size").alias("size"), F.explode("bands").alias("bucket"))
     shared = spread.groupBy("bucket").agg(F.min("class").alias("first"), F.max("class").alias("last")).filter("first <> last")
     buckets = stored(spread.join(shared.select("bucket"), "bucket"), "buckets")
-    edges, groups, seen = None, None, None
+    edges, found_groups = None, None
     for turn in range(leaders + 1):
-        if groups is None:
-            labelled = buckets.withColumn("component", F.col("class"))
-        else:
-            labelled = buckets.join(groups.withColumnRenamed("id", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+        labelled = buckets.withColumn("component", F.col("class"))
+        if found_groups is not None:
+            labelled = buckets.join(found_groups.withColumnRenamed("id", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
         # Only buckets with classes of more than one component can still add a link that matters.
-        mixed = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("class", F.xxhash64("class", F.lit(turn)) if turn else F.col("class")).alias("leader"), F.count("*").alias("size")).filter("low <> high")
+        # A leader is of the bucket's largest component: first the same one in all its buckets, then another in each.
+        choice = F.xxhash64("bucket", "class", F.lit(turn)) if turn else F.col("class")
+        parts = labelled.groupBy("bucket", "component").agg(F.count("*").alias("many"), F.min_by(F.struct("class", "size"), choice).alias("leader"))
+        mixed = parts.groupBy("bucket").agg(F.count("*").alias("parts"), F.max_by(F.struct("component", "leader"), F.struct("many", "component")).alias("main")).filter("parts > 1")
+        mixed = mixed.select("bucket", F.col("main.component").alias("main"), F.col("main.leader.class").alias("leader"), F.col("main.leader.size").alias("leader_size"))
+        met = labelled.join(mixed, "bucket")
         if turn < leaders:
-            leader = mixed.join(labelled.select("bucket", F.col("class").alias("leader"), F.col("component").alias("leader_component")), ["bucket", "leader"])
-            pairs = labelled.join(leader, "bucket").filter("component <> leader_component").select(F.col("leader"), F.col("class").alias("other"))
+            pairs = met.filter((F.col("component") != F.col("main")) & _fitting(share, "size", "leader_size")).select("leader", F.col("class").alias("other"))
         else:
-            open_ = stored(labelled.join(mixed.select("bucket"), "bucket").select("bucket", "class", "component"), "open")
-            pairs = open_.alias("x").join(open_.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.component") < F.col("y.component"))).select(F.col("x.class").alias("leader"), F.col("y.class").alias("other"))
-        pairs = pairs.select(F.least("leader", "other").alias("a"), F.greatest("leader", "other").alias("b")).distinct()
-        if seen is not None:
-            pairs = pairs.join(seen, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        if not pairs.limit(1).count():
-            dropped(pairs)
-            break
-        seen = pairs if seen is None else seen.unionByName(pairs)
+            rest = stored(met.select("class", "component", "size").distinct(), "rest")
+            rest_texts = _texts(rest, docs, signs, doc_id, text)
+            pairs = _by_prefix(rest, rest_texts, length, share)
+        pairs = stored(pairs.select(F.least("leader", "other").alias("a"), F.greatest("leader", "other").alias("b")).distinct(), "pairs")
         survivors = stored(_promising(pairs, signs, limits), "survivors")
-        found = stored(_verified(survivors, docs, signs, doc_id, text, length, share), "verified")
-        dropped(survivors)
+        ends = survivors.select(F.col("a").alias("class")).unionByName(survivors.select(F.col("b").alias("class")))
+        texts = _texts(ends, docs, signs, doc_id, text) if turn < leaders else rest_texts
+        found = stored(_verified(survivors, texts, length, share), "verified")
+        for done in (pairs, survivors, texts):
+            dropped(done)
         edges = found if edges is None else edges.unionByName(found)
-        groups = stored(components(edges), "components")
+        found_groups = stored(components(edges), "components")
     classes = signs.select("class", "least_id")
-    if groups is not None:
-        classes = classes.join(groups.withColumnRenamed("id", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    if found_groups is not None:
+        classes = classes.join(found_groups.withColumnRenamed("id", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
         classes = classes.join(classes.groupBy("component").agg(F.min("least_id").alias("component_id")), "component")
     else:
-        classes = classes.withColumn("component_id", F.col("least_id"))
-    out = signed.select("doc_id", "class", "n_shingles").join(classes.select("class", "component_id"), "class", "left")
-    component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+        classes = classes.withColumn("component", F.col("class")).withColumn("component_id", F.col("least_id"))
+    out = signed.select("doc_id", "text_hash", "class", "n_shingles").join(classes.select("class", "component", "component_id"), "class", "left")
+    return out.select("doc_id", "text_hash", "n_shingles", "component", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **settings) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of ``groups``; kept: doc_id equals component_id."""
+    return groups(docs, doc_id, text, **settings).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **settings) -> DataFrame:
+    """The rows of ``docs``, all columns, that stay: of each group the one of the smallest doc_id (null last), and every document without words.
+
+    Of rows of that doc_id in the group with several texts, the one of the
+    least text hash stays; of rows alike in all columns, one.
+    """
+    found = groups(docs, doc_id, text, **settings).filter("component is not null")
+    rows = found.groupBy("component", "doc_id", "text_hash").agg(F.count("*").alias("times"))
+    first = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash", "times")).alias("kept"))
+    first = stored(first.select(F.col("kept.doc_id").alias("kept_id"), F.col("kept.text_hash").alias("kept_hash"), F.col("kept.times").alias("times")), "kept")
+    worded = docs.filter(F.coalesce(F.col(text).rlike(WORD), F.lit(False)))
+    mine = worded[doc_id].eqNullSafe(F.col("kept_id")) & (F.xxhash64(worded[text]) == F.col("kept_hash"))
+    once = worded.join(first.filter("times = 1"), mine, "left_semi")
+    # Only what is repeated is shuffled again.
+    again = worded.join(first.filter("times > 1"), mine, "left_semi").dropDuplicates([doc_id, text])
+    return once.unionByName(again).unionByName(docs.filter(~F.coalesce(F.col(text).rlike(WORD), F.lit(False))))
