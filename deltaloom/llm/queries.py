@@ -153,9 +153,40 @@ SELECT t.doc_id, coalesce(s.n, 0) AS n_tokens, round(lb, 9) AS loss_background,
 """
 
 
+OP1_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS shingle FROM w, LATERAL (SELECT unnest(range(1, greatest(len(ws) - 3, 2))) AS i) WHERE len(ws) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM c JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * shared >= 75 * (x.n + y.n - shared)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(id, seen) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.id, e.b FROM r JOIN e ON r.seen = e.a),
+g AS (SELECT id, min(seen) AS component_id FROM r GROUP BY id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, g.component_id, d.doc_id = g.component_id AS kept FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN g ON g.id = d.doc_id
+"""
+
+OP3_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+u AS (SELECT vec_id, label, v, sqrt(list_dot_product(v, v)) AS norm FROM v WHERE label IS NOT NULL AND v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(v, v) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id < b.vec_id AND list_dot_product(a.v, b.v) / (a.norm * b.norm) >= 0.98),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(id, seen) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.id, e.b FROM r JOIN e ON r.seen = e.a),
+g AS (SELECT id, min(seen) AS component_id FROM r GROUP BY id),
+k AS (SELECT a, count(*) AS n FROM e GROUP BY a)
+SELECT id AS vec_id, coalesce(n, 0) AS n_links, component_id, id = component_id AS kept FROM g LEFT JOIN k ON k.a = id
+"""
+
+OP10_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_minhash_bayes, op2_cross_entropy_difference, op3_sphere_caps, op4_pareto_mix, op5_url_sweep, op6_sum_of_squares_packing, op7_zstd_language, op8_rule_ensemble, op9_suffix_array_dedup, op10_block_max_topk)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_cross_entropy_difference": OP2_SQL, "op4_pareto_mix": OP4_SQL, "op5_url_sweep": OP5_SQL}
+    return {"op1_minhash_bayes": OP1_SQL, "op3_sphere_caps": OP3_SQL, "op10_block_max_topk": OP10_SQL, "op2_cross_entropy_difference": OP2_SQL, "op4_pareto_mix": OP4_SQL, "op5_url_sweep": OP5_SQL}
