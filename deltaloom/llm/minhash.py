@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import WORD, components, dropped, stored
 
 #: Words kept with their hash in a task; emptied when full.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 200_000
 #: Hashes of a signature compared before the posterior is looked at again.
 BATCH = 16
 

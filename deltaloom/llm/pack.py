@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words, or parts of words, kept per Python worker; emptied when full. Longer ones are not kept.
-MEMO_SIZE, MEMO_LENGTH = 1_000_000, 64
+MEMO_SIZE, MEMO_LENGTH = 500_000, 64
 #: Bytes of text tokenised together.
 TOGETHER = 4 << 20
 #: The pattern of pre-tokenizers for which ``cut`` is written (a fixed value).
