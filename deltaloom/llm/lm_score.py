@@ -1,146 +1,227 @@
 """Cross-entropy difference of a target and a background bigram model.
 
-Both models are of one order, one smoothing and one vocabulary: the words that
-make up at least a given share of all words of the corpus. A document's score
-is the mean, over its tokens, of the target model's loss less the background
-model's; the lower, the more like the target.
+Both models are of one order, one smoothing and one vocabulary: the words of
+the background, by choice only those that make up at least a given share of
+it. A document's score is the mean, over its tokens, of the target model's loss
+less the background model's; the lower, the more like the target.
+
+*Counting.* Texts are dealt by hash to homes of a few MB. A home adds up its
+words, its followed words and its bigrams, each known by a 64-bit hash, and
+sends every sum to the group its hash belongs to. A group adds up what all homes
+sent and answers each with the counts of the entries it asked for, with which
+the home scores its documents. An entry is sent once by a home however often it
+occurs there, so neither a frequent bigram nor a large table fills one task, and
+nothing that grows with the input is broadcast or sent to the driver.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructField, StructType
 
-from .minhash import words_of
+from .suffix_dedup import _Hasher, _mix
 
-#: Entries counted in a task before they are passed on.
-COUNTED = 1_000_000
-#: Start of a document, and a word outside the vocabulary.
-START, OTHER = -1, 0
+#: Bytes of text of a home, and of a group's share of the counts; bytes of text hashed at once.
+HOME, PART = 8 << 20, 1 << 19
+#: Hashes that stand for the start of a document and for words outside the vocabulary.
+START, OTHER = 1, 0
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+_ASK = "home long, group long, size long, key binary, n binary, m binary"
+_ANSWER = "home long, group long, size long, n binary, m binary, totals binary"
 
 
-def _counted(background: DataFrame, target: DataFrame, text: str, key, kind: str) -> DataFrame:
-    """(item, n, n_target): occurrences in each of the two of what ``key`` makes of a text's words.
+def _coded(x) -> bytes:
+    """An array byte plane by byte plane, compressed: small numbers take little room."""
+    import numpy as np
 
-    Each task adds up before it passes on.
-    """
+    return pa.Codec("zstd", 1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes(), asbytes=True)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = {False: Counter(), True: Counter()}
 
-        def out() -> Iterator[pa.RecordBatch]:
-            for side, found in counts.items():
-                n, none = pa.array(list(found.values()), pa.int64()), pa.array([0] * len(found), pa.int64())
-                items = pa.array(list(found), pa.string() if kind == "string" else pa.int64())
-                yield pa.RecordBatch.from_arrays([items, none, n] if side else [items, n, none], names=["item", "n", "n_target"])
-                found.clear()
+def _decoded(blob: bytes, size: int, kind: str):
+    import numpy as np
 
-        for batch in batches:
-            for value, side in zip(batch.column("text"), batch.column("target").to_pylist()):
-                counts[side].update(key(words_of(value.as_py())))
-                if len(counts[side]) >= COUNTED:
-                    yield from out()
-        yield from out()
+    width = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.Codec("zstd").decompress(blob, size * width, asbytes=True), np.uint8).reshape(width, size)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+def _words(texts: list[bytes]):
+    """Hashes of the words of ``texts``, A-Z lower-cased, and the number of the text of each."""
+    import numpy as np
 
-    rows = background.select(F.col(text).alias("text"), F.lit(False).alias("target")).unionByName(target.select(F.col(text).alias("text"), F.lit(True).alias("target")))
-    return rows.mapInArrow(count, f"item {kind}, n long, n_target long").groupBy("item").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
+    space, lower = np.zeros(256, bool), np.arange(256, dtype=np.uint8)
+    space[[0x20, *range(0x09, 0x0E)]] = True
+    lower[65:91] += 32
+    laid = b" ".join(texts)
+    begin = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
+    hashes, places = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    at = 0
+    while at < len(laid):
+        # A part ends at white space.
+        cut = _SPACE.search(laid, min(at + PART, len(laid)))
+        stop = cut.start() if cut else len(laid)
+        raw = lower[np.frombuffer(laid, np.uint8, stop - at, at)]
+        edge = np.diff((~space[raw]).astype(np.int8), prepend=0, append=0)
+        first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        hashes.append(_Hasher(raw).of(first, last))
+        places.append(first + at)
+        at = stop + 1
+    return np.concatenate(hashes), np.searchsorted(begin, np.concatenate(places), side="right") - 1
+
+
+class _Entries:
+    """What a home counts and asks for: its words, its followed words and its bigrams, in the order of their keys. Groups are ranges of keys."""
+
+    def __init__(self, texts: list[bytes], groups: int, vocabulary):
+        import numpy as np
 
+        words, self.text = _words(texts)
+        if vocabulary is not None:
+            at = np.minimum(np.searchsorted(vocabulary, words), max(0, len(vocabulary) - 1))
+            words = np.where(vocabulary[at] == words, words, np.uint64(OTHER)) if len(vocabulary) else np.zeros(len(words), np.uint64)
+        self.words, word = np.unique(words, return_inverse=True)
+        k = len(self.words)
+        before = np.full(len(word), k)
+        before[1:] = np.where(self.text[1:] == self.text[:-1], word[:-1], k)
+        pairs, self.pair = np.unique(before * (k + 1) + word, return_inverse=True)
+        self.before, self.word = pairs // (k + 1), pairs % (k + 1)
+        v = np.append(self.words, np.uint64(START))
+        follow, pair = _mix(v ^ np.uint64(0x5851F42D4C957F2D)), _mix(_mix(v[self.before] + np.uint64(0x9E3779B97F4A7C15)) * np.uint64(3) + v[self.word])
+        # Words have odd keys, the others even ones.
+        key = np.concatenate([self.words | np.uint64(1), follow & ~np.uint64(1), pair & ~np.uint64(1)])
+        self.order = np.argsort(key)
+        self.key = key[self.order]
+        group = ((self.key >> np.uint64(32)) * np.uint64(groups) >> np.uint64(32)).astype(np.int64)
+        self.cuts = np.searchsorted(group, np.arange(groups + 1))
+        self.all_words, self.all_before = word, before
+
+    def counts(self, of_text):
+        """Occurrences of the entries in the texts that ``of_text`` says."""
+        import numpy as np
 
-def _decoded(words: list[bytes]) -> list[str]:
-    return [w.decode() for w in words]
+        taken, k = of_text[self.text], len(self.words)
+        parts = ((self.all_words, k), (self.all_before, k + 1), (self.pair, len(self.before)))
+        return np.concatenate([np.bincount(x[taken], minlength=n)[:n] for x, n in parts])[self.order].astype("<u4")
 
+    def split(self, answered):
+        """Of a value for each entry: those of the bigrams, of the words they begin with, and of the words they end with."""
+        import numpy as np
 
-def fit(background: DataFrame, target: DataFrame, text: str = "text", least_share: float = 2e-6, weight: float = 0.75) -> dict:
-    """The two models, as one small object.
+        value, k = np.empty(len(answered), answered.dtype), len(self.words)
+        value[self.order] = answered
+        return value[2 * k + 1 :], value[k : 2 * k + 1][self.before], value[:k][self.word]
 
-    Counts are of all rows. The vocabulary is the words that make up at least
-    ``least_share`` of the background's words, and bigrams counted by themselves
-    make up at least that share of them too, so that there are at most
-    1 / least_share of either however large the corpus is: the bound of what is
-    broadcast. p(w | v) = weight * c(v, w) / c(v) + (1 - weight) * (c(w) + 1) /
-    (N + V), with c(v, w) = 0 for other bigrams; v may be the start of a
-    document, and words outside the vocabulary are one word.
+
+def fit(background: DataFrame, target: DataFrame, text: str = "text", least_share: float = 0.0, weight: float = 0.75) -> dict:
+    """The two models: what they are counted from. ``score`` counts them along with the documents.
+
+    Counts are of all rows and all words. The vocabulary is the words of the
+    background. p(w | v) = weight * c(v, w) / c(v) + (1 - weight) *
+    (c(w) + 1) / (N + V), with c(v, w) = 0 for bigrams that the background lacks;
+    v may be the start of a document, and words outside the vocabulary are one
+    word. With a ``least_share`` above 0, words and bigrams that make up less
+    than that share of the background's words count as lacking; the vocabulary,
+    1 / least_share words at most, is then broadcast.
     """
+    return {"background": background, "target": target, "text": text, "least_share": least_share, "weight": weight}
+
+
+def _vocabulary(background: DataFrame, text: str, least_share: float):
+    """Sorted hashes of the words that make up at least ``least_share`` of all."""
     import numpy as np
 
-    words = _counted(background, target, text, _decoded, "string").persist()
-    total = words.agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target")).first()
-    n, n_target = total.n or 0, total.n_target or 0
-    rows = words.filter(F.col("n") >= least_share * n).orderBy("item").collect()
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, n = np.unique(_words([(x or "").encode() for x in batch.column(0).to_pylist()])[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n, pa.int64())], names=["word", "n"])
+
+    words = background.select(text).mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).persist()
+    total = words.agg(F.sum("n")).first()[0] or 0
+    found = np.array([r.word for r in words.filter(F.col("n") >= least_share * total).collect()], np.int64).view(np.uint64)
     words.unpersist()
-    number = {r.item.encode(): i + 1 for i, r in enumerate(rows)}
-    spoken = np.array([0] + [r.n for r in rows], float)
-    spoken_target = np.array([0] + [r.n_target for r in rows], float)
-    spoken[OTHER], spoken_target[OTHER] = n - spoken.sum(), n_target - spoken_target.sum()
-    shared = background.sparkSession.sparkContext.broadcast(number)
-
-    def pairs(words: list[bytes]) -> list[int]:
-        ids = [START, *map(shared.value.get, words, [OTHER] * len(words))]
-        return [(a + 1) << 32 | b for a, b in zip(ids, ids[1:])]
-
-    both = _counted(background, target, text, pairs, "long").persist()
-    # c(v): how often something follows v.
-    before = both.groupBy(F.shiftright("item", 32).alias("v")).agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target")).collect()
-    common = both.filter(F.col("n") >= least_share * n).orderBy("item").collect()
-    both.unpersist()
-    follows, follows_target = np.zeros(len(rows) + 2), np.zeros(len(rows) + 2)
-    for r in before:
-        follows[r.v], follows_target[r.v] = r.n, r.n_target
-    keys = np.array([r.item for r in common], np.int64)
-    return {
-        "number": shared,
-        "weight": weight,
-        "keys": keys,
-        "pairs": np.array([[r.n for r in common], [r.n_target for r in common]], float).reshape(2, -1),
-        "follows": np.array([follows, follows_target]),
-        "unigrams": np.array([(spoken + 1) / (n + len(spoken)), (spoken_target + 1) / (n_target + len(spoken))]),
-    }
-
-
-def score(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
-    """``docs`` with n_tokens, loss_background, loss_target and score, the last three per token.
+    return np.sort(found)
+
+
+def _dealt(df: DataFrame, text: str, others, background: bool, target: bool) -> DataFrame:
+    """(others, raw, background, target, spread): spread is a hash of all columns, so that copies of a text are dealt apart."""
+    plain = [f.name for f in df.schema if not isinstance(f.dataType, (ArrayType, MapType, StructType))]
+    return df.select(others.alias("others"), F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8").alias("raw"), F.lit(background).alias("background"), F.lit(target).alias("target"), F.xxhash64(*plain).alias("spread"))
+
+
+def score(docs: DataFrame, model: dict, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """``docs``, or its columns ``keep``, with n_tokens, loss_background, loss_target and score, the last three per token.
 
     score = loss_target - loss_background; null for documents without words
     (null, empty, white space), with n_tokens 0. Columns of these names are
-    replaced; repeated rows are scored alike.
+    replaced; repeated rows are scored alike. Where ``docs`` is the background
+    itself, its texts are read once for both.
     """
-    names = ("n_tokens", "loss_background", "loss_target", "score")
-    keep = [c for c in docs.columns if c not in names]
-    number, weight = model["number"], model["weight"]
-    rest = docs.sparkSession.sparkContext.broadcast({k: model[k] for k in ("keys", "pairs", "follows", "unigrams")})
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
+    import numpy as np
 
-        known, m = number.value, rest.value
-        for batch in batches:
-            out = []
-            for value in batch.column(text):
-                words = words_of(value.as_py())
-                if not words:
-                    out.append((0, None, None, None))
-                    continue
-                ids = np.fromiter(map(known.get, words, [OTHER] * len(words)), np.int64, len(words))
-                last = np.concatenate([[0], ids[:-1] + 1])
-                key = last << 32 | ids
-                at = np.minimum(np.searchsorted(m["keys"], key), max(0, len(m["keys"]) - 1))
-                found = m["keys"][at] == key if len(m["keys"]) else np.zeros(len(key), bool)
-                losses = []
-                for side in range(2):
-                    seen = m["follows"][side][last]
-                    together = np.where(found, m["pairs"][side][at] if len(m["keys"]) else 0.0, 0.0)
-                    p = weight * np.divide(together, seen, out=np.zeros(len(ids)), where=seen > 0) + (1 - weight) * m["unigrams"][side][ids]
-                    losses.append(float(-np.log(p).mean()))
-                out.append((len(words), losses[0], losses[1], losses[1] - losses[0]))
-            columns = list(zip(*out)) or [[]] * 4
-            kinds = (pa.int64(), pa.float64(), pa.float64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(c, k) for c, k in zip(columns, kinds)], names=[*keep, *names])
-
-    schema = docs.select(*keep).schema
+    names = ("n_tokens", "loss_background", "loss_target", "score")
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in names]
+    background, target, weight, share = model["background"], model["target"], model["weight"], model["least_share"]
+    same = docs is background and text == model["text"]
+    kind = docs.select(*keep).schema
+    none = F.lit(None).cast(kind)
+    rows = _dealt(docs, text, F.struct(*keep), same, False).unionByName(_dealt(target, model["text"], none, False, True))
+    if not same:
+        rows = rows.unionByName(_dealt(background, model["text"], none, True, False))
+    groups = max(1, -(-(rows.agg(F.sum(F.length("raw"))).first()[0] or 0) // HOME))
+    known = docs.sparkSession.sparkContext.broadcast(_vocabulary(background, model["text"], share)) if share > 0 else None
+    rows = rows.withColumn("home", F.pmod("spread", F.lit(groups))).drop("spread")
+
+    def entries(texts: pa.Table) -> _Entries:
+        return _Entries(texts.column("raw").to_pylist(), groups, known and known.value)
+
+    def ask(texts: pa.Table) -> pa.Table:
+        e = entries(texts)
+        n, m = (e.counts(texts.column(side).to_numpy()) for side in ("background", "target"))
+        # Every group is asked, as each one's totals are needed. Keys are sent as differences.
+        parts = [slice(s, t) for s, t in zip(e.cuts.tolist(), e.cuts[1:].tolist())]
+        key = [_coded(np.diff(e.key[x], prepend=np.uint64(0))) for x in parts]
+        home = texts.column("home")[0].as_py()
+        columns = {"home": pa.array([home] * groups, pa.int64()), "group": pa.array(range(groups), pa.int64()), "size": pa.array(np.diff(e.cuts), pa.int64())}
+        return pa.table(columns | {c: pa.array(x, pa.binary()) for c, x in zip(("key", "n", "m"), (key, *([_coded(y[x]) for x in parts] for y in (n, m))))})
+
+    def answer(asked: pa.Table) -> pa.Table:
+        sizes = asked.column("size").to_pylist()
+        keys = [np.cumsum(_decoded(b, s, "<u8"), dtype=np.uint64) for b, s in zip(asked.column("key").to_pylist(), sizes)]
+        key, at = np.unique(np.concatenate(keys), return_inverse=True)
+        n, m = (np.zeros(len(key), np.int64) for _ in range(2))
+        for c, total in (("n", n), ("m", m)):
+            np.add.at(total, at, np.concatenate([_decoded(b, s, "<u4") for b, s in zip(asked.column(c).to_pylist(), sizes)]).astype(np.int64))
+        word = (key & np.uint64(1)) > 0
+        inside = word & (n > 0) & (key != np.uint64(OTHER | 1))
+        totals = np.array([n[word].sum(), m[word].sum(), n[inside].sum(), m[inside].sum(), inside.sum()], "<i8").tobytes()
+        cuts = np.cumsum([0, *sizes])
+        back = [pa.array([_coded(total[at[s:e]]) for s, e in zip(cuts, cuts[1:])], pa.binary()) for total in (n, m)]
+        return pa.table({c: asked.column(c) for c in ("home", "group", "size")} | {"n": back[0], "m": back[1], "totals": pa.array([totals] * len(sizes), pa.binary())})
+
+    def judge(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        e = entries(texts)
+        answers = answers.sort_by("group")
+        all_n, all_m, inside_n, inside_m, size = np.frombuffer(b"".join(answers.column("totals").to_pylist()), "<i8").reshape(-1, 5).sum(axis=0).tolist()
+        counts = [e.split(np.concatenate([_decoded(b, s, "<i8") for b, s in zip(answers.column(c).to_pylist(), answers.column("size").to_pylist())])) for c in ("n", "m")]
+        found = (counts[0][0] > 0) & (counts[0][0] >= share * all_n)
+        inside = (counts[0][2] > 0) & (e.words[e.word] != np.uint64(OTHER))
+        n_tokens = np.bincount(e.text, minlength=texts.num_rows)
+        losses = []
+        for (together, seen, alone), total, other in zip(counts, (all_n, all_m), (all_n - inside_n, all_m - inside_m)):
+            p = weight * np.divide(np.where(found, together, 0), seen, out=np.zeros(len(seen)), where=seen > 0) + (1 - weight) * (np.where(inside, alone, other) + 1) / (total + size + 1)
+            losses.append(np.bincount(e.text, -np.log(p)[e.pair], texts.num_rows) / np.maximum(n_tokens, 1))
+        mine = texts.column("others").is_valid()
+        columns = [pa.array(n_tokens, pa.int64()), *(pa.array(x, pa.float64(), mask=n_tokens == 0) for x in (*losses, losses[1] - losses[0]))]
+        return pa.table({"others": texts.column("others")} | dict(zip(names, columns))).filter(mine)
+
+    schema = StructType([StructField("others", kind)])
     for name in names:
         schema = schema.add(name, "long" if name == "n_tokens" else "double")
-    return docs.select(*keep).mapInArrow(judge, schema)
+    texts = rows.groupBy("home")
+    answers = texts.applyInArrow(ask, _ASK).groupBy("group").applyInArrow(answer, _ANSWER)
+    return texts.cogroup(answers.groupBy("home")).applyInArrow(judge, schema).select("others.*", *names)

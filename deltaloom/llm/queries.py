@@ -31,7 +31,7 @@ def op1_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's loss as conversation less its loss as a document, per token."""
     docs, target = table(spark, sf_dir, "documents"), table(spark, sf_dir, "conversations")
-    scored = lm_score.score(docs.select("doc_id", "text"), lm_score.fit(docs, target))
+    scored = lm_score.score(docs, lm_score.fit(docs, target), keep=["doc_id"])
     return scored.select("doc_id", "n_tokens", *(F.round(c, 9).alias(c) for c in ("loss_background", "loss_target", "score")))
 
 

@@ -267,6 +267,22 @@ def test_scores_equal_the_plain_version(spark):
     assert lm_score.score(docs.limit(0), empty).count() == 0
 
 
+def test_rare_words_and_bigrams_count_however_large_the_background_is(spark):
+    # 600,000 words: a share of 2e-6 of them is more than one occurrence.
+    texts = ["rare pair"] + [" ".join(f"w{i % 7}" for i in range(k, k + 6000)) for k in range(100)]
+    target = ["rare pair", "w1 pair"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    aims = spark.createDataFrame([(t,) for t in target], "text string")
+    got = lm_score.score(docs, lm_score.fit(docs, aims)).filter("doc_id = 0").first()
+    n, size, m = 600_002, 10, 4  # words, vocabulary with the one word for all others, words of the target
+    back = [0.75 * 1 / 101 + 0.25 * 2 / (n + size), 0.75 * 1 / 1 + 0.25 * 2 / (n + size)]
+    front = [0.75 * 1 / 2 + 0.25 * 2 / (m + size), 0.75 * 1 / 1 + 0.25 * 3 / (m + size)]
+    assert math.isclose(got.loss_background, -sum(map(math.log, back)) / 2, rel_tol=1e-9)
+    assert math.isclose(got.loss_target, -sum(map(math.log, front)) / 2, rel_tol=1e-9)
+    other = docs.select("*")  # not the background's own table: read and counted apart
+    assert sorted(lm_score.score(other, lm_score.fit(docs, aims)).collect()) == sorted(lm_score.score(docs, lm_score.fit(docs, aims)).collect())
+
+
 # --- pipeline
 
 
