@@ -15,6 +15,11 @@ which builds their suffix array by two-stage sorting: only suffixes smaller
 than their successors are sorted directly, the others are induced by scans of
 the buckets. Windows whose adjacent common prefix is at least ``length`` are
 equal, and all but the first of them are repeats.
+
+*Frequent anchors.* A string that very many documents have between differing
+neighbours is the anchor of a passage in each of them. The windows of such
+anchors are dealt one by one by a 64-bit hash of their bytes, each home of
+documents passing on the first of equal ones.
 """
 
 from __future__ import annotations
@@ -32,6 +37,8 @@ from .common import dropped, stored
 GRAM, CHUNK, PART = 32, 4 << 20, 1 << 19
 #: Bytes of text for each group that passages, or documents, are dealt to.
 GROUP_BYTES = 4 << 20
+#: An anchor of more passages than these is frequent.
+FREQUENT = 1 << 14
 _ODD = 0x9E3779B97F4A7C15
 _LAST = 2**63 - 1
 
@@ -356,6 +363,24 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         rows += [(1, g, b) for g, b in _pack({k: first[k] for k in ("doc", "tie", "start", "windows", "anchor")}, first["home"].astype(np.int64))]
         return pa.Table.from_batches([_blobs(rows, _FIELDS)])
 
+    def count_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob in batch.column("anchor").to_pylist():
+                anchor, n = np.unique(np.frombuffer(blob, "<i8"), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(n, pa.int64())], names=["anchor", "n"])
+
+    def part_frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Passages of frequent anchors go to the homes of their documents at once (kind 4), the others stay."""
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                run = _unpacked(pa.Table.from_batches([row]), *_FIELDS[:-1])
+                often = np.isin(run["anchor"], frequent.value)
+                rows = [(4, g, b) for g, b in _pack({k: run[k][often] for k in ("doc", "tie", "start", "windows", "anchor")}, run["home"][often].astype(np.int64))]
+                if not often.all():
+                    rows.append((1, row.column("group")[0].as_py(), {k: v[~often] for k, v in run.items()}))
+                yield _blobs(rows, _FIELDS)
+
     def fetch(texts: pa.Table, asked: pa.Table) -> pa.Table:
         run = _unpacked(asked, "doc", "tie", "start", "windows", "anchor")
         if not len(run["doc"]):
@@ -363,13 +388,17 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         at = {(d, t): i for i, (d, t) in enumerate(zip(texts.column("doc").to_pylist(), texts.column("tie").to_pylist()))}
         rows = []
         whole = texts.column("raw").to_pylist()
+        home = texts.column("group")[0].as_py()
+        often = np.isin(run["anchor"], frequent.value)
+        if often.any():
+            rows += windows_of({k: v[often] for k, v in run.items()}, whole, at, home)
+            run = {k: v[~often] for k, v in run.items()}
         by = np.lexsort((run["start"], run["tie"], run["doc"]))
         run = {k: v[by] for k, v in run.items()}
         pieces = [whole[at[d, t]][s : s + n + length - 1] for d, t, s, n in zip(*(run[k].tolist() for k in ("doc", "tie", "start", "windows")))]
         raw = np.frombuffer(b"".join(pieces), np.uint8)
         size = run["windows"].astype(np.int64) + length - 1
         to = (run["anchor"] % np.uint64(groups)).astype(np.int64)
-        home = texts.column("group")[0].as_py()
         for g, blob in _pack({k: run[k] for k in ("doc", "tie", "start", "windows")} | {"size": size, "place": np.cumsum(size) - size}, to):
             size_, place = blob.pop("size"), blob.pop("place")
             take = np.repeat(place - (np.cumsum(size_) - size_), size_) + np.arange(size_.sum())
@@ -378,7 +407,34 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             rows.append((2, g, blob))
         return pa.Table.from_batches([_blobs(rows, _FIELDS)])
 
+    def windows_of(run: dict, whole: list, at: dict, home: int) -> list:
+        """Rows of the windows of frequent anchors: repeats within the home, and the others by the group of their hash."""
+        by = np.argsort(run["doc"], kind="stable")  # a part of the passages at a time is hashed
+        out = []
+        for some in np.array_split(by, max(1, len(by) >> 12)):
+            part = {k: v[some] for k, v in run.items()}
+            n = part["windows"].astype(np.int64)
+            pieces = [whole[at[d, t]][s : s + c + length - 1] for d, t, s, c in zip(*(part[k].tolist() for k in ("doc", "tie", "start", "windows")))]
+            owner = np.repeat(np.arange(len(n)), n)
+            place = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+            first = (np.cumsum(n + length - 1) - (n + length - 1))[owner] + place
+            name = _Hasher(np.frombuffer(b"".join(pieces), np.uint8)).of(first, first + length)
+            out.append({"doc": part["doc"][owner], "tie": part["tie"][owner], "start": (part["start"][owner] + place).astype("<u4"), "passage": name})
+        out = {k: np.concatenate([x[k] for x in out]) for k in out[0]}
+        out["home"] = np.full(len(out["doc"]), home, "<u8")
+        repeat, out = _equal(out)
+        rows = [(0, home, _single({k: v[repeat] for k, v in out.items()}))] if repeat.any() else []
+        return rows + [(3, g, b) for g, b in _pack({k: v[~repeat] for k, v in out.items()}, (out["passage"][~repeat] % np.uint64(groups)).astype(np.int64))]
+
     def sort_suffixes(blobs: pa.Table) -> pa.Table:
+        kind = blobs.column("kind").to_numpy()
+        done = blobs.filter(pa.array(kind == 0))
+        repeat, one = _equal(_unpacked(blobs.filter(pa.array(kind == 3)), "doc", "tie", "start", "passage", "home"))
+        one = {k: v[repeat] for k, v in one.items()}
+        done = pa.concat_tables([done, pa.Table.from_batches([_blobs([(0, g, b) for g, b in _pack(_single(one), one["home"].astype(np.int64))], _FIELDS)]).cast(done.schema)])
+        blobs = blobs.filter(pa.array(kind == 2))
+        if not blobs.num_rows:
+            return done
         run = _unpacked(blobs, "doc", "tie", "start", "windows", "home", "raw")
         n = run["windows"].astype(np.int64)
         name = equal_windows(run["raw"], n + length - 1, n, length)
@@ -397,7 +453,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         at = np.flatnonzero(begin)
         count = np.bincount(np.cumsum(begin)[repeat] - 1, minlength=len(at)) if len(at) else at
         rows = [(0, g, b) for g, b in _pack({"doc": doc[at], "tie": run["tie"][owner[at]], "start": start[at].astype("<u4"), "windows": count.astype("<u4")}, run["home"][owner[at]].astype(np.int64))]
-        return pa.Table.from_batches([_blobs(rows, _FIELDS)])
+        return pa.concat_tables([done, pa.Table.from_batches([_blobs(rows, _FIELDS)]).cast(done.schema)])
 
     def remove(texts: pa.Table, repeats: pa.Table) -> pa.Table:
         run = _unpacked(repeats, "doc", "tie", "start", "windows")
@@ -424,8 +480,18 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         return pa.table({"others": texts.column("others"), "n_bytes": pa.array([len(x) for x in texts.column("raw").to_pylist()], pa.int64()), "kept": pa.array(kept, pa.binary()), "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])))})
 
     dealt = stored(source.select("doc", "tie", "group", "raw").mapInArrow(cut, _BLOB), "passages")
-    joined = dealt.filter("kind = 1").groupBy("group").applyInArrow(join_passages, _BLOB)
+    # Only groups with many passages can hold a frequent anchor.
+    full = [r.group for r in dealt.filter("kind = 1").groupBy("group").agg(F.sum(F.length("anchor")).alias("n")).filter(F.col("n") > 8 * FREQUENT).collect()]
+    found = dealt.filter("kind = 1").join(F.broadcast(docs.sparkSession.createDataFrame([(g,) for g in full], "group long")), "group").select("anchor").mapInArrow(count_anchors, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).filter(F.col("n") > FREQUENT) if full else None
+    frequent = docs.sparkSession.sparkContext.broadcast(np.array([r.anchor for r in found.collect()] if full else [], np.int64).view(np.uint64))
+    joined = dealt.filter("kind = 1")
+    if len(frequent.value):
+        parted = stored(joined.mapInArrow(part_frequent, _BLOB), "parted")
+        joined = parted.filter("kind = 1").groupBy("group").applyInArrow(join_passages, _BLOB).unionByName(parted.filter("kind = 4").withColumn("kind", F.lit(1)))
+    else:
+        joined, parted = joined.groupBy("group").applyInArrow(join_passages, _BLOB), None
     joined = stored(joined.unionByName(dealt.filter("kind = 0")), "classes")
+    dropped(parted)
     dropped(dealt)
     texts = source.groupBy("group")
     asked = joined.filter("kind = 1").groupBy("group")
@@ -452,3 +518,19 @@ def _repeats(run: dict):
     later = _later(run)
     head = np.maximum.accumulate(np.where(later, 0, np.arange(len(later)))) if len(later) else np.zeros(0, np.int64)
     return later & ((run["doc"] != run["doc"][head]) | (run["start"] != run["start"][head]))
+
+
+def _equal(windows: dict):
+    """Windows in the order of their hash and place, and which of them are repeats of an earlier one."""
+    import numpy as np
+
+    by = np.lexsort((windows["start"], windows["doc"], windows["passage"]))
+    windows = {k: v[by] for k, v in windows.items()}
+    return _repeats(windows | {"anchor": np.zeros(len(by), np.uint64)}), windows
+
+
+def _single(windows: dict) -> dict:
+    """Runs of one window each."""
+    import numpy as np
+
+    return {k: windows[k] for k in ("doc", "tie", "start")} | {"windows": np.ones(len(windows["doc"]), "<u4")}

@@ -158,6 +158,24 @@ def test_repeated_strings_over_many_groups_and_chunks(spark, monkeypatch):
     assert rows(removed(spark, data)) == brute.repeats(data)
 
 
+def test_a_line_of_very_many_documents_fills_no_group(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "GROUP_BYTES", 1500)
+    monkeypatch.setattr(suffix_dedup, "FREQUENT", 8, raising=False)
+    plain = suffix_dedup.equal_windows
+
+    def bounded(raw, *rest):
+        assert len(raw) < 6000
+        return plain(raw, *rest)
+
+    monkeypatch.setattr(suffix_dedup, "equal_windows", bounded)
+    r = random.Random(9)
+    some = lambda n: "".join(r.choice("abcdefghijklmnop é") for _ in range(n))
+    line, tails = some(60), [some(50) for _ in range(5)]
+    data = [(i, some(120) + line + r.choice([*tails, some(50)]) + some(60)) for i in r.sample(range(10**6), 200)]
+    data += [(10**6 + i, text) for i, (_, text) in enumerate(some_texts(7))]
+    assert rows(removed(spark, data)) == brute.repeats(data)
+
+
 def test_repeated_strings_edges(spark):
     assert rows(removed(spark, [])) == set()
     text = "0123456789" * 3 + "abcdefghijklmnopqrstuvwxyz" * 5
