@@ -1,9 +1,9 @@
 """Cross-entropy difference of a target and a background bigram model.
 
-Both models are of one order, one smoothing and one vocabulary: the words of
-the background, by choice only those that make up at least a given share of
-it. A document's score is the mean, over its tokens, of the target model's loss
-less the background model's; the lower, the more like the target.
+Both models are of one order, one smoothing and one vocabulary: all words of
+the background and of the target. A document's score is the mean, over its
+tokens, of the target model's loss less the background model's; the lower, the
+more like the target.
 
 *Counting.* Texts are dealt by hash to homes of a few MB. A home adds up its
 words, its followed words and its bigrams, each known by a 64-bit hash, and
@@ -11,7 +11,9 @@ sends every sum to the group its hash belongs to. A group adds up what all homes
 sent and answers each with the counts of the entries it asked for, with which
 the home scores its documents. An entry is sent once by a home however often it
 occurs there, so neither a frequent bigram nor a large table fills one task, and
-nothing that grows with the input is broadcast or sent to the driver.
+nothing that grows with the input is broadcast or sent to the driver. Only a
+home's groups that hold one of its entries are asked; the sizes of the models
+(words of each side and of the vocabulary) are counted before.
 """
 
 from __future__ import annotations
@@ -24,15 +26,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructField, StructType
 
+from .common import freed, lean, slices, spread
 from .suffix_dedup import _Hasher, _mix
 
 #: Bytes of text of a home, and of a group's share of the counts; bytes of text hashed at once.
 HOME, PART = 8 << 20, 1 << 19
-#: Hashes that stand for the start of a document and for words outside the vocabulary.
-START, OTHER = 1, 0
+#: The hash that stands for the start of a document.
+START = 1
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _ASK = "home long, group long, size long, key binary, n binary, m binary"
-_ANSWER = "home long, group long, size long, n binary, m binary, totals binary"
+_ANSWER = "home long, group long, size long, n binary, m binary"
 
 
 def _coded(x) -> bytes:
@@ -77,13 +80,10 @@ def _words(texts: list[bytes]):
 class _Entries:
     """What a home counts and asks for: its words, its followed words and its bigrams, in the order of their keys. Groups are ranges of keys."""
 
-    def __init__(self, texts: list[bytes], groups: int, vocabulary):
+    def __init__(self, texts: list[bytes], groups: int):
         import numpy as np
 
         words, self.text = _words(texts)
-        if vocabulary is not None:
-            at = np.minimum(np.searchsorted(vocabulary, words), max(0, len(vocabulary) - 1))
-            words = np.where(vocabulary[at] == words, words, np.uint64(OTHER)) if len(vocabulary) else np.zeros(len(words), np.uint64)
         self.words, word = np.unique(words, return_inverse=True)
         k = len(self.words)
         before = np.full(len(word), k)
@@ -117,34 +117,34 @@ class _Entries:
         return value[2 * k + 1 :], value[k : 2 * k + 1][self.before], value[:k][self.word]
 
 
-def fit(background: DataFrame, target: DataFrame, text: str = "text", least_share: float = 0.0, weight: float = 0.75) -> dict:
+def fit(background: DataFrame, target: DataFrame, text: str = "text", weight: float = 0.75) -> dict:
     """The two models: what they are counted from. ``score`` counts them along with the documents.
 
-    Counts are of all rows and all words. The vocabulary is the words of the
-    background. p(w | v) = weight * c(v, w) / c(v) + (1 - weight) *
-    (c(w) + 1) / (N + V), with c(v, w) = 0 for bigrams that the background lacks;
-    v may be the start of a document, and words outside the vocabulary are one
-    word. With a ``least_share`` above 0, words and bigrams that make up less
-    than that share of the background's words count as lacking; the vocabulary,
-    1 / least_share words at most, is then broadcast.
+    Counts are of all rows and all words. The vocabulary is the words that
+    occur in the background or in the target, and one more for all others.
+    p(w | v) = weight * c(v, w) / c(v) + (1 - weight) * (c(w) + 1) / (N + V),
+    with each model's own counts; v may be the start of a document. A bigram or
+    word that one side lacks keeps its count of the other.
     """
-    return {"background": background, "target": target, "text": text, "least_share": least_share, "weight": weight}
+    return {"background": background, "target": target, "text": text, "weight": weight}
 
 
-def _vocabulary(background: DataFrame, text: str, least_share: float):
-    """Sorted hashes of the words that make up at least ``least_share`` of all."""
-    import numpy as np
+def _sizes(rows: DataFrame) -> tuple[int, int, int]:
+    """Words of the background and of the target, and distinct words of both."""
 
+    @lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words, n = np.unique(_words([(x or "").encode() for x in batch.column(0).to_pylist()])[0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n, pa.int64())], names=["word", "n"])
+        import numpy as np
+
+        for batch in (some for batch in batches for some in slices(batch, "raw", HOME)):
+            words, text = _words(batch.column("raw").to_pylist())
+            words, at = np.unique(words, return_inverse=True)
+            sums = [np.bincount(at[batch.column(side).to_numpy(zero_copy_only=False)[text]], minlength=len(words)) for side in ("background", "target")]
+            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), *(pa.array(x, pa.int64()) for x in sums)], names=["word", "n", "m"])
 
-    words = background.select(text).mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).persist()
-    total = words.agg(F.sum("n")).first()[0] or 0
-    found = np.array([r.word for r in words.filter(F.col("n") >= least_share * total).collect()], np.int64).view(np.uint64)
-    words.unpersist()
-    return np.sort(found)
+    words = rows.select("raw", "background", "target").mapInArrow(count, "word long, n long, m long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+    total = words.agg(F.sum("n").alias("n"), F.sum("m").alias("m"), F.count_if((F.col("n") > 0) | (F.col("m") > 0)).alias("v")).first()
+    return total.n or 0, total.m or 0, total.v
 
 
 def _dealt(df: DataFrame, text: str, others, background: bool, target: bool) -> DataFrame:
@@ -165,7 +165,7 @@ def score(docs: DataFrame, model: dict, text: str = "text", keep: list[str] | No
 
     names = ("n_tokens", "loss_background", "loss_target", "score")
     keep = [c for c in (docs.columns if keep is None else keep) if c not in names]
-    background, target, weight, share = model["background"], model["target"], model["weight"], model["least_share"]
+    background, target, weight = model["background"], model["target"], model["weight"]
     same = docs is background and text == model["text"]
     kind = docs.select(*keep).schema
     none = F.lit(None).cast(kind)
@@ -173,47 +173,49 @@ def score(docs: DataFrame, model: dict, text: str = "text", keep: list[str] | No
     if not same:
         rows = rows.unionByName(_dealt(background, model["text"], none, True, False))
     groups = max(1, -(-(rows.agg(F.sum(F.length("raw"))).first()[0] or 0) // HOME))
-    known = docs.sparkSession.sparkContext.broadcast(_vocabulary(background, model["text"], share)) if share > 0 else None
+    all_n, all_m, size = _sizes(rows)
     rows = rows.withColumn("home", F.pmod("spread", F.lit(groups))).drop("spread")
 
     def entries(texts: pa.Table) -> _Entries:
-        return _Entries(texts.column("raw").to_pylist(), groups, known and known.value)
+        return _Entries(texts.column("raw").to_pylist(), groups)
 
     def ask(texts: pa.Table) -> pa.Table:
+        freed()
         e = entries(texts)
         n, m = (e.counts(texts.column(side).to_numpy()) for side in ("background", "target"))
-        # Every group is asked, as each one's totals are needed. Keys are sent as differences.
-        parts = [slice(s, t) for s, t in zip(e.cuts.tolist(), e.cuts[1:].tolist())]
+        # Keys are sent as differences.
+        asked = np.flatnonzero(np.diff(e.cuts))
+        parts = [slice(s, t) for s, t in zip(e.cuts[asked].tolist(), e.cuts[asked + 1].tolist())]
         key = [_coded(np.diff(e.key[x], prepend=np.uint64(0))) for x in parts]
         home = texts.column("home")[0].as_py()
-        columns = {"home": pa.array([home] * groups, pa.int64()), "group": pa.array(range(groups), pa.int64()), "size": pa.array(np.diff(e.cuts), pa.int64())}
+        columns = {"home": pa.array([home] * len(asked), pa.int64()), "group": pa.array(asked, pa.int64()), "size": pa.array(np.diff(e.cuts)[asked], pa.int64())}
         return pa.table(columns | {c: pa.array(x, pa.binary()) for c, x in zip(("key", "n", "m"), (key, *([_coded(y[x]) for x in parts] for y in (n, m))))})
 
     def answer(asked: pa.Table) -> pa.Table:
+        freed()
         sizes = asked.column("size").to_pylist()
         keys = [np.cumsum(_decoded(b, s, "<u8"), dtype=np.uint64) for b, s in zip(asked.column("key").to_pylist(), sizes)]
         key, at = np.unique(np.concatenate(keys), return_inverse=True)
-        n, m = (np.zeros(len(key), np.int64) for _ in range(2))
-        for c, total in (("n", n), ("m", m)):
-            np.add.at(total, at, np.concatenate([_decoded(b, s, "<u4") for b, s in zip(asked.column(c).to_pylist(), sizes)]).astype(np.int64))
-        word = (key & np.uint64(1)) > 0
-        inside = word & (n > 0) & (key != np.uint64(OTHER | 1))
-        totals = np.array([n[word].sum(), m[word].sum(), n[inside].sum(), m[inside].sum(), inside.sum()], "<i8").tobytes()
+        del keys
         cuts = np.cumsum([0, *sizes])
-        back = [pa.array([_coded(total[at[s:e]]) for s, e in zip(cuts, cuts[1:])], pa.binary()) for total in (n, m)]
-        return pa.table({c: asked.column(c) for c in ("home", "group", "size")} | {"n": back[0], "m": back[1], "totals": pa.array([totals] * len(sizes), pa.binary())})
+        out = {c: asked.column(c) for c in ("home", "group", "size")}
+        for c in ("n", "m"):
+            total = np.zeros(len(key), np.int64)
+            for b, s, start in zip(asked.column(c).to_pylist(), sizes, cuts.tolist()):
+                total[at[start : start + s]] += _decoded(b, s, "<u4")  # a home names an entry once
+            out[c] = pa.array([_coded(total[at[s:e]]) for s, e in zip(cuts, cuts[1:])], pa.binary())
+        return pa.table(out)
 
     def judge(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        freed()
         e = entries(texts)
         answers = answers.sort_by("group")
-        all_n, all_m, inside_n, inside_m, size = np.frombuffer(b"".join(answers.column("totals").to_pylist()), "<i8").reshape(-1, 5).sum(axis=0).tolist()
-        counts = [e.split(np.concatenate([_decoded(b, s, "<i8") for b, s in zip(answers.column(c).to_pylist(), answers.column("size").to_pylist())])) for c in ("n", "m")]
-        found = (counts[0][0] > 0) & (counts[0][0] >= share * all_n)
-        inside = (counts[0][2] > 0) & (e.words[e.word] != np.uint64(OTHER))
         n_tokens = np.bincount(e.text, minlength=texts.num_rows)
         losses = []
-        for (together, seen, alone), total, other in zip(counts, (all_n, all_m), (all_n - inside_n, all_m - inside_m)):
-            p = weight * np.divide(np.where(found, together, 0), seen, out=np.zeros(len(seen)), where=seen > 0) + (1 - weight) * (np.where(inside, alone, other) + 1) / (total + size + 1)
+        for c, total in (("n", all_n), ("m", all_m)):
+            decoded = [_decoded(b, s, "<i8") for b, s in zip(answers.column(c).to_pylist(), answers.column("size").to_pylist())]
+            together, seen, alone = e.split(np.concatenate(decoded) if decoded else np.zeros(0, np.int64))
+            p = weight * np.divide(together, seen, out=np.zeros(len(seen)), where=seen > 0) + (1 - weight) * (alone + 1) / (total + size + 1)
             losses.append(np.bincount(e.text, -np.log(p)[e.pair], texts.num_rows) / np.maximum(n_tokens, 1))
         mine = texts.column("others").is_valid()
         columns = [pa.array(n_tokens, pa.int64()), *(pa.array(x, pa.float64(), mask=n_tokens == 0) for x in (*losses, losses[1] - losses[0]))]
@@ -222,6 +224,6 @@ def score(docs: DataFrame, model: dict, text: str = "text", keep: list[str] | No
     schema = StructType([StructField("others", kind)])
     for name in names:
         schema = schema.add(name, "long" if name == "n_tokens" else "double")
-    texts = rows.groupBy("home")
-    answers = texts.applyInArrow(ask, _ASK).groupBy("group").applyInArrow(answer, _ANSWER)
-    return texts.cogroup(answers.groupBy("home")).applyInArrow(judge, schema).select("others.*", *names)
+    texts = spread(rows, groups, "home", 4).groupBy("home")
+    answers = spread(spread(rows, groups, "home", 4).groupBy("home").applyInArrow(ask, _ASK), groups, "group", 4).groupBy("group").applyInArrow(answer, _ANSWER)
+    return texts.cogroup(spread(answers, groups, "home", 4).groupBy("home")).applyInArrow(judge, schema).select("others.*", *names)

@@ -137,17 +137,14 @@ t AS (SELECT row_number() OVER () AS r, * FROM w),
 o AS (SELECT r, doc_id, side, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM t),
 c AS (SELECT word, count_if(side = 0) AS n, count_if(side = 1) AS m FROM o GROUP BY word),
 z AS (SELECT sum(n) AS n, sum(m) AS m FROM c),
-v AS (SELECT word, c.n, c.m FROM c, z WHERE c.n >= 2e-6 * z.n),
-u AS (SELECT word, n, m FROM v UNION ALL SELECT '' AS word, z.n - (SELECT sum(n) FROM v), z.m - (SELECT sum(m) FROM v) FROM z),
-k AS (SELECT r, doc_id, side, i, CASE WHEN v.word IS NULL THEN '' ELSE o.word END AS word FROM o LEFT JOIN v ON o.word = v.word),
-b AS (SELECT *, coalesce(lag(word) OVER (PARTITION BY r ORDER BY i), ' ') AS prev FROM k),
+y AS (SELECT count(*) + 1 AS size FROM c),
+b AS (SELECT *, coalesce(lag(word) OVER (PARTITION BY r ORDER BY i), ' ') AS prev FROM o),
 f AS (SELECT prev, count_if(side = 0) AS n, count_if(side = 1) AS m FROM b GROUP BY prev),
 g AS (SELECT prev, word, count_if(side = 0) AS n, count_if(side = 1) AS m FROM b GROUP BY prev, word),
-h AS (SELECT prev, word, g.n, g.m FROM g, z WHERE g.n >= 2e-6 * z.n),
 p AS (SELECT b.r, b.doc_id,
-        0.75e0 * CASE WHEN f.n > 0 THEN coalesce(h.n, 0) / CAST(f.n AS DOUBLE) ELSE 0e0 END + 0.25e0 * ((u.n + 1) / CAST(z.n + (SELECT count(*) FROM u) AS DOUBLE)) AS pb,
-        0.75e0 * CASE WHEN f.m > 0 THEN coalesce(h.m, 0) / CAST(f.m AS DOUBLE) ELSE 0e0 END + 0.25e0 * ((u.m + 1) / CAST(z.m + (SELECT count(*) FROM u) AS DOUBLE)) AS pt
-      FROM b JOIN f ON b.prev = f.prev LEFT JOIN h ON b.prev = h.prev AND b.word = h.word JOIN u ON b.word = u.word, z WHERE b.side = 0),
+        0.75e0 * CASE WHEN f.n > 0 THEN g.n / CAST(f.n AS DOUBLE) ELSE 0e0 END + 0.25e0 * ((c.n + 1) / CAST(z.n + y.size AS DOUBLE)) AS pb,
+        0.75e0 * CASE WHEN f.m > 0 THEN g.m / CAST(f.m AS DOUBLE) ELSE 0e0 END + 0.25e0 * ((c.m + 1) / CAST(z.m + y.size AS DOUBLE)) AS pt
+      FROM b JOIN f ON b.prev = f.prev JOIN g ON b.prev = g.prev AND b.word = g.word JOIN c ON b.word = c.word, z, y WHERE b.side = 0),
 s AS (SELECT r, count(*) AS n, -avg(ln(pb)) AS lb, -avg(ln(pt)) AS lt FROM p GROUP BY r)
 SELECT t.doc_id, coalesce(s.n, 0) AS n_tokens, round(lb, 9) AS loss_background, round(lt, 9) AS loss_target, round(lt - lb, 9) AS score FROM t LEFT JOIN s ON t.r = s.r WHERE side = 0
 """

@@ -220,43 +220,35 @@ def test_rules_run_no_python(spark):
 # --- language-model scores
 
 
-def plain_scores(docs, target, share, weight):
+def plain_scores(docs, target, weight):
     split = lambda rows: [brute.words(t) for t in rows]
     back, front = split(docs), split(target)
-    count = lambda texts: {w: sum(t.count(w) for t in texts) for t in texts for w in t}
-    n, total = count(back), sum(map(len, back))
-    vocabulary = {w for w, c in n.items() if c >= share * total}
-    cut = lambda texts: [[w if w in vocabulary else "" for w in t] for t in texts]
+    size = len({w for t in back + front for w in t}) + 1
 
-    def model(texts, kept):
+    def model(texts):
         uni, follow, pair = {}, {}, {}
-        for t in cut(texts):
+        for t in texts:
             for v, w in zip(["<s>", *t], t):
                 uni[w] = uni.get(w, 0) + 1
                 follow[v] = follow.get(v, 0) + 1
                 pair[v, w] = pair.get((v, w), 0) + 1
         words = sum(map(len, texts))
-        kept = kept if kept is not None else {k for k, c in pair.items() if c >= share * total}
-        loss = lambda v, w: -math.log(weight * (pair.get((v, w), 0) / follow[v] if (v, w) in kept and v in follow else 0) + (1 - weight) * (uni.get(w, 0) + 1) / (words + len(vocabulary) + 1))
-        return loss, kept
+        return lambda v, w: -math.log(weight * (pair.get((v, w), 0) / follow[v] if v in follow else 0) + (1 - weight) * (uni.get(w, 0) + 1) / (words + size))
 
-    lb, kept = model(back, None)
-    lt, _ = model(front, kept)
-    out = []
-    for t in cut(back):
-        steps = list(zip(["<s>", *t], t))
-        out.append((len(t), *((sum(f(*s) for s in steps) / len(t) for f in (lb, lt)) if t else (None, None))))
-    return out
+    models = model(back), model(front)
+    steps = [list(zip(["<s>", *t], t)) for t in back]
+    return [(len(t), *(sum(f(*s) for s in t) / len(t) if t else None for f in models)) for t in steps]
 
 
 def test_scores_equal_the_plain_version(spark):
     r = random.Random(7)
-    texts = [None, "", " "] + [" ".join(r.choice("the The a cat dog sat on mat é x y".split()) for _ in range(r.randrange(1, 60))) for _ in range(40)]
-    target = ["the cat sat on the mat", "a dog sat", None]
+    texts = [None, "", " "] + [" ".join(r.choice("the The a cat dog sat on mat é x y rare".split()) for _ in range(r.randrange(1, 60))) for _ in range(40)]
+    target = ["the cat sat on the mat", "a dog sat", None, "words of the target alone sat on"]
+    texts += ["words of nothing", texts[5], texts[5]]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("score", F.lit("x"))
     aims = spark.createDataFrame([(t,) for t in target], "text string")
-    got = {x.doc_id: x for x in lm_score.score(docs, lm_score.fit(docs, aims, least_share=0.02)).collect()}
-    for i, (n, back, front) in enumerate(plain_scores(texts, target, 0.02, 0.75)):
+    got = {x.doc_id: x for x in lm_score.score(docs, lm_score.fit(docs, aims)).collect()}
+    for i, (n, back, front) in enumerate(plain_scores(texts, target, 0.75)):
         assert got[i].n_tokens == n
         if n:
             assert math.isclose(got[i].loss_background, back, rel_tol=1e-9) and math.isclose(got[i].score, front - back, rel_tol=1e-6, abs_tol=1e-9)
