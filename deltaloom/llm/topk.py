@@ -13,10 +13,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import freed, stored
 
 #: Candidates of one range and queries of one part; a task holds one of each. Candidates of a block.
-RANGE, PART, BLOCK = 4096, 4096, 64
+RANGE, PART, BLOCK = 16384, 4096, 64
 
 
 def is_vector(v: Column) -> Column:
@@ -40,7 +40,7 @@ def matrix(column: pa.ChunkedArray, width: int):
     return out
 
 
-def block_search(queries, query_rows, vectors, vector_rows, vector_ids, k: int):
+def block_search(queries, query_rows, vectors, vector_rows, k: int):
     """(query place, candidate place, score) of each query's k best, ties to the smaller id (arrays sorted by id)."""
     import numpy as np
 
@@ -77,13 +77,19 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_
     in the order of the rows. Vectors null or with a null or non-finite component
     take no part; a shorter vector counts as filled with zeros. Each row is a
     candidate of its own, so repeated rows appear repeatedly, and a query row
-    meets every row but itself. Fewer than k others: all of them.
+    meets every row but itself. Fewer than k others: all of them. Scores are
+    64-bit integers: where the greatest component would let one be 2**63 or
+    more, a ValueError says so and nothing is returned.
 
     Queries are dealt over parts and candidates over ranges of bounded size, and
     each part meets each range in one task, which passes on k rows a query.
     """
-    rows = vectors.filter(is_vector(F.col(vector))).select(F.col(vec_id).alias("vec_id"), F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("v"), F.coalesce(is_query, F.lit(False)).alias("query"))
-    count = rows.agg(F.count("*").alias("rows"), F.count_if("query").alias("queries"), F.max(F.size("v")).alias("width")).first()
+    usable = vectors.filter(is_vector(F.col(vector)))
+    rows = usable.select(F.col(vec_id).alias("vec_id"), F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("v"), F.coalesce(is_query, F.lit(False)).alias("query"))
+    greatest = F.max(F.array_max(F.transform(vector, lambda x: F.abs(x.cast("double") * scale))))
+    count = usable.agg(F.count("*").alias("rows"), F.count_if(F.coalesce(is_query, F.lit(False))).alias("queries"), F.max(F.size(vector)).alias("width"), greatest.alias("greatest")).first()
+    if (count.width or 0) * ((count.greatest or 0.0) + 1) ** 2 >= 2.0**63:
+        raise ValueError(f"scores of components up to {count.greatest / scale:g} do not fit in 64 bits")
     ranges, parts, width = max(1, -(-count.rows // RANGE)), max(1, -(-count.queries // PART)), count.width or 0
     rows = stored(rows.repartitionByRange(ranges, "vec_id").withColumn("range", F.spark_partition_id()).withColumn("row", F.monotonically_increasing_id()), "vectors")
     with_parts = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).select("range", "part", "vec_id", "row", "v")
@@ -93,10 +99,12 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         import numpy as np
 
+        freed()
+
         right = right.sort_by([("vec_id", "ascending"), ("row", "ascending")])
         queries, places, scores = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
         if len(left) and len(right):
-            queries, places, scores = block_search(matrix(left.column("v"), width), left.column("row").to_numpy(), matrix(right.column("v"), width), right.column("row").to_numpy(), None, k)
+            queries, places, scores = block_search(matrix(left.column("v"), width), left.column("row").to_numpy(), matrix(right.column("v"), width), right.column("row").to_numpy(), k)
         asked_at, got_at = left.take(pa.array(queries)), right.take(pa.array(places))
         return pa.table({"query": asked_at.column("row"), "query_id": asked_at.column("vec_id"), "vec_id": got_at.column("vec_id"), "row": got_at.column("row"), "score": pa.array(scores)})
 
