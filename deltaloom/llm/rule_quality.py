@@ -65,29 +65,31 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumn("statistics", F.struct(*(c.alias(n) for n, c in statistics(F.col(text)).items())))
 
 
-def fit(labelled: DataFrame, label: str = "quality", trees: int = 10, depth: int = 3, penalty: float = 0.002, seed: int = 1, most_parts: int = 8) -> dict:
+def fit(labelled: DataFrame, label: str = "quality", trees: int = 10, depth: int = 3, penalty: float = 0.002, seed: int = 1, part_rows: int = 20_000) -> dict:
     """The rules and their weights: {"names", "intercept", "rules": [(rule, weight)]}, from ``measured`` rows with a label.
 
     All labelled rows are used, on the cluster; rows with a null label are
     left out. With one label or none there are no rules, and every text gets the share
-    of label 1 (0.5 without rows). Label and statistics are written once, in
-    at most ``most_parts`` files, as the trees and weights read them often.
+    of label 1 (0.5 without rows). A row counts as often as it is labelled.
+    Label and statistics are written once, as the trees and weights read them
+    often, and read in parts of about ``part_rows``.
     """
     names = labelled.schema["statistics"].dataType.names
     rows = labelled.filter(F.col(label).isNotNull()).select(F.col(label).cast("double").alias("label"), F.array(*(F.col(f"statistics.{n}") for n in names)).alias("x"))
-    rows = stored(rows.coalesce(most_parts), "statistics")
+    rows = stored(rows, "statistics")
     counts = {r.label: r["count"] for r in rows.groupBy("label").count().limit(3).collect()}
+    parts = max(1, -(-rows.count() // part_rows))
     if len(counts) < 2:
         p = min(max(counts.get(1.0, 0) / sum(counts.values()) if counts else 0.5, 1e-3), 1 - 1e-3)
         return {"names": names, "intercept": math.log(p / (1 - p)), "rules": []}
-    train = rows.select("label", array_to_vector("x").alias("features")).coalesce(most_parts).persist()
+    train = rows.select("label", array_to_vector("x").alias("features")).coalesce(parts).persist()
     forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, subsamplingRate=0.7, featureSubsetStrategy="sqrt", maxBins=32).fit(train)
     java = [t._java_obj.rootNode() for t in forest.trees]
     rules = sorted({tuple(sorted(set(p))) for root in java for p in _paths(root)})
     train.unpersist()
     x = F.col("x")
     tests = [_condition(r, [x[i] for i in range(len(names))]).cast("double") for r in rules]
-    held = rows.select("label", array_to_vector(F.array(*tests)).alias("features")).coalesce(most_parts).persist()
+    held = rows.select("label", array_to_vector(F.array(*tests)).alias("features")).coalesce(parts).persist()
     lasso = LogisticRegression(elasticNetParam=1.0, regParam=penalty, maxIter=40, standardization=False).fit(held)
     held.unpersist()
     weights = lasso.coefficients.toArray().tolist()
