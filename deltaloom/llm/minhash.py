@@ -24,10 +24,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, components, dropped, stored
+from .common import WORD, components, dropped, lean, slices, stored
 
-#: Words kept with their hash in a task; emptied when full.
-MEMO_WORDS = 200_000
+#: Words kept with their hash during a task; emptied when full.
+MEMO_WORDS = 100_000
+#: Bytes of text taken from a batch at once.
+TOGETHER = 4 << 20
 #: Hashes of a signature compared before the posterior is looked at again.
 BATCH = 16
 
@@ -49,6 +51,18 @@ class _Hashes(dict):
 _hashes = _Hashes()
 
 
+def _forgetful(function):
+    """``lean``, and the words of the task are forgotten at its end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from function(batches)
+        finally:
+            _hashes.clear()
+
+    return lean(run)
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Words of a text, A-Z lower-cased. bytes.split() cuts at the six ASCII white-space bytes, bytes.lower() changes A-Z alone."""
     return (text or "").encode().lower().split()
@@ -115,12 +129,13 @@ def _signed(docs: DataFrame, doc_id: str, text: str, length: int, bands: int, ro
     """(doc_id, text_hash, class, n_shingles, bands, signature): class null and both arrays empty without words."""
     hashes = bands * rows
 
+    @_forgetful
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from hashlib import blake2b
 
         import xxhash
 
-        for batch in batches:
+        for batch in (some for batch in batches for some in slices(batch, "text", TOGETHER)):
             names, sizes, keys, signs = [], [], [], []
             for value in batch.column("text"):
                 words = words_of(value.as_py())
@@ -143,16 +158,18 @@ def _signed(docs: DataFrame, doc_id: str, text: str, length: int, bands: int, ro
 
 def _agreeing(p: str, q: str, limits: tuple[int, ...]) -> Column:
     """Whether no batch of two signatures (arrays of eight bytes each) rules the pair out."""
-    differ, passed = F.lit(0), F.lit(True)
+    batches = []
     for batch, least in enumerate(limits, 1):
+        differ = F.lit(0)
         for i in range((batch - 1) * BATCH // 8, batch * BATCH // 8):
             x = F.get(F.col(p), F.lit(i)).bitwiseXOR(F.get(F.col(q), F.lit(i)))
             for shift in (4, 2, 1):  # the lowest bit of each byte tells whether any of it is set
                 x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
             differ = differ + F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
-        if batch in (2, 4, len(limits)):
-            passed = passed & (differ <= batch * BATCH - least)
-    return passed
+        batches.append(F.struct(differ.alias("differ"), F.lit(batch * BATCH - least).alias("most")))
+    start = F.struct(F.lit(0).alias("differ"), F.lit(True).alias("open"))
+    step = lambda s, x: F.struct((s["differ"] + x["differ"]).alias("differ"), (s["open"] & (s["differ"] + x["differ"] <= x["most"])).alias("open"))
+    return F.aggregate(F.array(*batches), start, step, lambda s: s["open"])
 
 
 def _promising(pairs: DataFrame, signs: DataFrame, limits: tuple[int, ...]) -> DataFrame:
@@ -167,11 +184,12 @@ def _texts(named: DataFrame, docs: DataFrame, signs: DataFrame, doc_id: str, tex
     source = docs.select(F.col(doc_id).alias("least_id"), F.col(text).alias("text"))
     held = source.join(wanted, source["least_id"].eqNullSafe(wanted["least_id"])).select("class", "text")
 
+    @lean
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Rows that share a doc_id may have other words than the class asked for.
         from hashlib import blake2b
 
-        for batch in batches:
+        for batch in (some for batch in batches for some in slices(batch, "text", TOGETHER)):
             keep = [blake2b(b" ".join(words_of(t)), digest_size=16).digest() == c for t, c in zip(batch.column("text").to_pylist(), batch.column("class").to_pylist())]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
@@ -184,16 +202,17 @@ def _verified(pairs: DataFrame, texts: DataFrame, length: int, share: tuple[int,
     # The same leader in a row of pairs: its set is made once.
     two = two.select("a", "b", "p", "q").sortWithinPartitions("a")
 
+    @_forgetful
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         last, left = None, None
-        for batch in batches:
+        for batch in (some for batch in batches for some in slices(batch, "q", TOGETHER)):
             keep = []
-            for a, p, q in zip(*(batch.column(c).to_pylist() for c in ("a", "p", "q"))):
-                if a != last:
-                    last, left = a, shingle_hashes(words_of(p), length)
-                right = shingle_hashes(words_of(q), length)
+            for a, p, q in zip(*(batch.column(c) for c in ("a", "p", "q"))):  # one text at a time is copied
+                if (a := a.as_py()) != last:
+                    last, left = a, shingle_hashes(words_of(p.as_py()), length)
+                right = shingle_hashes(words_of(q.as_py()), length)
                 both = len(np.intersect1d(left, right, assume_unique=True))
                 keep.append(both * share[1] >= share[0] * (len(left) + len(right) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -217,6 +236,7 @@ def _by_prefix(rest: DataFrame, texts: DataFrame, length: int, share: tuple[int,
     most of them.
     """
 
+    @_forgetful
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 

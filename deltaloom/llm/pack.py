@@ -14,14 +14,15 @@ from collections.abc import Iterator
 from itertools import filterfalse
 
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Words, or parts of words, kept per Python worker; emptied when full. Longer ones are not kept.
-MEMO_SIZE, MEMO_LENGTH = 500_000, 64
+from .common import freed, lean, slices, spread
+
+#: Words, or parts of words, kept during a task; emptied when full. Longer ones are not kept.
+MEMO_SIZE, MEMO_LENGTH = 200_000, 64
 #: Bytes of text tokenised together.
-TOGETHER = 4 << 20
+TOGETHER = 1 << 20
 #: The pattern of pre-tokenizers for which ``cut`` is written (a fixed value).
 WORDS_AND_SIGNS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SPACE, LETTER, NUMBER, SIGN, ODD = range(5)
@@ -95,16 +96,16 @@ class _Memo(dict):
         self.tokenizer = Tokenizer.from_file(path)
         mark, some = self.encoded(self.MARK), "wordé-1,"
         self.mark = int.from_bytes(mark, "little") if len(mark) == 4 and self.encoded(f"{some} {self.MARK} {some}") == self.encoded(some) + mark + self.encoded(some) else None
-        told = json.loads(self.tokenizer.to_str())
-        step = ((told.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
-        lowers = [n["type"] for n in (told.get("normalizer") or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
-        suffix = told["model"].get("end_of_word_suffix")
+        told = [json.loads(x.__getstate__()) if x else {} for x in (self.tokenizer.pre_tokenizer, self.tokenizer.normalizer)]
+        step = (told[0].get("pretokenizers") or [{}])[0]
+        lowers = [n["type"] for n in told[1].get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         self.cuts = bool(suffix and lowers and step.get("type") == "Split" and step.get("invert") and step.get("behavior") == "Removed" and step["pattern"].get("Regex") == WORDS_AND_SIGNS)
         if self.cuts:
             vocabulary = self.tokenizer.get_vocab()
             self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
             self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
-            self.special = [t["content"].encode() for t in told["added_tokens"]]
+            self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
             self.kind, self.lower = _latin()
             self.visible = bytes(i for i in range(256) if self.kind[i] != ODD)
 
@@ -169,8 +170,8 @@ class _Memo(dict):
         return [raw[s:e] for s, e in zip(cuts, cuts[1:])]
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", capacity: int = 2048, end_id: int = 0) -> DataFrame:
-    """(doc_id, piece, start, length, ids) of every row of ``docs``.
+def token_pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", capacity: int = 2048, end_id: int = 0, row: Column | None = None) -> DataFrame:
+    """(doc_id, piece, start, length, ids) of every row of ``docs``; with ``row``, its value in a column of that name too.
 
     A document is the ids of its text (null: none) and ``end_id``; only one
     longer than ``capacity`` is cut, into pieces of ``capacity`` ids and a last
@@ -180,33 +181,31 @@ def token_pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text:
     """
     end = int(end_id).to_bytes(4, "little")
 
+    @lean
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
+        # The tokenizer stays in the worker, the words of one task do not.
+        memo = _memos[tokenizer] = _memos.get(tokenizer) or _Memo(tokenizer)
+        try:
+            for batch in batches:
+                for some in slices(batch, "text", TOGETHER):
+                    yield out(some, memo.ids([t or "" for t in some.column("text").to_pylist()]))
+        finally:
+            memo.clear()
 
-        memo = _memos.setdefault(tokenizer, None) or _Memo(tokenizer)
-        _memos[tokenizer] = memo
-        for batch in batches:
-            texts = batch.column("text")
-            ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-            at = 0
-            while at < batch.num_rows:
-                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TOGETHER, side="right")))
-                yield out(batch, at, memo.ids([t or "" for t in texts.slice(at, to - at).to_pylist()]))
-                at = to
-
-    def out(batch: pa.RecordBatch, first: int, wholes: list[bytes]) -> pa.RecordBatch:
+    def out(batch: pa.RecordBatch, wholes: list[bytes]) -> pa.RecordBatch:
         rows, piece, ids = [], [], []
-        for i, whole in enumerate(wholes, first):
+        for i, whole in enumerate(wholes):
             whole = whole + end
             for n, at in enumerate(range(0, len(whole), 4 * capacity)):
                 rows.append(i)
                 piece.append(n)
                 ids.append(whole[at : at + 4 * capacity])
-        id_column = batch.column("doc_id").take(pa.array(rows, pa.int64()))
-        return pa.RecordBatch.from_arrays([id_column, pa.array(piece, pa.int32()), pa.array([n * capacity for n in piece], pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "piece", "start", "length", "ids"])
+        taken = [batch.column(c).take(pa.array(rows, pa.int64())) for c in keys]
+        return pa.RecordBatch.from_arrays([*taken, pa.array(piece, pa.int32()), pa.array([n * capacity for n in piece], pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=[*keys, "piece", "start", "length", "ids"])
 
-    kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids binary")
+    keys = [c for c in ("doc_id", "row") if row is not None or c != "row"]
+    read = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *([row.alias("row")] if "row" in keys else []))
+    return read.mapInArrow(cut, read.drop("text").schema.add("piece", "integer").add("start", "long").add("length", "long").add("ids", "binary"))
 
 
 def sum_of_squares(lengths, capacity: int):
@@ -256,15 +255,16 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
     hash into groups packed one by one, of about group_rows documents and
     group_bytes of text; a group ends with few part-filled sequences, so larger
     groups waste a little less. The groups' number comes from the row count and
-    bytes of the input, not from a key, so no source or document makes a
+    bytes of the input, and a piece's group from its row's place in the input,
+    not from a key, so no source, document or number of copies of it makes a
     group large. In a group pieces are placed from long to short. sequence_id
     is unique over all groups. Repeated rows are packed once each, empty tables
     give no rows, null ids stay null.
     """
     total = docs.agg(F.count("*").alias("rows"), F.sum(F.octet_length(F.col(text))).alias("bytes")).first()
     groups = max(1, -(-total.rows // group_rows), -(-(total.bytes or 0) // group_bytes))
-    pieces = token_pieces(docs, tokenizer, doc_id, text, capacity, end_id)
-    dealt = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", F.crc32("ids")), F.lit(groups)).cast("int"))
+    pieces = token_pieces(docs, tokenizer, doc_id, text, capacity, end_id, F.monotonically_increasing_id())
+    dealt = spread(pieces.withColumn("group", F.pmod(F.xxhash64("row", "piece"), F.lit(groups)).cast("int")).drop("row"), groups)
 
     def fill(rows: pa.Table) -> pa.Table:
         import numpy as np
@@ -272,6 +272,7 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
         rows = rows.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
         sequence, offset = sum_of_squares(rows.column("length").to_numpy().tolist(), capacity)
         first = rows.column("group")[0].as_py() << 32
+        freed()
         return rows.drop_columns(["group"]).append_column("sequence_id", pa.array(np.asarray(sequence, np.int64) + first)).append_column("offset", pa.array(offset, pa.int64()))
 
     kind = docs.schema[doc_id].dataType.simpleString()

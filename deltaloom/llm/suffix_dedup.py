@@ -8,7 +8,8 @@ are brought together: each window of ``length`` bytes is known by the
 ``GRAM``-byte string in it with the least hash, its anchor. Equal windows have
 the same anchor. Neighbouring windows with one anchor form a passage.
 Passages with equal bytes are one class, of which the first is compared with
-others and the rest are repeats of it.
+others and the rest are repeats of it. They are known by two 64-bit hashes of
+two kinds, of the anchor and of all bytes.
 
 *Sorting.* The first passages of classes that share an anchor go to one task,
 which builds their suffix array by two-stage sorting: only suffixes smaller
@@ -18,25 +19,28 @@ equal, and all but the first of them are repeats.
 
 *Frequent anchors.* A string that very many documents have between differing
 neighbours is the anchor of a passage in each of them. The windows of such
-anchors are dealt one by one by a 64-bit hash of their bytes, each home of
+anchors are dealt one by one by two 64-bit hashes of their bytes, each home of
 documents passing on the first of equal ones.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from .common import dropped, stored
+from .common import dropped, freed, lean, spread, stored
 
 #: Bytes of an anchor; bytes of text whose passages are compared in a task before any are passed on; bytes of text hashed at once.
-GRAM, CHUNK, PART = 32, 4 << 20, 1 << 19
+GRAM, CHUNK, PART = 32, 4 << 20, 1 << 18
 #: Bytes of text for each group that passages, or documents, are dealt to.
 GROUP_BYTES = 4 << 20
+#: Bytes of passages sorted at once, but for those of one anchor.
+SORT_BYTES = 1 << 20
 #: An anchor of more passages than these is frequent.
 FREQUENT = 1 << 14
 _ODD = 0x9E3779B97F4A7C15
@@ -51,6 +55,19 @@ def _mix(x):
     return x ^ (x >> np.uint64(32))
 
 
+@lru_cache(maxsize=1)
+def _powers(n: int):
+    """A number for each byte, and powers of an odd number and of its inverse."""
+    import numpy as np
+
+    out = []
+    for base in (_ODD, pow(_ODD, -1, 2**64)):
+        powers = np.full(n, base, np.uint64)
+        powers[0] = 1
+        out.append(np.cumprod(powers))
+    return np.random.default_rng(3).integers(0, 2**64, 256, np.uint64), *out
+
+
 class _Hasher:
     """Hashes of all substrings of a byte array, from sums of bytes times powers of an odd number."""
 
@@ -58,15 +75,9 @@ class _Hasher:
         import numpy as np
 
         n = len(raw) + 1
-        table = np.random.default_rng(3).integers(0, 2**64, 256, np.uint64)
-        powers = np.full(n, _ODD, np.uint64)
-        powers[0] = 1
-        powers = np.cumprod(powers)
-        back = np.full(n, pow(_ODD, -1, 2**64), np.uint64)
-        back[0] = 1
-        self.back = np.cumprod(back)
+        table, powers, self.back = _powers(-(-n // PART) * PART)  # a few lengths only, so they are seldom made anew
         self.sums = np.zeros(n, np.uint64)
-        np.cumsum(table[raw] * powers[:-1], out=self.sums[1:])
+        np.cumsum(table[raw] * powers[: n - 1], out=self.sums[1:])
 
     def of(self, start, stop):
         import numpy as np
@@ -80,6 +91,7 @@ def passages(raw, doc_starts, length: int):
     doc_starts: where texts start, and the end.
     """
     import numpy as np
+    import xxhash
 
     if len(raw) < length:
         return (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64))
@@ -109,7 +121,9 @@ def passages(raw, doc_starts, length: int):
     count = np.bincount(number[valid], minlength=len(first))
     first, count = first[count > 0], count[count > 0]
     where = anchor[first]
-    return first, count, hasher.of(where, where + GRAM), hasher.of(first, first + count + (length - 1))
+    whole = raw.tobytes()
+    named = (xxhash.xxh3_64_intdigest(whole[s:e]) for s, e in zip(first.tolist(), (first + count + (length - 1)).tolist()))
+    return first, count, hasher.of(where, where + GRAM), np.fromiter(named, np.uint64, len(first))
 
 
 def suffix_array(raw, lengths, n_windows, length: int):
@@ -261,12 +275,6 @@ def _unpacked(table: pa.Table, *fields: str) -> dict:
     return {f: np.frombuffer(b"".join(x for x in table.column(f).to_pylist() if x), _KINDS[f]) for f in fields}
 
 
-def _by_doc(doc, tie, groups: int):
-    import numpy as np
-
-    return (_mix(doc.astype(np.uint64) ^ (tie.astype(np.uint64) << np.uint64(20))) % np.uint64(groups)).astype(np.int64)
-
-
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 100) -> DataFrame:
     """``docs`` without ``text``, with n_bytes, kept and spans.
 
@@ -279,7 +287,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     any other. Texts shorter than ``length`` are kept whole; empty tables give
     no rows. doc_id is an integer.
 
-    A passage and a document are each dealt by hash, so neither a source nor a
+    Passages of one anchor are equal if 64-bit hashes of their bytes are; the
+    anchor's own hash is of another kind. A passage and a document are each dealt by hash, so neither a source nor a
     passage that very many documents share fills one task: of equal passages a
     task passes on the first.
     """
@@ -293,6 +302,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     source = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("doc"), F.encode(F.coalesce(text, F.lit("")), "UTF-8").alias("raw"), F.struct(*others).alias("others"))
     source = source.withColumn("tie", F.crc32("raw")).withColumn("group", F.pmod(F.xxhash64("doc", "tie"), F.lit(groups)))
 
+    @lean
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def chunks():
             held, size = [], 0
@@ -349,6 +359,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             yield _blobs(rows, _FIELDS)
 
     def join_passages(blobs: pa.Table) -> pa.Table:
+        freed()
         run = _unpacked(blobs, *_FIELDS[:-1])
         by = np.lexsort((run["start"], run["doc"], run["passage"], run["anchor"]))
         run = {k: v[by] for k, v in run.items()}
@@ -363,12 +374,14 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         rows += [(1, g, b) for g, b in _pack({k: first[k] for k in ("doc", "tie", "start", "windows", "anchor")}, first["home"].astype(np.int64))]
         return pa.Table.from_batches([_blobs(rows, _FIELDS)])
 
+    @lean
     def count_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for blob in batch.column("anchor").to_pylist():
                 anchor, n = np.unique(np.frombuffer(blob, "<i8"), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(n, pa.int64())], names=["anchor", "n"])
 
+    @lean
     def part_frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Passages of frequent anchors go to the homes of their documents at once (kind 4), the others stay."""
         for batch in batches:
@@ -382,6 +395,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 yield _blobs(rows, _FIELDS)
 
     def fetch(texts: pa.Table, asked: pa.Table) -> pa.Table:
+        freed()
         run = _unpacked(asked, "doc", "tie", "start", "windows", "anchor")
         if not len(run["doc"]):
             return pa.Table.from_batches([_blobs([], _FIELDS)])
@@ -399,7 +413,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         raw = np.frombuffer(b"".join(pieces), np.uint8)
         size = run["windows"].astype(np.int64) + length - 1
         to = (run["anchor"] % np.uint64(groups)).astype(np.int64)
-        for g, blob in _pack({k: run[k] for k in ("doc", "tie", "start", "windows")} | {"size": size, "place": np.cumsum(size) - size}, to):
+        for g, blob in _pack({k: run[k] for k in ("doc", "tie", "start", "windows", "anchor")} | {"size": size, "place": np.cumsum(size) - size}, to):
             size_, place = blob.pop("size"), blob.pop("place")
             take = np.repeat(place - (np.cumsum(size_) - size_), size_) + np.arange(size_.sum())
             blob["raw"] = raw[take]
@@ -408,7 +422,9 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         return pa.Table.from_batches([_blobs(rows, _FIELDS)])
 
     def windows_of(run: dict, whole: list, at: dict, home: int) -> list:
-        """Rows of the windows of frequent anchors: repeats within the home, and the others by the group of their hash."""
+        """Rows of the windows of frequent anchors: repeats within the home, and the others by the group of their hashes (the second one in the place of an anchor)."""
+        import xxhash
+
         by = np.argsort(run["doc"], kind="stable")  # a part of the passages at a time is hashed
         out = []
         for some in np.array_split(by, max(1, len(by) >> 12)):
@@ -418,8 +434,9 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             owner = np.repeat(np.arange(len(n)), n)
             place = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
             first = (np.cumsum(n + length - 1) - (n + length - 1))[owner] + place
-            name = _Hasher(np.frombuffer(b"".join(pieces), np.uint8)).of(first, first + length)
-            out.append({"doc": part["doc"][owner], "tie": part["tie"][owner], "start": (part["start"][owner] + place).astype("<u4"), "passage": name})
+            laid = b"".join(pieces)
+            name = np.fromiter((xxhash.xxh3_64_intdigest(laid[s : s + length]) for s in first.tolist()), np.uint64, len(first))
+            out.append({"doc": part["doc"][owner], "tie": part["tie"][owner], "start": (part["start"][owner] + place).astype("<u4"), "passage": name, "anchor": _Hasher(np.frombuffer(laid, np.uint8)).of(first, first + length)})
         out = {k: np.concatenate([x[k] for x in out]) for k in out[0]}
         out["home"] = np.full(len(out["doc"]), home, "<u8")
         repeat, out = _equal(out)
@@ -427,17 +444,32 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         return rows + [(3, g, b) for g, b in _pack({k: v[~repeat] for k, v in out.items()}, (out["passage"][~repeat] % np.uint64(groups)).astype(np.int64))]
 
     def sort_suffixes(blobs: pa.Table) -> pa.Table:
+        freed()
         kind = blobs.column("kind").to_numpy()
         done = blobs.filter(pa.array(kind == 0))
-        repeat, one = _equal(_unpacked(blobs.filter(pa.array(kind == 3)), "doc", "tie", "start", "passage", "home"))
+        repeat, one = _equal(_unpacked(blobs.filter(pa.array(kind == 3)), "doc", "tie", "start", "anchor", "passage", "home"))
         one = {k: v[repeat] for k, v in one.items()}
-        done = pa.concat_tables([done, pa.Table.from_batches([_blobs([(0, g, b) for g, b in _pack(_single(one), one["home"].astype(np.int64))], _FIELDS)]).cast(done.schema)])
-        blobs = blobs.filter(pa.array(kind == 2))
-        if not blobs.num_rows:
-            return done
-        run = _unpacked(blobs, "doc", "tie", "start", "windows", "home", "raw")
+        rows = [(0, g, b) for g, b in _pack(_single(one), one["home"].astype(np.int64))]
+        run = _unpacked(blobs.filter(pa.array(kind == 2)), "doc", "tie", "start", "windows", "anchor", "home", "raw")
+        if len(run["doc"]):
+            # The passages of some anchors at a time.
+            raw, size = run.pop("raw"), run["windows"].astype(np.int64) + length - 1
+            from_ = np.cumsum(size) - size
+            by = np.argsort(run["anchor"], kind="stable")
+            upto, anchor = np.cumsum(size[by]), run["anchor"][by]
+            s = 0
+            while s < len(by):
+                e = max(s + 1, int(np.searchsorted(upto, upto[s] - size[by[s]] + SORT_BYTES, side="right")))
+                e = int(np.searchsorted(anchor, anchor[e - 1], side="right"))
+                some = by[s:e]
+                rows += repeated({k: v[some] for k, v in run.items()}, np.concatenate([raw[a : a + n] for a, n in zip(from_[some].tolist(), size[some].tolist())]))
+                s = e
+        return pa.concat_tables([done, pa.Table.from_batches([_blobs(rows, _FIELDS)]).cast(done.schema)])
+
+    def repeated(run: dict, raw) -> list:
+        """Rows of the windows of the passages ``run``, laid end to end in ``raw``, that are not the first of their class."""
         n = run["windows"].astype(np.int64)
-        name = equal_windows(run["raw"], n + length - 1, n, length)
+        name = equal_windows(raw, n + length - 1, n, length)
         owner = np.repeat(np.arange(len(n)), n)
         place = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
         doc, start = run["doc"][owner], run["start"][owner].astype(np.int64) + place
@@ -452,10 +484,11 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         begin[1:] &= ~(repeat[:-1] & (owner[1:] == owner[:-1]))
         at = np.flatnonzero(begin)
         count = np.bincount(np.cumsum(begin)[repeat] - 1, minlength=len(at)) if len(at) else at
-        rows = [(0, g, b) for g, b in _pack({"doc": doc[at], "tie": run["tie"][owner[at]], "start": start[at].astype("<u4"), "windows": count.astype("<u4")}, run["home"][owner[at]].astype(np.int64))]
-        return pa.concat_tables([done, pa.Table.from_batches([_blobs(rows, _FIELDS)]).cast(done.schema)])
+        told = {"doc": doc[at], "tie": run["tie"][owner[at]], "start": start[at].astype("<u4"), "windows": count.astype("<u4")}
+        return [(0, g, b) for g, b in _pack(told, run["home"][owner[at]].astype(np.int64))]
 
     def remove(texts: pa.Table, repeats: pa.Table) -> pa.Table:
+        freed()
         run = _unpacked(repeats, "doc", "tie", "start", "windows")
         by = np.lexsort((run["tie"], run["doc"]))
         run = {k: v[by] for k, v in run.items()}
@@ -481,25 +514,28 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     dealt = stored(source.select("doc", "tie", "group", "raw").mapInArrow(cut, _BLOB), "passages")
     # Only groups with many passages can hold a frequent anchor.
-    full = [r.group for r in dealt.filter("kind = 1").groupBy("group").agg(F.sum(F.length("anchor")).alias("n")).filter(F.col("n") > 8 * FREQUENT).collect()]
-    found = dealt.filter("kind = 1").join(F.broadcast(docs.sparkSession.createDataFrame([(g,) for g in full], "group long")), "group").select("anchor").mapInArrow(count_anchors, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).filter(F.col("n") > FREQUENT) if full else None
-    frequent = docs.sparkSession.sparkContext.broadcast(np.array([r.anchor for r in found.collect()] if full else [], np.int64).view(np.uint64))
+    full = stored(dealt.filter("kind = 1").groupBy("group").agg(F.sum(F.length("anchor")).alias("n")).filter(F.col("n") > 8 * FREQUENT).select("group"), "full")
+    any_full = full.limit(1).count() > 0
+    found = dealt.filter("kind = 1").join(full, "group").select("anchor").mapInArrow(count_anchors, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).filter(F.col("n") > FREQUENT) if any_full else None
+    # At most one for each FREQUENT passages, that is 8 bytes for each half megabyte of text.
+    frequent = docs.sparkSession.sparkContext.broadcast(np.array([r.anchor for r in found.collect()] if any_full else [], np.int64).view(np.uint64))
+    dropped(full)
     joined = dealt.filter("kind = 1")
     if len(frequent.value):
         parted = stored(joined.mapInArrow(part_frequent, _BLOB), "parted")
-        joined = parted.filter("kind = 1").groupBy("group").applyInArrow(join_passages, _BLOB).unionByName(parted.filter("kind = 4").withColumn("kind", F.lit(1)))
+        joined = spread(parted.filter("kind = 1"), groups).groupBy("group").applyInArrow(join_passages, _BLOB).unionByName(parted.filter("kind = 4").withColumn("kind", F.lit(1)))
     else:
-        joined, parted = joined.groupBy("group").applyInArrow(join_passages, _BLOB), None
+        joined, parted = spread(joined, groups).groupBy("group").applyInArrow(join_passages, _BLOB), None
     joined = stored(joined.unionByName(dealt.filter("kind = 0")), "classes")
     dropped(parted)
     dropped(dealt)
-    texts = source.groupBy("group")
-    asked = joined.filter("kind = 1").groupBy("group")
-    sorted_ = texts.cogroup(asked).applyInArrow(fetch, _BLOB).groupBy("group").applyInArrow(sort_suffixes, _BLOB)
+    texts = spread(source, groups).groupBy("group")
+    asked = spread(joined.filter("kind = 1"), groups).groupBy("group")
+    sorted_ = spread(texts.cogroup(asked).applyInArrow(fetch, _BLOB), groups).groupBy("group").applyInArrow(sort_suffixes, _BLOB)
     repeats = joined.filter("kind = 0").unionByName(sorted_)
     span = StructType([StructField("start", LongType()), StructField("length", LongType())])
     schema = StructType([StructField("others", docs.select(*others).schema), StructField("n_bytes", LongType()), StructField("kept", BinaryType()), StructField("spans", ArrayType(span))])
-    return texts.cogroup(repeats.groupBy("group")).applyInArrow(remove, schema).select("others.*", "n_bytes", "kept", "spans")
+    return texts.cogroup(spread(repeats, groups).groupBy("group")).applyInArrow(remove, schema).select("others.*", "n_bytes", "kept", "spans")
 
 
 def _later(run: dict):
@@ -524,9 +560,9 @@ def _equal(windows: dict):
     """Windows in the order of their hash and place, and which of them are repeats of an earlier one."""
     import numpy as np
 
-    by = np.lexsort((windows["start"], windows["doc"], windows["passage"]))
+    by = np.lexsort((windows["start"], windows["doc"], windows["anchor"], windows["passage"]))
     windows = {k: v[by] for k, v in windows.items()}
-    return _repeats(windows | {"anchor": np.zeros(len(by), np.uint64)}), windows
+    return _repeats(windows), windows
 
 
 def _single(windows: dict) -> dict:

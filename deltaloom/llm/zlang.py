@@ -83,7 +83,7 @@ def closer_sizes(text: str, coders: list, orders: int = 8) -> list[int]:
     return [sum(s) for s in zip(*(frame_sizes(t, coders) for t in turned))]
 
 
-def identify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text", margin: float = 0.01, level: int = 12) -> DataFrame:
+def identify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text", margin: float = 0.01, level: int = 7) -> DataFrame:
     """``docs`` with lang_pred, score (0 to 1) and rejected.
 
     lang_pred is the language with the fewest bytes (ties: first by code
