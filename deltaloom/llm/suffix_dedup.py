@@ -38,7 +38,7 @@ from .common import dropped, freed, lean, spread, stored
 #: Bytes of an anchor; bytes of text whose passages are compared in a task before any are passed on; bytes of text hashed at once.
 GRAM, CHUNK, PART = 32, 4 << 20, 1 << 18
 #: Bytes of text for each group that passages, or documents, are dealt to.
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 2 << 20
 #: Bytes of passages sorted at once, but for those of one anchor.
 SORT_BYTES = 1 << 20
 #: An anchor of more passages than these is frequent.
