@@ -55,9 +55,9 @@ def split_list(text: Column, delimiters: str) -> Column:
 
 
 def split_quoted(text: Column, delimiter: str = ",") -> Column:
-    """Pieces at delimiters outside double quotes; the quotes stay. An empty text has no pieces."""
-    piece = rf'((?:"[^"]*"|[^"{delimiter}])+)'
-    return F.regexp_extract_all(text, F.lit(piece), F.lit(1))
+    """Pieces at delimiters outside double quotes; the quotes stay, and so do empty pieces. An empty text has no pieces."""
+    piece = rf'{delimiter}((?:"[^"]*"|[^"{delimiter}])*)'
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.regexp_extract_all(F.concat(F.lit(delimiter), text), F.lit(piece), F.lit(1)))
 
 
 def replaced(text: Column, pattern: str, replacement: str) -> Column:
@@ -123,3 +123,38 @@ def version_numbers(text: Column) -> Column:
 def compact_timestamp(at: Column) -> Column:
     """yyyyMMddHHmmss."""
     return F.date_format(at, "yyyyMMddHHmmss")
+
+
+def cons(first: Column, items: Column) -> Column:
+    """``first`` before the items; a null list counts as empty."""
+    return F.coalesce(F.array_prepend(items, first), F.array(first))
+
+
+def inserted(items: Column, others: Column) -> Column:
+    """Union of two lists as sets, in the order of first appearance; a null list counts as empty."""
+    return F.coalesce(F.array_union(items, others), F.array_distinct(items), F.array_distinct(others))
+
+
+def removed(items: Column, item: Column) -> Column:
+    """The list without any element equal to ``item``; a null item removes nothing."""
+    return F.filter(items, lambda x: ~F.coalesce(x == item, F.lit(False)))
+
+
+def ordered_by(items: Column, smaller) -> Column:
+    """The list in the order of a comparison: ``smaller(x, y)`` says whether x comes before y."""
+    return F.array_sort(items, lambda x, y: F.when(smaller(x, y), -1).when(smaller(y, x), 1).otherwise(0))
+
+
+def user() -> Column:
+    """Name of the session's user."""
+    return F.current_user()
+
+
+def looked_up(key: Column, known: dict[str, str]) -> Column:
+    """The value of a fixed table, null if the key is not in it (such as a stream format's version by database type)."""
+    return F.create_map(*(F.lit(x) for pair in known.items() for x in pair))[key] if known else F.lit(None).cast("string")
+
+
+def member(name: Column, value: Column) -> Column:
+    """A map of one entry whose name is computed; empty for a null name."""
+    return F.when(name.isNull(), F.create_map().cast("map<string,string>")).otherwise(F.create_map(name, value))

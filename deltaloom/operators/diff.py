@@ -89,3 +89,9 @@ def applied(old: DataFrame, new: DataFrame, rule: Rule) -> DataFrame:
     """What ``old`` becomes when the differences are carried out: it equals ``new``."""
     keep = statuses(old, new, rule).filter("status = 'none'").select(*rule.key)
     return old.join(keep, list(rule.key), "left_semi").unionByName(new.join(keep, list(rule.key), "left_anti"))
+
+
+def precedence(own: Column, rebuild: Column, has_rule: Column, kids: Column) -> Column:
+    """Status of an object that is on both sides: rebuild or diff by its own differences, else UNKNOWN without a rule, else diffkids, else none."""
+    no = F.lit(False)
+    return F.when(F.coalesce(rebuild, no), "rebuild").when(F.coalesce(own, no), "diff").when(~F.coalesce(has_rule, no), "UNKNOWN").when(F.coalesce(kids, no), "diffkids").otherwise("none")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -31,6 +31,24 @@ def reachable(edges: DataFrame, seeds: DataFrame, source: str = "source", target
     return seen
 
 
+def walks(edges: DataFrame, seeds: DataFrame, source: str = "source", target: str = "target", most_rounds: int = 1000) -> DataFrame:
+    """(root, node, level): every walk along the edges from each seed, the seed itself at level 0; one row for each way to a node.
+
+    A round is one join and is written once. More than ``most_rounds`` rounds, as
+    on a cycle, raise an error; no number of rows does.
+    """
+    arrows = _kept(edges.select(F.col(source).alias("node"), F.col(target).alias("t")))
+    name = F.col(seeds.columns[0])
+    frontier = _kept(seeds.select(name.alias("root"), name.alias("node"), F.lit(0).alias("level")))
+    found, rounds = frontier, 0
+    while frontier.limit(1).count():
+        if rounds == most_rounds:
+            raise ValueError(f"walks of more than {most_rounds} edges")
+        frontier = _kept(frontier.join(arrows, "node").select("root", F.col("t").alias("node"), (F.col("level") + 1).alias("level")))
+        found, rounds = found.unionByName(frontier), rounds + 1
+    return found
+
+
 def levels(nodes: DataFrame, edges: DataFrame, node: str = "node", source: str = "source", target: str = "target") -> DataFrame:
     """(node, level): the longest chain of edges source -> target that ends in the node; nodes without a source are at 0.
 
@@ -75,11 +93,19 @@ def on_cycles(edges: DataFrame, source: str = "source", target: str = "target")
     return paths.filter("s = t").select(F.col("s").alias("node")).distinct()
 
 
-def resolved(edges: DataFrame, objects: DataFrame) -> DataFrame:
-    """Edges (from_fqn, to_qn) with to_fqn: the object of that fqn, else the smallest fqn of those with that pqn, else null."""
-    full = objects.select(F.col("fqn").alias("to_qn"), F.col("fqn").alias("by_fqn"))
+def resolved(edges: DataFrame, objects: DataFrame, required: Column | None = None) -> DataFrame:
+    """Edges (from_fqn, to_qn) with to_fqn: the object of that fqn, else the smallest fqn of those with that pqn, else null.
+
+    An edge to an fqn that several objects have raises an error, and so does one
+    that resolves to nothing where ``required`` holds.
+    """
+    full = objects.groupBy(F.col("fqn").alias("to_qn")).agg(F.count("*").alias("many"))
     partial = objects.filter("pqn is not null").groupBy(F.col("pqn").alias("to_qn")).agg(F.min("fqn").alias("by_pqn"))
-    return edges.join(full, "to_qn", "left").join(partial, "to_qn", "left").withColumn("to_fqn", F.coalesce("by_fqn", "by_pqn")).drop("by_fqn", "by_pqn")
+    once = F.when(F.col("many") > 1, F.raise_error(F.concat(F.lit("several objects are called "), F.col("to_qn"))).cast("string")).when(F.col("many") == 1, F.col("to_qn"))
+    found = F.coalesce(once, F.col("by_pqn"))
+    if required is not None:
+        found = F.when(required & found.isNull(), F.raise_error(F.concat(F.lit("nothing is called "), F.col("to_qn"))).cast("string")).otherwise(found)
+    return edges.join(full, "to_qn", "left").join(partial, "to_qn", "left").withColumn("to_fqn", found).drop("many", "by_pqn")
 
 
 def chosen_alternatives(candidates: DataFrame, existing: DataFrame, depset: str = "depset_id", target: str = "to_fqn", priority: str = "priority") -> DataFrame:

@@ -31,3 +31,18 @@ def moves(steps: DataFrame, path: str, order: list[str], keys: list[str] | None
     step = lambda kind: lambda x: F.struct(F.lit(kind).alias("move"), x.alias("at"))
     all_moves = F.concat(F.transform(F.reverse(rest(F.col("deltaloom_before"))), step("depart")), F.transform(rest(F.col(path)), step("arrive")))
     return walked.select(*steps.columns, F.posexplode(all_moves).alias("move_no", "deltaloom_move")).select(*steps.columns, "move_no", "deltaloom_move.*")
+
+
+def flattened(objects: DataFrame, parent: str = "parent", fqn: str = "fqn") -> DataFrame:
+    """``objects`` with parent_node, a struct of the parent's columns (null without one), found by its fqn; each fqn names one parent."""
+    parents = objects.select(F.col(fqn).alias("deltaloom_fqn"), F.struct(*objects.columns).alias("parent_node")).dropDuplicates(["deltaloom_fqn"])
+    return objects.join(parents, F.col(parent) == F.col("deltaloom_fqn"), "left").drop("deltaloom_fqn")
+
+
+def steps(nodes: DataFrame, order: str, within: list[str], fqn: str = "fqn", disabled: str = "disabled") -> DataFrame:
+    """(within..., from_fqn, fqn): each enabled node with the enabled one before it; the first has none.
+
+    Rows where ``disabled`` is true are left out. One window for each value of ``within``.
+    """
+    on = nodes.filter(~F.coalesce(F.col(disabled), F.lit(False)))
+    return on.select(*within, F.lag(fqn).over(Window.partitionBy(*within).orderBy(order, fqn)).alias("from_fqn"), fqn)

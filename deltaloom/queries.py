@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import macros, quoting, scalar
-from .operators import diff, graph, navigation, relational
+from .operators import diff, edges, graph, navigation, relational
 from .plans import render
 from .sources import catalog, repository
 
@@ -163,16 +163,17 @@ def cte_chain(t):
 @query("""WITH RECURSIVE t(root,id,lvl) AS (SELECT p_partkey, p_partkey, 0 FROM part WHERE p_partkey > 0 UNION ALL SELECT t.root, p.p_partkey, t.lvl+1 FROM t JOIN part p ON p.p_partkey = CAST(floor(t.id/2) AS BIGINT) WHERE t.id > 1)
 SELECT root, max(lvl) AS depth, count(*) AS n FROM t GROUP BY root""")
 def recursive_ancestry(t):
-    t.part.select("p_partkey").createOrReplaceTempView("deltaloom_part")
-    return t.spark.sql("""WITH RECURSIVE t(root,id,lvl) AS (SELECT p_partkey, p_partkey, 0 FROM deltaloom_part WHERE p_partkey > 0
-      UNION ALL SELECT t.root, p.p_partkey, t.lvl+1 FROM t JOIN deltaloom_part p ON p.p_partkey = CAST(floor(t.id/2) AS BIGINT) WHERE t.id > 1)
-      SELECT root, max(lvl) AS depth, count(*) AS n FROM t GROUP BY root""")
+    parts = t.part.select("p_partkey")
+    up = parts.filter("p_partkey > 1").select(F.col("p_partkey").alias("source"), F.floor(F.col("p_partkey") / 2).cast("long").alias("target"))
+    up = up.join(parts.select(F.col("p_partkey").alias("target")), "target", "left_semi")
+    walked = graph.walks(up, parts.filter("p_partkey > 0"))
+    return walked.groupBy("root").agg(F.max("level").alias("depth"), F.count("*").alias("n"))
 
 
-@query("SELECT vec_id, i - 1 AS dim, round(CAST(embedding[i] AS DOUBLE), 4) AS x FROM embeddings, generate_series(1, 4) g(i)")
+@query("SELECT vec_id, CAST(generate_subscripts(embedding, 1) - 1 AS BIGINT) AS dim, round(CAST(unnest(embedding) AS DOUBLE), 4) AS x FROM embeddings")
 def array_unnest_subscript(t):
-    four = t.embeddings.select("vec_id", F.posexplode(F.slice("embedding", 1, 4)).alias("dim", "x"))
-    return four.select("vec_id", F.col("dim").cast("bigint").alias("dim"), F.round(F.col("x").cast("double"), 4).alias("x"))
+    each = t.embeddings.select("vec_id", F.posexplode("embedding").alias("dim", "x"))
+    return each.select("vec_id", F.col("dim").cast("bigint").alias("dim"), F.round(F.col("x").cast("double"), 4).alias("x"))
 
 
 @query("""SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'finished' WHEN 'O' THEN 'open' END AS word, CASE WHEN o_totalprice > 300000 THEN 'big' WHEN o_totalprice > 100000 THEN 'mid' ELSE 'small' END AS size,
@@ -471,7 +472,8 @@ def diff_rebuild_closure(t):
 # --- dependencies --------------------------------------------------------------------------------------------------------
 
 _OBJECTS = """WITH objects AS (SELECT 'region.' || r_name AS fqn, 'r.' || r_regionkey AS pqn FROM region UNION ALL SELECT 'nation.' || r_name || '.' || n_name, 'r.' || r_regionkey FROM nation JOIN region ON n_regionkey=r_regionkey
-UNION ALL SELECT 'supplier.' || n_name || '.' || s_name, 'n.' || n_nationkey FROM supplier JOIN nation ON s_nationkey=n_nationkey)"""
+UNION ALL SELECT 'supplier.' || n_name || '.' || s_name, 'n.' || n_nationkey FROM supplier JOIN nation ON s_nationkey=n_nationkey
+UNION ALL SELECT 'customer.' || n_name || '.' || c_name, 'n.' || n_nationkey FROM customer JOIN nation ON c_nationkey=n_nationkey)"""
 
 
 def objects(t) -> DataFrame:
@@ -479,16 +481,20 @@ def objects(t) -> DataFrame:
     nations = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
     nation = nations.select(F.concat(F.lit("nation."), "r_name", F.lit("."), "n_name").alias("fqn"), F.concat(F.lit("r."), text("r_regionkey")).alias("pqn"))
     suppliers = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey"))
-    return region.unionByName(nation).unionByName(suppliers.select(F.concat(F.lit("supplier."), "n_name", F.lit("."), "s_name").alias("fqn"), F.concat(F.lit("n."), text("n_nationkey")).alias("pqn")))
+    customers = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    leaf = lambda d, kind, name: d.select(F.concat(F.lit(kind), "n_name", F.lit("."), name).alias("fqn"), F.concat(F.lit("n."), text("n_nationkey")).alias("pqn"))
+    return region.unionByName(nation).unionByName(leaf(suppliers, "supplier.", "s_name")).unionByName(leaf(customers, "customer.", "c_name"))
 
 
-@query(f"""{_OBJECTS} SELECT 'nation.' || r_name || '.' || n_name AS from_fqn, 'region.' || r_name AS to_fqn FROM nation JOIN region ON n_regionkey=r_regionkey UNION ALL SELECT 'supplier.' || n_name || '.' || s_name, 'nation.' || r_name || '.' || n_name FROM supplier JOIN nation ON s_nationkey=n_nationkey JOIN region ON n_regionkey=r_regionkey""")
+@query(f"""{_OBJECTS} SELECT 'nation.' || r_name || '.' || n_name AS from_fqn, 'region.' || r_name AS to_fqn FROM nation JOIN region ON n_regionkey=r_regionkey UNION ALL SELECT 'supplier.' || n_name || '.' || s_name, 'nation.' || r_name || '.' || n_name FROM supplier JOIN nation ON s_nationkey=n_nationkey JOIN region ON n_regionkey=r_regionkey
+UNION ALL SELECT 'customer.' || n_name || '.' || c_name, 'nation.' || r_name || '.' || n_name FROM customer JOIN nation ON c_nationkey=n_nationkey JOIN region ON n_regionkey=r_regionkey""")
 def dep_edges_fqn(t):
     nations = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
     up = F.concat(F.lit("nation."), "r_name", F.lit("."), "n_name")
     a = nations.select(up.alias("from_fqn"), F.concat(F.lit("region."), "r_name").alias("to_fqn"))
     b = t.supplier.join(nations, F.col("s_nationkey") == F.col("n_nationkey")).select(F.concat(F.lit("supplier."), "n_name", F.lit("."), "s_name").alias("from_fqn"), up.alias("to_fqn"))
-    return a.unionByName(b)
+    c = t.customer.join(nations, F.col("c_nationkey") == F.col("n_nationkey")).select(F.concat(F.lit("customer."), "n_name", F.lit("."), "c_name").alias("from_fqn"), up.alias("to_fqn"))
+    return a.unionByName(b).unionByName(c)
 
 
 @query(f"""{_OBJECTS}, edges AS (SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN 'region.ASIA' WHEN 1 THEN 'n.' || c_nationkey ELSE 'nowhere' END AS to_qn FROM customer)
@@ -680,3 +686,86 @@ def session_generate(t):
     old = {"region": t.region, "nation": t.nation}
     new = {"nation": t.nation.withColumn("n_comment", F.lit(""))}
     return Session(t.spark).extract(old).extract(new).diff().generate().result().select("seq", "fqn", "action")
+
+
+# --- edges that objects imply, their sides and conditions ------------------------------------------------------------------
+
+
+@query("""SELECT o_orderkey AS node, 'role.' || o_custkey AS target FROM orders WHERE o_custkey <> 7 UNION ALL SELECT o_orderkey, 'schema.' || o_orderpriority FROM orders WHERE o_orderpriority <> '5-LOW'""")
+def dep_edges_generated(t):
+    owner = F.nullif(text("o_custkey"), F.lit("7"))  # null: without a role
+    return edges.implied(t.orders.select("o_orderkey", owner.alias("owner"), F.col("o_orderpriority").alias("schema")), {"owner": "role", "schema": "schema"}, "o_orderkey", {"schema": "5-LOW"})
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN o_custkey END AS owner FROM orders""")
+def dep_edges_removed(t):
+    rows = t.orders.select("o_orderkey", F.col("o_custkey").alias("owner"), (F.col("o_orderstatus") == "O").alias("retain_deps"))
+    return edges.stripped(rows, ["owner"], "retain_deps").select("o_orderkey", "owner")
+
+
+@query("""SELECT c_custkey AS node, CASE WHEN c_custkey % 2 = 0 THEN c_nationkey END AS needs FROM customer WHERE c_custkey % 2 = 1 OR c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2)""")
+def depset_conditions(t):
+    asked = t.customer.select(F.col("c_custkey").alias("node"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_nationkey")).alias("needs"))
+    return edges.conditional(asked, t.nation, F.col("n_regionkey") == 2, fqn="n_nationkey")
+
+
+@query("""WITH e AS (SELECT c_custkey AS node, c_nationkey AS target, CASE c_custkey % 3 WHEN 0 THEN 'forwards' WHEN 1 THEN 'backwards' END AS applies, CASE WHEN c_custkey % 5 = 0 THEN 'forwards' END AS direction FROM customer),
+s AS (SELECT node, target, direction, unnest(CASE WHEN applies IS NULL THEN ['forwards', 'backwards'] ELSE [applies] END) AS side FROM e)
+SELECT CASE WHEN coalesce(direction, side) = 'backwards' THEN target ELSE node END AS node, CASE WHEN coalesce(direction, side) = 'backwards' THEN node ELSE target END AS target, side FROM s""")
+def edge_directions(t):
+    k = F.col("c_custkey")
+    told = t.customer.select(k.alias("node"), F.col("c_nationkey").cast(t.customer.schema["c_custkey"].dataType).alias("target"), F.when(k % 3 == 0, "forwards").when(k % 3 == 1, "backwards").alias("applies"), F.when(k % 5 == 0, "forwards").alias("direction"))
+    return edges.sided(told)
+
+
+@query("""WITH a AS (SELECT DISTINCT l_orderkey AS node, CASE l_linenumber WHEN 1 THEN 'build' WHEN 2 THEN 'diff' WHEN 3 THEN 'drop' ELSE 'diffprep' END AS action FROM lineitem)
+SELECT x.node, x.action, y.action AS after FROM a x JOIN a y ON x.node = y.node AND ((x.action = 'build' AND y.action = 'drop') OR (x.action = 'diff' AND y.action = 'diffprep'))""")
+def mirror_edges(t):
+    n = F.col("l_linenumber")
+    return edges.mirrored(t.lineitem.select(F.col("l_orderkey").alias("node"), F.when(n == 1, "build").when(n == 2, "diff").when(n == 3, "drop").otherwise("diffprep").alias("action")))
+
+
+# --- lists, computed names, navigation of a list ----------------------------------------------------------------------------
+
+
+@query("""SELECT p_partkey, array_to_string(list_concat([p_size], l), ',') AS added, array_to_string(list_filter(l, lambda x: x <> 3), ',') AS fewer, array_to_string(list_concat(l, list_filter([9, p_size % 5], lambda x: NOT list_contains(l, x))), ',') AS joined, array_to_string(list_reverse_sort(l), ',') AS down
+FROM (SELECT p_partkey, p_size, [p_size % 3, 3, p_size % 3 + 5] AS l FROM part)""")
+def list_edits(t):
+    size = F.col("p_size")
+    items = F.array(size % 3, F.lit(3).cast(t.part.schema["p_size"].dataType), size % 3 + 5)
+    # Sets: the pieces of the list differ from each other, and 9 is never size % 5.
+    joined = scalar.inserted(items, F.array(F.lit(9).cast(t.part.schema["p_size"].dataType), size % 5))
+    lists = {"added": scalar.cons(size, items), "fewer": scalar.removed(items, F.lit(3)), "joined": joined, "down": scalar.ordered_by(items, lambda x, y: x > y)}
+    return t.part.select("p_partkey", *(F.array_join(x, ",").alias(n) for n, x in lists.items()))
+
+
+@query("""SELECT p_partkey, CASE p_brand WHEN 'Brand#11' THEN '1.0' WHEN 'Brand#22' THEN '2.1' END AS version, substr(p_name, 1, (p_size % 4) * 2) AS start, p_brand AS name, p_type AS value FROM part""")
+def computed_names(t):
+    entry = F.explode(scalar.member(F.col("p_brand"), F.col("p_type"))).alias("name", "value")
+    return t.part.select("p_partkey", scalar.looked_up(F.col("p_brand"), {"Brand#11": "1.0", "Brand#22": "2.1"}).alias("version"), F.substring("p_name", F.lit(1), (F.col("p_size") % 4).cast("int") * 2).alias("start"), entry)
+
+
+@query("""SELECT vec_id, n_name FROM (SELECT vec_id, [label, label + 1] AS arr FROM embeddings) JOIN nation ON n_nationkey = arr[1]""")
+def array_subscript_join(t):
+    keyed = t.embeddings.select("vec_id", F.array("label", F.col("label") + 1).alias("arr"))
+    return keyed.join(t.nation, F.col("n_nationkey") == F.get("arr", F.lit(0))).select("vec_id", "n_name")
+
+
+@query("""SELECT n_name, r_name AS parent_name, n_nationkey AS id FROM nation LEFT JOIN region ON n_regionkey = r_regionkey AND r_regionkey <> 1""")
+def nav_flatten(t):
+    tree = t.nation.select(F.col("n_name").alias("name"), F.concat(F.lit("n"), text("n_nationkey")).alias("fqn"), F.concat(F.lit("r"), text("n_regionkey")).alias("parent"), F.col("n_nationkey").alias("id"))
+    tree = tree.unionByName(t.region.filter("r_regionkey <> 1").select(F.col("r_name").alias("name"), F.concat(F.lit("r"), text("r_regionkey")).alias("fqn"), F.lit(None).cast("string").alias("parent"), F.lit(None).cast(t.nation.schema["n_nationkey"].dataType).alias("id")))
+    return navigation.flattened(tree).filter("id is not null").select(F.col("name").alias("n_name"), F.col("parent_node.name").alias("parent_name"), "id")
+
+
+@query("""SELECT l_orderkey, lag(l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS from_fqn, l_linenumber AS fqn FROM lineitem WHERE l_returnflag <> 'R'""")
+def nav_skip_disabled(t):
+    lines = t.lineitem.select("l_orderkey", F.col("l_linenumber").alias("fqn"), (F.col("l_returnflag") == "R").alias("disabled"))
+    return navigation.steps(lines, "fqn", ["l_orderkey"])
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'rebuild' WHEN o_totalprice > 300000 THEN 'diff' WHEN o_orderpriority = '5-LOW' THEN 'UNKNOWN' WHEN o_orderstatus = 'F' THEN 'diffkids' ELSE 'none' END AS status FROM orders""")
+def diff_precedence(t):
+    own = F.col("o_totalprice") > 300000
+    status = diff.precedence(own, F.col("o_orderstatus") == "P", F.col("o_orderpriority") != "5-LOW", F.col("o_orderstatus") == "F")
+    return t.orders.select("o_orderkey", status.alias("status"))

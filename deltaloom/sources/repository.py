@@ -7,8 +7,13 @@ from pyspark.sql import functions as F
 
 
 def content_hash(columns: list[str]) -> Column:
-    """md5 of the columns in a fixed spelling; null differs from empty."""
-    return F.md5(F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("<null>")) for c in columns)))
+    """md5 of the columns as JSON: null differs from empty, and no value runs into the next."""
+    return F.md5(F.to_json(F.struct(*(F.col(c).cast("string").alias(f"c{i}") for i, c in enumerate(columns)))))
+
+
+def listing(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """(path, length) of all files below ``path`` whose name fits ``pattern`` (as of a shell); contents are not read."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path).select("path", "length")
 
 
 def scatter_status(stored: DataFrame, fresh: DataFrame, key: list[str]) -> DataFrame:

@@ -11,7 +11,9 @@ import __spark_entry__ as entry
 from deltaloom import queries as catalogue
 from deltaloom.functions import macros, quoting, scalar
 from deltaloom.operators import diff, graph, navigation, relational
+from deltaloom.operators import edges as edge_rules
 from deltaloom.plans.session import Session
+from deltaloom.sources import repository
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages".split()
@@ -139,3 +141,43 @@ def test_session_keeps_its_stack(spark):
     assert sorted(lines) == sorted(["schema=public|schema.public", "  table=t|table.public.t", "    column=id|column.public.t.id"])
     same = Session(spark).extract({"t": table}).extract({"t": table}).diff().result()
     assert {r.status for r in same.collect()} == {"none"}
+
+
+def test_walks_end_with_an_error_on_a_cycle(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (1, 3)], "source int, target int")
+    seeds = spark.createDataFrame([(1,)], "node int")
+    assert sorted(tuple(r) for r in graph.walks(edges, seeds).collect()) == [(1, 1, 0), (1, 2, 1), (1, 3, 1), (1, 3, 2)]
+    with pytest.raises(ValueError, match="more than 5"):
+        graph.walks(edges.unionByName(spark.createDataFrame([(3, 1)], edges.schema)), seeds, most_rounds=5)
+
+
+def test_resolution_raises_on_repeated_and_required_names(spark):
+    edges = spark.createDataFrame([("a", "x"), ("b", "gone")], "from_fqn string, to_qn string")
+    objects = spark.createDataFrame([("x", "p"), ("y", "gone"), ("z", "gone")], "fqn string, pqn string")
+    assert {(r.from_fqn, r.to_fqn) for r in graph.resolved(edges, objects).collect()} == {("a", "x"), ("b", "y")}
+    with pytest.raises(PySparkException, match="several objects"):
+        graph.resolved(edges, objects.unionByName(objects)).collect()
+    with pytest.raises(PySparkException, match="nothing is called gone"):
+        graph.resolved(edges, objects.filter("fqn = 'x'"), F.lit(True)).collect()
+
+
+def test_hash_of_columns_keeps_them_apart(spark):
+    rows = spark.createDataFrame([("a|b", "c"), ("a", "b|c"), ("", None), (None, "")], "x string, y string")
+    assert rows.select(repository.content_hash(["x", "y"])).distinct().count() == 4
+
+
+def test_empty_pieces_stay(spark):
+    assert one(spark, scalar.split_quoted(F.lit(',a,"b,c",,'))) == ["", "a", '"b,c"', "", ""]
+
+
+def test_listing_by_pattern(spark, tmp_path):
+    for name in ("a.xml", "sub/b.xml", "sub/c.txt"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("x")
+    assert {r.path.rsplit("/", 1)[-1] for r in repository.listing(spark, str(tmp_path), "*.xml").collect()} == {"a.xml", "b.xml"}
+
+
+def test_an_unknown_side_raises(spark):
+    rows = spark.createDataFrame([(1, 2, "up", None)], "node int, target int, applies string, direction string")
+    with pytest.raises(PySparkException, match="no side: up"):
+        edge_rules.sided(rows).collect()
