@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deltaloom.llm import minhash, pack, pareto_mix, suffix_dedup, zlang
@@ -20,14 +20,21 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return minhash.one_of_each(docs)
 
 
+def without_cut_characters(raw: Column) -> Column:
+    """UTF-8 text of bytes, without the parts of characters that a cut has left; U+FFFD that the text itself holds stays."""
+    mark, own, lost = "\ue000", "\ue001", "\ue002"
+    told = F.replace(F.replace(raw.cast("string"), F.lit(mark), F.lit(mark + own)), F.lit("\ufffd"), F.lit(mark + lost))
+    left = F.replace(F.make_valid_utf8(told), F.lit("\ufffd"), F.lit(""))
+    return F.replace(F.replace(left, F.lit(mark + lost), F.lit("\ufffd")), F.lit(mark + own), F.lit(mark))
+
+
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes of 100-byte strings that start earlier; characters cut in part go too, and n_chars follows.
 
     A null text stays null. Every document stays, those of which nothing is left with an empty text.
     """
     cut = suffix_dedup.remove_repeats(docs.withColumn("deltaloom_null", F.col("text").isNull()))
-    whole = F.col("kept").cast("string")
-    text = F.when(F.size("spans") > 0, F.replace(F.make_valid_utf8(whole), F.lit("�"), F.lit(""))).otherwise(whole)
+    text = F.when(F.size("spans") > 0, without_cut_characters(F.col("kept"))).otherwise(F.col("kept").cast("string"))
     out = cut.withColumn("text", F.when(~F.col("deltaloom_null"), text))
     return out.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 

@@ -5,6 +5,7 @@ import random
 
 import brute
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from deltaloom.llm import common, minhash, sphere_caps, suffix_dedup, topk
@@ -216,3 +217,20 @@ def test_search_equals_the_plain_version(spark, monkeypatch):
     small = spark.createDataFrame([(0, [1.0]), (3, [2.0])], "vec_id long, embedding array<float>")
     assert rows(topk.search(small, F.col("vec_id") % 50 == 0)) == {(0, 1, 3, 256 * 512)}
     assert rows(topk.search(small.limit(0), F.col("vec_id") % 50 == 0)) == set()
+
+
+def test_scores_beyond_64_bits_are_refused(spark):
+    big = spark.createDataFrame([(0, [2e7] * 4), (1, [1.0] * 4)], "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError, match="64 bits"):
+        topk.search(big, F.col("vec_id") % 50 == 0)
+    fine = spark.createDataFrame([(0, [4e6] * 4), (1, [4e6] * 4), (1, [4e6] * 4)], "vec_id long, embedding array<double>")
+    assert [tuple(r) for r in topk.search(fine, F.col("vec_id") % 50 == 0).orderBy("rank").collect()] == [(0, n, 1, 4 * (256 * 4000000) ** 2) for n in (1, 2)]
+
+
+@pytest.mark.parametrize("width", [1, 2, 8, 24, 300])
+def test_near_vectors_of_any_width(spark, width):
+    r = np.random.default_rng(width)
+    centres = [r.standard_normal(width) for _ in range(6)]
+    near = lambda c: c + 0.14 * r.standard_normal(width) * np.linalg.norm(c) / width**0.5
+    data = [(i, near(centres[i % 6]).astype(np.float32).tolist(), 0) for i in range(60)]
+    assert rows(sphere_caps.near_duplicates(spark.createDataFrame(data, VECTORS))) == brute.near_vectors(data)

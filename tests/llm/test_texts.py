@@ -58,6 +58,12 @@ def test_packing_round_trip(spark, monkeypatch):
     assert rows(pack.pack(spark.createDataFrame([], "doc_id long, text string"), PATH)) == set()
 
 
+def test_repeated_rows_are_dealt_over_many_groups(spark):
+    docs = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"))
+    out = pack.pack(docs, PATH, group_rows=300).select((F.col("sequence_id") / 2**32).cast("int").alias("group")).groupBy("group").count().collect()
+    assert len(out) == 10 and max(x["count"] for x in out) < 450
+
+
 def test_sum_of_squares_follows_the_rule():
     r = random.Random(3)
     for _ in range(30):
@@ -146,6 +152,62 @@ def test_quality_edges(spark):
         assert one["rules"] == [] and rule_quality.score(labelled, one).select("score").distinct().count() == 1
 
 
+def test_language_equals_sizes_of_one_text_at_a_time(spark):
+    import zstandard
+
+    r = random.Random(4)
+    en, fr = "the house of a garden and with this that which".split(), "la maison du jardin avec cette qui dans été une".split()
+    line = lambda words, n: " ".join(r.choice(words) for _ in range(n))
+    data = [(i, line(en if i % 2 else fr, 50), "en" if i % 2 else "fr") for i in range(40)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    learned = zlang.fit(docs)
+    # Ties, repeated rows, a character of two bytes over a block's edge, texts around and far beyond a block.
+    texts = ["xyz", "xyz", "Q", "x" * 2047 + "é" * 10, line(fr, 400), line(en, 3000), line(en, 40) + " " + line(fr, 40), "THE HOUSE", None, "", "7"]
+    got = {x.doc_id: x for x in zlang.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), learned).collect()}
+
+    def sizes(text):
+        raw = text.lower().encode()
+        out = []
+        for name in sorted(learned):
+            params = zstandard.ZstdCompressionParameters.from_level(7, source_size=2048, dict_size=len(learned[name]), write_content_size=False, write_checksum=False, write_dict_id=False)
+            code = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(learned[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=params)
+            out.append(sum(len(code.compress(raw[i : i + 2048])) for i in range(0, len(raw), 2048)))
+        return out
+
+    for i, text in enumerate(texts):
+        if not text or text == "7":
+            assert (got[i].lang_pred, got[i].score, got[i].rejected) == ("und", 0.0, True)
+            continue
+        both = sizes(text)
+        if abs(both[0] - both[1]) < 0.01 * min(both):
+            words = text.split()
+            both = [sum(x) for x in zip(*(sizes(" ".join(words[k:] + words[:k])) for k in range(0, len(words), -(-len(words) // 8))))]
+        share = abs(both[0] - both[1]) / min(both)
+        assert got[i].lang_pred == sorted(learned)[both.index(min(both))] and math.isclose(got[i].score, share / (share + 0.01)) and got[i].rejected == (share < 0.01)
+
+
+def test_quality_equals_rules_read_one_by_one(spark):
+    data = [(i, "a fine text of words number %d." % i, 1) for i in range(40)] + [(100 + i, "$$$ ### %d &&&\n$$$" % i, 0) for i in range(40)] + [(200, None, None), (201, "", None), (202, "Some words!! \n\nsome words " * 400, None), (203, "é 7 É", None), (203, "é 7 É", None)]
+    docs = rule_quality.measured(spark.createDataFrame(data, "doc_id long, text string, quality int"))
+    model = rule_quality.fit(docs)
+    assert model["rules"]
+
+    def numbers(text):
+        words, lines = re.findall(r"[^\x20\x09-\x0D]+", text), text.split("\n")
+        share = lambda n, of: n / of if of else 0.0
+        import regex
+
+        count = lambda p: len(regex.findall(p, text))
+        return {"n_words": len(words), "word_length": share(len(text), len(words)), "upper": share(count(r"\p{Lu}"), len(text)), "digits": share(count(r"\p{Nd}"), len(text)), "stops": share(count(r"[.!?]"), len(words)),
+                "marks": share(count(r"[^\p{L}\p{N}\s.,;:'!?-]"), len(words)), "doubled_marks": share(count(r"([^\p{L}\p{N}\s])\1"), len(words)), "line_words": share(len(words), len(lines)),
+                "repeated_lines": share(len(lines) - len(set(lines)), len(lines)), "repeated_words": share(count(r"(?<![^\s])([^\s]+)\s+\1(?![^\s])"), len(words))}
+
+    for row in rule_quality.score(docs, model).collect():
+        x = list(numbers(row.text or "").values())
+        total = model["intercept"] + sum(w for rule, w in model["rules"] if all((x[f] <= t) == below for f, below, t in rule))
+        assert math.isclose(row.score, 1 / (1 + math.exp(-total)), rel_tol=1e-12) and row.predicted == (row.score >= 0.7)
+
+
 # --- mixing
 
 
@@ -211,6 +273,13 @@ def test_rules_equal_the_plain_version(spark):
     assert {x.verdict for x in url_sweep.apply_rules(table, known.limit(0)).collect()} == {"allow"}
 
 
+def test_paths_without_a_slash_and_deep_hosts(spark):
+    rules = spark.createDataFrame([("com", "x", "block"), ("a.com", "", "allow"), ("b/c", "", "block")], "host string, path string, action string")
+    urls = ["http://xample.com/", "http://com/x", "http://comx", "http://" + "a." * 300 + "com/x", "http://b/c", "http://b.a.com?x"]
+    got = {x.page_id: (x.rule, x.verdict) for x in url_sweep.apply_rules(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).collect()}
+    assert got == {0: (None, "allow"), 1: (None, "allow"), 2: (None, "allow"), 3: ("a.com", "allow"), 4: (None, "allow"), 5: ("a.com", "allow")}
+
+
 def test_rules_run_no_python(spark):
     d = "/root/testdata/sf0.001"
     plan = queries.op5_url_sweep(spark, d)._jdf.queryExecution().executedPlan().toString()
@@ -278,6 +347,23 @@ def test_rare_words_and_bigrams_count_however_large_the_background_is(spark):
 # --- pipeline
 
 
+def test_own_replacement_characters_stay(spark):
+    import corpus_pipeline as p
+
+    raw = "a\ufffdb\ue000\ue002c é".encode()
+    rows_ = spark.createDataFrame([(1, bytearray(raw)), (2, bytearray(raw[:-1] + b"x"))], "i int, kept binary")
+    assert {r.i: r.t for r in rows_.select("i", p.without_cut_characters(F.col("kept")).alias("t")).collect()} == {1: raw.decode(), 2: "a\ufffdb\ue000\ue002c x"}
+
+
+def test_pipeline_of_an_empty_table(spark):
+    import corpus_pipeline as p
+
+    docs = spark.createDataFrame([], DOCS)
+    for _, stage in p.STAGES:
+        docs = stage(spark, docs, "")
+    assert docs.count() == 0
+
+
 def test_pipeline_against_a_plain_version(spark):
     import corpus_pipeline as p
 
