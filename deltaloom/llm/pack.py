@@ -19,10 +19,10 @@ from pyspark.sql import functions as F
 
 from .common import freed, lean, slices, spread
 
-#: Words, or parts of words, kept during a task; emptied when full. Longer ones are not kept.
+#: Words, or parts of words, kept in a Python worker (some 50 MB when full); emptied when full. Longer ones are not kept.
 MEMO_SIZE, MEMO_LENGTH = 200_000, 64
 #: Bytes of text tokenised together.
-TOGETHER = 1 << 20
+TOGETHER = 2 << 20
 #: The pattern of pre-tokenizers for which ``cut`` is written (a fixed value).
 WORDS_AND_SIGNS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SPACE, LETTER, NUMBER, SIGN, ODD = range(5)
@@ -183,14 +183,11 @@ def token_pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text:
 
     @lean
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # The tokenizer stays in the worker, the words of one task do not.
-        memo = _memos[tokenizer] = _memos.get(tokenizer) or _Memo(tokenizer)
-        try:
-            for batch in batches:
-                for some in slices(batch, "text", TOGETHER):
-                    yield out(some, memo.ids([t or "" for t in some.column("text").to_pylist()]))
-        finally:
-            memo.clear()
+        # An emptied memo is false as well, and still holds its tokenizer.
+        memo = _memos[tokenizer] = _memos[tokenizer] if tokenizer in _memos else _Memo(tokenizer)
+        for batch in batches:
+            for some in slices(batch, "text", TOGETHER):
+                yield out(some, memo.ids([t or "" for t in some.column("text").to_pylist()]))
 
     def out(batch: pa.RecordBatch, wholes: list[bytes]) -> pa.RecordBatch:
         rows, piece, ids = [], [], []
