@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import re
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -20,7 +21,7 @@ class Attribute:
 
 @dataclass(frozen=True)
 class Rule:
-    """How objects of one type are compared: their key columns, compared attributes, and text columns (null is empty)."""
+    """How objects of one type are compared: their key columns, compared attributes, text columns (null is empty), and by array column the rule of its elements."""
 
     key: tuple[str, ...]
     attributes: tuple[Attribute, ...] = ()
@@ -86,9 +87,92 @@ def swapped(statuses: DataFrame) -> DataFrame:
 
 
 def applied(old: DataFrame, new: DataFrame, rule: Rule) -> DataFrame:
-    """What ``old`` becomes when the differences are carried out: it equals ``new``."""
-    keep = statuses(old, new, rule).filter("status = 'none'").select(*rule.key)
-    return old.join(keep, list(rule.key), "left_semi").unionByName(new.join(keep, list(rule.key), "left_anti"))
+    """What ``old`` becomes when the differences are carried out: gone rows go, new and rebuilt ones come from ``new``, and of the others only the attributes and texts that differ are set."""
+    key, changed = list(rule.key), [a.name for a in rule.attributes] + list(rule.texts)
+    status = statuses(old, new, rule)
+    whole = new.join(status.filter("status in ('new', 'rebuild')"), key, "left_semi")
+    kept = old.join(status.filter("status in ('none', 'diff')"), key, "left_semi")
+    values = new.select(*key, F.struct(F.lit(True).alias("deltaloom_there"), *changed).alias("deltaloom_new"))
+    edited = kept.join(values, key).withColumns({c: F.col(f"deltaloom_new.{c}") for c in changed})
+    return edited.select(*old.columns).unionByName(whole.select(*old.columns))
+
+
+def _elements(objects: DataFrame, rule: Rule, name: str, once: bool) -> DataFrame:
+    inner = rule.elements[name]
+    flat = objects.select(*rule.key, F.inline(name))
+    if not once:
+        return flat
+    key = [*rule.key, *inner.key]
+    many = F.count("*").over(Window.partitionBy(*key)) > 1
+    told = F.concat_ws(" ", F.lit(f"repeated element in {name}:"), *(F.col(k).cast("string") for k in key))
+    first = inner.key[0]
+    return flat.withColumn(first, F.when(many, F.raise_error(told).cast(flat.schema[first].dataType)).otherwise(F.col(first)))
+
+
+def element_statuses(old: DataFrame, new: DataFrame, rule: Rule, name: str) -> DataFrame:
+    """(key..., element's key..., status): the structs in the array column ``name``, matched by their own key within objects of one key.
+
+    An element that is twice in a new object raises an error. Elements of
+    elements: take ``nested_rule`` and explode one array more.
+    """
+    inner = nested_rule(rule, name)
+    return statuses(_elements(old, rule, name, False).dropDuplicates(list(inner.key)), _elements(new, rule, name, True), inner)
+
+
+def nested_rule(rule: Rule, name: str) -> Rule:
+    """The rule of the elements in ``name``, its key led by the object's."""
+    return replace(rule.elements[name], key=(*rule.key, *rule.elements[name].key))
+
+
+def tree_statuses(old: DataFrame, new: DataFrame, rule: Rule) -> DataFrame:
+    """``statuses`` in which an object on both sides is diff, too, if any of its elements is not none."""
+    out = statuses(old, new, rule)
+    for name in rule.elements:
+        marked = element_statuses(old, new, rule, name).filter("status <> 'none'").select(*rule.key).distinct().withColumn("deltaloom_element", F.lit(True))
+        status = F.when((F.col("status") == "none") & F.col("deltaloom_element"), "diff").otherwise(F.col("status"))
+        out = out.join(marked, list(rule.key), "left").withColumn("status", status).drop("deltaloom_element")
+    return out
+
+
+def rules_of(pairs: list[tuple[str, Rule]]) -> dict[str, Rule]:
+    """Rules by type; a type told twice and a rule without a key are errors."""
+    out: dict[str, Rule] = {}
+    for kind, rule in pairs:
+        if kind in out:
+            raise ValueError(f"two rules for {kind}")
+        if not rule.key:
+            raise ValueError(f"no key in the rule for {kind}")
+        out[kind] = rule
+    return out
+
+
+def both_sides(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Dependencies or contexts of a comparison: the old description's count backwards, the new one's forwards (column ``applies``)."""
+    return old.withColumn("applies", F.lit("backwards")).unionByName(new.withColumn("applies", F.lit("forwards")))
+
+
+def filled(template: str, old: str = "old", new: str = "new") -> Column:
+    """``template`` with ``{old.x}`` and ``{new.x}`` replaced by fields of two struct columns; another name or a lone brace is an error."""
+    sides = {"old": old, "new": new}
+    parts = []
+    for place, part in enumerate(re.split(r"\{([^{}]*)\}", template)):
+        if place % 2 == 0:
+            if "{" in part or "}" in part:
+                raise ValueError(f"a lone brace in {template}")
+            parts.append(F.lit(part))
+        else:
+            side, dot, name = part.partition(".")
+            if not dot or side not in sides:
+                raise ValueError(f"unknown name {part} in {template}")
+            parts.append(F.col(f"{sides[side]}.{name}").cast("string"))
+    return F.concat(*parts)
+
+
+def change_edges(old: DataFrame, new: DataFrame, rule: Rule, templates: dict[str, str]) -> DataFrame:
+    """(key..., attr, target): for each attribute that differs, the dependency its template names; a template with a null field names none."""
+    both = paired(old, new, rule).filter(F.col("old").isNotNull() & F.col("new").isNotNull())
+    named = (F.when(_changed(attr), F.struct(F.lit(attr).alias("attr"), filled(text).alias("target"))) for attr, text in templates.items())
+    return both.select(*rule.key, F.inline(F.array_compact(F.array(*named)))).filter("target is not null")
 
 
 def precedence(own: Column, rebuild: Column, has_rule: Column, kids: Column) -> Column:

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 
 def _kept(df: DataFrame) -> DataFrame:
-    """Cuts the lineage of a round: written to spark.checkpoint.dir where the session has one, else cached."""
+    """Cuts the lineage of a round: written to spark.checkpoint.dir; cached where a session on one machine names none."""
     folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not df.sparkSession.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         return df.persist()
     path = f"{folder.rstrip('/')}/deltaloom-graph-{uuid.uuid4().hex}"
     df.write.parquet(path)
@@ -71,26 +73,87 @@ def levels(nodes: DataFrame, edges: DataFrame, node: str = "node", source: str =
     return rest if done is None else done.unionByName(rest)
 
 
-def on_cycles(edges: DataFrame, source: str = "source", target: str = "target") -> DataFrame:
-    """(node): nodes that lie on a cycle, self-loops included.
+def cycles(edges: DataFrame, source: str = "source", target: str = "target") -> DataFrame:
+    """(node, cycle): nodes on a cycle, self-loops included, each with the smallest node of those it shares cycles with.
 
-    First, nodes without a way in or out are taken off until none is left; then a
-    node is on a cycle if it reaches itself, found on what remains.
+    Nodes without a way in or out are taken off. Then each node learns the
+    smallest node that reaches it; the nodes that reach their own smallest one
+    lie on cycles with it. They are taken out, and the rest goes round again.
+    Rows stay as many as the edges; rounds follow the longest way in the core.
     """
     arrows = _kept(edges.select(F.col(source).alias("s"), F.col(target).alias("t")).filter("s is not null and t is not null").distinct())
+    found = None
     while True:
-        trimmed = _kept(arrows.join(arrows.select(F.col("t").alias("s")).distinct(), "s", "left_semi").join(arrows.select(F.col("s").alias("t")).distinct(), "t", "left_semi"))
-        if trimmed.count() == arrows.count():
+        n_arrows = arrows.count()
+        while n_arrows:
+            trimmed = _kept(arrows.join(arrows.select(F.col("t").alias("s")).distinct(), "s", "left_semi").join(arrows.select(F.col("s").alias("t")).distinct(), "t", "left_semi").select("s", "t"))
+            before, n_arrows, arrows = n_arrows, trimmed.count(), trimmed
+            if n_arrows == before:
+                break
+        if not n_arrows:
             break
-        arrows = trimmed
-    paths = fresh = arrows
+        colour = _kept(arrows.select(F.col("s").alias("node")).distinct().withColumn("colour", F.col("node")))
+        while True:
+            told = colour.withColumnsRenamed({"node": "s", "colour": "told"}).join(arrows, "s").groupBy(F.col("t").alias("node")).agg(F.min("told").alias("told"))
+            fresh = _kept(colour.join(told, "node", "left").select("node", F.least("colour", "told").alias("colour"), (F.col("told") < F.col("colour")).alias("moved")))
+            more = fresh.filter("moved").limit(1).count()
+            colour = fresh.select("node", "colour")
+            if not more:
+                break
+        same = arrows.join(colour.withColumnsRenamed({"node": "s", "colour": "of_s"}), "s").join(colour.withColumnsRenamed({"node": "t", "colour": "of_t"}), "t").filter("of_s = of_t").select("s", "t")
+        same = _kept(same)
+        back = reachable(same, colour.filter("node = colour").select("node"), "t", "s")
+        core = _kept(back.join(colour, "node").select("node", F.col("colour").alias("cycle")))
+        # A node alone is on a cycle only by an edge to itself.
+        inside = same.join(core.select(F.col("node").alias("s")), "s", "left_semi").join(core.select(F.col("node").alias("t")), "t", "left_semi")
+        members = core.join(inside.select(F.col("s").alias("node")).distinct(), "node", "left_semi")
+        found = members if found is None else found.unionByName(members)
+        arrows = _kept(arrows.join(core.select(F.col("node").alias("s")), "s", "left_anti").join(core.select(F.col("node").alias("t")), "t", "left_anti").select("s", "t"))
+    return found if found is not None else arrows.select(F.col("s").alias("node"), F.col("t").alias("cycle")).limit(0)
+
+
+def on_cycles(edges: DataFrame, source: str = "source", target: str = "target") -> DataFrame:
+    """(node): nodes that lie on a cycle, self-loops included."""
+    return cycles(edges, source, target).select("node")
+
+
+def without_cycles(edges: DataFrame, options: DataFrame, breakers: DataFrame) -> DataFrame:
+    """(node, target, depset_id): the edges, one option of each dependency set, and breakers instead of nodes, so that no cycle is left.
+
+    edges: (node, target). options: (depset_id, node, target, priority), of which
+    the first by priority and target is taken. breakers: (node, breaker). As long
+    as there are cycles, in each of them one set (the smallest id that has an
+    option left and whose edge lies within) goes on to its next option, which it
+    keeps; a cycle without such a set has the edges within to its smallest node
+    that has a breaker led to the breaker; a cycle without either raises an
+    error. All cycles are mended at once in a round, each change is made once,
+    so the rounds end.
+    """
+    place = Window.partitionBy("depset_id").orderBy("priority", "target")
+    fixed = edges.select("node", "target", F.lit(None).cast(options.schema["depset_id"].dataType).alias("depset_id"), F.lit(1).alias("place"), F.lit(1).alias("of"))
+    ranked = options.select("node", "target", "depset_id", F.row_number().over(place).alias("place"), F.count("*").over(Window.partitionBy("depset_id")).cast("int").alias("of"))
+    ranked = _kept(ranked)
+    now = _kept(fixed.unionByName(ranked.filter("place = 1")))
+    breaker = breakers.groupBy("node").agg(F.min("breaker").alias("breaker"))
     while True:
-        further = fresh.join(arrows.select(F.col("s").alias("t"), F.col("t").alias("u")), "t").select("s", F.col("u").alias("t")).distinct()
-        fresh = _kept(further.join(paths, ["s", "t"], "left_anti"))
-        if not fresh.limit(1).count():
-            break
-        paths = paths.unionByName(fresh)
-    return paths.filter("s = t").select(F.col("s").alias("node")).distinct()
+        on = _kept(cycles(now, "node", "target"))
+        if not on.limit(1).count():
+            return now.select("node", "target", "depset_id")
+        ends = on.withColumnsRenamed({"node": "target", "cycle": "to_cycle"})
+        marked = _kept(now.join(on, "node", "left").join(ends, "target", "left").withColumn("inside", F.when(F.col("cycle") == F.col("to_cycle"), F.col("cycle"))).drop("cycle", "to_cycle"))
+        turn = marked.filter("inside is not null").groupBy(F.col("inside").alias("cycle")).agg(F.min(F.when((F.col("depset_id").isNotNull()) & (F.col("place") < F.col("of")), F.col("depset_id"))).alias("turn"))
+        cut = on.join(breaker, "node").groupBy("cycle").agg(F.min(F.struct("node", "breaker")).alias("cut"))
+        mended = _kept(turn.join(cut, "cycle", "left").select(F.col("cycle").alias("inside"), "turn", "cut"))
+        stuck = mended.filter("turn is null and cut is null").select(F.min("inside")).first()[0]
+        if stuck is not None:
+            told = on.filter(F.col("cycle") == F.lit(stuck)).select(F.col("node").cast("string")).orderBy("node").limit(20)
+            raise ValueError("nothing breaks the cycle of " + ", ".join(r.node for r in told.collect()))
+        told = marked.join(mended, "inside", "left")
+        goes_on = F.coalesce(F.col("depset_id") == F.col("turn"), F.lit(False))
+        to = F.when(F.col("turn").isNull() & (F.col("target") == F.col("cut.node")), F.col("cut.breaker")).otherwise(F.col("target"))
+        stay = told.filter(~goes_on).select("node", to.alias("target"), "depset_id", "place", "of")
+        step = told.filter(goes_on).select("depset_id", (F.col("place") + 1).alias("place"))
+        now = _kept(stay.unionByName(ranked.join(step, ["depset_id", "place"]).select("node", "target", "depset_id", "place", "of")))
 
 
 def resolved(edges: DataFrame, objects: DataFrame, required: Column | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.quoting import quote_identifier, quote_literal
+from ..functions.quoting import quote_identifier, quote_literal, quote_qualified
 
 
 def listing(depth: Column, kind: Column, name: Column, fqn: Column, status: Column | None = None) -> Column:
@@ -33,3 +33,34 @@ def create_table(name: Column, columns: Column) -> Column:
     """``columns`` is an array of (name, type, nullable)."""
     line = lambda c: F.concat(F.lit("  "), quote_identifier(c["name"]), F.lit(" "), c["type"], F.when(c["nullable"], "").otherwise(" not null"))
     return F.concat(F.lit("create table "), quote_identifier(name), F.lit(" (\n"), F.array_join(F.transform(columns, line), ",\n"), F.lit("\n);"))
+
+
+def statement(action: Column, kind: Column, schema: Column, name: Column, table: Column, attrs: Column) -> Column:
+    """The statement that builds, drops or changes an object of any kind below; null for another kind, or where nothing is to be said.
+
+    attrs (a map of text) gives what the kind needs: column: type, nullable;
+    constraint: definition; index: columns, unique; sequence: start; view:
+    query; grant: privilege, to; a comment's text is under ``comment``. table is
+    the table that a column, constraint, index or grant belongs to. A table is
+    built empty, its columns are added one by one.
+    """
+    own, whole = quote_identifier(name), quote_qualified(schema, name)
+    of = quote_qualified(schema, table)
+    text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts), F.lit(";"))
+    not_null = F.when(attrs["nullable"] == "false", " not null").otherwise("")
+    unique = F.when(attrs["unique"] == "true", "unique ").otherwise("")
+    start = F.coalesce(F.concat(F.lit(" start with "), attrs["start"]), F.lit(""))
+    view = text("create or replace view ", whole, " as ", attrs["query"])
+    said = {
+        "schema": (text("create schema ", own), text("drop schema ", own), None),
+        "table": (text("create table ", whole, " ()"), text("drop table ", whole), None),
+        "column": (text("alter table ", of, " add column ", own, " ", attrs["type"], not_null), text("alter table ", of, " drop column ", own), text("alter table ", of, " alter column ", own, " type ", attrs["type"])),
+        "constraint": (text("alter table ", of, " add constraint ", own, " ", attrs["definition"]), text("alter table ", of, " drop constraint ", own), None),
+        "index": (text("create ", unique, "index ", own, " on ", of, " (", attrs["columns"], ")"), text("drop index ", whole), None),
+        "sequence": (text("create sequence ", whole, start), text("drop sequence ", whole), text("alter sequence ", whole, start)),
+        "view": (view, text("drop view ", whole), view),
+        "grant": (text("grant ", attrs["privilege"], " on ", of, " to ", quote_identifier(attrs["to"])), text("revoke ", attrs["privilege"], " on ", of, " from ", quote_identifier(attrs["to"])), None),
+        "comment": (text("comment on table ", of, " is ", quote_literal(attrs["comment"])), text("comment on table ", of, " is null"), text("comment on table ", of, " is ", F.coalesce(quote_literal(attrs["comment"]), F.lit("null")))),
+    }
+    cases = [F.when((kind == k) & (action == a), line) for k, lines in said.items() for a, line in zip(("build", "drop", "diff"), lines) if line is not None]
+    return F.coalesce(*cases)

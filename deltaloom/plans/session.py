@@ -55,12 +55,23 @@ class Session:
             rows = at.select(*rows.columns).unionByName(rows.filter(F.col("depth") != depth))
         return self.push(rows)
 
-    def generate(self) -> "Session":
-        """(seq, fqn, action, text): the statements in a valid order, drops from leaf to root first."""
+    def generate(self, edges: DataFrame | None = None) -> "Session":
+        """(seq, fqn, action, text): the statements in the order of dependencies, drops first and the other way round.
+
+        Each object depends on its parent; ``edges`` (node, target) say what else. Objects
+        on a cycle of dependencies raise an error. The numbers come from one window over
+        the changed objects; they are as many as schema objects, not rows of data.
+        """
         rows = G.build_actions(self.pop()).filter("action in ('build', 'drop', 'diff')")
-        order = Window.orderBy(F.when(F.col("action") == "drop", 0).otherwise(1), F.when(F.col("action") == "drop", -F.col("depth")).otherwise(F.col("depth")), "fqn")
-        value = F.array_join(F.transform(F.map_entries("attrs"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
-        text = F.coalesce(*(F.when(F.col("type") == kind, render.ddl(F.col("action"), kind, F.col("name"), F.lit("attributes"), value)) for kind in ("schema", "table", "column")))
+        needs = rows.select(F.col("fqn").alias("node"), F.col("parent").alias("target")).filter("target is not null")
+        if edges is not None:
+            needs = needs.unionByName(edges.select("node", "target"))
+        placed = G.plan(rows.select(F.col("fqn").alias("node"), "action").distinct(), needs)
+        free = F.when(F.col("level").isNull(), F.raise_error(F.concat(F.lit("on or behind a cycle: "), F.col("node"))).cast("int")).otherwise(F.col("place"))
+        rows = rows.join(placed.select(F.col("node").alias("fqn"), "action", free.alias("place")), ["fqn", "action"])
+        order = Window.orderBy(F.when(F.col("action") == "drop", 0).otherwise(1), "place", "fqn")
+        names = F.split("fqn", r"\.")
+        text = render.statement(F.col("action"), F.col("type"), F.when(F.size(names) > 2, names[1]), F.col("name"), names[2], F.col("attrs"))
         return self.push(rows.select(F.row_number().over(order).alias("seq"), "fqn", "action", text.alias("text")))
 
     def list(self) -> "Session":

@@ -654,18 +654,42 @@ def xml_attr_extract(t):
     return catalog.xml_attributes(xml, "xml", {"name": "/dump/nation/@name", "region": "/dump/nation/region", "missing": "/dump/none"}).drop("xml")
 
 
-@query("SELECT count(*) AS n FROM (SELECT 1 FROM nation) HAVING count(*) < 0")
-def scatter_gather_roundtrip(t):
-    """Rows lost or changed by writing one folder for each region and reading them back: none."""
+def folder(t) -> str:
+    """A new folder that driver and executors share; a local one only on one machine."""
     import uuid
 
-    folder = t.spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp"
-    path = f"{folder}/deltaloom-scatter-{uuid.uuid4().hex}"
-    rows = t.nation.withColumn("type", F.col("n_regionkey"))
-    repository.scatter(rows, path)
-    back = repository.gather(t.spark, path).select(rows.columns)
-    lost = rows.exceptAll(back).unionByName(back.exceptAll(rows))
-    return lost.agg(F.count("*").alias("n")).filter("n > 0")
+    shared = t.spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not t.spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{shared or 'file:///tmp'}/deltaloom-scatter-{uuid.uuid4().hex}"
+
+
+@query("SELECT c_custkey, c_name, c_nationkey, c_mktsegment AS type FROM customer")
+def scatter_gather_roundtrip(t):
+    """Customers written to one folder for each market segment, and read back."""
+    path = folder(t)
+    repository.scatter(t.customer.select("c_custkey", "c_name", "c_nationkey", F.col("c_mktsegment").alias("type")), path)
+    return repository.gather(t.spark, path)
+
+
+_SYNC = """WITH a AS (SELECT c_custkey k, c_name n, c_nationkey g FROM customer WHERE c_nationkey % 5 <> 0), b AS (SELECT c_custkey k, CASE WHEN c_nationkey % 5 = 1 THEN c_name || '!' ELSE c_name END n, c_nationkey g FROM customer WHERE c_nationkey % 5 <> 2)"""
+
+
+def synced(t) -> tuple[str, DataFrame]:
+    path = folder(t)
+    rows, g = t.customer.select(F.col("c_custkey").alias("k"), F.col("c_name").alias("n"), F.col("c_nationkey").alias("g")), F.col("g")
+    repository.sync(rows.filter(g % 5 != 0), path, "g")
+    return path, repository.sync(rows.filter(g % 5 != 2).withColumn("n", F.when(g % 5 == 1, F.concat("n", F.lit("!"))).otherwise(F.col("n"))), path, "g")
+
+
+@query(f"{_SYNC} SELECT g, CASE WHEN max(a_n) IS NULL THEN 'NEW' WHEN max(b_n) IS NULL THEN 'OLD' WHEN bool_and(a_n IS NOT DISTINCT FROM b_n) THEN 'UNCHANGED' ELSE 'MODIFIED' END AS status FROM (SELECT coalesce(a.g, b.g) AS g, a.n AS a_n, b.n AS b_n FROM a FULL OUTER JOIN b ON a.k = b.k) GROUP BY g")
+def scatter_sync_status(t):
+    return synced(t)[1]
+
+
+@query(f"{_SYNC} SELECT k, n, g FROM b")
+def scatter_sync_rows(t):
+    return repository.gather(t.spark, synced(t)[0])
 
 
 @query("""SELECT 'table.public.' || t AS fqn, CASE WHEN t = 'region' THEN 'gone' WHEN t = 'part' THEN 'new' WHEN t = 'nation' THEN 'diffkids' ELSE 'none' END AS status FROM (VALUES ('region'), ('nation'), ('part'), ('supplier')) v(t)""")
@@ -769,3 +793,72 @@ def diff_precedence(t):
     own = F.col("o_totalprice") > 300000
     status = diff.precedence(own, F.col("o_orderstatus") == "P", F.col("o_orderpriority") != "5-LOW", F.col("o_orderstatus") == "F")
     return t.orders.select("o_orderkey", status.alias("status"))
+
+
+# --- elements, both sides of a comparison, cycles that are broken --------------------------------------------------------
+
+_NESTED = """WITH a AS (SELECT l_orderkey ok, l_linenumber ln, max(l_quantity) q FROM lineitem WHERE l_orderkey % 9 <> 0 AND (l_orderkey + l_linenumber) % 6 <> 0 GROUP BY 1, 2),
+b AS (SELECT l_orderkey ok, l_linenumber ln, max(l_quantity) + CASE WHEN l_orderkey % 4 = 0 THEN 1 ELSE 0 END q FROM lineitem WHERE l_orderkey % 10 <> 0 AND (l_orderkey % 3 = 0 OR (l_orderkey + l_linenumber) % 6 <> 0) GROUP BY 1, 2),
+e AS (SELECT coalesce(a.ok, b.ok) AS ok, coalesce(a.ln, b.ln) AS ln, CASE WHEN a.ok IS NULL THEN 'new' WHEN b.ok IS NULL THEN 'gone' WHEN a.q IS DISTINCT FROM b.q THEN 'diff' ELSE 'none' END AS status FROM a FULL OUTER JOIN b ON a.ok = b.ok AND a.ln = b.ln)"""
+NESTED_RULE = diff.Rule(key=("ok",), elements={"lines": diff.Rule(key=("ln",), attributes=(diff.Attribute("q"),))})
+
+
+def nested_snapshots(t) -> tuple[DataFrame, DataFrame]:
+    lines = t.lineitem.groupBy(F.col("l_orderkey").alias("ok"), F.col("l_linenumber").alias("ln")).agg(F.max("l_quantity").alias("q"))
+    nest = lambda d: d.groupBy("ok").agg(F.collect_list(F.struct("ln", "q")).alias("lines"))
+    a = lines.filter("ok % 9 <> 0 and (ok + ln) % 6 <> 0")
+    b = lines.filter("ok % 10 <> 0 and (ok % 3 = 0 or (ok + ln) % 6 <> 0)").withColumn("q", F.col("q") + F.when(F.col("ok") % 4 == 0, 1).otherwise(0))
+    return nest(a), nest(b)
+
+
+@query(f"{_NESTED} SELECT ok, ln, status FROM e")
+def diff_nested_elements(t):
+    return diff.element_statuses(*nested_snapshots(t), NESTED_RULE, "lines")
+
+
+@query(f"{_NESTED} SELECT ok, CASE WHEN ok NOT IN (SELECT ok FROM a) THEN 'new' WHEN ok NOT IN (SELECT ok FROM b) THEN 'gone' WHEN bool_or(status <> 'none') THEN 'diff' ELSE 'none' END AS status FROM e GROUP BY ok")
+def diff_element_owners(t):
+    return diff.tree_statuses(*nested_snapshots(t), NESTED_RULE)
+
+
+@query("""SELECT o_orderkey AS node, o_custkey AS target, 'backwards' AS applies FROM orders WHERE o_orderkey % 7 <> 0 UNION ALL SELECT o_orderkey, o_custkey, 'forwards' FROM orders WHERE o_orderkey % 5 <> 0""")
+def diff_dependency_merge(t):
+    edge, k = t.orders.select(F.col("o_orderkey").alias("node"), F.col("o_custkey").alias("target")), F.col("node")
+    return diff.both_sides(edge.filter(k % 7 != 0), edge.filter(k % 5 != 0))
+
+
+@query(f"{_SNAPSHOTS} SELECT a.k, 's' AS attr, 'status.' || a.s || '.' || b.s AS target FROM a JOIN b ON a.k = b.k WHERE a.s <> b.s UNION ALL SELECT a.k, 'p', 'priority.' || b.p FROM a JOIN b ON a.k = b.k WHERE a.p IS DISTINCT FROM b.p AND b.p IS NOT NULL")
+def diff_change_edges(t):
+    return diff.change_edges(*snapshots(t), ORDER_RULE, {"s": "status.{old.s}.{new.s}", "p": "priority.{new.p}"})
+
+
+@query("""SELECT 'a' || s_suppkey AS node, 'b' || s_suppkey AS target, CAST(NULL AS BIGINT) AS depset_id FROM supplier WHERE s_suppkey % 3 <> 1
+UNION ALL SELECT 'a' || s_suppkey, 'base' || s_suppkey, NULL FROM supplier WHERE s_suppkey % 3 = 1
+UNION ALL SELECT 'b' || s_suppkey, CASE WHEN s_suppkey % 3 = 1 THEN 'a' ELSE 'c' END || s_suppkey, CAST(s_suppkey AS BIGINT) FROM supplier""")
+def cycle_broken(t):
+    """a needs b; b needs a, or else c where s_suppkey % 3 = 0; c alone where it is 2; where it is 1 a view's base stands in for b."""
+    k = F.col("s_suppkey")
+    of = lambda letter: F.concat(F.lit(letter), text("s_suppkey"))
+    edge = t.supplier.select(of("a").alias("node"), of("b").alias("target"))
+    choices = F.when(k % 3 == 0, F.array(of("a"), of("c"))).when(k % 3 == 1, F.array(of("a"))).otherwise(F.array(of("c")))
+    options = t.supplier.select(k.cast("bigint").alias("depset_id"), of("b").alias("node"), F.posexplode(choices).alias("priority", "target"))
+    breakers = t.supplier.filter(k % 3 == 1).select(of("b").alias("node"), of("base").alias("breaker"))
+    return graph.without_cycles(edge, options, breakers)
+
+
+@query("""SELECT n_nationkey AS k, 'create table geo.' || t || ' ();' AS line FROM (SELECT n_nationkey, 't' || n_nationkey AS t FROM nation) UNION ALL SELECT k, 'alter table geo.t' || k || ' add column "Name" text not null;' FROM (SELECT n_nationkey AS k FROM nation)
+UNION ALL SELECT n_nationkey, 'create unique index i' || n_nationkey || ' on geo.t' || n_nationkey || ' (a, b);' FROM nation UNION ALL SELECT n_nationkey, 'revoke select on geo.t' || n_nationkey || ' from r' || n_regionkey || ';' FROM nation
+UNION ALL SELECT n_nationkey, 'comment on table geo.t' || n_nationkey || ' is ' || chr(39) || n_name || chr(39) || ';' FROM nation""")
+def ddl_statements(t):
+    k = text("n_nationkey")
+    named = lambda letter: F.concat(F.lit(letter), k)
+    one = lambda action, kind, name, **attrs: F.struct(F.lit(action).alias("action"), F.lit(kind).alias("kind"), name.alias("name"), F.create_map(*(x for key, v in attrs.items() for x in (F.lit(key), v))).alias("attrs"))
+    rows = F.array(
+        one("build", "table", named("t"), none=F.lit("")),
+        one("build", "column", F.lit("Name"), type=F.lit("text"), nullable=F.lit("false")),
+        one("build", "index", named("i"), columns=F.lit("a, b"), unique=F.lit("true")),
+        one("drop", "grant", F.lit(""), privilege=F.lit("select"), to=F.concat(F.lit("r"), text("n_regionkey"))),
+        one("build", "comment", F.lit(""), comment=F.col("n_name")),
+    )
+    each = t.nation.select(F.col("n_nationkey").alias("k"), named("t").alias("table"), F.inline(rows))
+    return each.select("k", render.statement(F.col("action"), F.col("kind"), F.lit("geo"), F.col("name"), F.col("table"), F.col("attrs")).alias("line"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,3 +32,33 @@ def scatter(objects: DataFrame, path: str, by: str = "type") -> None:
 def gather(spark: SparkSession, path: str) -> DataFrame:
     """All folders as one table again."""
     return spark.read.parquet(path)
+
+
+def sync(objects: DataFrame, path: str, by: str = "type") -> DataFrame:
+    """Writes only the folders whose rows differ from those under ``path``, removes those of which nothing is left, and tells (by, status).
+
+    status: NEW, MODIFIED, UNCHANGED or OLD (removed). Rows are compared as
+    multisets, by counts of equal rows; only the folders' names and statuses,
+    as many as values of ``by``, come to the driver.
+    """
+    spark = objects.sparkSession
+    columns = [*(c for c in objects.columns if c != by), by]
+    fresh = objects.select(columns)
+    try:
+        there = gather(spark, path).select(*(F.col(c).cast(objects.schema[c].dataType).alias(c) for c in columns))
+    except AnalysisException:
+        there = fresh.limit(0)
+    sides = fresh.withColumn("deltaloom_is", F.lit(1)).withColumn("deltaloom_was", F.lit(0)).unionByName(there.withColumn("deltaloom_is", F.lit(0)).withColumn("deltaloom_was", F.lit(1)))
+    rows = sides.groupBy(*columns).agg(F.sum("deltaloom_is").alias("deltaloom_n"), F.sum("deltaloom_was").alias("deltaloom_m"))
+    status = F.when(F.sum("deltaloom_m") == 0, "NEW").when(F.sum("deltaloom_n") == 0, "OLD").when(F.bool_and(F.col("deltaloom_n") == F.col("deltaloom_m")), "UNCHANGED").otherwise("MODIFIED")
+    told = rows.groupBy(by).agg(status.alias("status")).collect()
+    changed = [r[by] for r in told if r.status in ("NEW", "MODIFIED")]
+    if changed:
+        some = fresh.filter(F.col(by).isin([c for c in changed if c is not None]) | (F.col(by).isNull() if None in changed else F.lit(False)))
+        some.write.partitionBy(by).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+    for r in told:
+        if r.status == "OLD":
+            name = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString(by, None if r[by] is None else str(r[by]))
+            at = spark._jvm.org.apache.hadoop.fs.Path(path, name)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return spark.createDataFrame([(r[by], r.status) for r in told], fresh.select(by).schema.add("status", "string"))

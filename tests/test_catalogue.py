@@ -181,3 +181,48 @@ def test_an_unknown_side_raises(spark):
     rows = spark.createDataFrame([(1, 2, "up", None)], "node int, target int, applies string, direction string")
     with pytest.raises(PySparkException, match="no side: up"):
         edge_rules.sided(rows).collect()
+
+
+def test_cycles_of_several_kinds(spark):
+    pairs = [(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 6), (6, 5), (7, 7), (7, 8), (8, 1), (9, 1), (6, 10), (2, 1)]
+    edges = spark.createDataFrame(pairs, "source int, target int")
+    assert {tuple(r) for r in graph.cycles(edges).collect()} == {(1, 1), (2, 1), (3, 1), (5, 5), (6, 5), (7, 7)}
+    assert graph.cycles(edges.limit(0)).collect() == []
+    assert graph.cycles(edges.filter("source = 4")).collect() == []
+
+
+def test_a_cycle_that_nothing_breaks_raises(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "a")], "node string, target string")
+    options = spark.createDataFrame([], "depset_id long, node string, target string, priority int")
+    breakers = spark.createDataFrame([], "node string, breaker string")
+    with pytest.raises(ValueError, match="cycle of a, b"):
+        graph.without_cycles(edges, options, breakers)
+
+
+def test_elements_told_twice_raise(spark):
+    rule = diff.Rule(("k",), elements={"e": diff.Rule(("n",), (diff.Attribute("v"),))})
+    schema = "k int, e array<struct<n:int,v:int>>"
+    once, twice = spark.createDataFrame([(1, [(1, 1)]), (2, None)], schema), spark.createDataFrame([(1, [(1, 1), (1, 2)])], schema)
+    assert {tuple(r) for r in diff.tree_statuses(once, once, rule).collect()} == {(1, "none"), (2, "none")}
+    with pytest.raises(PySparkException, match="repeated element in e: 1 1"):
+        diff.element_statuses(once, twice, rule, "e").collect()
+
+
+def test_rules_and_templates_are_checked():
+    rule = diff.Rule(("k",))
+    with pytest.raises(ValueError, match="two rules for a"):
+        diff.rules_of([("a", rule), ("a", rule)])
+    with pytest.raises(ValueError, match="no key"):
+        diff.rules_of([("a", diff.Rule(()))])
+    for wrong in ("{old.x", "x}", "{x}", "{eval.x}"):
+        with pytest.raises(ValueError):
+            diff.filled(wrong)
+
+
+def test_generate_orders_by_dependencies_and_writes_statements(spark):
+    tables = {"a": spark.range(1), "b": spark.range(1)}
+    edges = spark.createDataFrame([("table.public.a", "column.public.b.id")], "node string, target string")
+    made = Session(spark).extract({}).extract(tables).diff().generate(edges).result().orderBy("seq").collect()
+    assert [r.text for r in made] == ["create table public.b ();", "alter table public.b add column id bigint not null;", "create table public.a ();", "alter table public.a add column id bigint not null;"]
+    gone = Session(spark).extract(tables).extract({}).diff().generate(edges).result().orderBy("seq").collect()
+    assert [r.text for r in gone] == ["alter table public.a drop column id;", "drop table public.a;", "alter table public.b drop column id;", "drop table public.b;"]
