@@ -266,7 +266,7 @@ def _blobs(rows: list[tuple[int, int, dict]], fields: tuple[str, ...]) -> pa.Rec
 
 _FIELDS = ("doc", "tie", "start", "windows", "anchor", "passage", "home", "raw")
 _BLOB = "kind int, group long, " + ", ".join(f"{f} binary" for f in _FIELDS)
-_KINDS = {"doc": "<i8", "tie": "<u4", "start": "<u4", "windows": "<u4", "anchor": "<u8", "passage": "<u8", "home": "<u8", "raw": "u1"}
+_KINDS = {"doc": "<i8", "tie": "<u4", "start": "<u4", "windows": "<u2", "anchor": "<u8", "passage": "<u8", "home": "<u4", "raw": "u1"}
 
 
 def _unpacked(table: pa.Table, *fields: str) -> dict:
@@ -294,8 +294,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     import numpy as np
 
-    if length <= GRAM:
-        raise ValueError(f"length must be more than {GRAM}")
+    if not GRAM < length < 1 << 16:
+        raise ValueError(f"length must be more than {GRAM} and less than {1 << 16}")
     n_bytes = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
     groups = max(1, -(-n_bytes // GROUP_BYTES))
     others = [c for c in docs.columns if c not in (text, "n_bytes", "kept", "spans")]
@@ -345,7 +345,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 which = np.searchsorted(starts, first, side="right") - 1
                 found.append((which + some, first - starts[which] + offset[which + some], count, anchor, passage))
             which, start, count, anchor, passage = (np.concatenate(x) for x in zip(*found))
-            run = {"doc": doc[which], "tie": tie[which], "start": start.astype(np.uint32), "windows": count.astype(np.uint32), "anchor": anchor, "passage": passage}
+            run = {"doc": doc[which], "tie": tie[which], "start": start.astype(np.uint32), "windows": count.astype("<u2"), "anchor": anchor, "passage": passage}
             by = np.lexsort((start, run["doc"], passage, anchor))
             run = {k: v[by] for k, v in run.items()}
             home = group[which[by]]
@@ -353,7 +353,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             for g, blob in _pack({k: run[k][repeat] for k in ("doc", "tie", "start", "windows")}, home[repeat]):
                 rows.append((0, g, blob))
             one = {k: v[~_later(run)] for k, v in run.items()}
-            one["home"] = home[~_later(run)].astype("<u8")
+            one["home"] = home[~_later(run)].astype("<u4")
             for g, blob in _pack(one, (one["anchor"] % np.uint64(groups)).astype(np.int64)):
                 rows.append((1, g, blob))
             yield _blobs(rows, _FIELDS)
@@ -417,7 +417,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             size_, place = blob.pop("size"), blob.pop("place")
             take = np.repeat(place - (np.cumsum(size_) - size_), size_) + np.arange(size_.sum())
             blob["raw"] = raw[take]
-            blob["home"] = np.full(len(size_), home, "<u8")  # where the answer goes
+            blob["home"] = np.full(len(size_), home, "<u4")  # where the answer goes
             rows.append((2, g, blob))
         return pa.Table.from_batches([_blobs(rows, _FIELDS)])
 
@@ -438,7 +438,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             name = np.fromiter((xxhash.xxh3_64_intdigest(laid[s : s + length]) for s in first.tolist()), np.uint64, len(first))
             out.append({"doc": part["doc"][owner], "tie": part["tie"][owner], "start": (part["start"][owner] + place).astype("<u4"), "passage": name, "anchor": _Hasher(np.frombuffer(laid, np.uint8)).of(first, first + length)})
         out = {k: np.concatenate([x[k] for x in out]) for k in out[0]}
-        out["home"] = np.full(len(out["doc"]), home, "<u8")
+        out["home"] = np.full(len(out["doc"]), home, "<u4")
         repeat, out = _equal(out)
         rows = [(0, home, _single({k: v[repeat] for k, v in out.items()}))] if repeat.any() else []
         return rows + [(3, g, b) for g, b in _pack({k: v[~repeat] for k, v in out.items()}, (out["passage"][~repeat] % np.uint64(groups)).astype(np.int64))]
@@ -484,7 +484,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         begin[1:] &= ~(repeat[:-1] & (owner[1:] == owner[:-1]))
         at = np.flatnonzero(begin)
         count = np.bincount(np.cumsum(begin)[repeat] - 1, minlength=len(at)) if len(at) else at
-        told = {"doc": doc[at], "tie": run["tie"][owner[at]], "start": start[at].astype("<u4"), "windows": count.astype("<u4")}
+        told = {"doc": doc[at], "tie": run["tie"][owner[at]], "start": start[at].astype("<u4"), "windows": count.astype("<u2")}
         return [(0, g, b) for g, b in _pack(told, run["home"][owner[at]].astype(np.int64))]
 
     def remove(texts: pa.Table, repeats: pa.Table) -> pa.Table:
@@ -569,4 +569,4 @@ def _single(windows: dict) -> dict:
     """Runs of one window each."""
     import numpy as np
 
-    return {k: windows[k] for k in ("doc", "tie", "start")} | {"windows": np.ones(len(windows["doc"]), "<u4")}
+    return {k: windows[k] for k in ("doc", "tie", "start")} | {"windows": np.ones(len(windows["doc"]), "<u2")}
