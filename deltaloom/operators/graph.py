@@ -185,6 +185,24 @@ def fallbacks(depsets: DataFrame, chosen: DataFrame, depset: str = "depset_id")
     return open_.withColumn("fallback", unmet).select("*", F.explode(F.array(F.lit("fallback"), F.lit("endfallback"))).alias("action"))
 
 
+def fallback_edges(unmet: DataFrame) -> DataFrame:
+    """(node, target): the edges around nodes that need a fallback; node waits for target.
+
+    unmet: (node, fallback, side). A node comes after the start of its fallback
+    and before its end. Each fallback has one start and end on a side, whoever
+    needs it; where both sides need it, the build side's start waits for the
+    drop side's end. Rows with a null in node, fallback or side give no edge.
+    """
+    end = lambda kind, side: F.concat(F.lit(kind), side, F.lit("."), F.col("fallback"))
+    known = unmet.filter("node is not null and fallback is not null and side is not null")
+    around = known.select(F.inline(F.array(
+        F.struct(F.col("node").cast("string").alias("node"), end("fallback.", F.col("side")).alias("target")),
+        F.struct(end("endfallback.", F.col("side")).alias("node"), F.col("node").cast("string").alias("target")),
+    )))
+    both = known.groupBy("fallback").agg(F.bool_or(F.col("side") == "build").alias("builds"), F.bool_or(F.col("side") == "drop").alias("drops")).filter("builds and drops")
+    return around.distinct().unionByName(both.select(end("fallback.", F.lit("build")).alias("node"), end("endfallback.", F.lit("drop")).alias("target")))
+
+
 def build_actions(diffs: DataFrame) -> DataFrame:
     """Rows of (…, status) with build_type and one row for each action of it: rebuild drops and builds, diff prepares and changes."""
     kind = F.when(F.col("status").isin("none", "diffkids"), "exists").when(F.col("status") == "new", "build").when(F.col("status") == "gone", "drop").otherwise(F.col("status"))

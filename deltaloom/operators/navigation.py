@@ -22,14 +22,24 @@ def common_path(a: Column, b: Column) -> Column:
     return F.when(first_off == 0, F.size(equal)).otherwise(first_off - 1).cast("int")
 
 
-def moves(steps: DataFrame, path: str, order: list[str], keys: list[str] | None = None) -> DataFrame:
-    """(…, move, at): the nodes departed from, innermost first, and arrived at between each step and the one before."""
+def moves(steps: DataFrame, path: str, order: list[str], keys: list[str] | None = None, action: str | None = None) -> DataFrame:
+    """(…, move, at): the nodes departed from, innermost first, and arrived at between each step and the one before.
+
+    action: the column that says what a step does to the last node of its path.
+    A node that has been dropped is not departed from, and one that is being
+    built is not arrived at; other actions and null change nothing.
+    """
     window = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*order)
     before = F.coalesce(F.lag(path).over(window), F.array().cast(steps.schema[path].dataType))
     walked = steps.withColumn("deltaloom_before", before).withColumn("deltaloom_shared", F.when(F.size("deltaloom_before") == 0, F.lit(0)).otherwise(common_path(F.col("deltaloom_before"), F.col(path))))
     rest = lambda p: F.slice(p, F.col("deltaloom_shared") + 1, F.greatest(F.size(p) - F.col("deltaloom_shared"), F.lit(0)))
     step = lambda kind: lambda x: F.struct(F.lit(kind).alias("move"), x.alias("at"))
-    all_moves = F.concat(F.transform(F.reverse(rest(F.col("deltaloom_before"))), step("depart")), F.transform(rest(F.col(path)), step("arrive")))
+    left, reached = rest(F.col("deltaloom_before")), rest(F.col(path))
+    if action:
+        without_last = lambda p, hit: F.when(F.coalesce(hit, F.lit(False)) & (F.size(p) > 0), F.slice(p, F.lit(1), F.greatest(F.size(p) - 1, F.lit(0)))).otherwise(p)
+        walked = walked.withColumn("deltaloom_did", F.lag(action).over(window))
+        left, reached = without_last(left, F.col("deltaloom_did") == "drop"), without_last(reached, F.col(action) == "build")
+    all_moves = F.concat(F.transform(F.reverse(left), step("depart")), F.transform(reached, step("arrive")))
     return walked.select(*steps.columns, F.posexplode(all_moves).alias("move_no", "deltaloom_move")).select(*steps.columns, "move_no", "deltaloom_move.*")
 
 
@@ -46,3 +56,12 @@ def steps(nodes: DataFrame, order: str, within: list[str], fqn: str = "fqn", dis
     """
     on = nodes.filter(~F.coalesce(F.col(disabled), F.lit(False)))
     return on.select(*within, F.lag(fqn).over(Window.partitionBy(*within).orderBy(order, fqn)).alias("from_fqn"), fqn)
+
+
+def without_prints(objects: DataFrame, prints: DataFrame, fqn: str = "fqn", condition: str = "condition", disabled: str = "disabled") -> DataFrame:
+    """``objects`` with the column ``disabled``: true for those that have no print without a condition.
+
+    prints: (fqn, condition); they are counted by object before they meet the objects.
+    """
+    always = prints.groupBy(fqn).agg(F.bool_or(F.col(condition).isNull()).alias("deltaloom_always"))
+    return objects.join(always, fqn, "left").withColumn(disabled, ~F.coalesce("deltaloom_always", F.lit(False))).drop("deltaloom_always")

@@ -42,3 +42,13 @@ def last_before(rows: DataFrame, value: Column, keys: list[str], order: list[str
     """The last non-null ``value`` in a row before this one."""
     before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return rows.withColumn(name, F.last(value, ignorenulls=True).over(before))
+
+
+def numbered(rows: DataFrame, keys: list[str], order: list[str], name: str = "index") -> DataFrame:
+    """Rows with their place among those of the same ``keys``, from 1. Filters come after it, so that a row left out has a number, too."""
+    return rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+
+
+def nested_where(parents: DataFrame, children: DataFrame, flag: str, on: list[str], name: str, order: list[str]) -> DataFrame:
+    """``nested`` with the children for which ``flag`` is true, such as the inherited columns of a table."""
+    return nested(parents, children.filter(F.col(flag)).drop(flag), on, name, order)

@@ -862,3 +862,52 @@ def ddl_statements(t):
     )
     each = t.nation.select(F.col("n_nationkey").alias("k"), named("t").alias("table"), F.inline(rows))
     return each.select("k", render.statement(F.col("action"), F.col("kind"), F.lit("geo"), F.col("name"), F.col("table"), F.col("attrs")).alias("line"))
+
+
+# --- fallbacks, prints, numbers and inherited children -------------------------------------------------------------------------
+
+
+@query(f"""{_PATHS.replace("lag(m) OVER o AS pm", "lag(m) OVER o AS pm, lag(n) OVER o AS pn")} SELECT k, n, 'depart' AS move, pm AS at FROM w WHERE pr IS NOT NULL AND (r <> pr OR m <> pm) AND pn % 3 <> 0 UNION ALL SELECT k, n, 'depart', pr FROM w WHERE r <> pr
+UNION ALL SELECT k, n, 'arrive', r FROM w WHERE r IS DISTINCT FROM pr UNION ALL SELECT k, n, 'arrive', m FROM w WHERE (r IS DISTINCT FROM pr OR m IS DISTINCT FROM pm) AND n % 3 <> 1""")
+def nav_moves_of_actions(t):
+    n = F.col("n")
+    steps = paths(t).withColumn("action", F.when(n % 3 == 0, "drop").when(n % 3 == 1, "build").otherwise("diff"))
+    return navigation.moves(steps, "path", ["n"], ["k"], "action").select("k", "n", "move", "at")
+
+
+@query("SELECT o_orderkey, NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R') AS disabled FROM orders")
+def print_filter(t):
+    prints = t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), F.when(F.col("l_returnflag") != "R", F.col("l_returnflag")).alias("condition"))
+    return navigation.without_prints(t.orders.select("o_orderkey"), prints, "o_orderkey")
+
+
+@query("SELECT o_orderkey, index FROM (SELECT o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS index FROM orders) WHERE o_orderstatus = 'F'")
+def index_before_filter(t):
+    return relational.numbered(t.orders, ["o_custkey"], ["o_orderdate", "o_orderkey"]).filter("o_orderstatus = 'F'").select("o_orderkey", "index")
+
+
+@query("SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders) WHERE n = 3")
+def row_by_number(t):
+    return relational.numbered(t.orders, ["o_custkey"], ["o_orderkey"], "n").filter("n = 3").select("o_custkey", "o_orderkey")
+
+
+@query("SELECT c_custkey, r_regionkey FROM customer LEFT JOIN region ON r_name = 'EUROPE' AND c_nationkey < 10")
+def constant_key_left_join(t):
+    # At most one row: it is joined as a constant.
+    one = t.region.filter("r_name = 'EUROPE'").select("r_regionkey").limit(1).withColumn("one", F.lit(True))
+    return t.customer.withColumn("one", F.col("c_nationkey") < 10).join(F.broadcast(one), "one", "left").select("c_custkey", "r_regionkey")
+
+
+@query("SELECT c_custkey, coalesce((SELECT string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey) FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'O'), '') AS inherited FROM customer")
+def nested_inherited(t):
+    orders = t.orders.select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", (F.col("o_orderstatus") == "O").alias("inherited"))
+    out = relational.nested_where(t.customer.select("c_custkey"), orders, "inherited", ["c_custkey"], "items", ["o_orderkey"])
+    return out.select("c_custkey", F.array_join(F.transform("items", lambda x: x["o_orderkey"].cast("string")), ",").alias("inherited"))
+
+
+@query("""WITH u AS (SELECT DISTINCT l_orderkey::VARCHAR AS node, l_suppkey::VARCHAR AS f, CASE WHEN l_returnflag = 'N' THEN 'build' ELSE 'drop' END AS side FROM lineitem WHERE l_linenumber = 1)
+SELECT node, 'fallback.' || side || '.' || f AS target FROM u UNION ALL SELECT 'endfallback.' || side || '.' || f, node FROM u
+UNION ALL SELECT 'fallback.build.' || f, 'endfallback.drop.' || f FROM u GROUP BY f HAVING count(DISTINCT side) = 2""")
+def fallback_edges(t):
+    side = F.when(F.col("l_returnflag") == "N", "build").otherwise("drop")
+    return graph.fallback_edges(t.lineitem.filter("l_linenumber = 1").select(F.col("l_orderkey").alias("node"), text("l_suppkey").alias("fallback"), side.alias("side")))

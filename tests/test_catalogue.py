@@ -226,3 +226,21 @@ def test_generate_orders_by_dependencies_and_writes_statements(spark):
     assert [r.text for r in made] == ["create table public.b ();", "alter table public.b add column id bigint not null;", "create table public.a ();", "alter table public.a add column id bigint not null;"]
     gone = Session(spark).extract(tables).extract({}).diff().generate(edges).result().orderBy("seq").collect()
     assert [r.text for r in gone] == ["alter table public.a drop column id;", "drop table public.a;", "alter table public.b drop column id;", "drop table public.b;"]
+
+
+def test_moves_spare_dropped_and_built_nodes(spark):
+    steps = spark.createDataFrame([(1, ["a", "b"], "drop"), (2, ["a", "c"], "build"), (3, ["a"], None)], "n int, path array<string>, action string")
+    got = [(r.n, r.move, r["at"]) for r in navigation.moves(steps, "path", ["n"], action="action").orderBy("n", "move_no").collect()]
+    assert got == [(1, "arrive", "a"), (1, "arrive", "b"), (3, "depart", "c")]
+
+
+def test_fallback_of_both_sides_builds_after_its_drop_ends(spark):
+    unmet = spark.createDataFrame([("x", "role.f", "drop"), ("y", "role.f", "build"), ("z", None, "build"), ("y", "role.f", "build")], "node string, fallback string, side string")
+    got = sorted(map(tuple, graph.fallback_edges(unmet).collect()))
+    assert got == sorted([("x", "fallback.drop.role.f"), ("endfallback.drop.role.f", "x"), ("y", "fallback.build.role.f"), ("endfallback.build.role.f", "y"), ("fallback.build.role.f", "endfallback.drop.role.f")])
+
+
+def test_objects_without_prints_are_disabled(spark):
+    objects = spark.createDataFrame([("a",), ("b",), ("c",)], "fqn string")
+    prints = spark.createDataFrame([("a", None), ("a", "x"), ("b", "x")], "fqn string, condition string")
+    assert {r.fqn: r.disabled for r in navigation.without_prints(objects, prints).collect()} == {"a": False, "b": True, "c": True}
