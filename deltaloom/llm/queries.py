@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, lm_score, minhash, pack, pareto_mix, rule_quality, sphere_caps, suffix_dedup, topk, url_sweep, zlang
+from . import common, importance, lm_score, minhash, pack, pareto_mix, rule_quality, sphere_caps, suffix_dedup, topk, url_sweep, zlang
 
 #: (host, path, action) of the query on page addresses.
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "block"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
@@ -84,6 +84,11 @@ def op10_block_max_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the documents, drawn towards the words of benchmark."""
+    return importance.resample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 def _rules_sql() -> str:
     return ", ".join(f"('{h}', '{p}', '{a}')" for h, p, a in URL_RULES)
 
@@ -181,9 +186,30 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+#: DuckDB has no crc32: it is built from the table of its 256 steps, once for each distinct word.
+OP11_SQL = r"""
+WITH RECURSIVE steps(i, c, n) AS (SELECT i, i, 0 FROM range(256) t(i) UNION ALL SELECT i, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, n + 1 FROM steps WHERE n < 8),
+tab AS (SELECT list(c ORDER BY i) AS t FROM steps WHERE n = 8),
+w AS (SELECT 0 AS side, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+  UNION ALL SELECT 1, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
+o AS (SELECT side, doc_id, unnest(ws) AS word FROM w),
+d AS (SELECT word, hex(encode(word)) AS x FROM o GROUP BY word),
+b AS (SELECT word, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, length(x), 2), lambda i: CAST('0x' || substr(x, i, 2) AS BIGINT))), lambda acc, v: xor(acc // 256, t[xor(acc % 256, v) + 1])), 4294967295) % 10000 AS bucket FROM d, tab),
+k AS (SELECT bucket, count_if(side = 0) AS s, count_if(side = 1) AS t FROM o JOIN b ON o.word = b.word GROUP BY bucket),
+z AS (SELECT sum(s) AS s, sum(t) AS t FROM k),
+g AS (SELECT bucket, CAST(floor(1000 * ln((k.t + 1)::DOUBLE * (z.s + 10000)::DOUBLE / ((k.s + 1)::DOUBLE * (z.t + 10000)::DOUBLE))) AS BIGINT) AS gain FROM k, z),
+f AS (SELECT doc_id, count(*) AS n, CAST(sum(gain) AS BIGINT) AS weight FROM o JOIN b ON o.word = b.word JOIN g ON b.bucket = g.bucket WHERE side = 0 GROUP BY doc_id),
+c AS (SELECT w.doc_id, coalesce(f.n, 0) AS n_features, coalesce(f.weight, 0) AS weight, len(ws) >= 20 AS drawable,
+        CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || w.doc_id), 1, 8) AS BIGINT) + 0.5e0) / 4294967296e0))) AS BIGINT) AS noise
+      FROM w LEFT JOIN f ON w.doc_id = f.doc_id WHERE side = 0),
+r AS (SELECT *, row_number() OVER (ORDER BY drawable DESC, weight + noise DESC, doc_id) AS place, count_if(drawable) OVER () AS n FROM c)
+SELECT doc_id, n_features, weight, CAST(weight + noise AS BIGINT) AS score, CASE WHEN place <= 10 * n // 100 THEN place END AS rank FROM r
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_bayes, op2_cross_entropy_difference, op3_sphere_caps, op4_pareto_mix, op5_url_sweep, op6_sum_of_squares_packing, op7_zstd_language, op8_rule_ensemble, op9_suffix_array_dedup, op10_block_max_topk)}
+    return {f.__name__: f for f in (op1_minhash_bayes, op2_cross_entropy_difference, op3_sphere_caps, op4_pareto_mix, op5_url_sweep, op6_sum_of_squares_packing, op7_zstd_language, op8_rule_ensemble, op9_suffix_array_dedup, op10_block_max_topk, op11_importance_resampling)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash_bayes": OP1_SQL, "op3_sphere_caps": OP3_SQL, "op10_block_max_topk": OP10_SQL, "op2_cross_entropy_difference": OP2_SQL, "op4_pareto_mix": OP4_SQL, "op5_url_sweep": OP5_SQL}
+    return {"op1_minhash_bayes": OP1_SQL, "op3_sphere_caps": OP3_SQL, "op10_block_max_topk": OP10_SQL, "op11_importance_resampling": OP11_SQL, "op2_cross_entropy_difference": OP2_SQL, "op4_pareto_mix": OP4_SQL, "op5_url_sweep": OP5_SQL}
