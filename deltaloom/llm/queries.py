@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, importance, lm_score, minhash, pack, pareto_mix, rule_quality, sphere_caps, suffix_dedup, topk, url_sweep, zlang
+from . import common, hard_negatives, importance, lm_score, minhash, pack, pareto_mix, rule_quality, sphere_caps, suffix_dedup, topk, url_sweep, zlang
 
 #: (host, path, action) of the query on page addresses.
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "block"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
@@ -89,6 +89,13 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every hundredth embedding and each of its 5 best of the same label the 5 best of other labels that come within 80 to 100 % of its score."""
+    relabelled = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", relabelled.alias("label"))
+    return hard_negatives.mine(vectors, F.col("vec_id") % 100 == 0)
+
+
 def _rules_sql() -> str:
     return ", ".join(f"('{h}', '{p}', '{a}')" for h, p, a in URL_RULES)
 
@@ -207,9 +214,20 @@ SELECT doc_id, n_features, weight, CAST(weight + noise AS BIGINT) AS score, CASE
 """
 
 
+OP12_SQL = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id % 100 = 0 AND b.vec_id <> a.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS n FROM s WHERE same) WHERE n <= 5),
+r AS (SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT same AND 80 * positive_score <= 100 * s.score AND s.score <= positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM r WHERE rank <= 5
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_bayes, op2_cross_entropy_difference, op3_sphere_caps, op4_pareto_mix, op5_url_sweep, op6_sum_of_squares_packing, op7_zstd_language, op8_rule_ensemble, op9_suffix_array_dedup, op10_block_max_topk, op11_importance_resampling)}
+    return {f.__name__: f for f in (op1_minhash_bayes, op2_cross_entropy_difference, op3_sphere_caps, op4_pareto_mix, op5_url_sweep, op6_sum_of_squares_packing, op7_zstd_language, op8_rule_ensemble, op9_suffix_array_dedup, op10_block_max_topk, op11_importance_resampling, op12_hard_negatives)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash_bayes": OP1_SQL, "op3_sphere_caps": OP3_SQL, "op10_block_max_topk": OP10_SQL, "op11_importance_resampling": OP11_SQL, "op2_cross_entropy_difference": OP2_SQL, "op4_pareto_mix": OP4_SQL, "op5_url_sweep": OP5_SQL}
+    return {"op1_minhash_bayes": OP1_SQL, "op3_sphere_caps": OP3_SQL, "op10_block_max_topk": OP10_SQL, "op11_importance_resampling": OP11_SQL, "op12_hard_negatives": OP12_SQL, "op2_cross_entropy_difference": OP2_SQL, "op4_pareto_mix": OP4_SQL, "op5_url_sweep": OP5_SQL}
