@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, hard_negatives, importance, lm_score, minhash, pack, pareto_mix, rule_quality, sphere_caps, suffix_dedup, topk, url_sweep, zlang
+from . import common, hard_negatives, importance, lm_score, minhash, pack, pareto_mix, rule_quality, sphere_caps, suffix_dedup, syncmers, topk, url_sweep, zlang
 
 #: (host, path, action) of the query on page addresses.
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "block"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
@@ -96,6 +96,18 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(vectors, F.col("vec_id") % 100 == 0)
 
 
+def op13_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its text with the second half taken from the next one, and how like it they are to it."""
+    pairs = syncmers.beside_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    text, other = (F.coalesce(c, F.lit("")) for c in ("text", "next_text"))
+    length, half = F.length(text), F.shiftright(F.length(text), 1)
+    edited = F.concat(F.substring(text, F.lit(1), length - half), F.substring(other, F.lit(1), half))
+    rows = pairs.select("doc_id", length.cast("long").alias("n_chars"), text.alias("text"), edited.alias("edited"), other.alias("next_text")).withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
+    told = syncmers.with_fingerprints(rows, {"text": "fingerprint", "edited": "edited_fingerprint", "next_text": "next_fingerprint"})
+    like = lambda name: syncmers.likeness(F.col("fingerprint"), F.col(name))
+    return told.withColumns({"near_edited": like("edited_fingerprint"), "near_next": like("next_fingerprint")}).drop("next_fingerprint")
+
+
 def _rules_sql() -> str:
     return ", ".join(f"('{h}', '{p}', '{a}')" for h, p, a in URL_RULES)
 
@@ -226,7 +238,7 @@ SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, posit
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_bayes, op2_cross_entropy_difference, op3_sphere_caps, op4_pareto_mix, op5_url_sweep, op6_sum_of_squares_packing, op7_zstd_language, op8_rule_ensemble, op9_suffix_array_dedup, op10_block_max_topk, op11_importance_resampling, op12_hard_negatives)}
+    return {f.__name__: f for f in (op1_minhash_bayes, op2_cross_entropy_difference, op3_sphere_caps, op4_pareto_mix, op5_url_sweep, op6_sum_of_squares_packing, op7_zstd_language, op8_rule_ensemble, op9_suffix_array_dedup, op10_block_max_topk, op11_importance_resampling, op12_hard_negatives, op13_syncmer_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
