@@ -97,26 +97,24 @@ def applied(old: DataFrame, new: DataFrame, rule: Rule) -> DataFrame:
     return edited.select(*old.columns).unionByName(whole.select(*old.columns))
 
 
-def _elements(objects: DataFrame, rule: Rule, name: str, once: bool) -> DataFrame:
-    inner = rule.elements[name]
-    flat = objects.select(*rule.key, F.inline(name))
-    if not once:
-        return flat
-    key = [*rule.key, *inner.key]
-    many = F.count("*").over(Window.partitionBy(*key)) > 1
-    told = F.concat_ws(" ", F.lit(f"repeated element in {name}:"), *(F.col(k).cast("string") for k in key))
-    first = inner.key[0]
-    return flat.withColumn(first, F.when(many, F.raise_error(told).cast(flat.schema[first].dataType)).otherwise(F.col(first)))
-
-
 def element_statuses(old: DataFrame, new: DataFrame, rule: Rule, name: str) -> DataFrame:
     """(key..., element's key..., status): the structs in the array column ``name``, matched by their own key within objects of one key.
 
-    An element that is twice in a new object raises an error. Elements of
-    elements: take ``nested_rule`` and explode one array more.
+    An element that is twice in a new object raises an error. Of equal ones in
+    an old object the first in the array meets the new one, the others are gone.
+    Elements of elements: take ``nested_rule`` and explode one array more.
     """
     inner = nested_rule(rule, name)
-    return statuses(_elements(old, rule, name, False).dropDuplicates(list(inner.key)), _elements(new, rule, name, True), inner)
+    key = list(inner.key)
+    new = new.select(*rule.key, F.inline(name))
+    many = F.count("*").over(Window.partitionBy(*key)) > 1
+    told = F.concat_ws(" ", F.lit(f"repeated element in {name}:"), *(F.col(k).cast("string") for k in key))
+    last = key[-1]
+    once = new.withColumn(last, F.when(many, F.raise_error(told).cast(new.schema[last].dataType)).otherwise(F.col(last)))
+    placed = old.select(*rule.key, F.posexplode(name).alias("deltaloom_place", "deltaloom_element")).select(*rule.key, "deltaloom_place", "deltaloom_element.*")
+    placed = placed.withColumn("deltaloom_nth", F.row_number().over(Window.partitionBy(*key).orderBy("deltaloom_place")))
+    first = placed.filter("deltaloom_nth = 1").drop("deltaloom_place", "deltaloom_nth")
+    return statuses(first, once, inner).unionByName(placed.filter("deltaloom_nth > 1").select(*key, F.lit("gone").alias("status")))
 
 
 def nested_rule(rule: Rule, name: str) -> Rule:

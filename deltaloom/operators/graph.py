@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """Cuts the lineage of a round: written to spark.checkpoint.dir; cached where a session on one machine names none."""
+def kept(df: DataFrame) -> DataFrame:
+    """Cuts the lineage of a round: written to spark.checkpoint.dir; cached where a session on one machine names none. ``released`` undoes it."""
     folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not df.sparkSession.sparkContext.master.startswith("local"):
@@ -17,16 +17,27 @@ def _kept(df: DataFrame) -> DataFrame:
         return df.persist()
     path = f"{folder.rstrip('/')}/deltaloom-graph-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._deltaloom_path = path
+    return out
+
+
+def released(*tables: DataFrame | None) -> None:
+    """Gives up kept tables that nothing reads any more; only those written to files, as what is cached may still be part of a plan."""
+    for df in tables:
+        path = getattr(df, "_deltaloom_path", None)
+        if path:
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def reachable(edges: DataFrame, seeds: DataFrame, source: str = "source", target: str = "target", most_rounds: int | None = None) -> DataFrame:
     """(node): seeds and all nodes that edges lead to from them, frontier by frontier; cycles end by themselves."""
     arrows = edges.select(F.col(source).alias("s"), F.col(target).alias("t")).filter("s is not null and t is not null").distinct()
-    seen = _kept(seeds.select(F.col(seeds.columns[0]).alias("node")).distinct())
+    seen = kept(seeds.select(F.col(seeds.columns[0]).alias("node")).distinct())
     frontier, rounds = seen, 0
     while most_rounds is None or rounds < most_rounds:
-        frontier = _kept(frontier.join(arrows, F.col("node") == F.col("s")).select(F.col("t").alias("node")).distinct().join(seen, "node", "left_anti"))
+        frontier = kept(frontier.join(arrows, F.col("node") == F.col("s")).select(F.col("t").alias("node")).distinct().join(seen, "node", "left_anti"))
         if not frontier.limit(1).count():
             break
         seen, rounds = seen.unionByName(frontier), rounds + 1
@@ -39,14 +50,14 @@ def walks(edges: DataFrame, seeds: DataFrame, source: str = "source", target: st
     A round is one join and is written once. More than ``most_rounds`` rounds, as
     on a cycle, raise an error; no number of rows does.
     """
-    arrows = _kept(edges.select(F.col(source).alias("node"), F.col(target).alias("t")))
+    arrows = kept(edges.select(F.col(source).alias("node"), F.col(target).alias("t")))
     name = F.col(seeds.columns[0])
-    frontier = _kept(seeds.select(name.alias("root"), name.alias("node"), F.lit(0).alias("level")))
+    frontier = kept(seeds.select(name.alias("root"), name.alias("node"), F.lit(0).alias("level")))
     found, rounds = frontier, 0
     while frontier.limit(1).count():
         if rounds == most_rounds:
             raise ValueError(f"walks of more than {most_rounds} edges")
-        frontier = _kept(frontier.join(arrows, "node").select("root", F.col("t").alias("node"), (F.col("level") + 1).alias("level")))
+        frontier = kept(frontier.join(arrows, "node").select("root", F.col("t").alias("node"), (F.col("level") + 1).alias("level")))
         found, rounds = found.unionByName(frontier), rounds + 1
     return found
 
@@ -57,17 +68,17 @@ def levels(nodes: DataFrame, edges: DataFrame, node: str = "node", source: str =
     Nodes are taken off round by round: those all of whose sources are gone. What is on a
     cycle or behind one gets a null level.
     """
-    left = _kept(nodes.select(F.col(node).alias("node")).distinct())
+    left = kept(nodes.select(F.col(node).alias("node")).distinct())
     arrows = edges.select(F.col(source).alias("s"), F.col(target).alias("t")).distinct()
-    arrows = _kept(arrows.join(left.select(F.col("node").alias("s")), "s", "left_semi").join(left.select(F.col("node").alias("t")), "t", "left_semi"))
+    arrows = kept(arrows.join(left.select(F.col("node").alias("s")), "s", "left_semi").join(left.select(F.col("node").alias("t")), "t", "left_semi"))
     done, level = None, 0
     while True:
-        free = _kept(left.join(arrows.select(F.col("t").alias("node")).distinct(), "node", "left_anti").withColumn("level", F.lit(level)))
+        free = kept(left.join(arrows.select(F.col("t").alias("node")).distinct(), "node", "left_anti").withColumn("level", F.lit(level)))
         if not free.limit(1).count():
             break
         done = free if done is None else done.unionByName(free)
-        left = _kept(left.join(free, "node", "left_anti"))
-        arrows = _kept(arrows.join(free.select(F.col("node").alias("s")), "s", "left_anti"))
+        left = kept(left.join(free, "node", "left_anti"))
+        arrows = kept(arrows.join(free.select(F.col("node").alias("s")), "s", "left_anti"))
         level += 1
     rest = left.withColumn("level", F.lit(None).cast("int"))
     return rest if done is None else done.unionByName(rest)
@@ -81,34 +92,34 @@ def cycles(edges: DataFrame, source: str = "source", target: str = "target") ->
     lie on cycles with it. They are taken out, and the rest goes round again.
     Rows stay as many as the edges; rounds follow the longest way in the core.
     """
-    arrows = _kept(edges.select(F.col(source).alias("s"), F.col(target).alias("t")).filter("s is not null and t is not null").distinct())
+    arrows = kept(edges.select(F.col(source).alias("s"), F.col(target).alias("t")).filter("s is not null and t is not null").distinct())
     found = None
     while True:
         n_arrows = arrows.count()
         while n_arrows:
-            trimmed = _kept(arrows.join(arrows.select(F.col("t").alias("s")).distinct(), "s", "left_semi").join(arrows.select(F.col("s").alias("t")).distinct(), "t", "left_semi").select("s", "t"))
+            trimmed = kept(arrows.join(arrows.select(F.col("t").alias("s")).distinct(), "s", "left_semi").join(arrows.select(F.col("s").alias("t")).distinct(), "t", "left_semi").select("s", "t"))
             before, n_arrows, arrows = n_arrows, trimmed.count(), trimmed
             if n_arrows == before:
                 break
         if not n_arrows:
             break
-        colour = _kept(arrows.select(F.col("s").alias("node")).distinct().withColumn("colour", F.col("node")))
+        colour = kept(arrows.select(F.col("s").alias("node")).distinct().withColumn("colour", F.col("node")))
         while True:
             told = colour.withColumnsRenamed({"node": "s", "colour": "told"}).join(arrows, "s").groupBy(F.col("t").alias("node")).agg(F.min("told").alias("told"))
-            fresh = _kept(colour.join(told, "node", "left").select("node", F.least("colour", "told").alias("colour"), (F.col("told") < F.col("colour")).alias("moved")))
+            fresh = kept(colour.join(told, "node", "left").select("node", F.least("colour", "told").alias("colour"), (F.col("told") < F.col("colour")).alias("moved")))
             more = fresh.filter("moved").limit(1).count()
             colour = fresh.select("node", "colour")
             if not more:
                 break
         same = arrows.join(colour.withColumnsRenamed({"node": "s", "colour": "of_s"}), "s").join(colour.withColumnsRenamed({"node": "t", "colour": "of_t"}), "t").filter("of_s = of_t").select("s", "t")
-        same = _kept(same)
+        same = kept(same)
         back = reachable(same, colour.filter("node = colour").select("node"), "t", "s")
-        core = _kept(back.join(colour, "node").select("node", F.col("colour").alias("cycle")))
+        core = kept(back.join(colour, "node").select("node", F.col("colour").alias("cycle")))
         # A node alone is on a cycle only by an edge to itself.
         inside = same.join(core.select(F.col("node").alias("s")), "s", "left_semi").join(core.select(F.col("node").alias("t")), "t", "left_semi")
         members = core.join(inside.select(F.col("s").alias("node")).distinct(), "node", "left_semi")
         found = members if found is None else found.unionByName(members)
-        arrows = _kept(arrows.join(core.select(F.col("node").alias("s")), "s", "left_anti").join(core.select(F.col("node").alias("t")), "t", "left_anti").select("s", "t"))
+        arrows = kept(arrows.join(core.select(F.col("node").alias("s")), "s", "left_anti").join(core.select(F.col("node").alias("t")), "t", "left_anti").select("s", "t"))
     return found if found is not None else arrows.select(F.col("s").alias("node"), F.col("t").alias("cycle")).limit(0)
 
 
@@ -132,18 +143,18 @@ def without_cycles(edges: DataFrame, options: DataFrame, breakers: DataFrame) ->
     place = Window.partitionBy("depset_id").orderBy("priority", "target")
     fixed = edges.select("node", "target", F.lit(None).cast(options.schema["depset_id"].dataType).alias("depset_id"), F.lit(1).alias("place"), F.lit(1).alias("of"))
     ranked = options.select("node", "target", "depset_id", F.row_number().over(place).alias("place"), F.count("*").over(Window.partitionBy("depset_id")).cast("int").alias("of"))
-    ranked = _kept(ranked)
-    now = _kept(fixed.unionByName(ranked.filter("place = 1")))
+    ranked = kept(ranked)
+    now = kept(fixed.unionByName(ranked.filter("place = 1")))
     breaker = breakers.groupBy("node").agg(F.min("breaker").alias("breaker"))
     while True:
-        on = _kept(cycles(now, "node", "target"))
+        on = kept(cycles(now, "node", "target"))
         if not on.limit(1).count():
             return now.select("node", "target", "depset_id")
         ends = on.withColumnsRenamed({"node": "target", "cycle": "to_cycle"})
-        marked = _kept(now.join(on, "node", "left").join(ends, "target", "left").withColumn("inside", F.when(F.col("cycle") == F.col("to_cycle"), F.col("cycle"))).drop("cycle", "to_cycle"))
+        marked = kept(now.join(on, "node", "left").join(ends, "target", "left").withColumn("inside", F.when(F.col("cycle") == F.col("to_cycle"), F.col("cycle"))).drop("cycle", "to_cycle"))
         turn = marked.filter("inside is not null").groupBy(F.col("inside").alias("cycle")).agg(F.min(F.when((F.col("depset_id").isNotNull()) & (F.col("place") < F.col("of")), F.col("depset_id"))).alias("turn"))
         cut = on.join(breaker, "node").groupBy("cycle").agg(F.min(F.struct("node", "breaker")).alias("cut"))
-        mended = _kept(turn.join(cut, "cycle", "left").select(F.col("cycle").alias("inside"), "turn", "cut"))
+        mended = kept(turn.join(cut, "cycle", "left").select(F.col("cycle").alias("inside"), "turn", "cut"))
         stuck = mended.filter("turn is null and cut is null").select(F.min("inside")).first()[0]
         if stuck is not None:
             told = on.filter(F.col("cycle") == F.lit(stuck)).select(F.col("node").cast("string")).orderBy("node").limit(20)
@@ -153,7 +164,7 @@ def without_cycles(edges: DataFrame, options: DataFrame, breakers: DataFrame) ->
         to = F.when(F.col("turn").isNull() & (F.col("target") == F.col("cut.node")), F.col("cut.breaker")).otherwise(F.col("target"))
         stay = told.filter(~goes_on).select("node", to.alias("target"), "depset_id", "place", "of")
         step = told.filter(goes_on).select("depset_id", (F.col("place") + 1).alias("place"))
-        now = _kept(stay.unionByName(ranked.join(step, ["depset_id", "place"]).select("node", "target", "depset_id", "place", "of")))
+        now = kept(stay.unionByName(ranked.join(step, ["depset_id", "place"]).select("node", "target", "depset_id", "place", "of")))
 
 
 def resolved(edges: DataFrame, objects: DataFrame, required: Column | None = None) -> DataFrame:

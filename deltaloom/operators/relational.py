@@ -52,3 +52,21 @@ def numbered(rows: DataFrame, keys: list[str], order: list[str], name: str = "in
 def nested_where(parents: DataFrame, children: DataFrame, flag: str, on: list[str], name: str, order: list[str]) -> DataFrame:
     """``nested`` with the children for which ``flag`` is true, such as the inherited columns of a table."""
     return nested(parents, children.filter(F.col(flag)).drop(flag), on, name, order)
+
+
+def ranked(rows: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
+    """``rows`` with their place in ``order``, from 0, without one task for all.
+
+    Ranges of the order are sorted one by one; a range starts after the counts of
+    those before, which alone pass through one window, a row a range. What
+    ``order`` leaves open is not defined.
+    """
+    from .graph import kept
+
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("deltaloom_id", F.monotonically_increasing_id())
+    placed = kept(placed)
+    part, at = F.shiftright("deltaloom_id", 33), F.col("deltaloom_id").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = placed.groupBy(part.alias("deltaloom_part")).agg(F.count("*").alias("deltaloom_n"))
+    before = F.coalesce(F.sum("deltaloom_n").over(Window.orderBy("deltaloom_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("deltaloom_part", before.alias("deltaloom_before"))
+    return placed.withColumn("deltaloom_part", part).join(F.broadcast(starts), "deltaloom_part").select(*rows.columns, (F.col("deltaloom_before") + at).cast("long").alias(name))

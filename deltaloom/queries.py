@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .functions import macros, quoting, scalar
-from .operators import diff, edges, graph, navigation, relational
+from .operators import diff, edges, graph, navigation, relational, tree
 from .plans import render
 from .sources import catalog, repository
 
@@ -672,12 +673,12 @@ def scatter_gather_roundtrip(t):
     return repository.gather(t.spark, path)
 
 
-_SYNC = """WITH a AS (SELECT c_custkey k, c_name n, c_nationkey g FROM customer WHERE c_nationkey % 5 <> 0), b AS (SELECT c_custkey k, CASE WHEN c_nationkey % 5 = 1 THEN c_name || '!' ELSE c_name END n, c_nationkey g FROM customer WHERE c_nationkey % 5 <> 2)"""
+_SYNC = """WITH a AS (SELECT c_custkey k, c_name n, lpad(c_nationkey::VARCHAR, 3, '0') g FROM customer WHERE c_nationkey % 5 <> 0), b AS (SELECT c_custkey k, CASE WHEN c_nationkey % 5 = 1 THEN c_name || '!' ELSE c_name END n, lpad(c_nationkey::VARCHAR, 3, '0') g FROM customer WHERE c_nationkey % 5 <> 2)"""
 
 
 def synced(t) -> tuple[str, DataFrame]:
     path = folder(t)
-    rows, g = t.customer.select(F.col("c_custkey").alias("k"), F.col("c_name").alias("n"), F.col("c_nationkey").alias("g")), F.col("g")
+    rows, g = t.customer.select(F.col("c_custkey").alias("k"), F.col("c_name").alias("n"), F.lpad(text("c_nationkey"), 3, "0").alias("g")), F.col("g").cast("int")
     repository.sync(rows.filter(g % 5 != 0), path, "g")
     return path, repository.sync(rows.filter(g % 5 != 2).withColumn("n", F.when(g % 5 == 1, F.concat("n", F.lit("!"))).otherwise(F.col("n"))), path, "g")
 
@@ -689,7 +690,8 @@ def scatter_sync_status(t):
 
 @query(f"{_SYNC} SELECT k, n, g FROM b")
 def scatter_sync_rows(t):
-    return repository.gather(t.spark, synced(t)[0])
+    path = synced(t)[0]
+    return repository.gather(t.spark, path, StructType().add("k", t.customer.schema["c_custkey"].dataType).add("n", "string").add("g", "string"))
 
 
 @query("""SELECT 'table.public.' || t AS fqn, CASE WHEN t = 'region' THEN 'gone' WHEN t = 'part' THEN 'new' WHEN t = 'nation' THEN 'diffkids' ELSE 'none' END AS status FROM (VALUES ('region'), ('nation'), ('part'), ('supplier')) v(t)""")
@@ -893,9 +895,8 @@ def row_by_number(t):
 
 @query("SELECT c_custkey, r_regionkey FROM customer LEFT JOIN region ON r_name = 'EUROPE' AND c_nationkey < 10")
 def constant_key_left_join(t):
-    # At most one row: it is joined as a constant.
-    one = t.region.filter("r_name = 'EUROPE'").select("r_regionkey").limit(1).withColumn("one", F.lit(True))
-    return t.customer.withColumn("one", F.col("c_nationkey") < 10).join(F.broadcast(one), "one", "left").select("c_custkey", "r_regionkey")
+    named = t.region.filter("r_name = 'EUROPE'").select("r_regionkey", F.lit(True).alias("one"))
+    return t.customer.withColumn("one", F.col("c_nationkey") < 10).join(named, "one", "left").select("c_custkey", "r_regionkey")
 
 
 @query("SELECT c_custkey, coalesce((SELECT string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey) FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'O'), '') AS inherited FROM customer")
@@ -911,3 +912,93 @@ UNION ALL SELECT 'fallback.build.' || f, 'endfallback.drop.' || f FROM u GROUP B
 def fallback_edges(t):
     side = F.when(F.col("l_returnflag") == "N", "build").otherwise("drop")
     return graph.fallback_edges(t.lineitem.filter("l_linenumber = 1").select(F.col("l_orderkey").alias("node"), text("l_suppkey").alias("fallback"), side.alias("side")))
+
+
+# --- trees: matching level by level, rebuilds, whole objects, inherited columns ----------------------------------------------
+
+TREE_RULES = {"region": diff.Rule(key=("name",)), "customer": diff.Rule(key=("name",), attributes=(diff.Attribute("balance"), diff.Attribute("segment", rebuild=True))), "order": diff.Rule(key=("name",), attributes=(diff.Attribute("status"),), texts=("note",))}
+
+
+def trees(t) -> tuple[DataFrame, DataFrame]:
+    """Regions, nations (whose type has no rule), customers and orders. New: nations renamed, customers moved, changed or left out, orders changed or left out."""
+    attrs = lambda **named: F.create_map(*(x for k, v in named.items() for x in (F.lit(k), v))).alias("attrs")
+    ident = lambda letter, c: F.concat(F.lit(letter), text(c))
+    node = lambda d, id_, parent, kind, a: d.select(id_.alias("id"), parent.alias("parent"), F.lit(kind).alias("type"), a)
+    no = F.lit(None).cast("string")
+    region = node(t.region, ident("r", "r_regionkey"), no, "region", attrs(name=F.col("r_name")))
+    nation = lambda name: node(t.nation, ident("n", "n_nationkey"), ident("r", "n_regionkey"), "nation", attrs(fqn=name))
+    customer = lambda d, of, balance, segment: node(d, ident("c", "c_custkey"), ident("n", of), "customer", attrs(name=F.col("c_name"), balance=balance, segment=segment))
+    order = lambda d, status: node(d, ident("o", "o_orderkey"), ident("c", "o_custkey"), "order", attrs(name=text("o_orderkey"), status=status))
+    c, k = F.col("c_custkey"), F.col("o_orderkey")
+    old = region.unionByName(nation(F.col("n_name"))).unionByName(customer(t.customer, "c_nationkey", text(F.floor("c_acctbal")), F.col("c_mktsegment"))).unionByName(order(t.orders.filter(k % 8 != 7), F.col("o_orderstatus")))
+    left = t.customer.filter(c % 10 != 4)
+    new = customer(left, F.when(c % 11 == 5, (F.col("c_nationkey") + 1) % 25).otherwise(F.col("c_nationkey")), text(F.floor("c_acctbal") + F.when(c % 9 == 1, 1).otherwise(0)), F.when(c % 7 == 2, "other").otherwise(F.col("c_mktsegment")))
+    orders = t.orders.filter(k % 9 != 1).join(left, F.col("o_custkey") == c, "left_semi")
+    new = region.unionByName(nation(F.when(F.col("n_nationkey") % 8 == 3, F.concat("n_name", F.lit("*"))).otherwise(F.col("n_name")))).unionByName(new)
+    return old, new.unionByName(order(orders, F.when(k % 6 == 2, "X").otherwise(F.col("o_orderstatus"))))
+
+
+_TREE = """WITH c AS (SELECT c_custkey AS k, c_nationkey AS n, c_nationkey % 8 <> 3 AS same_n, c_custkey % 10 <> 4 AS stays, c_custkey % 11 = 5 AS moves FROM customer),
+o AS (SELECT o_orderkey AS k, c.k AS c, o_orderkey % 8 <> 7 AS was, o_orderkey % 9 <> 1 AND c.stays AS is_, c.stays AND c.same_n AND NOT c.moves AS same_c, o_orderkey % 6 = 2 AND o_orderstatus <> 'X' AS other FROM orders JOIN c ON o_custkey = c.k),
+os AS (SELECT k, c, same_c, CASE WHEN same_c AND was AND is_ THEN CASE WHEN other THEN 'diff' ELSE 'none' END END AS both_, was, is_ FROM o),
+kids AS (SELECT c, bool_or(both_ = 'diff' OR (is_ AND NOT was)) AS kids FROM os GROUP BY c),
+cs AS (SELECT c.*, stays AND same_n AND NOT moves AS both_, CASE WHEN c_custkey % 7 = 2 AND c_mktsegment <> 'other' THEN 'rebuild' WHEN c_custkey % 9 = 1 THEN 'diff' WHEN kids THEN 'diffkids' ELSE 'none' END AS status FROM c JOIN customer ON c_custkey = k LEFT JOIN kids ON kids.c = k),
+t AS (SELECT 'new:r' || r_regionkey AS node, CAST(NULL AS VARCHAR) AS parent, 'diffkids' AS status FROM region
+UNION ALL SELECT 'new:n' || n_nationkey, 'new:r' || n_regionkey, CASE WHEN n_nationkey % 8 = 3 THEN 'new' ELSE 'UNKNOWN' END FROM nation UNION ALL SELECT 'old:n' || n_nationkey, 'new:r' || n_regionkey, 'gone' FROM nation WHERE n_nationkey % 8 = 3
+UNION ALL SELECT 'new:c' || k, 'new:n' || CASE WHEN moves THEN (n + 1) % 25 ELSE n END, CASE WHEN both_ THEN status ELSE 'new' END FROM cs WHERE stays
+UNION ALL SELECT 'old:c' || k, CASE WHEN same_n THEN 'new:n' ELSE 'old:n' END || n, 'gone' FROM cs WHERE NOT both_
+UNION ALL SELECT 'new:o' || k, 'new:c' || c, coalesce(both_, 'new') FROM os WHERE is_
+UNION ALL SELECT 'old:o' || os.k, CASE WHEN same_c THEN 'new:c' ELSE 'old:c' END || c, 'gone' FROM os WHERE was AND both_ IS NULL)"""
+
+
+@query(f"{_TREE} SELECT node, parent, status FROM t")
+def diff_tree_statuses(t):
+    return tree.statuses(*trees(t), TREE_RULES).select("node", "parent", "status")
+
+
+@query("""WITH RECURSIVE p AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 97 = 3 THEN 'rebuild' WHEN p_partkey % 7 = 1 THEN 'new' WHEN p_partkey % 6 = 5 THEN 'diff' ELSE 'none' END AS status FROM part),
+e AS (SELECT k AS node, CASE WHEN k % 50 = 0 THEN k + 1 ELSE CAST(floor(k / 2) AS BIGINT) END AS target FROM p WHERE k > 1 AND k % 5 <> 1 UNION SELECT k, k - 1 FROM p WHERE k % 11 = 0 UNION SELECT k, k * 2 FROM p WHERE k % 13 = 0),
+h(node) AS (SELECT k FROM p WHERE status = 'rebuild' UNION SELECT e.node FROM h JOIN e ON e.target = h.node),
+s AS (SELECT k, CASE WHEN k IN (SELECT node FROM h) AND status <> 'new' THEN 'rebuild' ELSE status END AS status, k IN (SELECT node FROM h) AND status NOT IN ('new', 'rebuild') AS fresh FROM p),
+u(node) AS (SELECT a.k FROM s JOIN s a ON a.k = CAST(floor(s.k / 4) AS BIGINT) WHERE s.fresh AND a.status = 'none' UNION SELECT a.k FROM u JOIN s a ON a.k = CAST(floor(u.node / 4) AS BIGINT) WHERE a.status = 'none')
+SELECT k AS node, CASE WHEN status = 'none' AND k IN (SELECT node FROM u) THEN 'diffkids' ELSE status END AS status FROM s""")
+def diff_rebuild_parents(t):
+    """Parts need k/2 (some of them k + 1, some of them 2k, so that there are cycles), follow k - 1 and lie under k/4."""
+    k = F.col("p_partkey")
+    status = F.when(k % 97 == 3, "rebuild").when(k % 7 == 1, "new").when(k % 6 == 5, "diff").otherwise("none")
+    nodes = t.part.select(k.alias("node"), F.floor(k / 4).alias("parent"), status.alias("status"), F.when(k % 11 == 0, k - 1).alias("follow"))
+    need = t.part.filter(k > 1).select(k.alias("node"), F.when(k % 50 == 0, k + 1).otherwise(F.floor(k / 2)).alias("target"), (k % 5 == 1).alias("soft"))
+    return tree.promoted(nodes, need.unionByName(t.part.filter(k % 13 == 0).select(k.alias("node"), (k * 2).alias("target"), F.lit(None).cast("boolean").alias("soft")))).select("node", "status")
+
+
+@query("""WITH l AS (SELECT l_orderkey AS k, count(DISTINCT l_linenumber) AS n FROM lineitem GROUP BY 1)
+SELECT k, CASE WHEN k % 10 = 0 THEN 'OLD' WHEN k % 10 = 9 THEN 'NEW' WHEN k % 4 = 1 AND n > 1 THEN 'MODIFIED' WHEN k % 4 = 3 THEN 'MODIFIED' ELSE 'UNCHANGED' END AS status FROM l""")
+def tree_equality(t):
+    """Orders with their lines as whole objects: attributes in another order change nothing, lines in another order and one other quantity do."""
+    lines = t.lineitem.groupBy(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n")).agg(F.max("l_quantity").alias("q"))
+    no, k = F.lit(None).cast("string"), F.col("k")
+    order = lambda d: d.select("k").distinct().select(F.concat(F.lit("o"), text("k")).alias("id"), no.alias("parent"), F.lit("order").alias("type"), F.create_map(F.lit("k"), text("k")).alias("attrs"), F.lit(0).alias("place"), no.alias("text"), "k")
+    line = lambda d, attrs, place, said: d.select(F.concat(text("k"), F.lit("."), text("n")).alias("id"), F.concat(F.lit("o"), text("k")).alias("parent"), F.lit("line").alias("type"), attrs.alias("attrs"), place.alias("place"), said.alias("text"), F.lit(None).cast("bigint").alias("k"))
+    was, now = lines.filter(k % 10 != 9), lines.filter(k % 10 != 0)
+    old = order(was).unionByName(line(was, F.create_map(F.lit("n"), text("n"), F.lit("q"), text("q")), F.col("n"), F.lit("said")))
+    other = F.when((k % 4 == 3) & (F.col("n") == F.min("n").over(Window.partitionBy("k"))), F.col("q") + 1).otherwise(F.col("q"))
+    new = order(now).unionByName(line(now, F.create_map(F.lit("q"), text(other), F.lit("n"), text("n")), F.when(k % 4 == 1, -F.col("n")).otherwise(F.col("n") * 10), F.lit(" said\n")))
+    return tree.equal_subtrees(old, new, ["k"])
+
+
+@query("""WITH s AS (SELECT s_suppkey AS k, ['none', 'diff', 'gone', 'new'][s_suppkey % 4 + 1] AS status FROM supplier), c AS (SELECT k, unnest([1, 2, 3]) AS i FROM s),
+cs AS (SELECT k, i, ['none', 'gone', 'diff'][(k + i) % 3 + 1] AS status, (k + i) % 5 = 0 AS is_local FROM c),
+e AS (SELECT k, i, (k * 3 + j) % 90 AS f, (k + j) % 3 <> 0 AS was, (k + j) % 3 <> 1 AS is_ FROM c, (SELECT unnest([0, 1]) AS j) WHERE k % 2 = 0),
+l AS (SELECT e.k, e.i, string_agg(f || ':' || CASE WHEN NOT is_ THEN 'disinherit' WHEN NOT was THEN 'inherit' ELSE '' END || ':' || coalesce(CASE WHEN cs.status = 'gone' AND s.status = 'gone' THEN 'none' ELSE cs.status END, '?'), ',' ORDER BY f) AS inherits
+  FROM e LEFT JOIN s ON s.k = f LEFT JOIN cs ON cs.k = f AND cs.i = e.i GROUP BY 1, 2)
+SELECT cs.k AS "table", 'c' || cs.i AS "column", cs.status, s.status AS parent_status, CASE WHEN is_local THEN '' ELSE coalesce(inherits, '') END AS inherits FROM cs JOIN s ON s.k = cs.k LEFT JOIN l ON l.k = cs.k AND l.i = cs.i""")
+def diff_enriched(t):
+    k, i, j = F.col("table"), F.col("i"), F.col("j")
+    kind = t.supplier.schema["s_suppkey"].dataType
+    tables = t.supplier.select(F.col("s_suppkey").alias("table")).withColumn("status", F.get(F.array(*map(F.lit, ("none", "diff", "gone", "new"))), (k % 4).cast("int")))
+    each = tables.select("table", F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("i"))
+    columns = each.select("table", F.concat(F.lit("c"), text("i")).alias("column"), F.get(F.array(*map(F.lit, ("none", "gone", "diff"))), ((k + i) % 3).cast("int")).alias("status"), ((k + i) % 5 == 0).alias("is_local"))
+    heirs = each.filter(k % 2 == 0).select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("j")).select("table", F.concat(F.lit("c"), text("i")).alias("column"), ((k * 3 + j) % 90).cast(kind).alias("from_table"), ((k + j) % 3).alias("third"))
+    out = tree.inherited(columns, tables, heirs.filter("third <> 0").drop("third"), heirs.filter("third <> 1").drop("third"))
+    said = lambda x: F.concat(text(x["from_table"]), F.lit(":"), F.coalesce(x["change"], F.lit("")), F.lit(":"), F.coalesce(x["column_status"], F.lit("?")))
+    return out.select("table", "column", "status", "parent_status", F.array_join(F.transform("inherits", said), ",").alias("inherits"))
