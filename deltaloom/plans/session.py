@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import diff as D
 from ..operators import graph as G
+from ..operators import tree as T
+from ..operators.relational import ranked
 from ..sources import catalog
 from . import render
 
-#: How objects are compared: by fqn, their attribute map as text.
-OBJECT_RULE = D.Rule(key=("fqn",), attributes=(D.Attribute("type"), D.Attribute("parent"), D.Attribute("told", rebuild=False)))
+#: How objects are compared: among the objects of matched parents by name, by the attributes that ``render`` has statements for; a column's place is no attribute.
+OBJECT_RULES = {k: D.Rule(key=("name",), attributes=tuple(D.Attribute(a, rebuild=a in told.rebuild) for a in (*told.changes, *told.rebuild))) for k, told in render.KINDS.items()}
 
 
 class Session:
@@ -36,31 +38,29 @@ class Session:
             raise ValueError(f"{len(self.stack)} tables are left on the stack")
         return out
 
-    def extract(self, tables: dict[str, DataFrame]) -> "Session":
-        return self.push(catalog.describe(self.spark, tables))
+    def extract(self, tables: dict[str, DataFrame], measured: bool = False) -> "Session":
+        return self.push(catalog.describe(self.spark, tables, measured=measured))
 
     def diff(self, swap: bool = False) -> "Session":
-        """Of the two topmost (old below new): objects with status, columns' changes marked on their tables."""
+        """Of the two topmost (old below new): objects with status and old_attrs, changes marked on what is above them.
+
+        Objects that are gone carry their old description, all others the new one.
+        """
         new, old = self.pop(), self.pop()
         if swap:
             old, new = new, old
-        told = lambda d: d.withColumn("told", F.array_join(F.array_sort(F.transform(F.map_entries("attrs"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ","))
-        status = D.statuses(told(old), told(new), OBJECT_RULE)
-        known = new.unionByName(old.join(new, "fqn", "left_anti"))
-        rows = known.join(status, "fqn")
-        # Two levels: columns under tables, tables under schemas.
-        for depth in (1, 0):
-            below = rows.filter(F.col("depth") == depth + 1).select(F.col("parent").alias("fqn"), "status")
-            at = D.with_child_status(rows.filter(F.col("depth") == depth), below, ["fqn"])
-            rows = at.select(*rows.columns).unionByName(rows.filter(F.col("depth") != depth))
-        return self.push(rows)
+        nodes = lambda d: d.select(F.col("fqn").alias("id"), "parent", "type", F.map_concat(F.coalesce("attrs", F.create_map().cast("map<string,string>")), F.create_map(F.lit("name"), F.col("name"))).alias("attrs"))
+        told = T.statuses(nodes(old), nodes(new), OBJECT_RULES)
+        status = told.select(F.coalesce("new_id", "old_id").alias("fqn"), F.col("new_id").isNull().alias("gone"), "status", F.map_filter("old_attrs", lambda k, _: k != "name").alias("old_attrs"))
+        sides = new.withColumn("gone", F.lit(False)).unionByName(old.withColumn("gone", F.lit(True)))
+        return self.push(sides.join(status, ["fqn", "gone"]).drop("gone"))
 
     def generate(self, edges: DataFrame | None = None) -> "Session":
         """(seq, fqn, action, text): the statements in the order of dependencies, drops first and the other way round.
 
         Each object depends on its parent; ``edges`` (node, target) say what else. Objects
-        on a cycle of dependencies raise an error. The numbers come from one window over
-        the changed objects; they are as many as schema objects, not rows of data.
+        on a cycle of dependencies raise an error. An object that changes has a
+        statement for each attribute that does, one that is rebuilt is dropped and built.
         """
         rows = G.build_actions(self.pop()).filter("action in ('build', 'drop', 'diff')")
         needs = rows.select(F.col("fqn").alias("node"), F.col("parent").alias("target")).filter("target is not null")
@@ -69,10 +69,11 @@ class Session:
         placed = G.plan(rows.select(F.col("fqn").alias("node"), "action").distinct(), needs)
         free = F.when(F.col("level").isNull(), F.raise_error(F.concat(F.lit("on or behind a cycle: "), F.col("node"))).cast("int")).otherwise(F.col("place"))
         rows = rows.join(placed.select(F.col("node").alias("fqn"), "action", free.alias("place")), ["fqn", "action"])
-        order = Window.orderBy(F.when(F.col("action") == "drop", 0).otherwise(1), "place", "fqn")
-        names = F.split("fqn", r"\.")
-        text = render.statement(F.col("action"), F.col("type"), F.when(F.size(names) > 2, names[1]), F.col("name"), names[2], F.col("attrs"))
-        return self.push(rows.select(F.row_number().over(order).alias("seq"), "fqn", "action", text.alias("text")))
+        # What goes is told by its old attributes.
+        rows = rows.withColumn("attrs", F.when(F.col("action") == "drop", F.coalesce("old_attrs", "attrs")).otherwise(F.col("attrs")))
+        lines = render.statements(rows, ["fqn", "action", "place"])
+        order = [F.when(F.col("action") == "drop", 0).otherwise(1), F.col("place"), F.col("fqn"), F.col("part")]
+        return self.push(ranked(lines, order, "seq").select((F.col("seq") + 1).alias("seq"), "fqn", "action", "text"))
 
     def list(self) -> "Session":
         rows = self.pop()

@@ -694,24 +694,41 @@ def scatter_sync_rows(t):
     return repository.gather(t.spark, path, StructType().add("k", t.customer.schema["c_custkey"].dataType).add("n", "string").add("g", "string"))
 
 
-@query("""SELECT 'table.public.' || t AS fqn, CASE WHEN t = 'region' THEN 'gone' WHEN t = 'part' THEN 'new' WHEN t = 'nation' THEN 'diffkids' ELSE 'none' END AS status FROM (VALUES ('region'), ('nation'), ('part'), ('supplier')) v(t)""")
-def session_diff(t):
-    """Two descriptions of tables compared: a table gone, one new, and one with a column more."""
+_SESSION = """WITH c AS (SELECT table_name AS t, column_name AS c, ordinal_position AS n, CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'double' WHEN 'DATE' THEN 'date' ELSE lower(data_type) END AS type FROM information_schema.columns WHERE table_name IN ('region', 'orders', 'nation', 'part', 'supplier')),
+w AS (SELECT bool_or(o_orderkey IS NULL) AS k, bool_or(o_custkey IS NULL OR o_custkey % 7 = 0) AS cust, bool_or(o_orderstatus IS NULL) AS status FROM orders),
+r AS (SELECT count(*) > 0 AND bool_and(p_size IS NOT NULL) AS filled, bool_or(p_partkey IS NULL) AS k, bool_or(p_name IS NULL) AS name FROM part)"""
+
+
+def session(t):
+    """Tables of which one goes, one comes, and one has another first column, a column with nulls and one of another type; their rows say which columns have nulls."""
     from .plans.session import Session
 
-    old = {"region": t.region, "nation": t.nation, "supplier": t.supplier}
-    new = {"nation": t.nation.withColumn("n_comment", F.lit("")), "supplier": t.supplier, "part": t.part}
-    return Session(t.spark).extract(old).extract(new).diff().result().filter("type = 'table'").select("fqn", "status")
+    orders = t.orders.select("o_orderkey", "o_custkey", "o_orderstatus")
+    now = orders.select(F.lit("").alias("o_first"), "o_orderkey", F.when(F.col("o_custkey") % 7 != 0, F.col("o_custkey")).alias("o_custkey"), F.struct("o_orderstatus").alias("o_orderstatus"))
+    part = t.part.select("p_partkey", "p_name", F.col("p_size").alias("p size"))
+    old, new = {"region": t.region, "orders": orders, "nation": t.nation}, {"nation": t.nation, "orders": now, "new.part": part}
+    return Session(t.spark).extract(old, measured=True).extract(new, measured=True).diff()
+
+
+@query(f"""{_SESSION} SELECT 'schema.public' AS fqn, 'diffkids' AS status UNION ALL SELECT 'table.public.' || t, CASE t WHEN 'region' THEN 'gone' WHEN 'orders' THEN 'diffkids' ELSE 'none' END FROM c WHERE t IN ('region', 'nation', 'orders') GROUP BY t
+UNION ALL SELECT 'column.public.' || t || '.' || c, CASE t WHEN 'region' THEN 'gone' ELSE 'none' END FROM c WHERE t IN ('region', 'nation')
+UNION ALL SELECT 'column.public.orders.' || c, CASE c WHEN 'o_custkey' THEN CASE WHEN (SELECT cust FROM w) THEN 'diff' ELSE 'none' END WHEN 'o_orderstatus' THEN 'diff' ELSE 'none' END FROM c WHERE t = 'orders' AND c IN ('o_orderkey', 'o_custkey', 'o_orderstatus')
+UNION ALL SELECT 'column.public.orders.o_first', 'new' UNION ALL SELECT 'table.public.new.part', 'new' UNION ALL SELECT 'column.public.new.part.' || CASE c WHEN 'p_size' THEN 'p size' ELSE c END, 'new' FROM c WHERE t = 'part' AND c IN ('p_partkey', 'p_name', 'p_size')""")
+def session_diff(t):
+    return session(t).result().select("fqn", "status")
 
 
-@query("""SELECT * FROM (VALUES (1, 'column.public.region.r_name', 'drop'), (2, 'column.public.region.r_regionkey', 'drop'), (3, 'table.public.region', 'drop'), (4, 'column.public.nation.n_comment', 'build')) v(seq, fqn, action)""")
+@query(f"""{_SESSION}, s AS (SELECT 1 AS turn, 0 AS deep, 'column.public.region.' || c AS fqn, 'drop' AS action, 'alter table public.region drop column ' || c || ';' AS text FROM c WHERE t = 'region'
+UNION ALL SELECT 1, 1, 'table.public.region', 'drop', 'drop table public.region;' UNION ALL SELECT 2, 0, 'table.public.new.part', 'build', 'create table public."new.part" ();'
+UNION ALL SELECT 2, 1, 'column.public.new.part.' || CASE c WHEN 'p_size' THEN 'p size' ELSE c END, 'build', 'alter table public."new.part" add column ' || CASE c WHEN 'p_size' THEN '"p size"' ELSE c END || ' ' || type || CASE c WHEN 'p_size' THEN CASE WHEN filled THEN ' not null' ELSE '' END WHEN 'p_partkey' THEN CASE WHEN k THEN '' ELSE ' not null' END ELSE CASE WHEN name THEN '' ELSE ' not null' END END || ';' FROM c, r WHERE t = 'part' AND c IN ('p_partkey', 'p_name', 'p_size')
+UNION ALL SELECT 2, 0, 'column.public.orders.o_first', 'build', 'alter table public.orders add column o_first string not null;'
+UNION ALL SELECT 2, 0, 'column.public.orders.o_custkey', 'diff', 'alter table public.orders alter column o_custkey drop not null;' FROM w WHERE cust
+UNION ALL SELECT 2, 0, 'column.public.orders.o_orderstatus', 'diff', 'alter table public.orders alter column o_orderstatus type struct<o_orderstatus:string>;'
+UNION ALL SELECT 2, 0, 'column.public.orders.o_orderstatus', 'diff', 'alter table public.orders alter column o_orderstatus set not null;' FROM w WHERE status)
+SELECT row_number() OVER (ORDER BY turn, deep, fqn, text DESC) AS seq, fqn, action, text FROM s""")
 def session_generate(t):
     """The statements that lead from one description to the other, in order."""
-    from .plans.session import Session
-
-    old = {"region": t.region, "nation": t.nation}
-    new = {"nation": t.nation.withColumn("n_comment", F.lit(""))}
-    return Session(t.spark).extract(old).extract(new).diff().generate().result().select("seq", "fqn", "action")
+    return session(t).generate().result()
 
 
 # --- edges that objects imply, their sides and conditions ------------------------------------------------------------------
