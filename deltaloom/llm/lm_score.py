@@ -215,7 +215,9 @@ def score(docs: DataFrame, model: dict, text: str = "text", keep: list[str] | No
         for c, total in (("n", all_n), ("m", all_m)):
             decoded = [_decoded(b, s, "<i8") for b, s in zip(answers.column(c).to_pylist(), answers.column("size").to_pylist())]
             together, seen, alone = e.split(np.concatenate(decoded) if decoded else np.zeros(0, np.int64))
-            p = weight * np.divide(together, seen, out=np.zeros(len(seen)), where=seen > 0) + (1 - weight) * (alone + 1) / (total + size + 1)
+            # A history that the model has never seen says nothing, so that the word alone counts.
+            by_word, of_history = (alone + 1) / (total + size + 1), np.where(seen > 0, weight, 0.0)
+            p = of_history * together / np.maximum(seen, 1) + (1 - of_history) * by_word
             losses.append(np.bincount(e.text, -np.log(p)[e.pair], texts.num_rows) / np.maximum(n_tokens, 1))
         mine = texts.column("others").is_valid()
         columns = [pa.array(n_tokens, pa.int64()), *(pa.array(x, pa.float64(), mask=n_tokens == 0) for x in (*losses, losses[1] - losses[0]))]

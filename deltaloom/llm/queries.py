@@ -166,8 +166,8 @@ b AS (SELECT *, coalesce(lag(word) OVER (PARTITION BY r ORDER BY i), ' ') AS pre
 f AS (SELECT prev, count_if(side = 0) AS n, count_if(side = 1) AS m FROM b GROUP BY prev),
 g AS (SELECT prev, word, count_if(side = 0) AS n, count_if(side = 1) AS m FROM b GROUP BY prev, word),
 p AS (SELECT b.r, b.doc_id,
-        0.75e0 * CASE WHEN f.n > 0 THEN g.n / CAST(f.n AS DOUBLE) ELSE 0e0 END + 0.25e0 * ((c.n + 1) / CAST(z.n + y.size AS DOUBLE)) AS pb,
-        0.75e0 * CASE WHEN f.m > 0 THEN g.m / CAST(f.m AS DOUBLE) ELSE 0e0 END + 0.25e0 * ((c.m + 1) / CAST(z.m + y.size AS DOUBLE)) AS pt
+        CASE WHEN f.n > 0 THEN 0.75e0 * g.n / CAST(f.n AS DOUBLE) + 0.25e0 * ((c.n + 1) / CAST(z.n + y.size AS DOUBLE)) ELSE (c.n + 1) / CAST(z.n + y.size AS DOUBLE) END AS pb,
+        CASE WHEN f.m > 0 THEN 0.75e0 * g.m / CAST(f.m AS DOUBLE) + 0.25e0 * ((c.m + 1) / CAST(z.m + y.size AS DOUBLE)) ELSE (c.m + 1) / CAST(z.m + y.size AS DOUBLE) END AS pt
       FROM b JOIN f ON b.prev = f.prev JOIN g ON b.prev = g.prev AND b.word = g.word JOIN c ON b.word = c.word, z, y WHERE b.side = 0),
 s AS (SELECT r, count(*) AS n, -avg(ln(pb)) AS lb, -avg(ln(pt)) AS lt FROM p GROUP BY r)
 SELECT t.doc_id, coalesce(s.n, 0) AS n_tokens, round(lb, 9) AS loss_background, round(lt, 9) AS loss_target, round(lt - lb, 9) AS score FROM t LEFT JOIN s ON t.r = s.r WHERE side = 0

@@ -302,13 +302,27 @@ def plain_scores(docs, target, weight):
                 follow[v] = follow.get(v, 0) + 1
                 pair[v, w] = pair.get((v, w), 0) + 1
         words = sum(map(len, texts))
-        return lambda v, w: -math.log(weight * (pair.get((v, w), 0) / follow[v] if v in follow else 0) + (1 - weight) * (uni.get(w, 0) + 1) / (words + size))
+        alone = lambda w: (uni.get(w, 0) + 1) / (words + size)
+        return lambda v, w: -math.log(weight * pair.get((v, w), 0) / follow[v] + (1 - weight) * alone(w) if v in follow else alone(w))
 
     models = model(back), model(front)
     steps = [list(zip(["<s>", *t], t)) for t in back]
     return [(len(t), *(sum(f(*s) for s in t) / len(t) if t else None for f in models)) for t in steps]
 
 
+def test_each_history_has_probabilities_that_add_up_to_one(spark):
+    # Of "v w" over all words w and one unknown word, less "v": the history b is unseen by the target, q by both.
+    back = spark.createDataFrame([(0, "a b a c b b"), (1, "c a")], "doc_id long, text string")
+    aims = spark.createDataFrame([("a c q",)], "text string")
+    asked = [(v, w) for v in "abcq" for w in ["a", "b", "c", "q", "unknown"]]
+    docs = spark.createDataFrame([(i, f"{v} {w}") for i, (v, w) in enumerate(asked)] + [(100 + i, v) for i, v in enumerate("abcq")], "doc_id long, text string")
+    got = {r.doc_id: r for r in lm_score.score(docs, lm_score.fit(back, aims)).collect()}
+    for side in ("loss_background", "loss_target"):
+        for n, v in enumerate("abcq"):
+            total = sum(math.exp(got[100 + n][side] - 2 * got[i][side]) for i, (of, _) in enumerate(asked) if of == v)
+            assert math.isclose(total, 1, rel_tol=1e-9), (side, v)
+
+
 def test_scores_equal_the_plain_version(spark):
     r = random.Random(7)
     texts = [None, "", " "] + [" ".join(r.choice("the The a cat dog sat on mat é x y rare".split()) for _ in range(r.randrange(1, 60))) for _ in range(40)]
