@@ -103,9 +103,8 @@ def op13_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     length, half = F.length(text), F.shiftright(F.length(text), 1)
     edited = F.concat(F.substring(text, F.lit(1), length - half), F.substring(other, F.lit(1), half))
     rows = pairs.select("doc_id", length.cast("long").alias("n_chars"), text.alias("text"), edited.alias("edited"), other.alias("next_text")).withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
-    told = syncmers.with_fingerprints(rows, {"text": "fingerprint", "edited": "edited_fingerprint", "next_text": "next_fingerprint"})
-    like = lambda name: syncmers.likeness(F.col("fingerprint"), F.col(name))
-    return told.withColumns({"near_edited": like("edited_fingerprint"), "near_next": like("next_fingerprint")}).drop("next_fingerprint")
+    near = {"near_edited": ("text", "edited"), "near_next": ("text", "next_text")}
+    return syncmers.with_fingerprints(rows, {"text": "fingerprint", "edited": "edited_fingerprint", "next_text": ""}, near)
 
 
 def _rules_sql() -> str:

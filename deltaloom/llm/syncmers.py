@@ -128,6 +128,8 @@ def in_order(a, b):
     """Places in ``a`` and ``b`` (hashes) of the syncmers they have in one order: the n-th of a kind meets the n-th, and of these the longest rising chain counts."""
     import numpy as np
 
+    if len(a) == len(b) and (a == b).all():
+        return np.arange(len(a)), np.arange(len(a))
     _, left, right = np.intersect1d(_named(a), _named(b), assume_unique=True, return_indices=True)
     by = np.argsort(left)
     left, right = left[by], right[by]
@@ -146,14 +148,14 @@ def in_order(a, b):
     return left[chain[::-1]], right[chain[::-1]]
 
 
+def shared(a, b) -> float:
+    """Twice the syncmers (hashes) in one order by the syncmers of both; 1 if both are empty."""
+    return 2 * len(in_order(a, b)[0]) / (len(a) + len(b)) if len(a) and len(b) else float(len(a) == len(b))
+
+
 def share(a: str | None, b: str | None) -> float | None:
-    """What two fingerprints have in common: twice the syncmers in one order by the syncmers of both; 1 if both are empty, null if one is null."""
-    if a is None or b is None:
-        return None
-    if a == b:
-        return 1.0
-    (_, left), (_, right) = unpacked(a), unpacked(b)
-    return 2 * len(in_order(left, right)[0]) / (len(left) + len(right))
+    """What two fingerprints have ``shared``; null if one is null."""
+    return None if a is None or b is None else shared(unpacked(a)[1], unpacked(b)[1])
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -190,24 +192,34 @@ def stretches(a: Column, b: Column, k: int = 24, s: int = 8) -> Column:
     return compared(a, b)
 
 
-def with_fingerprints(rows: DataFrame, names: dict[str, str], k: int = 24, s: int = 8) -> DataFrame:
+def with_fingerprints(rows: DataFrame, names: dict[str, str], near: dict[str, tuple[str, str]] | None = None, k: int = 24, s: int = 8) -> DataFrame:
     """``rows`` with the fingerprints of text columns in place of them: names gives the new name of each.
 
-    All characters of all texts are read; a null text counts as an empty one,
-    whose fingerprint is empty. Texts are taken 2 MB at a time and hashed in
-    parts of 131,072 characters, which changes no syncmer, as these know
-    nothing of what stands around them. No shuffle.
+    near: by name of a further column the two text columns whose likeness it
+    holds, as ``likeness`` has it for their fingerprints. An empty new name
+    leaves that fingerprint out. All characters of all texts are read; a null
+    text counts as an empty one, whose fingerprint is empty. Texts are taken
+    2 MB at a time and hashed in parts of 131,072 characters, which changes no
+    syncmer, as these know nothing of what stands around them. No shuffle.
     """
-    kept = [c for c in rows.columns if c not in names]
-    schema = rows.select(*kept, *(F.lit("").alias(n) for n in names.values())).schema
+    near, kept = near or {}, [c for c in rows.columns if c not in names]
+    told = {c: n for c, n in names.items() if n}
+    schema = rows.select(*kept, *(F.lit("").alias(n) for n in told.values()), *(F.lit(0.0).alias(n) for n in near)).schema
 
     @lean
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = next(iter(names))
         for batch in batches:
             for some in slices(batch, first, STEP):
-                told = [pa.array([packed(*anchors(t or "", k, s)) for t in some.column(c).to_pylist()], pa.string()) for c in names]
-                yield pa.RecordBatch.from_arrays([*(some.column(c) for c in kept), *told], names=[*kept, *names.values()])
+                prints: dict[str, list[str]] = {c: [] for c in told}
+                shares: dict[str, list[float]] = {n: [] for n in near}
+                for i in range(some.num_rows):
+                    found = {c: anchors(some.column(c)[i].as_py() or "", k, s) for c in names}
+                    for c in told:
+                        prints[c].append(packed(*found[c]))
+                    for n, (a, b) in near.items():
+                        shares[n].append(shared(found[a][1], found[b][1]))
+                yield pa.RecordBatch.from_arrays([*(some.column(c) for c in kept), *(pa.array(v, pa.string()) for v in prints.values()), *(pa.array(v, pa.float64()) for v in shares.values())], names=schema.names)
 
     return rows.select(*kept, *names).mapInArrow(add, schema)
 

@@ -216,6 +216,8 @@ def test_likeness_and_stretches(spark):
     near = [g.near for g in got]
     assert near[0] == near[5] == near[7] == near[9] == 1.0 and near[6] == near[8] == near[10] == 0.0
     assert near[1] < 0.02 and abs(near[2] - 700 / len(a)) < 0.1 and abs(near[3] - 2 / 3) < 0.05 and abs(near[4] - 0.5) < 0.05
+    beside = syncmers.with_fingerprints(docs, {"x": "f", "y": ""}, {"near": ("x", "y")}).orderBy("id").collect()
+    assert [b.near for b in beside] == near and [b.f for b in beside] == [g.f for g in got] and len(beside[0]) == 4
     (one,) = [s for s in got[3].s if s.length > 100]
     assert one.other_start - one.start == len(c) and one.length > len(a) - 40
     for (x, y), g in zip(pairs, got):
