@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .functions import macros, quoting, scalar
-from .operators import diff, edges, graph, navigation, relational, tree
+from .operators import depsets, diff, edges, graph, navigation, relational, tree
 from .plans import render
 from .sources import catalog, repository
 
@@ -1019,3 +1019,93 @@ def diff_enriched(t):
     out = tree.inherited(columns, tables, heirs.filter("third <> 0").drop("third"), heirs.filter("third <> 1").drop("third"))
     said = lambda x: F.concat(text(x["from_table"]), F.lit(":"), F.coalesce(x["change"], F.lit("")), F.lit(":"), F.coalesce(x["column_status"], F.lit("?")))
     return out.select("table", "column", "status", "parent_status", F.array_join(F.transform("inherits", said), ",").alias("inherits"))
+
+
+# --- sets of dependencies: nested, with shared fallbacks, chosen with a search back; mirrors that travel; plans without silent nodes -----
+
+
+@query("""WITH l AS (SELECT l_orderkey AS k, l_linenumber AS n, max(l_partkey) AS p FROM lineitem GROUP BY 1, 2), o AS (SELECT DISTINCT k FROM l), h AS (SELECT 'c' || r_regionkey AS c FROM region WHERE r_regionkey < 3),
+d AS (SELECT k, 'p' || p AS name, CASE WHEN n > 2 AND k % 2 = 1 THEN 'forwards' END AS own, CASE WHEN n > 2 THEN 60 WHEN n = 1 THEN 100 ELSE 50 END AS a, CASE WHEN n > 2 THEN 10 ELSE n END AS b, CASE WHEN n > 2 THEN 200 - 10 * n ELSE 0 END AS c, n,
+  (k % 5 <> 0 OR 'c' || (k % 4) IN (SELECT c FROM h)) AND (n <= 2 OR ('c' || (k % 4) IN (SELECT c FROM h) AND 'c' || (n % 4) IN (SELECT c FROM h))) AS holds FROM l),
+r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY a, b, c, n, name) AS i FROM d WHERE holds AND name IN (SELECT 'p' || p_partkey FROM part WHERE p_size > 30))
+SELECT k AS node, 's' || k AS depset_id, name, coalesce(own, CASE k % 3 WHEN 0 THEN 'forwards' WHEN 1 THEN 'backwards' END) AS applies FROM r WHERE i = 1
+UNION ALL SELECT k, NULL, 'order' || k, CASE k % 3 WHEN 0 THEN 'forwards' WHEN 1 THEN 'backwards' END FROM o""")
+def depset_nested(t):
+    """Each order has a group around a set of its first lines and, in its middle, a set of the others, with conditions on all three levels."""
+    k, n = F.col("k"), F.col("n")
+    lines = t.lineitem.groupBy(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n")).agg(F.max("l_partkey").alias("p"))
+    no = F.lit(None).cast("string")
+    of = lambda letter: F.concat(F.lit(letter), text("k"))
+    held = lambda x: F.concat(F.lit("c"), text(x % 4))
+
+    def part(d, id_, parent, kind, place, fqn=no, pqn=no, applies=no, condition=no, priority=F.lit(None)):
+        return d.select(id_.alias("id"), parent.alias("parent"), k.alias("node"), F.lit(kind).alias("kind"), place.cast("int").alias("place"), fqn.alias("fqn"), pqn.alias("pqn"), applies.alias("applies"), no.alias("direction"), condition.alias("condition"), priority.cast("int").alias("priority"))
+
+    orders = lines.select("k").distinct()
+    parts = [
+        part(orders, of("g"), no, "dependencies", F.lit(0), applies=F.when(k % 3 == 0, "forwards").when(k % 3 == 1, "Backwards")),
+        part(orders, of("s"), of("g"), "set", F.lit(1), condition=F.when(k % 5 == 0, held(k))),
+        part(orders, of("o"), of("g"), "dependency", F.lit(2), fqn=of("order")),
+        part(orders, of("t"), of("s"), "set", F.lit(10), applies=F.when(k % 2 == 1, "forwards"), condition=held(k), priority=F.lit(60)),
+        part(lines.filter("n <= 2"), F.concat(text("k"), F.lit("."), text("n")), of("s"), "dependency", n, fqn=F.concat(F.lit("p"), text("p")), priority=F.when(n > 1, 50)),
+        part(lines.filter("n > 2"), F.concat(text("k"), F.lit("."), text("n")), of("t"), "dependency", n, pqn=F.concat(F.lit("p"), text("p")), condition=held(n), priority=200 - 10 * n),
+    ]
+    all_ = parts[0]
+    for more in parts[1:]:
+        all_ = all_.unionByName(more)
+    options = depsets.flattened(all_)
+    return depsets.chosen(options, t.part.filter("p_size > 30").select(F.concat(F.lit("p"), text("p_partkey")).alias("name")), t.region.filter("r_regionkey < 3").select(F.concat(F.lit("c"), text("r_regionkey")).alias("condition"))).select("node", "depset_id", "name", "applies")
+
+
+@query("""WITH RECURSIVE s AS (SELECT o_orderkey AS id, o_custkey AS g, o_orderkey % 2 AS side, 'f' || o_custkey || '.' AS f, CASE WHEN o_orderkey % 3 = 0 THEN 100 ELSE o_orderkey % 3 * 70 END AS pr FROM orders),
+x AS (SELECT *, f || (id % 4) AS name, f || (id * 7 % 5) || 'x' AS fallback, row_number() OVER (PARTITION BY g, side ORDER BY pr, id) AS n FROM s),
+r(g, side, n, id, made, used, own) AS (SELECT g, side, 1, id, [fallback], fallback, TRUE FROM x WHERE n = 1
+  UNION ALL SELECT r.g, r.side, x.n, x.id, CASE WHEN len(list_filter(made, lambda m: starts_with(m, name) OR m = fallback)) > 0 THEN made ELSE list_append(made, fallback) END,
+    coalesce(list_filter(made, lambda m: starts_with(m, name) OR m = fallback)[1], fallback), len(list_filter(made, lambda m: starts_with(m, name) OR m = fallback)) = 0
+  FROM r JOIN x ON x.g = r.g AND x.side = r.side AND x.n = r.n + 1)
+SELECT id AS depset_id, used AS fallback, own FROM r""")
+def fallback_shared(t):
+    """A customer's orders as sets on two sides, each of which may use the fallbacks made before it."""
+    k, f = F.col("o_orderkey"), F.concat(F.lit("f"), text("o_custkey"), F.lit("."))
+    sets = t.orders.select(k.alias("depset_id"), F.concat(text("o_custkey"), F.when(k % 2 == 0, "build").otherwise("drop")).alias("side"), F.when(k % 3 != 0, k % 3 * 70).alias("priority"), F.array(F.concat(f, text(k % 4))).alias("names"), F.concat(f, text(k * 7 % 5), F.lit("x")).alias("fallback"))
+    return depsets.shared_fallbacks(sets)
+
+
+@query("""WITH s AS (SELECT s_suppkey AS k, s_suppkey % 4 AS m FROM supplier)
+SELECT 'a' || k AS node, CASE WHEN m IN (1, 3) THEN 'd' ELSE 'b' END || k AS target, k * 2 AS depset_id FROM s WHERE m <> 2 UNION ALL SELECT 'a' || k, 'base' || k, k * 2 FROM s WHERE m = 2
+UNION ALL SELECT 'b' || k, CASE WHEN m = 0 THEN 'e' WHEN m IN (1, 3) THEN 'a' ELSE 'f' END || k, k * 2 + 1 FROM s UNION ALL SELECT 'f' || k, 'a' || k, NULL FROM s UNION ALL SELECT 'd' || k, 'a' || k, NULL FROM s WHERE m IN (0, 2)""")
+def cycle_backtracked(t):
+    """a needs b or d, b needs a or else e (f where that leads back to a). Taking d first would end in a's cycle with d, which nothing breaks: b's choice moves on, or is taken back for a's."""
+    k = F.col("s_suppkey").cast("bigint")
+    of = lambda letter: F.concat(F.lit(letter), text("s_suppkey"))
+    fixed = t.supplier.select(of("f").alias("node"), of("a").alias("target")).unionByName(t.supplier.filter(k % 4 % 2 == 0).select(of("d").alias("node"), of("a").alias("target")))
+    first = t.supplier.select((k * 2).alias("depset_id"), of("a").alias("node"), F.posexplode(F.when(k % 4 == 2, F.array(of("b"))).otherwise(F.array(of("b"), of("d")))).alias("priority", "target"))
+    second = t.supplier.select((k * 2 + 1).alias("depset_id"), of("b").alias("node"), F.posexplode(F.when(k % 4 == 0, F.array(of("a"), of("e"))).otherwise(F.array(of("a"), of("f")))).alias("priority", "target"))
+    breakers = t.supplier.filter(k % 4 == 2).select(of("b").alias("node"), of("base").alias("breaker"))
+    return depsets.acyclic_choice(fixed, first.unionByName(second), breakers)
+
+
+@query("""WITH RECURSIVE e AS (SELECT p_partkey AS node, CAST(floor(p_partkey / 3) AS BIGINT) AS target FROM part WHERE p_partkey >= 3 AND p_partkey % 5 <> 0),
+r(f, node) AS (SELECT node, target FROM e UNION SELECT f, e.target FROM r JOIN e ON e.node = r.node)
+SELECT node, CASE node % 4 WHEN 1 THEN 'diff' ELSE 'build' END AS action, f AS after_node, CASE f % 4 WHEN 0 THEN 'drop' ELSE 'diffprep' END AS after_action FROM r WHERE f % 4 IN (0, 1) AND node % 4 IN (0, 1, 2) AND node IN (SELECT p_partkey FROM part)""")
+def mirrors_propagated(t):
+    k = F.col("p_partkey")
+    does = F.when(k % 4 == 0, F.array(F.lit("drop"), F.lit("build"))).when(k % 4 == 1, F.array(F.lit("diffprep"), F.lit("diff"))).when(k % 4 == 2, F.array(F.lit("build"))).otherwise(F.array(F.lit("exists")))
+    heirs = t.part.filter(k >= 3).select(k.alias("node"), F.floor(k / 3).alias("target"), (k % 5 != 0).alias("propagate"))
+    return depsets.propagated_mirrors(t.part.select(k.alias("node"), F.explode(does).alias("action")), heirs)
+
+
+@query("""WITH RECURSIVE p AS (SELECT p_partkey AS k, p_partkey % 7 IN (0, 3) AS silent FROM part),
+e AS (SELECT k AS node, CAST(floor(k / 2) AS BIGINT) AS target FROM p WHERE k > 1 UNION SELECT k, CAST(floor(k / 3) AS BIGINT) FROM p WHERE k > 2 UNION SELECT CAST(floor(k / 2) AS BIGINT), k FROM p WHERE k % 14 = 3 AND k > 3),
+n AS (SELECT e.node, e.target, s.silent AS from_silent, x.silent AS to_silent FROM e JOIN p s ON s.k = node JOIN p x ON x.k = target WHERE NOT (node % 14 = 3 AND node > 3)),
+w(u, x, silent) AS (SELECT node, target, to_silent FROM n WHERE NOT from_silent UNION SELECT u, n.target, n.to_silent FROM w JOIN n ON n.node = w.x WHERE w.silent),
+l(node, lvl) AS (SELECT k, 0 FROM p WHERE NOT silent UNION SELECT w.u, l.lvl + 1 FROM l JOIN w ON w.x = l.node AND NOT w.silent AND w.u <> w.x)
+SELECT node, CASE WHEN node % 2 = 0 THEN 'drop' ELSE 'build' END AS action, max(lvl) AS level, CASE WHEN node % 2 = 0 THEN -max(lvl) ELSE max(lvl) END AS place FROM l GROUP BY node""")
+def plan_contracted(t):
+    """The order of parts without those that print nothing, some of which stand on cycles."""
+    k = F.col("p_partkey")
+    actions = t.part.select(k.alias("node"), F.when(k % 2 == 0, "drop").otherwise("build").alias("action"))
+    needs = part_edges(t).select(F.col("target").alias("node"), F.col("source").alias("target")).unionByName(t.part.filter((k % 14 == 3) & (k > 3)).select(F.floor(k / 2).alias("node"), k.alias("target")))
+    known = t.part.select(k.alias("target"))
+    needs = needs.join(known, "target", "left_semi").join(known.withColumnRenamed("target", "node"), "node", "left_semi").select("node", "target")
+    return depsets.plan_of_printed(actions, needs, t.part.filter((k % 7).isin(0, 3)).select(k))
