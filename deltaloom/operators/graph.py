@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def kept(df: DataFrame) -> DataFrame:
@@ -31,6 +34,84 @@ def released(*tables: DataFrame | None) -> None:
             at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: Rows up to which a graph is walked within one task (some MB at most); a larger one goes by rounds of joins. Both give the same rows.
+SMALL = 1 << 16
+
+
+def _is_small(df: DataFrame) -> bool:
+    return df.limit(SMALL + 1).count() <= SMALL
+
+
+def _walked(pairs: DataFrame, walk: Callable[[list, list], tuple[list, list]], schema: str) -> DataFrame:
+    """What ``walk`` makes of the two columns of a small table, in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told = [b.to_pydict() for b in batches]
+        left, right = walk(*([x for d in told for x in list(d.values())[i]] for i in (0, 1)))
+        yield pa.RecordBatch.from_arrays([pa.array(left, out[0].type), pa.array(right, out[1].type)], schema=out)
+
+    out = to_arrow_schema(pairs.sparkSession.createDataFrame([], schema).schema)
+    return pairs.repartition(1).mapInArrow(run, schema)
+
+
+def _rings(sources: list, targets: list) -> tuple[list, list]:
+    """Nodes on cycles, each with the smallest of its strongly connected nodes."""
+    after: dict = {}
+    for s, t in zip(sources, targets):
+        after.setdefault(s, set()).add(t)
+        after.setdefault(t, set())
+    before: dict = {n: [] for n in after}
+    for s, ts in after.items():
+        for t in ts:
+            before[t].append(s)
+
+    def visited(start, ways, seen) -> list:
+        """Nodes reached from start, each after all that are reached from it."""
+        out, stack = [], [(start, iter(ways[start]))]
+        seen.add(start)
+        while stack:
+            node, rest = stack[-1]
+            further = next((n for n in rest if n not in seen), None)
+            if further is None:
+                out.append(node)
+                stack.pop()
+            else:
+                seen.add(further)
+                stack.append((further, iter(ways[further])))
+        return out
+
+    seen: set = set()
+    order = [n for start in after if start not in seen for n in visited(start, after, seen)]
+    seen, found = set(), []
+    for start in reversed(order):
+        if start not in seen:
+            ring = visited(start, before, seen)
+            if len(ring) > 1 or start in after[start]:
+                found += [(n, min(ring)) for n in ring]
+    return [n for n, _ in found], [c for _, c in found]
+
+
+def _depths(sources: list, targets: list) -> tuple[list, list]:
+    """Nodes, as targets of null or of other nodes, with the longest way to them; null on a cycle or behind one."""
+    after: dict = {t: [] for t in targets}
+    waits = dict.fromkeys(after, 0)
+    for s, t in zip(sources, targets):
+        if s is not None:
+            after[s].append(t)
+            waits[t] += 1
+    level, now, depth = {}, [n for n, w in waits.items() if not w], 0
+    while now:
+        level |= dict.fromkeys(now, depth)
+        free = []
+        for n in now:
+            for t in after[n]:
+                waits[t] -= 1
+                if not waits[t]:
+                    free.append(t)
+        now, depth = free, depth + 1
+    return list(after), [level.get(n) for n in after]
+
+
 def reachable(edges: DataFrame, seeds: DataFrame, source: str = "source", target: str = "target", most_rounds: int | None = None) -> DataFrame:
     """(node): seeds and all nodes that edges lead to from them, frontier by frontier; cycles end by themselves."""
     arrows = edges.select(F.col(source).alias("s"), F.col(target).alias("t")).filter("s is not null and t is not null").distinct()
@@ -66,11 +147,16 @@ def levels(nodes: DataFrame, edges: DataFrame, node: str = "node", source: str =
     """(node, level): the longest chain of edges source -> target that ends in the node; nodes without a source are at 0.
 
     Nodes are taken off round by round: those all of whose sources are gone. What is on a
-    cycle or behind one gets a null level.
+    cycle or behind one gets a null level. At most ``SMALL`` nodes and edges are walked in
+    one task instead.
     """
     left = kept(nodes.select(F.col(node).alias("node")).distinct())
     arrows = edges.select(F.col(source).alias("s"), F.col(target).alias("t")).distinct()
     arrows = kept(arrows.join(left.select(F.col("node").alias("s")), "s", "left_semi").join(left.select(F.col("node").alias("t")), "t", "left_semi"))
+    kind = left.schema["node"].dataType
+    pairs = arrows.unionByName(left.select(F.lit(None).cast(kind).alias("s"), F.col("node").alias("t")))
+    if _is_small(pairs):
+        return _walked(pairs.select("s", "t"), _depths, f"node {kind.simpleString()}, level int")
     done, level = None, 0
     while True:
         free = kept(left.join(arrows.select(F.col("t").alias("node")).distinct(), "node", "left_anti").withColumn("level", F.lit(level)))
@@ -84,15 +170,43 @@ def levels(nodes: DataFrame, edges: DataFrame, node: str = "node", source: str =
     return rest if done is None else done.unionByName(rest)
 
 
+def least_reaching(arrows: DataFrame) -> DataFrame:
+    """(node, label): of each end of ``arrows`` (s, t) the smallest node from which a way leads to it, itself included.
+
+    Labels go along the arrows, two at a time, and then on to the label of the
+    label, which leads there, too; so rounds are near the logarithm of the
+    longest way that a label travels. A round is kept, the one before released.
+    """
+    label = kept(arrows.select(F.explode(F.array("s", "t")).alias("node")).distinct().withColumn("label", F.col("node")))
+
+    def along(now: DataFrame) -> DataFrame:
+        told = arrows.join(now.withColumnsRenamed({"node": "s"}), "s").select(F.col("t").alias("node"), "label")
+        return now.unionByName(told).groupBy("node").agg(F.min("label").alias("label"))
+
+    while True:
+        near = along(along(label.select("node", "label")))
+        jump = label.select(F.col("node").alias("label"), F.col("label").alias("further"))
+        was = label.select("node", F.col("label").alias("was"))
+        fresh = kept(near.join(jump, "label", "left").select("node", F.least("label", F.coalesce("further", "label")).alias("label")).join(was, "node"))
+        if not fresh.filter("label <> was").limit(1).count():
+            return fresh.select("node", "label")
+        released(label)
+        label = fresh
+
+
 def cycles(edges: DataFrame, source: str = "source", target: str = "target") -> DataFrame:
     """(node, cycle): nodes on a cycle, self-loops included, each with the smallest node of those it shares cycles with.
 
     Nodes without a way in or out are taken off. Then each node learns the
-    smallest node that reaches it; the nodes that reach their own smallest one
-    lie on cycles with it. They are taken out, and the rest goes round again.
-    Rows stay as many as the edges; rounds follow the longest way in the core.
+    smallest node that reaches it and, among nodes of one such label, the smallest
+    that it reaches; nodes for which both are one lie on cycles with it. They are
+    taken out, and the rest goes round again. Rows stay as many as the edges. A
+    graph of at most ``SMALL`` edges is walked in one task instead.
     """
     arrows = kept(edges.select(F.col(source).alias("s"), F.col(target).alias("t")).filter("s is not null and t is not null").distinct())
+    if _is_small(arrows):
+        kind = arrows.schema["s"].dataType.simpleString()
+        return _walked(arrows.select("s", F.col("t").cast(kind)), _rings, f"node {kind}, cycle {kind}")
     found = None
     while True:
         n_arrows = arrows.count()
@@ -103,18 +217,12 @@ def cycles(edges: DataFrame, source: str = "source", target: str = "target") ->
                 break
         if not n_arrows:
             break
-        colour = kept(arrows.select(F.col("s").alias("node")).distinct().withColumn("colour", F.col("node")))
-        while True:
-            told = colour.withColumnsRenamed({"node": "s", "colour": "told"}).join(arrows, "s").groupBy(F.col("t").alias("node")).agg(F.min("told").alias("told"))
-            fresh = kept(colour.join(told, "node", "left").select("node", F.least("colour", "told").alias("colour"), (F.col("told") < F.col("colour")).alias("moved")))
-            more = fresh.filter("moved").limit(1).count()
-            colour = fresh.select("node", "colour")
-            if not more:
-                break
-        same = arrows.join(colour.withColumnsRenamed({"node": "s", "colour": "of_s"}), "s").join(colour.withColumnsRenamed({"node": "t", "colour": "of_t"}), "t").filter("of_s = of_t").select("s", "t")
-        same = kept(same)
-        back = reachable(same, colour.filter("node = colour").select("node"), "t", "s")
-        core = kept(back.join(colour, "node").select("node", F.col("colour").alias("cycle")))
+        colour = least_reaching(arrows)
+        of = lambda end: colour.withColumnsRenamed({"node": end, "label": f"of_{end}"})
+        same = kept(arrows.join(of("s"), "s").join(of("t"), "t").filter("of_s = of_t").select("s", "t"))
+        back = least_reaching(same.select(F.col("t").alias("s"), F.col("s").alias("t"))).withColumnRenamed("label", "back")
+        # A node that has no arrow among those of its label is alone.
+        core = kept(colour.join(back, "node", "left").filter("label = coalesce(back, node)").select("node", F.col("label").alias("cycle")))
         # A node alone is on a cycle only by an edge to itself.
         inside = same.join(core.select(F.col("node").alias("s")), "s", "left_semi").join(core.select(F.col("node").alias("t")), "t", "left_semi")
         members = core.join(inside.select(F.col("s").alias("node")).distinct(), "node", "left_semi")
