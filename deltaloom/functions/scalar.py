@@ -110,9 +110,31 @@ def to_int(text: Column) -> Column:
     return F.when(text.rlike(r"^ *[+-]?[0-9]+ *$"), F.trim(text).try_cast("bigint"))
 
 
+def int_or_text(text: Column) -> Column:
+    """The integer's plain form (``7`` for `` +07``) if the text is one, else the text unchanged; null for null."""
+    return F.coalesce(to_int(text).cast("string"), text)
+
+
+def order_key(value: Column) -> Column:
+    """(kind, n, s): a key for sorts, ``max_by`` and comparisons of values of mixed kinds: null, then numbers, then texts.
+
+    A text that is an integer counts as a number. Numbers are in the order of
+    numbers and texts in that of their bytes. A comparison of each pair by its own
+    kinds (numbers and texts as texts) would not be an order: 20 < 100 < '1a' < 20.
+    """
+    text = value.cast("string")
+    n = to_int(text)
+    return F.struct(F.when(text.isNull(), 0).when(n.isNotNull(), 1).otherwise(2).alias("kind"), n.alias("n"), F.when(n.isNull(), text).alias("s"))
+
+
+def list_key(items: Column) -> Column:
+    """(kind, items): a key for lists of such values, in the order of their first different items, a list before its extensions; null before all lists."""
+    return F.struct(F.when(items.isNull(), 0).otherwise(3).alias("kind"), F.transform(items, order_key).alias("items"))
+
+
 def version(text: Column) -> Column:
-    """Parts between dots as (n, s): a number, or the text where it is none. Versions compare as arrays."""
-    return F.transform(F.split(text, r"\."), lambda p: F.struct(to_int(p).alias("n"), F.when(to_int(p).isNull(), p).alias("s")))
+    """The parts between dots as ``order_key``; versions compare as arrays, so 1.9 < 1.10 < 1.a."""
+    return F.transform(F.split(text, r"\."), order_key)
 
 
 def version_numbers(text: Column) -> Column:

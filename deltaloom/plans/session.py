@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import diff as D
+from ..operators import edges as E
 from ..operators import graph as G
 from ..operators import tree as T
 from ..operators.relational import ranked
 from ..sources import catalog
+from ..sources import prints, repository
 from . import render
 
 #: How objects are compared: among the objects of matched parents by name, by the attributes that ``render`` has statements for; a column's place is no attribute.
@@ -17,7 +19,7 @@ OBJECT_RULES = {k: D.Rule(key=("name",), attributes=tuple(D.Attribute(a, rebuild
 
 
 class Session:
-    """extract, diff, generate, list: each takes its sources from the stack and leaves its result on it."""
+    """extract, diff, adddeps, generate, list, print, scatter: each takes its sources from the stack and leaves its result on it."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.stack = spark, []
@@ -79,3 +81,29 @@ class Session:
         rows = self.pop()
         status = F.col("status") if "status" in rows.columns else None
         return self.push(rows.select("fqn", render.listing(F.col("depth"), F.col("type"), F.col("name"), F.col("fqn"), status).alias("line")).orderBy("fqn"))
+
+    def adddeps(self, attributes: dict[str, str], without: dict[str, str] | None = None) -> "Session":
+        """Leaves the objects and, above them, their dependencies (node, target): on their parents and on what the named attributes say.
+
+        attributes: kind of the target by attribute (``{"owner": "role"}``);
+        without: by attribute, the value that names no object.
+        """
+        objects = self.pop()
+        told = objects.select("fqn", "parent", *(F.try_element_at("attrs", F.lit(a)).alias(a) for a in attributes))
+        parents = told.select(F.col("fqn").alias("node"), F.col("parent").alias("target")).filter("target is not null")
+        return self.push(objects).push(parents.unionByName(E.implied(told, attributes, without=without)).distinct())
+
+    def print(self, path: str, header: list[str] = (), values: dict[str, str] | None = None) -> "Session":
+        """Writes the statements (seq, text) or lines (fqn, line) on top as text files in their order, and leaves them there.
+
+        header: as ``prints.filled`` takes it, with ``=>`` for the header of the files that are there.
+        """
+        rows = self.pop()
+        order, text = ("seq", "text") if "seq" in rows.columns else ("fqn", "line")
+        head = prints.filled(list(header), values or {}, prints.header_of(self.spark, path))
+        prints.write(rows, path, [F.col(order)], text, head)
+        return self.push(rows)
+
+    def scatter(self, path: str, by: str = "type", check_only: bool = False) -> "Session":
+        """Writes the objects on top to folders that have changed, and leaves what became of each folder (by, status)."""
+        return self.push(repository.sync(self.pop(), path, by, check_only))

@@ -11,7 +11,7 @@ from pyspark.sql.types import StructType
 from .functions import macros, quoting, scalar
 from .operators import depsets, diff, edges, graph, navigation, relational, tree
 from .plans import render
-from .sources import catalog, repository
+from .sources import catalog, documents, prints, repository
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -1109,3 +1109,80 @@ def plan_contracted(t):
     known = t.part.select(k.alias("target"))
     needs = needs.join(known, "target", "left_semi").join(known.withColumnRenamed("target", "node"), "node", "left_semi").select("node", "target")
     return depsets.plan_of_printed(actions, needs, t.part.filter((k % 7).isin(0, 3)).select(k))
+
+
+# --- XML documents, printed scripts, values of mixed kinds -----------------------------------------------------------------
+
+ORDER_XML = "_key BIGINT, status STRING, lines STRUCT<line: ARRAY<STRUCT<_n: INT, _part: BIGINT, _VALUE: STRING>>>"
+
+
+def order_texts(t) -> DataFrame:
+    """(k, c, xml): each order as an element with its lines."""
+    lines = t.lineitem.groupBy(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n")).agg(F.max("l_partkey").alias("p"), F.max("l_quantity").alias("q"))
+    each = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "p", "q"))), lambda x: F.concat(F.lit("<line n='"), text(x["n"]), F.lit("' part='"), text(x["p"]), F.lit("'>"), text(F.floor(x["q"])), F.lit("</line>"))), "")
+    nested = lines.groupBy("k").agg(each.alias("lines"))
+    whole = F.concat(F.lit("<order key='"), text("o_orderkey"), F.lit("'><status>"), "o_orderstatus", F.lit("</status>"), F.coalesce(F.concat(F.lit("<lines>"), "lines", F.lit("</lines>")), F.lit("")), F.lit("</order>"))
+    return t.orders.join(nested, F.col("o_orderkey") == F.col("k"), "left").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"), whole.alias("xml"))
+
+
+_XML_LINES = "SELECT l_orderkey AS k, l_linenumber AS n, max(l_partkey) AS p, CAST(floor(max(l_quantity)) AS VARCHAR) AS q FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders) GROUP BY 1, 2"
+
+
+@query(f"WITH l AS ({_XML_LINES}) SELECT o_orderkey AS k, o_orderstatus AS status, n, p, CAST(CAST(q AS DOUBLE) AS BIGINT) AS q FROM orders LEFT JOIN l ON k = o_orderkey")
+def xml_nested(t):
+    """Orders told as XML and read again with a nested schema."""
+    found = documents.parsed(order_texts(t), "xml", ORDER_XML)
+    return found.select("k", F.col("document.status").alias("status"), F.explode_outer("document.lines.line").alias("x")).select("k", "status", F.col("x._n").alias("n"), F.col("x._part").alias("p"), F.col("x._VALUE").cast("bigint").alias("q"))
+
+
+@query(f"""WITH l AS ({_XML_LINES}), n AS (SELECT o_orderkey AS k, o_orderkey || '/order' AS id, CAST(NULL AS VARCHAR) AS parent, 'order' AS type, 'key=' || o_orderkey AS attrs, CAST(NULL AS VARCHAR) AS text FROM orders
+UNION ALL SELECT o_orderkey, o_orderkey || '/order/status0', o_orderkey || '/order', 'status', '', o_orderstatus FROM orders UNION ALL SELECT k, k || '/order/lines0', k || '/order', 'lines', '', NULL FROM l GROUP BY k
+UNION ALL SELECT k, k || '/order/lines0/line' || (row_number() OVER (PARTITION BY k ORDER BY n) - 1), k || '/order/lines0', 'line', 'n=' || n || ',part=' || p, CAST(CAST(CAST(q AS DOUBLE) AS BIGINT) AS VARCHAR) FROM l)
+SELECT id, parent, type, attrs, text FROM n""")
+def xml_nodes(t):
+    """The same documents as the rows of a tree."""
+    rows = documents.nodes(documents.parsed(order_texts(t), "xml", ORDER_XML), "k", "document", "order")
+    return rows.select("id", "parent", "type", F.array_join(F.transform(F.array_sort(F.map_entries("attrs")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",").alias("attrs"), "text")
+
+
+@query("WITH o AS (SELECT o_orderkey AS k, o_custkey % 10 AS f, o_orderstatus AS status FROM orders) SELECT k, status, 'db' || f AS dbname FROM o")
+def xml_files(t):
+    """Orders written as ten XML files, each with a header, and read back by several tasks with the header of their file."""
+    path, k = folder(t), F.col("k")
+    rows = order_texts(t).withColumn("f", F.col("c") % 10)
+    ends = rows.select("f").distinct()
+    frame = lambda turn, line: ends.select("f", F.lit(turn).alias("turn"), F.lit(None).cast("bigint").alias("k"), line.alias("xml"))
+    head = F.concat(F.lit("<dump><header dbname='db"), text("f"), F.lit("' version='1.2'/>"))
+    whole = rows.select("f", F.lit(1).alias("turn"), k.cast("bigint").alias("k"), "xml").unionByName(frame(0, head)).unionByName(frame(2, F.lit("</dump>")))
+    whole.repartition("f").sortWithinPartitions("f", "turn", "k").select("f", F.col("xml").alias("value")).write.partitionBy("f").text(path)
+    orders = documents.read(t.spark, path, "order", "_key BIGINT, status STRING")
+    headers = documents.read(t.spark, path, "header", "_dbname STRING, _version STRING")
+    return documents.with_header(orders, headers).select(F.col("_key").alias("k"), "status", F.col("header._dbname").alias("dbname"))
+
+
+@query("""WITH l AS (SELECT 1 AS turn, 0 AS n, '-- orders of ' || (SELECT count(*) FROM customer) || ' customers' AS text UNION ALL SELECT 1, 1, '-- kept'
+UNION ALL SELECT 2, row_number() OVER (ORDER BY o_orderpriority DESC, o_orderkey), 'insert ' || o_orderkey || ';' FROM orders WHERE o_orderstatus <> 'P' UNION ALL SELECT 3, 0, '-- end')
+SELECT row_number() OVER (ORDER BY turn, n) AS line, text FROM l""")
+def print_sink(t):
+    """Statements written twice as ordered text files of some thousand lines, the second time with the first one's header kept, and read back."""
+    path = folder(t)
+    said = t.orders.withColumn("text", F.when(F.col("o_orderstatus") != "P", F.concat(F.lit("insert "), text("o_orderkey"), F.lit(";"))))
+    prints.write(said.limit(10), path, [F.col("o_orderkey")], header=["-- kept"])
+    head = prints.filled(["orders of $n$ customers", "=>"], {"n": str(t.customer.count())}, prints.header_of(t.spark, path))
+    prints.write(said, path, [F.desc("o_orderpriority"), F.col("o_orderkey")], header=head, footer=["-- end"], rows_per_file=2000)
+    return prints.lines(t.spark, path)
+
+
+@query("""WITH p AS (SELECT p_partkey AS k, p_size % 10 AS a, CASE WHEN p_partkey % 6 = 5 THEN NULL ELSE p_partkey % 12 END AS b, chr(CAST(97 + p_partkey % 3 AS INTEGER)) AS c FROM part)
+SELECT k, CASE WHEN k % 13 = 0 THEN NULL ELSE a || '.' || coalesce(CASE WHEN b < 10 THEN '0' ELSE '' END || b, c) END AS v, dense_rank() OVER (ORDER BY k % 13 <> 0, CASE WHEN k % 13 <> 0 THEN a END, CASE WHEN k % 13 <> 0 THEN b IS NULL END, CASE WHEN k % 13 <> 0 THEN b END, CASE WHEN k % 13 <> 0 AND b IS NULL THEN c END) AS place,
+  CASE WHEN k % 13 = 0 THEN NULL WHEN b IS NULL THEN c ELSE b::VARCHAR END AS last FROM p""")
+def mixed_order(t):
+    """Versions of numbers and letters in one order, null first."""
+    k = F.col("p_partkey")
+    last = F.when(k % 6 == 5, F.get(F.array(*map(F.lit, "abc")), (k % 3).cast("int"))).otherwise(F.lpad(text(k % 12), 2, "0"))
+    v = F.when(k % 13 != 0, F.concat(text(F.col("p_size") % 10), F.lit("."), last))
+    key = scalar.list_key(F.split("v", r"\."))
+    # Places of the distinct versions, of which there are few, joined to the parts.
+    parts = t.part.select(k.alias("k"), v.alias("v"))
+    places = parts.select("v").distinct().select(F.col("v").alias("of"), F.dense_rank().over(Window.orderBy(key)).alias("place"))
+    return parts.join(places, F.col("v").eqNullSafe(F.col("of"))).select("k", "v", "place", scalar.int_or_text(F.get(F.split("v", r"\."), F.lit(1))).alias("last"))
