@@ -11,12 +11,18 @@ from .scalar import split_quoted
 PRIVILEGES = {"r": "select", "w": "update", "a": "insert", "d": "delete", "D": "truncate", "x": "references", "t": "trigger", "X": "execute", "U": "usage", "C": "create", "T": "temporary", "c": "connect"}
 
 
-def grants(rows: DataFrame, acl: str, *keys: str) -> DataFrame:
+def grants(rows: DataFrame, acl: str, *keys: str, owner: str | None = None, own: str = "", public: str = "") -> DataFrame:
     """One row for each privilege of lists like ``{grantee=r*w/grantor,=U/grantor}``.
 
     (keys..., grantee, grantor, priv, privilege, with_grant). An empty grantee
-    is ``public``; ``*`` after a letter is the grant option. Null lists give no rows.
+    is ``public``; ``*`` after a letter is the grant option. A null list means
+    that nothing was ever granted: with ``owner``, a column, it stands for the
+    letters ``own`` granted to the owner and the letters ``public`` to all, both by
+    the owner; without it, or with a null owner, it gives no rows. An empty list gives none.
     """
+    if owner:
+        usual = F.concat(F.lit("{"), F.col(owner), F.lit(f"={own}/"), F.col(owner), F.concat(F.lit(f",={public}/"), F.col(owner)) if public else F.lit(""), F.lit("}"))
+        rows = rows.withColumn(acl, F.coalesce(acl, usual))
     item = F.explode(F.split(F.regexp_replace(acl, r"^\{(.*)\}$", "$1"), ",")).alias("item")
     items = rows.filter(F.col(acl).isNotNull()).select(*keys, item).filter("item <> ''")
     part = F.split("item", "[=/]")
@@ -34,15 +40,15 @@ def automatic_grants(expected: DataFrame, found: DataFrame, keys: list[str]) ->
 
 
 def options(text: Column) -> Column:
-    """``{a=b,"c=d,e"}`` as an array of (name, value): commas within quotes do not split, the first ``=`` does."""
+    """``{a=b,"c=d,e"}`` as an array of (name, value): commas within quotes do not split, the first ``=`` does. Empty pieces, as of a comma at the end, are left out."""
     inner = F.regexp_replace(text, r"^\{(.*)\}$", "$1")
-    bare = F.transform(split_quoted(inner), lambda p: F.regexp_replace(p, '"', ""))
+    bare = F.filter(F.transform(split_quoted(inner), lambda p: F.regexp_replace(p, '"', "")), lambda p: p != "")
     return F.transform(bare, lambda p: F.struct(F.regexp_extract(p, r"(?s)^([^=]*)", 1).alias("name"), F.regexp_extract(p, r"(?s)^[^=]*=(.*)$", 1).alias("value")))
 
 
 def key_values(text: Column) -> Column:
-    """``a=b,c=d`` as a map."""
-    return F.str_to_map(text, F.lit(","), F.lit("="))
+    """``a=b,c="d,e"`` as a map: commas within double quotes do not split, and the quotes go. A key told twice is an error."""
+    return F.map_from_entries(options(text))
 
 
 def with_defaults(names: Column, kinds: Column, defaults: Column) -> Column:

@@ -97,15 +97,9 @@ def applied(old: DataFrame, new: DataFrame, rule: Rule) -> DataFrame:
     return edited.select(*old.columns).unionByName(whole.select(*old.columns))
 
 
-def element_statuses(old: DataFrame, new: DataFrame, rule: Rule, name: str) -> DataFrame:
-    """(key..., element's key..., status): the structs in the array column ``name``, matched by their own key within objects of one key.
-
-    An element that is twice in a new object raises an error. Of equal ones in
-    an old object the first in the array meets the new one, the others are gone.
-    Elements of elements: take ``nested_rule`` and explode one array more.
-    """
-    inner = nested_rule(rule, name)
-    key = list(inner.key)
+def _exploded(old: DataFrame, new: DataFrame, rule: Rule, name: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The elements in ``name``: the old ones that may match, the new ones, and the old ones that repeat an earlier key."""
+    key = list(nested_rule(rule, name).key)
     new = new.select(*rule.key, F.inline(name))
     many = F.count("*").over(Window.partitionBy(*key)) > 1
     told = F.concat_ws(" ", F.lit(f"repeated element in {name}:"), *(F.col(k).cast("string") for k in key))
@@ -113,8 +107,49 @@ def element_statuses(old: DataFrame, new: DataFrame, rule: Rule, name: str) -> D
     once = new.withColumn(last, F.when(many, F.raise_error(told).cast(new.schema[last].dataType)).otherwise(F.col(last)))
     placed = old.select(*rule.key, F.posexplode(name).alias("deltaloom_place", "deltaloom_element")).select(*rule.key, "deltaloom_place", "deltaloom_element.*")
     placed = placed.withColumn("deltaloom_nth", F.row_number().over(Window.partitionBy(*key).orderBy("deltaloom_place")))
-    first = placed.filter("deltaloom_nth = 1").drop("deltaloom_place", "deltaloom_nth")
-    return statuses(first, once, inner).unionByName(placed.filter("deltaloom_nth > 1").select(*key, F.lit("gone").alias("status")))
+    of = lambda which: placed.filter(which).drop("deltaloom_place", "deltaloom_nth")
+    return of("deltaloom_nth = 1"), once, of("deltaloom_nth > 1")
+
+
+def element_statuses(old: DataFrame, new: DataFrame, rule: Rule, name: str) -> DataFrame:
+    """(key..., element's key..., status): the structs in the array column ``name``, matched by their own key within objects of one key.
+
+    An element that is twice in a new object raises an error. Of equal ones in
+    an old object the first in the array meets the new one, the others are gone.
+    Elements of elements: ``deep_statuses``.
+    """
+    inner = nested_rule(rule, name)
+    first, once, rest = _exploded(old, new, rule, name)
+    return statuses(first, once, inner).unionByName(rest.select(*inner.key, F.lit("gone").alias("status")))
+
+
+def deep_statuses(old: DataFrame, new: DataFrame, rule: Rule) -> DataFrame:
+    """(key..., path, element, status): objects, their elements, the elements' elements and so on, as deep as the rule goes.
+
+    path: names of the array columns on the way, joined by dots; empty for the
+    objects. element: the keys on the way as texts. What is on both sides and
+    none by itself is diff if anything in it is not none, up to the object.
+    Elements of what is new or gone are new or gone; repeated elements as in
+    ``element_statuses``. Key columns on one way have different names. One pass
+    of joins for each array column of the rule.
+    """
+    top = list(rule.key)
+
+    def walked(was: DataFrame, now: DataFrame, own: Rule, path: tuple[str, ...]) -> DataFrame:
+        here, below = statuses(was, now, own), None
+        for name in own.elements:
+            inner = nested_rule(own, name)
+            first, once, rest = _exploded(was, now, own, name)
+            found = walked(first, once, inner, (*path, name)).unionByName(walked(rest, once.limit(0), replace(inner, attributes=(), texts=()), (*path, name)), allowMissingColumns=True)
+            marked = found.filter("status <> 'none'").select(*own.key).distinct().withColumn("deltaloom_element", F.lit(True))
+            status = F.when((F.col("status") == "none") & F.col("deltaloom_element"), "diff").otherwise(F.col("status"))
+            here = here.join(marked, list(own.key), "left").withColumn("status", status).drop("deltaloom_element")
+            below = found if below is None else below.unionByName(found, allowMissingColumns=True)
+        keys = F.array(*(F.col(k).cast("string") for k in own.key[len(top) :])).cast("array<string>")
+        here = here.select(*own.key, F.lit(".".join(path)).alias("path"), keys.alias("element"), "status")
+        return here if below is None else here.unionByName(below, allowMissingColumns=True)
+
+    return walked(old, new, rule, ()).select(*top, "path", "element", "status")
 
 
 def nested_rule(rule: Rule, name: str) -> Rule:

@@ -51,3 +51,29 @@ def mirrored(actions: DataFrame) -> DataFrame:
     has = actions.groupBy("node").agg(F.collect_set("action").alias("has"))
     both = F.filter(pairs, lambda p: F.array_contains("has", p["action"]) & F.array_contains("has", p["after"]))
     return has.select("node", F.inline(both))
+
+
+def usage_sets(objects: DataFrame, fqn: str = "fqn", owner: str = "owner", schema: str = "schema", comment: str | None = None) -> DataFrame:
+    """(depset_id, node, applies, priority, to_fqn, fallback, condition): what the owner of an object must be allowed to do in its schema.
+
+    To build an object its owner needs ``create`` on the schema (applies
+    forwards), to drop it ``usage`` (backwards): granted to the owner, else to
+    public, else as superuser, for which a fallback stands in. With ``comment``,
+    a column, objects that have one need ``usage`` forwards, too, on the
+    condition ``<fqn>.comment``. Objects without owner or schema need nothing.
+    One pass over the objects, no shuffle.
+    """
+    needs = [("forwards", "create", None), ("backwards", "usage", None), *([("forwards", "usage", comment)] if comment else [])]
+    rights = lambda right: (F.concat(F.lit("grant."), F.col(schema), F.lit(f".{right}:"), F.col(owner)), F.concat(F.lit("grant."), F.col(schema), F.lit(f".{right}:public")), F.concat(F.lit("privilege.role."), F.col(owner), F.lit(".superuser")))
+    sets = []
+    for applies, right, when in needs:
+        condition = F.lit(None).cast("string") if when is None else F.concat(F.col(fqn).cast("string"), F.lit(".comment"))
+        one = [F.struct(F.lit(applies).alias("applies"), F.concat_ws("/", F.col(fqn).cast("string"), F.lit(applies), F.lit(right)).alias("depset_id"), F.lit(i).alias("priority"), name.alias("to_fqn"), condition.alias("condition")) for i, name in enumerate(rights(right))]
+        sets += one if when is None else [F.when(F.col(when).isNotNull(), x) for x in one]
+    known = objects.filter(F.col(owner).isNotNull() & F.col(schema).isNotNull())
+    return known.select(F.col(fqn).alias("node"), F.concat(F.lit("privilege.role."), F.col(owner), F.lit(".superuser")).alias("fallback"), F.inline(F.array_compact(F.array(*sets))))
+
+
+def of_extensions(objects: DataFrame, extension: str = "extension", fqn: str = "fqn") -> DataFrame:
+    """(node, target): an edge from each object that belongs to an extension to it; the extension's own objects are made and dropped with it."""
+    return implied(objects, {extension: "extension"}, fqn)

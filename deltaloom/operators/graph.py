@@ -290,6 +290,20 @@ def resolved(edges: DataFrame, objects: DataFrame, required: Column | None = Non
     return edges.join(full, "to_qn", "left").join(partial, "to_qn", "left").withColumn("to_fqn", found).drop("many", "by_pqn")
 
 
+def resolved_on_side(edges: DataFrame, objects: DataFrame) -> DataFrame:
+    """Edges (…, to_qn, side) with to_fqn: of the objects of that fqn, else of that pqn, the smallest fqn on the edge's side, else on any; null without one.
+
+    objects: (fqn, pqn, side). Objects are summed up by name before they meet the edges.
+    """
+    names = objects.select(F.col("fqn").alias("to_qn"), "fqn", "side", F.lit(0).alias("way")).unionByName(objects.filter("pqn is not null").select(F.col("pqn").alias("to_qn"), "fqn", "side", F.lit(1).alias("way")))
+    best = names.groupBy("to_qn", "side").agg(F.min(F.struct("way", "fqn")).alias("best"))
+    by_name = best.groupBy("to_qn").agg(F.map_from_entries(F.collect_list(F.struct("side", "best"))).alias("sides"), F.min("best").alias("any"))
+    here = F.try_element_at("sides", F.col("side"))
+    # A full name anywhere comes before a partial one on the side.
+    found = F.when(here["way"] <= F.col("any.way"), here["fqn"]).otherwise(F.col("any.fqn"))
+    return edges.join(by_name, "to_qn", "left").withColumn("to_fqn", found).drop("sides", "any")
+
+
 def chosen_alternatives(candidates: DataFrame, existing: DataFrame, depset: str = "depset_id", target: str = "to_fqn", priority: str = "priority") -> DataFrame:
     """Of each dependency set the candidate of least priority (null: 100), then least name, that exists."""
     there = candidates.join(existing.select(F.col(existing.columns[0]).alias(target)).distinct(), target, "left_semi")

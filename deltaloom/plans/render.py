@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 from ..functions.quoting import quote_identifier, quote_literal, quote_qualified
 
 
-def listing(depth: Column, kind: Column, name: Column, fqn: Column, status: Column | None = None) -> Column:
-    """An indented line ``type=name|fqn[|diff=status]``."""
+def listing(depth: Column, kind: Column, name: Column, fqn: Column, status: Column | None = None, action: Column | None = None) -> Column:
+    """An indented line ``type=name|fqn[|diff=status][|action=action]``; a null status or action is left out."""
     line = F.concat(F.repeat(F.lit("  "), depth), kind, F.lit("="), name, F.lit("|"), fqn)
-    return line if status is None else F.concat(line, F.when(status.isNotNull(), F.concat(F.lit("|diff="), status)).otherwise(F.lit("")))
+    for label, value in (("diff", status), ("action", action)):
+        if value is not None:
+            line = F.concat(line, F.coalesce(F.concat(F.lit(f"|{label}="), value), F.lit("")))
+    return line
 
 
 def ddl(action: Column, kind: str, name: Column, attr: Column, value: Column) -> Column:

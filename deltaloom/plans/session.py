@@ -77,10 +77,15 @@ class Session:
         order = [F.when(F.col("action") == "drop", 0).otherwise(1), F.col("place"), F.col("fqn"), F.col("part")]
         return self.push(ranked(lines, order, "seq").select((F.col("seq") + 1).alias("seq"), "fqn", "action", "text"))
 
-    def list(self) -> "Session":
+    def list(self, hide: tuple[str, ...] = (), grep: str | None = None) -> "Session":
+        """A line for each object, with its status and action where it has them; objects of a status in ``hide`` and those whose fqn does not fit ``grep`` are left out."""
         rows = self.pop()
-        status = F.col("status") if "status" in rows.columns else None
-        return self.push(rows.select("fqn", render.listing(F.col("depth"), F.col("type"), F.col("name"), F.col("fqn"), status).alias("line")).orderBy("fqn"))
+        if hide and "status" in rows.columns:
+            rows = rows.filter(~F.coalesce(F.col("status").isin(*hide), F.lit(False)))
+        if grep:
+            rows = rows.filter(F.col("fqn").rlike(grep))
+        has = lambda c: F.col(c) if c in rows.columns else None
+        return self.push(rows.select("fqn", render.listing(F.col("depth"), F.col("type"), F.col("name"), F.col("fqn"), has("status"), has("action")).alias("line")).orderBy("fqn"))
 
     def adddeps(self, attributes: dict[str, str], without: dict[str, str] | None = None) -> "Session":
         """Leaves the objects and, above them, their dependencies (node, target): on their parents and on what the named attributes say.

@@ -1186,3 +1186,71 @@ def mixed_order(t):
     parts = t.part.select(k.alias("k"), v.alias("v"))
     places = parts.select("v").distinct().select(F.col("v").alias("of"), F.dense_rank().over(Window.orderBy(key)).alias("place"))
     return parts.join(places, F.col("v").eqNullSafe(F.col("of"))).select("k", "v", "place", scalar.int_or_text(F.get(F.split("v", r"\."), F.lit(1))).alias("last"))
+
+
+# --- null privilege lists, quoted values, sides of names, listings with flags ------------------------------------------------
+
+
+@query("""WITH a AS (SELECT c_custkey AS k, 'u' || c_nationkey AS o, CASE c_custkey % 4 WHEN 0 THEN NULL WHEN 1 THEN '{}' ELSE 'x' END AS acl FROM customer WHERE c_custkey % 7 <> 3)
+SELECT k, o AS grantee, o AS grantor, unnest(['r', 'w']) AS priv, unnest([FALSE, TRUE]) AS with_grant FROM a WHERE acl IS NULL UNION ALL SELECT k, 'public', o, 'U', FALSE FROM a WHERE acl IS NULL UNION ALL SELECT k, 'g', o, 'X', TRUE FROM a WHERE acl = 'x'""")
+def acl_null_lists(t):
+    """Privileges of lists of which some are null (the usual ones of the owner and of all hold) and some empty (nobody has any)."""
+    k = F.col("c_custkey")
+    owner = F.concat(F.lit("u"), text("c_nationkey"))
+    lists = t.customer.filter(k % 7 != 3).select(k.alias("k"), owner.alias("o"), F.when(k % 4 == 1, "{}").when(k % 4 > 1, F.concat(F.lit("{g=X*/"), owner, F.lit("}"))).alias("acl"))
+    return macros.grants(lists, "acl", "k", owner="o", own="rw*", public="U").select("k", "grantee", "grantor", "priv", "with_grant")
+
+
+@query("SELECT p_partkey AS k, p_name AS name, p_type || ',' || p_brand AS kind, CAST(NULL AS VARCHAR) AS missing FROM part")
+def key_values_quoted(t):
+    told = macros.key_values(F.concat(F.lit("name="), "p_name", F.lit(',kind="'), "p_type", F.lit(","), "p_brand", F.lit('",')))
+    return t.part.select(F.col("p_partkey").alias("k"), told.alias("m")).select("k", *(F.try_element_at("m", F.lit(n)).alias(n) for n in ("name", "kind", "missing")))
+
+
+@query("""WITH o AS (SELECT 'part.' || p_partkey AS fqn, 'kind.' || (p_partkey % 50) AS pqn, CASE WHEN p_partkey % 3 = 0 THEN 'drop' ELSE 'build' END AS side FROM part),
+e AS (SELECT s_suppkey AS k, CASE s_suppkey % 3 WHEN 0 THEN 'part.' || s_suppkey WHEN 1 THEN 'kind.' || (s_suppkey % 60) ELSE 'nothing' END AS to_qn, CASE WHEN s_suppkey % 2 = 0 THEN 'drop' ELSE 'build' END AS side FROM supplier)
+SELECT k, to_qn, side, coalesce((SELECT min(fqn) FROM o WHERE fqn = to_qn), (SELECT min(fqn) FROM o WHERE pqn = to_qn AND o.side = e.side), (SELECT min(fqn) FROM o WHERE pqn = to_qn)) AS to_fqn FROM e""")
+def dep_resolve_side(t):
+    p, s = F.col("p_partkey"), F.col("s_suppkey")
+    named = t.part.select(F.concat(F.lit("part."), text(p)).alias("fqn"), F.concat(F.lit("kind."), text(p % 50)).alias("pqn"), F.when(p % 3 == 0, "drop").otherwise("build").alias("side"))
+    asked = F.when(s % 3 == 0, F.concat(F.lit("part."), text(s))).when(s % 3 == 1, F.concat(F.lit("kind."), text(s % 60))).otherwise("nothing")
+    return graph.resolved_on_side(t.supplier.select(s.alias("k"), asked.alias("to_qn"), F.when(s % 2 == 0, "drop").otherwise("build").alias("side")), named).select("k", "to_qn", "side", "to_fqn")
+
+
+@query("""WITH o AS (SELECT s_suppkey AS k, 'u' || s_nationkey AS u, 's' || (s_suppkey % 10) AS s, s_suppkey % 4 = 0 AS said FROM supplier WHERE s_suppkey % 9 <> 0),
+g AS (SELECT DISTINCT 'grant.s' || (c_custkey % 10) || '.' || CASE WHEN c_custkey % 3 = 0 THEN 'create' ELSE 'usage' END || ':' || CASE WHEN c_custkey % 110 = 7 THEN 'public' ELSE 'u' || c_nationkey END AS fqn FROM customer WHERE c_custkey % 4 = 3 UNION SELECT 'privilege.role.u' || n_nationkey || '.superuser' FROM nation WHERE n_nationkey % 6 = 0),
+x AS (SELECT k, u, s, unnest([{'a': 'forwards', 'r': 'create', 'c': FALSE}, {'a': 'backwards', 'r': 'usage', 'c': FALSE}, {'a': 'forwards', 'r': 'usage', 'c': TRUE}]) AS n, said FROM o),
+y AS (SELECT k, n.a AS applies, n.r AS r, 'grant.' || s || '.' || n.r || ':' AS b, u, 'privilege.role.' || u || '.superuser' AS f FROM x WHERE said OR NOT n.c)
+SELECT k AS node, applies, CASE WHEN b || u IN (SELECT fqn FROM g) THEN b || u WHEN b || 'public' IN (SELECT fqn FROM g) THEN b || 'public' ELSE f END AS to_fqn, b || u NOT IN (SELECT fqn FROM g) AND b || 'public' NOT IN (SELECT fqn FROM g) AND f NOT IN (SELECT fqn FROM g) AS by_fallback FROM y""")
+def depset_usage(t):
+    """What owners must be allowed to do in their objects' schemas: by a grant that exists, or by a fallback that sets share."""
+    k, c = F.col("s_suppkey"), F.col("c_custkey")
+    kinds = t.supplier.filter(k % 9 != 0).select(k.alias("fqn"), F.concat(F.lit("u"), text("s_nationkey")).alias("owner"), F.concat(F.lit("s"), text(k % 10)).alias("schema"), F.when(k % 4 == 0, "said").alias("comment"))
+    given = F.concat(F.lit("grant.s"), text(c % 10), F.lit("."), F.when(c % 3 == 0, "create").otherwise("usage"), F.lit(":"), F.when(c % 110 == 7, "public").otherwise(F.concat(F.lit("u"), text("c_nationkey"))))
+    there = t.customer.filter(c % 4 == 3).select(given.alias("fqn")).unionByName(t.nation.filter("n_nationkey % 6 = 0").select(F.concat(F.lit("privilege.role.u"), text("n_nationkey"), F.lit(".superuser")).alias("fqn")))
+    sets = edges.usage_sets(kinds, comment="comment")
+    found = graph.chosen_alternatives(sets, there)
+    unmet = sets.join(found.select("depset_id"), "depset_id", "left_anti").groupBy("depset_id", "node", "applies", "fallback").agg(F.sort_array(F.collect_set("to_fqn")).alias("names"))
+    by = depsets.shared_fallbacks(unmet.select("depset_id", F.col("applies").alias("side"), F.lit(None).cast("int").alias("priority"), "names", "fallback"))
+    made = unmet.drop("fallback").join(by, "depset_id").select("node", "applies", F.col("fallback").alias("to_fqn"), F.lit(True).alias("by_fallback"))
+    return found.select("node", "applies", "to_fqn", F.lit(False).alias("by_fallback")).unionByName(made)
+
+
+@query("""WITH l AS (SELECT l_orderkey AS k, l_linenumber AS n, max(l_quantity) AS q, max(l_suppkey) AS s FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders) GROUP BY 1, 2),
+x AS (SELECT o_custkey AS c, k, n, q, s, k % 9 <> 0 AS o_was, k % 10 <> 0 AS o_is, (k + n) % 6 <> 0 AS l_was, (k + n) % 7 <> 0 AS l_is, k % 4 = 0 AS other FROM l JOIN orders ON o_orderkey = k),
+e AS (SELECT c, k, n, CASE WHEN NOT (o_was AND l_was) THEN 'new' WHEN NOT (o_is AND l_is) THEN 'gone' WHEN other THEN 'diff' ELSE 'none' END AS status FROM x WHERE (o_was AND l_was) OR (o_is AND l_is)),
+o AS (SELECT c, k, bool_or(o_was AND l_was) AS was, bool_or(o_is AND l_is) AS is_ FROM x GROUP BY 1, 2 HAVING was OR is_),
+os AS (SELECT o.c, o.k, CASE WHEN NOT was THEN 'new' WHEN NOT is_ THEN 'gone' WHEN (SELECT bool_or(status <> 'none') FROM e WHERE e.k = o.k) THEN 'diff' ELSE 'none' END AS status FROM o),
+cs AS (SELECT c, bool_or(was) AS was, bool_or(is_) AS is_ FROM o GROUP BY c)
+SELECT c, '' AS path, '' AS element, CASE WHEN NOT was THEN 'new' WHEN NOT is_ THEN 'gone' WHEN (SELECT bool_or(status <> 'none') FROM os WHERE os.c = cs.c) THEN 'diff' ELSE 'none' END AS status FROM cs
+UNION ALL SELECT c, 'orders', k::VARCHAR, status FROM os UNION ALL SELECT c, 'orders.lines', k || '/' || n, status FROM e""")
+def diff_deep_elements(t):
+    """Customers with their orders with their lines, as elements within elements."""
+    k, n = F.col("k"), F.col("n")
+    lines = t.lineitem.groupBy(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n")).agg(F.max("l_quantity").alias("q"))
+    lines = lines.join(t.orders.select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c")), "k")
+    nest = lambda d: d.groupBy("c", "k").agg(F.collect_list(F.struct("n", "q")).alias("lines")).groupBy("c").agg(F.collect_list(F.struct("k", "lines")).alias("orders"))
+    old = nest(lines.filter((k % 9 != 0) & ((k + n) % 6 != 0)))
+    new = nest(lines.filter((k % 10 != 0) & ((k + n) % 7 != 0)).withColumn("q", F.col("q") + F.when(k % 4 == 0, 1).otherwise(0)))
+    rule = diff.Rule(key=("c",), elements={"orders": diff.Rule(key=("k",), elements={"lines": diff.Rule(key=("n",), attributes=(diff.Attribute("q"),))})})
+    return diff.deep_statuses(old, new, rule).select("c", "path", F.array_join("element", "/").alias("element"), "status")

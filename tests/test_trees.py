@@ -154,3 +154,20 @@ def test_folders_of_dates_and_numbers(spark, tmp_path):
     repository.sync(frame, path, "folder")
     assert {s for _, s in rows(repository.sync(frame, path, "folder"))} == {"UNCHANGED"}
     assert rows(repository.gather(spark, path, frame.schema)) == rows(frame)
+
+
+def test_elements_within_elements(spark):
+    rule = diff.Rule(key=("k",), attributes=(diff.Attribute("v"),), elements={"a": diff.Rule(key=("n",), elements={"b": diff.Rule(key=("m",), attributes=(diff.Attribute("w"),))}), "z": diff.Rule(key=("y",))})
+    schema = "k int, v int, a array<struct<n:int,b:array<struct<m:int,w:int>>>>, z array<struct<y:int>>"
+    old = [(1, 1, [(1, [(1, 1), (2, 2)]), (2, [(1, 1)]), (1, [(9, 9)])], [(1,)]), (2, 1, [(1, [(1, 1)])], None), (3, 1, [(1, [])], [])]
+    new = [(1, 1, [(1, [(1, 1), (2, 3)]), (2, [(1, 1)])], [(1,)]), (3, 1, [(1, [])], []), (4, 1, [(5, [(6, 7)])], [])]
+    got = rows(diff.deep_statuses(spark.createDataFrame(old, schema), spark.createDataFrame(new, schema), rule))
+    assert got == sorted(
+        [
+            *[(1, "", [], "diff"), (1, "a", ["1"], "diff"), (1, "a", ["1"], "gone"), (1, "a", ["2"], "none"), (1, "z", ["1"], "none")],
+            *[(1, "a.b", ["1", "1"], "none"), (1, "a.b", ["1", "2"], "diff"), (1, "a.b", ["1", "9"], "gone"), (1, "a.b", ["2", "1"], "none")],
+            *[(2, "", [], "gone"), (2, "a", ["1"], "gone"), (2, "a.b", ["1", "1"], "gone"), (3, "", [], "none"), (3, "a", ["1"], "none")],
+            *[(4, "", [], "new"), (4, "a", ["5"], "new"), (4, "a.b", ["5", "6"], "new")],
+        ],
+        key=repr,
+    )
