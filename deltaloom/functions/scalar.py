@@ -133,6 +133,11 @@ def list_key(items: Column) -> Column:
 
 
 def version(text: Column) -> Column:
+    """Parts between dots as (n, s): a number, or the text where it is none. ``version_key`` puts them in order."""
+    return F.transform(F.split(text, r"\."), lambda p: F.struct(to_int(p).alias("n"), F.when(to_int(p).isNull(), p).alias("s")))
+
+
+def version_key(text: Column) -> Column:
     """The parts between dots as ``order_key``; versions compare as arrays, so 1.9 < 1.10 < 1.a."""
     return F.transform(F.split(text, r"\."), order_key)
 

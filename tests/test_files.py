@@ -79,10 +79,10 @@ def test_values_of_mixed_kinds_have_one_order(spark):
     assert [r.v for r in got] == lists
     versions = ["1", "1.9", "1.10", "1.10.1", "1.a", "2", "a"]
     made = spark.createDataFrame([(i, v) for i, v in enumerate(versions)], "i int, v string")
-    keyed = made.select("i", scalar.version(F.col("v")).alias("k"))
+    keyed = made.select("i", scalar.version_key(F.col("v")).alias("k"))
     less = keyed.join(keyed.select(F.col("i").alias("j"), F.col("k").alias("l")), F.col("k") < F.col("l")).select("i", "j")
     assert rows(less) == sorted(itertools.combinations(range(len(versions)), 2), key=repr)
-    assert made.agg(F.max_by("v", scalar.version(F.col("v")))).first()[0] == "a"
+    assert made.agg(F.max_by("v", scalar.version_key(F.col("v")))).first()[0] == "a"
     kept = spark.createDataFrame([(" +07",), ("7a",), ("",), (None,)], "v string").select(scalar.int_or_text(F.col("v")).alias("v")).collect()
     assert [r.v for r in kept] == ["7", "7a", "", None]
 
