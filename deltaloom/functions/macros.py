@@ -62,6 +62,13 @@ def signature(name: Column, arguments: Column) -> Column:
     return F.concat(name, F.lit("("), F.array_join(arguments, ","), F.lit(")"))
 
 
+def overloads(rows: DataFrame, keys: list[str], text: str, order: list[str]) -> DataFrame:
+    """(keys…, several, texts): what is called alike, as of one schema and name: whether it is more than one, and its texts in ``order``."""
+    fields = [*order, *([] if text in order else [text])]
+    found = F.sort_array(F.collect_list(F.struct(*fields)))
+    return rows.groupBy(*keys).agg((F.count("*") > 1).alias("several"), F.transform(found, lambda x: x[text]).alias("texts"))
+
+
 def unpivot_flags(rows: DataFrame, keys: list[str], flags: list[str]) -> DataFrame:
     """One row (keys..., flag) for each flag column that is true."""
     entries = F.array(*(F.when(F.col(f), F.lit(f)) for f in flags))

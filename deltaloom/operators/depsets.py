@@ -66,6 +66,12 @@ def chosen(options: DataFrame, existing: DataFrame, holding: DataFrame) -> DataF
     return live.filter("depset_id is null").unionByName(first.drop("deltaloom_n")).select(*options.columns)
 
 
+def selectable(options: DataFrame, existing: DataFrame) -> DataFrame:
+    """(depset_id, options, selectable): how many options each set has and how many of them exist. options: (depset_id, name); existing: (name)."""
+    there = existing.select(F.col(existing.columns[0]).alias("name")).distinct().withColumn("deltaloom_there", F.lit(True))
+    return options.join(there, "name", "left").groupBy("depset_id").agg(F.count("*").alias("options"), F.count_if(F.coalesce("deltaloom_there", F.lit(False))).alias("selectable"))
+
+
 def shared_fallbacks(sets: DataFrame) -> DataFrame:
     """(depset_id, fallback, own): for sets without a candidate, taken in order, the fallback that each uses.
 

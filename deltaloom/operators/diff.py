@@ -21,12 +21,13 @@ class Attribute:
 
 @dataclass(frozen=True)
 class Rule:
-    """How objects of one type are compared: their key columns, compared attributes, text columns (null is empty), and by array column the rule of its elements."""
+    """How objects of one type are compared: their key columns, compared attributes, text columns (null is empty), and by array column the rule of its elements. rebuild: any difference means that the object must be made anew."""
 
     key: tuple[str, ...]
     attributes: tuple[Attribute, ...] = ()
     texts: tuple[str, ...] = ()
     elements: dict[str, "Rule"] = field(default_factory=dict)
+    rebuild: bool = False
 
 
 def _changed(name: str, text: bool = False) -> Column:
@@ -50,6 +51,7 @@ def statuses(old: DataFrame, new: DataFrame, rule: Rule) -> DataFrame:
     some = lambda cols: reduce(lambda a, b: a | b, cols, F.lit(False))
     rebuilt = some([_changed(a.name) for a in rule.attributes if a.rebuild])
     changed = some([*(_changed(a.name) for a in rule.attributes), *(_changed(t, True) for t in rule.texts)])
+    rebuilt = changed if rule.rebuild else rebuilt
     status = F.when(F.col("old").isNull(), "new").when(F.col("new").isNull(), "gone").when(rebuilt, "rebuild").when(changed, "diff").otherwise("none")
     for a in rule.attributes:
         if a.fail:
@@ -137,12 +139,13 @@ def deep_statuses(old: DataFrame, new: DataFrame, rule: Rule) -> DataFrame:
 
     def walked(was: DataFrame, now: DataFrame, own: Rule, path: tuple[str, ...]) -> DataFrame:
         here, below = statuses(was, now, own), None
+        by_element = "rebuild" if own.rebuild else "diff"
         for name in own.elements:
             inner = nested_rule(own, name)
             first, once, rest = _exploded(was, now, own, name)
             found = walked(first, once, inner, (*path, name)).unionByName(walked(rest, once.limit(0), replace(inner, attributes=(), texts=()), (*path, name)), allowMissingColumns=True)
             marked = found.filter("status <> 'none'").select(*own.key).distinct().withColumn("deltaloom_element", F.lit(True))
-            status = F.when((F.col("status") == "none") & F.col("deltaloom_element"), "diff").otherwise(F.col("status"))
+            status = F.when((F.col("status") == "none") & F.col("deltaloom_element"), by_element).otherwise(F.col("status"))
             here = here.join(marked, list(own.key), "left").withColumn("status", status).drop("deltaloom_element")
             below = found if below is None else below.unionByName(found, allowMissingColumns=True)
         keys = F.array(*(F.col(k).cast("string") for k in own.key[len(top) :])).cast("array<string>")
@@ -162,7 +165,7 @@ def tree_statuses(old: DataFrame, new: DataFrame, rule: Rule) -> DataFrame:
     out = statuses(old, new, rule)
     for name in rule.elements:
         marked = element_statuses(old, new, rule, name).filter("status <> 'none'").select(*rule.key).distinct().withColumn("deltaloom_element", F.lit(True))
-        status = F.when((F.col("status") == "none") & F.col("deltaloom_element"), "diff").otherwise(F.col("status"))
+        status = F.when((F.col("status") == "none") & F.col("deltaloom_element"), "rebuild" if rule.rebuild else "diff").otherwise(F.col("status"))
         out = out.join(marked, list(rule.key), "left").withColumn("status", status).drop("deltaloom_element")
     return out
 
@@ -184,6 +187,17 @@ def both_sides(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.withColumn("applies", F.lit("backwards")).unionByName(new.withColumn("applies", F.lit("forwards")))
 
 
+def merged_header(old: DataFrame, new: DataFrame, both: tuple[str, ...] = ("dbname", "time")) -> DataFrame:
+    """The header of a comparison: the new side's columns, and those in ``both`` of the old side with a 2 to their names. Headers are tables of one row; of an empty one the columns are null, more than one row is an error."""
+
+    def one(d: DataFrame) -> DataFrame:
+        many = F.when(F.count("*") > 1, F.raise_error(F.lit("several headers")).cast("int"))
+        return d.agg(many.alias("deltaloom_many"), F.first(F.struct(*d.columns)).alias("h")).select(F.coalesce("deltaloom_many", F.lit(0)).alias("deltaloom_one"), "h.*")
+
+    from_old = old.select(*(F.col(c).alias(f"{c}2") for c in both))
+    return one(new).join(one(from_old), "deltaloom_one").drop("deltaloom_one")
+
+
 def filled(template: str, old: str = "old", new: str = "new") -> Column:
     """``template`` with ``{old.x}`` and ``{new.x}`` replaced by fields of two struct columns; another name or a lone brace is an error."""
     sides = {"old": old, "new": new}

@@ -343,6 +343,11 @@ def build_actions(diffs: DataFrame) -> DataFrame:
     return diffs.withColumn("build_type", kind).withColumn("action", F.explode(several))
 
 
+def finalised(actions: DataFrame) -> DataFrame:
+    """``build_actions`` whose rows of a rebuild are a drop and a build like any other: their build_type is their action."""
+    return actions.withColumn("build_type", F.when(F.col("build_type") == "rebuild", F.col("action")).otherwise(F.col("build_type")))
+
+
 def pruned(edges: DataFrame, active: DataFrame, source: str = "source", target: str = "target") -> DataFrame:
     """Distinct edges both of whose ends are active."""
     name = active.columns[0]

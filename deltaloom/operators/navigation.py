@@ -15,6 +15,18 @@ def context_switches(steps: DataFrame, context: str, order: list[str], keys: lis
     return steps.withColumn("from_context", F.lag(context).over(window)).withColumn("to_context", F.col(context)).filter("not (from_context <=> to_context)")
 
 
+def context_moves(steps: DataFrame, context: str, order: list[str], keys: list[str] | None = None, default: str | None = None) -> DataFrame:
+    """(…, move_no, move, context_of): contexts that are left (depart) and entered (arrive) before each step, the old one first.
+
+    The default context, and null, are neither left nor entered: they are where one
+    is anyway. The windows are those of ``context_switches``.
+    """
+    switched = context_switches(steps, context, order, keys)
+    told = lambda kind, c: F.when(F.col(c).isNotNull() & (F.lit(default is None) | (F.col(c) != F.lit(default))), F.struct(F.lit(kind).alias("move"), F.col(c).alias("context_of")))
+    moves = F.array_compact(F.array(told("depart", "from_context"), told("arrive", "to_context")))
+    return switched.select(*steps.columns, F.posexplode(moves).alias("move_no", "deltaloom_move")).select(*steps.columns, "move_no", "deltaloom_move.*")
+
+
 def common_path(a: Column, b: Column) -> Column:
     """How many leading elements two paths have in common."""
     equal = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))

@@ -79,7 +79,7 @@ def statuses(old: DataFrame, new: DataFrame, rules: dict[str, Rule], default: st
         side = lambda s, n: F.coalesce(F.try_element_at(f"{s}_attrs", n), F.lit("")) if text else F.try_element_at(f"{s}_attrs", n)
         return F.coalesce(F.exists(names, lambda n: ~side("old", n).eqNullSafe(side("new", n))), F.lit(False))
 
-    rebuilt = differs({t: tuple(a.name for a in r.attributes if a.rebuild) for t, r in rules.items()})
+    rebuilt = differs({t: tuple(a.name for a in r.attributes if a.rebuild or r.rebuild) for t, r in rules.items()}) | differs({t: r.texts for t, r in rules.items() if r.rebuild}, True)
     changed = differs({t: tuple(a.name for a in r.attributes) for t, r in rules.items()}) | differs({t: r.texts for t, r in rules.items()}, True)
     of_rule = F.col("new_type").isin(*rules) if rules else F.lit(False)
     status = F.when(F.col("old_id").isNull(), "new").when(F.col("new_id").isNull(), "gone").when(rebuilt, "rebuild").when(changed, "diff").when(~of_rule, "UNKNOWN").otherwise("none")

@@ -30,6 +30,15 @@ def ddl(action: Column, kind: str, name: Column, attr: Column, value: Column) ->
     )
 
 
+def navigation(move: Column, kind: Column, name: Column) -> Column:
+    """What a script says where it goes to another place: a database is connected to, an owner's rights are taken on and given back; null where nothing is said."""
+    return (
+        F.when((kind == "database") & (move == "arrive"), F.concat(F.lit("\\connect "), quote_identifier(name)))
+        .when((kind == "owner") & (move == "arrive"), F.concat(F.lit("set session authorization "), quote_literal(name), F.lit(";")))
+        .when((kind == "owner") & (move == "depart"), F.lit("reset session authorization;"))
+    )
+
+
 def comment(kind: str, name: Column, text: Column) -> Column:
     """``comment on …``; a null text removes it."""
     return F.concat(F.lit(f"comment on {kind} "), quote_identifier(name), F.lit(" is "), F.coalesce(quote_literal(text), F.lit("null")), F.lit(";"))

@@ -1254,3 +1254,104 @@ def diff_deep_elements(t):
     new = nest(lines.filter((k % 10 != 0) & ((k + n) % 7 != 0)).withColumn("q", F.col("q") + F.when(k % 4 == 0, 1).otherwise(0)))
     rule = diff.Rule(key=("c",), elements={"orders": diff.Rule(key=("k",), elements={"lines": diff.Rule(key=("n",), attributes=(diff.Attribute("q"),))})})
     return diff.deep_statuses(old, new, rule).select("c", "path", F.array_join("element", "/").alias("element"), "status")
+
+
+# --- rules that rebuild, headers, contexts, listings of files, lateral functions ---------------------------------------------
+
+
+@query(f"{_SNAPSHOTS} SELECT coalesce(a.k,b.k) AS k, CASE WHEN a.k IS NULL THEN 'new' WHEN b.k IS NULL THEN 'gone' WHEN a.s IS DISTINCT FROM b.s THEN 'rebuild' ELSE 'none' END AS status FROM a FULL OUTER JOIN b ON a.k=b.k")
+def diff_rule_rebuild(t):
+    return diff.statuses(*snapshots(t), diff.Rule(key=("k",), attributes=(diff.Attribute("s"),), rebuild=True))
+
+
+@query("SELECT 'db' || (SELECT count(*) FROM orders) AS dbname, (SELECT max(o_orderdate) FROM orders) AS time, 'x' || (SELECT count(*) FROM customer) AS dbname2, (SELECT min(o_orderdate) FROM orders) AS time2")
+def diff_header(t):
+    new = t.orders.agg(F.concat(F.lit("db"), text(F.count("*"))).alias("dbname"), F.max("o_orderdate").alias("time"))
+    old = t.orders.agg(F.concat(F.lit("x"), text(F.lit(t.customer.count()))).alias("dbname"), F.min("o_orderdate").alias("time"))
+    return diff.merged_header(old, new)
+
+
+@query("SELECT o_orderkey AS node, o_orderstatus AS context, 'backwards' AS applies FROM orders WHERE o_orderkey % 7 <> 0 UNION ALL SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'X' ELSE o_orderstatus END, 'forwards' FROM orders WHERE o_orderkey % 5 <> 0")
+def diff_context_merge(t):
+    k = F.col("o_orderkey")
+    told = lambda keep, value: t.orders.filter(keep).select(k.alias("node"), value.alias("context"))
+    return diff.both_sides(told(k % 7 != 0, F.col("o_orderstatus")), told(k % 5 != 0, F.when(k % 3 == 0, "X").otherwise(F.col("o_orderstatus"))))
+
+
+@query(f"{_BUILDS}, x AS (SELECT unnest(CASE build_type WHEN 'rebuild' THEN ['drop','build'] WHEN 'diff' THEN ['diffprep','diff'] ELSE [build_type] END) AS action, build_type FROM t) SELECT CASE build_type WHEN 'rebuild' THEN action ELSE build_type END AS build_type, action, count(*) AS n FROM x GROUP BY 1, 2")
+def build_relabelled(t):
+    return graph.finalised(graph.build_actions(diff_status(t))).groupBy("build_type", "action").agg(F.count("*").alias("n"))
+
+
+_CONTEXTS = """WITH w AS (SELECT o_custkey AS c, o_orderkey AS k, o_orderstatus AS t, lag(o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS f FROM orders),
+m AS (SELECT c, k, 'depart' AS move, f AS context_of FROM w WHERE f IS DISTINCT FROM t AND f <> 'O' UNION ALL SELECT c, k, 'arrive', t FROM w WHERE f IS DISTINCT FROM t AND t <> 'O')"""
+
+
+def context_moves(t) -> DataFrame:
+    return navigation.context_moves(t.orders.select(F.col("o_custkey").alias("c"), F.col("o_orderkey").alias("k"), "o_orderstatus"), "o_orderstatus", ["k"], ["c"], "O")
+
+
+@query(f"{_CONTEXTS} SELECT c, k, move, context_of FROM m")
+def nav_context_moves(t):
+    return context_moves(t).select("c", "k", "move", "context_of")
+
+
+@query(rf"""{_CONTEXTS} SELECT c, k, CASE move WHEN 'arrive' THEN 'set session authorization ' || chr(39) || context_of || chr(39) || ';' ELSE 'reset session authorization;' END AS line FROM m
+UNION ALL SELECT -1, n_nationkey, '\connect ' || lower(n_name) FROM nation WHERE regexp_matches(n_name, '^[A-Za-z][A-Za-z0-9_]*$') AND n_nationkey % 2 = 0""")
+def nav_texts(t):
+    owners = context_moves(t).select("c", "k", render.navigation(F.col("move"), F.lit("owner"), F.col("context_of")).alias("line"))
+    nations = t.nation.filter(F.col("n_name").rlike("^[A-Za-z][A-Za-z0-9_]*$")).select(F.lit(-1).cast(t.orders.schema["o_custkey"].dataType).alias("c"), F.col("n_nationkey").cast(t.orders.schema["o_orderkey"].dataType).alias("k"), render.navigation(F.when(F.col("n_nationkey") % 2 == 0, "arrive").otherwise("depart"), F.lit("database"), F.lower("n_name")).alias("line"))
+    return owners.unionByName(nations.filter("line is not null"))
+
+
+@query("SELECT c_mktsegment AS folder, TRUE AS filled FROM customer GROUP BY 1")
+def file_listing(t):
+    """The folders of customers by segment, found by a listing of files of one pattern."""
+    path = folder(t)
+    repository.scatter(t.customer.select("c_custkey", F.col("c_mktsegment").alias("type")), path)
+    found = repository.listing(t.spark, path, "*.parquet")
+    return found.groupBy(F.regexp_extract("path", "/type=([^/]*)/", 1).alias("folder")).agg((F.sum("length") > 0).alias("filled"))
+
+
+@query("SELECT p_brand, p_type, count(*) > 1 AS several, string_agg(p_name, '|' ORDER BY p_partkey) AS texts FROM part GROUP BY 1, 2")
+def overload_groups(t):
+    return macros.overloads(t.part, ["p_brand", "p_type"], "p_name", ["p_partkey"]).withColumn("texts", F.array_join("texts", "|"))
+
+
+@query("SELECT c_custkey, n_name, r_name FROM customer LEFT JOIN (nation JOIN region ON n_regionkey = r_regionkey) ON c_nationkey = n_nationkey AND r_name <> 'ASIA' AND c_acctbal > n_nationkey * 100 AND (r_name <> 'EUROPE' OR n_nationkey % 2 = 0)")
+def left_join_compound(t):
+    both = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
+    on = (F.col("c_nationkey") == F.col("n_nationkey")) & (F.col("r_name") != "ASIA") & (F.col("c_acctbal") > F.col("n_nationkey") * 100) & ((F.col("r_name") != "EUROPE") | (F.col("n_nationkey") % 2 == 0))
+    return t.customer.join(both, on, "left").select("c_custkey", "n_name", "r_name")
+
+
+@query("SELECT o_orderkey, x.n FROM orders, LATERAL (SELECT unnest(range(CAST(0 AS BIGINT), o_orderkey % 4)) AS n) x")
+def lateral_function(t):
+    """A table function of each row's value in FROM."""
+    up = F.sequence(F.lit(0).cast("bigint"), F.col("o_orderkey").outer() % 4 - 1)
+    return t.orders.filter(F.col("o_orderkey") % 4 > 0).lateralJoin(t.spark.tvf.explode(up)).select("o_orderkey", F.col("col").alias("n"))
+
+
+@query("SELECT p_partkey, e.k AS key, e.v AS value, 3 AS n FROM (SELECT p_partkey, unnest([{'k': 'brand', 'v': p_brand}, {'k': 'name', 'v': p_name}, {'k': 'type', 'v': p_type}]) AS e FROM part)")
+def map_each(t):
+    """Entries of a map one by one, and their number."""
+    told = t.part.select("p_partkey", F.create_map(F.lit("name"), F.col("p_name"), F.lit("brand"), F.col("p_brand"), F.lit("type"), F.col("p_type")).alias("m"))
+    return told.select("p_partkey", F.size("m").alias("n"), F.explode("m").alias("key", "value"))
+
+
+@query("""WITH a AS (SELECT o_custkey % 50 AS g, o_orderkey AS k, o_orderstatus AS s FROM orders), b AS (SELECT g, k, CASE WHEN g % 7 = 3 AND k % 11 = 5 THEN 'X' ELSE s END AS s FROM a UNION ALL SELECT g, k, s FROM a WHERE g % 10 = 4 AND k % 2 = 0),
+d AS (SELECT * FROM (SELECT g, k, s FROM a EXCEPT ALL SELECT g, k, s FROM b) UNION ALL SELECT * FROM (SELECT g, k, s FROM b EXCEPT ALL SELECT g, k, s FROM a))
+SELECT g, count(*) AS rows, g NOT IN (SELECT g FROM d) AS same FROM a GROUP BY g""")
+def snapshot_compare(t):
+    """Groups of rows of two snapshots, in whatever order, compared by one hash a group."""
+    g, k = F.col("g"), F.col("k")
+    a = t.orders.select((F.col("o_custkey") % 50).alias("g"), F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("s"))
+    b = a.withColumn("s", F.when((g % 7 == 3) & (k % 11 == 5), "X").otherwise(F.col("s"))).unionByName(a.filter((g % 10 == 4) & (k % 2 == 0)))
+    was, now = repository.snapshot_hashes(a, ["g"]), repository.snapshot_hashes(b, ["g"]).select("g", F.col("hash").alias("other"))
+    return was.join(now, "g").select("g", "rows", (F.col("hash") == F.col("other")).alias("same"))
+
+
+@query(_CANDIDATES.split("best AS")[0].rstrip().rstrip(",") + " SELECT depset_id, count(*) AS options, count_if(to_fqn IN (SELECT fqn FROM x)) AS selectable FROM c GROUP BY depset_id")
+def depset_selectable(t):
+    candidates, there = alternatives(t)
+    return depsets.selectable(candidates.select("depset_id", F.col("to_fqn").alias("name")), there)

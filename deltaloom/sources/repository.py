@@ -46,6 +46,13 @@ def row_hash(rows: DataFrame, columns: list[str]) -> Column:
     return F.sha2(F.to_json(F.struct(*(x.alias(f"c{i}") for i, x in enumerate(flat))), {"ignoreNullFields": "false"}), 256)
 
 
+def snapshot_hashes(rows: DataFrame, by: list[str]) -> DataFrame:
+    """(by…, rows, hash): one hash for the rows of each group, whatever their order, repeated rows counted: sums of two 64-bit hashes of each row's sha256."""
+    one = rows.select(*by, row_hash(rows, rows.columns).alias("deltaloom_hash"))
+    total = lambda salt: F.sum(F.xxhash64(F.lit(salt), "deltaloom_hash").cast("decimal(38,0)")).cast("string")
+    return one.groupBy(*by).agg(F.count("*").alias("rows"), F.concat_ws(":", total(1), total(2)).alias("hash"))
+
+
 def sync(objects: DataFrame, path: str, by: str = "type", check_only: bool = False) -> DataFrame:
     """Writes only the folders whose rows differ from those under ``path``, removes those of which nothing is left, and tells (by, status).
 

@@ -1,10 +1,12 @@
 """Privileges, options, names on a side, usage sets and listings at their edges."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from deltaloom.functions import macros
-from deltaloom.operators import edges, graph
+from deltaloom.operators import diff, edges, graph, navigation, tree
 from deltaloom.plans.session import Session
+from deltaloom.sources import repository
 
 
 def rows(df):
@@ -48,3 +50,40 @@ def test_lists_hide_and_name_actions(spark):
     lines = lambda rows, **more: [r.line for r in Session(spark).push(rows).list(**more).result().collect()]
     assert lines(acted, hide=("none", "diffkids")) == ["    column=x|column.public.t.x|diff=new|action=build"]
     assert lines(both, grep="id$") == ["    column=id|column.public.t.id|diff=none"]
+
+
+def test_contexts_but_the_usual_one_are_entered_and_left(spark):
+    steps = spark.createDataFrame([(1, None), (2, "a"), (3, "a"), (4, "me"), (5, "b"), (6, "a")], "n int, owner string")
+    moves = lambda **more: [(r.n, r.move, r.context_of) for r in navigation.context_moves(steps, "owner", ["n"], **more).orderBy("n", "move_no").collect()]
+    assert moves(default="me") == [(2, "arrive", "a"), (4, "depart", "a"), (5, "arrive", "b"), (6, "depart", "b"), (6, "arrive", "a")]
+    assert moves()[1:4] == [(4, "depart", "a"), (4, "arrive", "me"), (5, "depart", "me")]
+
+
+def test_headers_of_comparisons(spark):
+    one = spark.createDataFrame([("a", 1, "x")], "dbname string, time int, more string")
+    other = spark.createDataFrame([("b", 2)], "dbname string, time int")
+    assert diff.merged_header(other, one).first().asDict() == {"dbname": "a", "time": 1, "more": "x", "dbname2": "b", "time2": 2}
+    assert diff.merged_header(other.limit(0), one).first().dbname2 is None
+    with pytest.raises(Exception, match="several headers"):
+        diff.merged_header(other.unionByName(other), one).collect()
+
+
+def test_a_rule_that_rebuilds(spark):
+    rule = diff.Rule(key=("k",), attributes=(diff.Attribute("v"),), elements={"e": diff.Rule(key=("n",))}, rebuild=True)
+    schema = "k int, v int, e array<struct<n:int>>"
+    old, new = (spark.createDataFrame(x, schema) for x in ([(1, 1, []), (2, 1, [(1,)]), (3, 1, [])], [(1, 2, []), (2, 1, [(2,)]), (3, 1, [])]))
+    want = [(1, "rebuild"), (2, "rebuild"), (3, "none")]
+    assert rows(diff.tree_statuses(old, new, rule)) == want
+    assert rows(diff.deep_statuses(old, new, rule).filter("path = ''").select("k", "status")) == want
+    node = "id string, parent string, type string, attrs map<string,string>"
+    a, b = (spark.createDataFrame([("1", None, "t", {"k": "a", "v": v})], node) for v in "xy")
+    assert [r.status for r in tree.statuses(a, b, {"t": diff.Rule(key=("k",), attributes=(diff.Attribute("v"),), rebuild=True)}).collect()] == ["rebuild"]
+
+
+def test_snapshots_are_equal_whatever_the_order(spark):
+    told = spark.createDataFrame([(1, "a"), (1, "b"), (1, "b"), (2, None)], "g int, v string")
+    hashes = lambda d: {r.g: (r.rows, r.hash) for r in repository.snapshot_hashes(d, ["g"]).collect()}
+    assert hashes(told) == hashes(told.orderBy(F.desc("v")).repartition(3))
+    other = hashes(told.distinct().unionByName(told.filter("v = 'a'")))
+    assert other[1] != hashes(told)[1] and other[2] == hashes(told)[2]
+    assert hashes(told.withColumn("v", F.coalesce("v", F.lit(""))))[2] != hashes(told)[2]
