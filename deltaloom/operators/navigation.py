@@ -56,9 +56,14 @@ def moves(steps: DataFrame, path: str, order: list[str], keys: list[str] | None
 
 
 def flattened(objects: DataFrame, parent: str = "parent", fqn: str = "fqn") -> DataFrame:
-    """``objects`` with parent_node, a struct of the parent's columns (null without one), found by its fqn; each fqn names one parent."""
-    parents = objects.select(F.col(fqn).alias("deltaloom_fqn"), F.struct(*objects.columns).alias("parent_node")).dropDuplicates(["deltaloom_fqn"])
-    return objects.join(parents, F.col(parent) == F.col("deltaloom_fqn"), "left").drop("deltaloom_fqn")
+    """``objects`` with parent_node, a struct of the parent's columns (null without one), found by its fqn.
+
+    An fqn that several objects have is an error where an object names it as its parent.
+    """
+    parents = objects.groupBy(F.col(fqn).alias("deltaloom_fqn")).agg(F.count("*").alias("deltaloom_many"), F.first(F.struct(*objects.columns)).alias("deltaloom_node"))
+    joined = objects.join(parents, F.col(parent) == F.col("deltaloom_fqn"), "left")
+    several = F.raise_error(F.concat(F.lit("several objects are called "), F.col("deltaloom_fqn").cast("string")))
+    return joined.withColumn("parent_node", F.when(F.col("deltaloom_many") > 1, several).otherwise(F.col("deltaloom_node"))).drop("deltaloom_fqn", "deltaloom_many", "deltaloom_node")
 
 
 def steps(nodes: DataFrame, order: str, within: list[str], fqn: str = "fqn", disabled: str = "disabled") -> DataFrame:

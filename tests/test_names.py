@@ -87,3 +87,10 @@ def test_snapshots_are_equal_whatever_the_order(spark):
     other = hashes(told.distinct().unionByName(told.filter("v = 'a'")))
     assert other[1] != hashes(told)[1] and other[2] == hashes(told)[2]
     assert hashes(told.withColumn("v", F.coalesce("v", F.lit(""))))[2] != hashes(told)[2]
+
+
+def test_a_parent_that_is_there_twice_raises(spark):
+    told = spark.createDataFrame([("a", None, 1), ("b", "a", 2), ("b", None, 3)], "fqn string, parent string, n int")
+    assert {(r.n, r.parent_node and r.parent_node.n) for r in navigation.flattened(told).collect()} == {(1, None), (2, 1), (3, None)}
+    with pytest.raises(Exception, match="several objects are called b"):
+        navigation.flattened(told.unionByName(spark.createDataFrame([("c", "b", 4)], told.schema))).collect()
