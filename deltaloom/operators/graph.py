@@ -112,10 +112,31 @@ def _depths(sources: list, targets: list) -> tuple[list, list]:
     return list(after), [level.get(n) for n in after]
 
 
+def _reached(sources: list, targets: list) -> tuple[list, list]:
+    """All nodes that ways lead to from the targets of null, and how many steps away they are."""
+    after: dict = {}
+    for s, t in zip(sources, targets):
+        after.setdefault(s, []).append(t)
+    steps = dict.fromkeys(after.get(None, []), 0)
+    now = list(steps)
+    while now:
+        further = dict.fromkeys(t for n in now for t in after.get(n, []) if t not in steps)
+        steps |= dict.fromkeys(further, steps[now[0]] + 1)
+        now = list(further)
+    return list(steps), list(steps.values())
+
+
 def reachable(edges: DataFrame, seeds: DataFrame, source: str = "source", target: str = "target", most_rounds: int | None = None) -> DataFrame:
-    """(node): seeds and all nodes that edges lead to from them, frontier by frontier; cycles end by themselves."""
-    arrows = edges.select(F.col(source).alias("s"), F.col(target).alias("t")).filter("s is not null and t is not null").distinct()
-    seen = kept(seeds.select(F.col(seeds.columns[0]).alias("node")).distinct())
+    """(node): seeds and all nodes that edges lead to from them, at most ``most_rounds`` steps away; cycles end by themselves.
+
+    Frontier by frontier, a join a round; at most ``SMALL`` edges and seeds are walked in one task instead.
+    """
+    arrows = kept(edges.select(F.col(source).alias("s"), F.col(target).alias("t")).filter("s is not null and t is not null").distinct())
+    seen = kept(seeds.select(F.col(seeds.columns[0]).alias("node")).filter("node is not null").distinct())
+    pairs = arrows.unionByName(seen.select(F.lit(None).cast(seen.schema["node"].dataType).alias("s"), F.col("node").alias("t")))
+    if _is_small(pairs):
+        walked = _walked(pairs.select("s", "t"), _reached, f"node {pairs.schema['t'].dataType.simpleString()}, steps int")
+        return (walked if most_rounds is None else walked.filter(F.col("steps") <= most_rounds)).select("node")
     frontier, rounds = seen, 0
     while most_rounds is None or rounds < most_rounds:
         frontier = kept(frontier.join(arrows, F.col("node") == F.col("s")).select(F.col("t").alias("node")).distinct().join(seen, "node", "left_anti"))

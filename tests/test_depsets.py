@@ -201,5 +201,10 @@ def test_rounds_and_one_task_agree(spark, small, monkeypatch):
     got = dict(rows(graph.levels(spark.range(80).selectExpr("int(id) node"), spark.createDataFrame(known, "source int, target int"))))
     behind = {m for n, _ in want for m in reach[n]}
     assert got == {n: None if n in behind else levels[n] for n in range(80)}
+    seeds = spark.createDataFrame([(50,), (7,), (79,), (None,)], "node int")
+    frame = spark.createDataFrame(edges, "source int, target int")
+    assert rows(graph.reachable(frame, seeds)) == sorted(((n,) for n in reach[50] | reach[7] | reach[79]), key=repr)
+    once = {b for a, b in edges if a in (50, 7, 79) and b is not None} | {50, 7, 79}
+    assert rows(graph.reachable(frame, seeds, most_rounds=1)) == sorted(((n,) for n in once), key=repr)
     text = spark.createDataFrame([("é", "z"), ("z", "é"), ("a", "z")], "source string, target string")
     assert rows(graph.cycles(text)) == [("z", "z"), ("é", "z")]
