@@ -208,3 +208,16 @@ def test_rounds_and_one_task_agree(spark, small, monkeypatch):
     assert rows(graph.reachable(frame, seeds, most_rounds=1)) == sorted(((n,) for n in once), key=repr)
     text = spark.createDataFrame([("é", "z"), ("z", "é"), ("a", "z")], "source string, target string")
     assert rows(graph.cycles(text)) == [("z", "z"), ("é", "z")]
+
+
+def test_walks_of_any_length_end_and_cycles_raise(spark):
+    chain = spark.range(30).selectExpr("id AS source", "id + 1 AS target")
+    seeds = spark.createDataFrame([(0,), (25,)], "node long")
+    assert rows(graph.walks(chain, seeds)) == sorted([(0, i, i) for i in range(31)] + [(25, 25 + i, i) for i in range(6)], key=repr)
+    assert graph.walks(chain, seeds, most_rounds=30).count() == 37
+    with pytest.raises(ValueError, match="more than 29"):
+        graph.walks(chain, seeds, most_rounds=29)
+    ring = chain.unionByName(spark.createDataFrame([(40, 41), (41, 40)], "source long, target long"))
+    assert graph.walks(ring, seeds).count() == 37
+    with pytest.raises(ValueError, match="round a cycle at 40"):
+        graph.walks(ring, spark.createDataFrame([(41,)], "node long"))
