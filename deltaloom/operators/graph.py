@@ -146,34 +146,33 @@ def reachable(edges: DataFrame, seeds: DataFrame, source: str = "source", target
     return seen
 
 
-#: Rounds of ``walks`` between two looks at whether any walk goes on.
-HOPS = 4
+#: Levels after which ``walks`` looks for a cycle.
+LONG = 16
 
 
 def walks(edges: DataFrame, seeds: DataFrame, source: str = "source", target: str = "target", most_rounds: int | None = None) -> DataFrame:
     """(root, node, level): every walk along the edges from each seed, the seed itself at level 0; one row for each way to a node.
 
     A round is one join and is kept once. Walks that lead round a cycle have no
-    end: without ``most_rounds`` a cycle that the seeds lead to raises an error,
-    with it more than that many rounds do; no number of rows or levels does.
+    end: without ``most_rounds`` a cycle that the seeds lead to raises an error
+    (looked for once, when walks get longer than ``LONG``), with it more than that
+    many rounds do; no number of rows or levels does.
     """
     arrows = kept(edges.select(F.col(source).alias("node"), F.col(target).alias("t")).filter("node is not null and t is not null"))
     name = F.col(seeds.columns[0])
-    if most_rounds is None:
-        near = kept(reachable(arrows, seeds, "node", "t"))
-        ring = cycles(arrows.join(near, "node", "left_semi"), "node", "t").select(F.min("node")).first()[0]
-        if ring is not None:
-            raise ValueError(f"walks lead round a cycle at {ring}")
     frontier = kept(seeds.select(name.alias("root"), name.alias("node"), F.lit(0).alias("level")))
     found, rounds = frontier, 0
     while frontier.limit(1).count():
-        for _ in range(HOPS if most_rounds is None else min(HOPS, most_rounds - rounds)):
-            frontier = kept(frontier.join(arrows, "node").select("root", F.col("t").alias("node"), (F.col("level") + 1).alias("level")))
-            found, rounds = found.unionByName(frontier), rounds + 1
         if rounds == most_rounds:
             if frontier.join(arrows, "node", "left_semi").limit(1).count():
                 raise ValueError(f"walks of more than {most_rounds} edges")
             break
+        if most_rounds is None and rounds == LONG:
+            ring = cycles(arrows.join(kept(reachable(arrows, seeds, "node", "t")), "node", "left_semi"), "node", "t").select(F.min("node")).first()[0]
+            if ring is not None:
+                raise ValueError(f"walks lead round a cycle at {ring}")
+        frontier = kept(frontier.join(arrows, "node").select("root", F.col("t").alias("node"), (F.col("level") + 1).alias("level")))
+        found, rounds = found.unionByName(frontier), rounds + 1
     return found
 
 
