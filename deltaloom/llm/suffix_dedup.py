@@ -377,18 +377,18 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     @lean
     def count_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for blob in batch.column("anchor").to_pylist():
+            for group, blob in zip(batch.column("group").to_pylist(), batch.column("anchor").to_pylist()):
                 anchor, n = np.unique(np.frombuffer(blob, "<i8"), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(n, pa.int64())], names=["anchor", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(anchor), group)), pa.array(anchor), pa.array(n, pa.int64())], names=["group", "anchor", "n"])
 
     @lean
     def part_frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Passages of frequent anchors go to the homes of their documents at once (kind 4), the others stay."""
+        """Passages of their group's frequent anchors (``often``) go to the homes of their documents at once (kind 4), the others stay."""
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
                 run = _unpacked(pa.Table.from_batches([row]), *_FIELDS[:-1])
-                often = np.isin(run["anchor"], frequent.value)
+                often = np.isin(run["anchor"], np.array(row.column("often")[0].as_py(), np.int64).view(np.uint64))
                 rows = [(4, g, b) for g, b in _pack({k: run[k][often] for k in ("doc", "tie", "start", "windows", "anchor")}, run["home"][often].astype(np.int64))]
                 if not often.all():
                     rows.append((1, row.column("group")[0].as_py(), {k: v[~often] for k, v in run.items()}))
@@ -396,17 +396,16 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     def fetch(texts: pa.Table, asked: pa.Table) -> pa.Table:
         freed()
-        run = _unpacked(asked, "doc", "tie", "start", "windows", "anchor")
-        if not len(run["doc"]):
+        kind = asked.column("kind").to_numpy()
+        run, alone = (_unpacked(asked.filter(pa.array(kind == k)), "doc", "tie", "start", "windows", "anchor") for k in (1, 4))
+        if not len(run["doc"]) and not len(alone["doc"]):
             return pa.Table.from_batches([_blobs([], _FIELDS)])
         at = {(d, t): i for i, (d, t) in enumerate(zip(texts.column("doc").to_pylist(), texts.column("tie").to_pylist()))}
         rows = []
         whole = texts.column("raw").to_pylist()
         home = texts.column("group")[0].as_py()
-        often = np.isin(run["anchor"], frequent.value)
-        if often.any():
-            rows += windows_of({k: v[often] for k, v in run.items()}, whole, at, home)
-            run = {k: v[~often] for k, v in run.items()}
+        if len(alone["doc"]):
+            rows += windows_of(alone, whole, at, home)
         by = np.lexsort((run["start"], run["tie"], run["doc"]))
         run = {k: v[by] for k, v in run.items()}
         pieces = [whole[at[d, t]][s : s + n + length - 1] for d, t, s, n in zip(*(run[k].tolist() for k in ("doc", "tie", "start", "windows")))]
@@ -515,22 +514,22 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     dealt = stored(source.select("doc", "tie", "group", "raw").mapInArrow(cut, _BLOB), "passages")
     # Only groups with many passages can hold a frequent anchor.
     full = stored(dealt.filter("kind = 1").groupBy("group").agg(F.sum(F.length("anchor")).alias("n")).filter(F.col("n") > 8 * FREQUENT).select("group"), "full")
-    any_full = full.limit(1).count() > 0
-    found = dealt.filter("kind = 1").join(full, "group").select("anchor").mapInArrow(count_anchors, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).filter(F.col("n") > FREQUENT) if any_full else None
-    # At most one for each FREQUENT passages, that is 8 bytes for each half megabyte of text.
-    frequent = docs.sparkSession.sparkContext.broadcast(np.array([r.anchor for r in found.collect()] if any_full else [], np.int64).view(np.uint64))
-    dropped(full)
-    joined = dealt.filter("kind = 1")
-    if len(frequent.value):
-        parted = stored(joined.mapInArrow(part_frequent, _BLOB), "parted")
-        joined = spread(parted.filter("kind = 1"), groups).groupBy("group").applyInArrow(join_passages, _BLOB).unionByName(parted.filter("kind = 4").withColumn("kind", F.lit(1)))
-    else:
-        joined, parted = spread(joined, groups).groupBy("group").applyInArrow(join_passages, _BLOB), None
-    joined = stored(joined.unionByName(dealt.filter("kind = 0")), "classes")
-    dropped(parted)
-    dropped(dealt)
+    joined, often, parted = dealt.filter("kind = 1"), None, None
+    if full.limit(1).count():
+        counted = joined.join(full, "group").select("group", "anchor").mapInArrow(count_anchors, "group long, anchor long, n long")
+        counted = counted.groupBy("group", "anchor").agg(F.sum("n").alias("n")).filter(F.col("n") > FREQUENT)
+        # Some few a group: each has more than FREQUENT passages. They meet the passages by a join, which Spark broadcasts only while they are small.
+        often = stored(counted.groupBy("group").agg(F.collect_list("anchor").alias("often")), "often")
+        parted = stored(joined.join(often, "group").select(*dealt.columns, "often").mapInArrow(part_frequent, _BLOB), "parted")
+        joined = joined.join(often, "group", "left_anti").unionByName(parted.filter("kind = 1"))
+    joined = spread(joined, groups).groupBy("group").applyInArrow(join_passages, _BLOB).unionByName(dealt.filter("kind = 0"))
+    if parted is not None:
+        joined = joined.unionByName(parted.filter("kind = 4"))
+    joined = stored(joined, "classes")
+    for done in (full, often, parted, dealt):
+        dropped(done)
     texts = spread(source, groups).groupBy("group")
-    asked = spread(joined.filter("kind = 1"), groups).groupBy("group")
+    asked = spread(joined.filter("kind in (1, 4)"), groups).groupBy("group")
     sorted_ = spread(texts.cogroup(asked).applyInArrow(fetch, _BLOB), groups).groupBy("group").applyInArrow(sort_suffixes, _BLOB)
     repeats = joined.filter("kind = 0").unionByName(sorted_)
     span = StructType([StructField("start", LongType()), StructField("length", LongType())])

@@ -159,6 +159,15 @@ def test_repeated_strings_over_many_groups_and_chunks(spark, monkeypatch):
     assert rows(removed(spark, data)) == brute.repeats(data)
 
 
+def test_a_text_of_several_parts_is_judged_whole(spark):
+    r = random.Random(12)
+    some = lambda n: "".join(r.choices("abcdefghijklmnop", k=n))
+    long = some(suffix_dedup.PART + 60_000)
+    edge = long[suffix_dedup.PART - 700 : suffix_dedup.PART + 900]  # lies over the edge of two parts
+    data = [(5, long), (6, some(300) + edge + some(50)), (2, some(90) + long[1000:1100]), (7, edge + some(suffix_dedup.PART) + edge[:99] + some(9) + edge[40:])]
+    assert rows(removed(spark, data)) == brute.repeats(data)
+
+
 def test_a_line_of_very_many_documents_fills_no_group(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "GROUP_BYTES", 1500)
     monkeypatch.setattr(suffix_dedup, "FREQUENT", 8, raising=False)
