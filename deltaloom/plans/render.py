@@ -70,7 +70,15 @@ def _common(kind: str, name: str = "whole", owner: bool = True) -> dict[str, tup
     return {"owner": (f"alter {kind} {{{name}}} owner to {{owner!i}}",), **changes} if owner else changes
 
 
-# own: the object's name, whole: with its schema, of: the table it belongs to, with its schema.
+def _using(kind: str) -> dict[str, tuple[str, ...]]:
+    """Changes of what is known by its name and an access method."""
+    told = f"{kind} {{whole}} using {{method}}"
+    return {"owner": (f"alter {told} owner to {{owner!i}}",), "comment": (f"comment on {told} is {{comment!l}}", f"comment on {told} is null")}
+
+
+_SIDES = "([{left}][left=:none], [{right}][right=:none])"
+
+# own: the object's name, whole: with its schema, sign: with its schema but as it is (an operator's), of: the table it belongs to, with its schema.
 KINDS = {
     "schema": Kind("create schema {own}[ authorization {owner!i}]", "drop schema {own}", _common("schema", "own")),
     "table": Kind("create table {whole} ()", "drop table {whole}", {**_common("table"), "tablespace": ("alter table {whole} set tablespace {tablespace!i}",), "inherits": ("alter table {whole} inherit {inherits}",)}),
@@ -105,6 +113,29 @@ KINDS = {
     "conversion": Kind("create [default=true:default ]conversion {whole} for {source!l} to {target!l} from {function}", "drop conversion {whole}", _common("conversion"), ("source", "target", "function", "default")),
     "foreign_server": Kind("create server {own}[ type {type!l}][ version {version!l}] foreign data wrapper {wrapper!i}", "drop server {own}", {"version": ("alter server {own} version {version!l}",), **_common("server", "own")}, ("type", "wrapper")),
     "grant": Kind("grant {privilege} on {of} to {to!i}[option=true: with grant option]", "revoke {privilege} on {of} from {to!i}", {}, ("privilege", "to", "option")),
+    "database": Kind("create database {own}[ owner {owner!i}][ encoding {encoding!l}][ tablespace {tablespace!i}][ connection limit {connections}]", "drop database {own}", {"tablespace": ("alter database {own} set tablespace {tablespace!i}",), "connections": ("alter database {own} connection limit {connections}", "alter database {own} connection limit -1"), **_common("database", "own")}, ("encoding",)),
+    "privilege": Kind("alter role {of_role!i} with {privilege}", "alter role {of_role!i} with no{privilege}", {}, ("of_role", "privilege")),
+    "matview": Kind("create materialized view {whole}[ tablespace {tablespace!i}] as {query}", "drop materialized view {whole}", {"tablespace": ("alter materialized view {whole} set tablespace {tablespace!i}", "alter materialized view {whole} set tablespace pg_default"), **_common("materialized view")}, ("query",)),
+    "base": Kind("create type {whole} (input = {input}, output = {output}[, receive = {receive}][, send = {send}][, internallength = {length}][, alignment = {alignment}][, storage = {storage}][, default = {default!l}][, delimiter = {delimiter!l}])", "drop type {whole}", _common("type"), ("input", "output", "receive", "send", "length", "alignment", "storage", "default", "delimiter")),
+    "range": Kind("create type {whole} as range (subtype = {subtype}[, subtype_opclass = {class}][, collation = {collation}][, canonical = {canonical}][, subtype_diff = {difference}])", "drop type {whole}", _common("type"), ("subtype", "class", "collation", "canonical", "difference")),
+    "operator": Kind(
+        "create operator {sign} (procedure = {function}[, leftarg = {left}][, rightarg = {right}][, commutator = {commutator}][, negator = {negator}][, restrict = {restrict}][, join = {join}][hashes=true:, hashes][merges=true:, merges])",
+        f"drop operator {{sign}} {_SIDES}",
+        {"owner": (f"alter operator {{sign}} {_SIDES} owner to {{owner!i}}",), "comment": (f"comment on operator {{sign}} {_SIDES} is {{comment!l}}", f"comment on operator {{sign}} {_SIDES} is null")},
+        ("function", "left", "right", "commutator", "negator", "restrict", "join", "hashes", "merges"),
+    ),
+    "operator_class": Kind("create operator class {whole}[default=true: default] for type {type} using {method}[ family {family}] as {members}", "drop operator class {whole} using {method}", _using("operator class"), ("default", "type", "method", "family", "members")),
+    "operator_family": Kind("create operator family {whole} using {method}", "drop operator family {whole} using {method}", _using("operator family"), ("method",)),
+    "text_search_parser": Kind("create text search parser {whole} (start = {start}, gettoken = {token}, end = {end}, lextypes = {types}[, headline = {headline}])", "drop text search parser {whole}", _common("text search parser", owner=False), ("start", "token", "end", "types", "headline")),
+    "text_search_template": Kind("create text search template {whole} ([init = {init}, ]lexize = {lexize})", "drop text search template {whole}", _common("text search template", owner=False), ("init", "lexize")),
+    "text_search_dictionary": Kind("create text search dictionary {whole} (template = {template}[, {options}])", "drop text search dictionary {whole}", _common("text search dictionary"), ("template", "options")),
+    "text_search_configuration": Kind("create text search configuration {whole} (parser = {parser})", "drop text search configuration {whole}", _common("text search configuration"), ("parser",)),
+    "text_search_configuration_map": Kind("alter text search configuration {of} add mapping for {own} with {dictionaries}", "alter text search configuration {of} drop mapping for {own}", {"dictionaries": ("alter text search configuration {of} alter mapping for {own} with {dictionaries}",)}),
+    "foreign_data_wrapper": Kind("create foreign data wrapper {own}[ handler {handler}][ validator {validator}][ options ({options})]", "drop foreign data wrapper {own}", {"handler": ("alter foreign data wrapper {own} handler {handler}", "alter foreign data wrapper {own} no handler"), "validator": ("alter foreign data wrapper {own} validator {validator}", "alter foreign data wrapper {own} no validator"), **_common("foreign data wrapper", "own")}, ("options",)),
+    "user_mapping": Kind("create user mapping for {own} server {server!i}[ options ({options})]", "drop user mapping for {own} server {server!i}", {}, ("server", "options")),
+    "extension": Kind("create extension {own}[ schema {home!i}][ version {version!l}]", "drop extension {own}", {"home": ("alter extension {own} set schema {home!i}",), "version": ("alter extension {own} update to {version!l}", "alter extension {own} update"), **_common("extension", "own", owner=False)}),
+    "collation": Kind("create collation {whole} (lc_collate = {collate!l}, lc_ctype = {ctype!l})", "drop collation {whole}", _common("collation"), ("collate", "ctype")),
+    "event_trigger": Kind("create event trigger {own} on {event}[ when tag in ({tags})] execute procedure {function}()", "drop event trigger {own}", {"enabled": ("alter event trigger {own} [enabled=true:enable][enabled=false:disable]",), **_common("event trigger", "own")}, ("event", "tags", "function")),
     "comment": Kind("comment on table {of} is {comment!l}", "comment on table {of} is null", {"comment": ("comment on table {of} is {comment!l}", "comment on table {of} is null")}),
 }
 
@@ -138,14 +169,14 @@ def _filled(template: str, names: dict[str, Column], attrs: Column) -> Column:
 
 
 def _names(schema: Column, name: Column, table: Column) -> dict[str, Column]:
-    return {"own": quote_identifier(name), "whole": quote_qualified(schema, name), "of": quote_qualified(schema, table)}
+    return {"own": quote_identifier(name), "whole": quote_qualified(schema, name), "of": quote_qualified(schema, table), "sign": F.when(F.coalesce(schema, F.lit("")) == "", name).otherwise(F.concat(quote_identifier(schema), F.lit("."), name))}
 
 
 def statement(action: Column, kind: Column, schema: Column, name: Column, table: Column, attrs: Column) -> Column:
     """The statement that builds or drops an object of one of ``KINDS``; null for another kind or action, or where an attribute that it needs is missing.
 
     table is the table that a column, constraint, index, trigger, rule or grant
-    belongs to. A table is built empty, its columns are added one by one.
+    belongs to, or the configuration of a text search mapping. A table is built empty, its columns are added one by one.
     """
     return _statement(action, kind, _names(schema, name, table), attrs)
 
@@ -175,7 +206,7 @@ def statements(rows: DataFrame, keep: list[str]) -> DataFrame:
     there = {r.type for r in rows.filter(F.col("type").isin(*KINDS)).select("type").distinct().collect()}
     kinds = {k: told for k, told in KINDS.items() if k in there}
     named = rows.withColumns({f"deltaloom_{k}": c for k, c in _names(F.col("schema"), F.col("name"), F.col("relation")).items()})
-    names = {k: F.col(f"deltaloom_{k}") for k in ("own", "whole", "of")}
+    names = {k: F.col(f"deltaloom_{k}") for k in ("own", "whole", "of", "sign")}
     said = {k: {name.partition("!")[0] for name in re.findall(r"\{([^{}]+)\}", told.build)} | {name for name, _ in re.findall(r"\[(\w+)=(\w*):", told.build)} for k, told in kinds.items()}
     in_build = F.create_map(*(x for k, v in said.items() for x in (F.lit(k), F.array(*(F.lit(n) for n in sorted(v)))))).cast("map<string,array<string>>")
     # Against an object that is built only what its statement does not say is set.

@@ -883,6 +883,30 @@ def ddl_statements(t):
     return each.select("k", render.statement(F.col("action"), F.col("kind"), F.lit("geo"), F.col("name"), F.col("table"), F.col("attrs")).alias("line"))
 
 
+_RARER = {0: "matview", 1: "operator", 2: "extension", 3: "text_search_configuration_map", 4: "range", 5: "event_trigger"}
+
+
+@query("""WITH o AS (SELECT p_partkey AS k, 'o' || p_partkey AS n, p_size AS s, replace(p_name, chr(39), chr(39) || chr(39)) AS c, p_partkey % 6 AS kind, CASE WHEN p_partkey % 5 < 2 THEN 'build' WHEN p_partkey % 5 < 4 THEN 'diff' ELSE 'drop' END AS a FROM part),
+t AS (SELECT *, CASE kind WHEN 0 THEN 'materialized view geo.' || n WHEN 1 THEN 'operator geo.+ (' || CASE WHEN s % 3 = 0 THEN 'none' ELSE 'int' END || ', int)' WHEN 2 THEN 'extension ' || n WHEN 4 THEN 'type geo.' || n WHEN 5 THEN 'event trigger ' || n END AS it FROM o),
+lines AS (SELECT k, 0 AS place, CASE kind WHEN 0 THEN 'create ' || it || ' as select ' || s || ';' WHEN 1 THEN 'create operator geo.+ (procedure = f' || s || CASE WHEN s % 3 = 0 THEN '' ELSE ', leftarg = int' END || ', rightarg = int);' WHEN 2 THEN 'create ' || it || ' version ' || chr(39) || s || chr(39) || ';' WHEN 3 THEN 'alter text search configuration geo.conf add mapping for ' || n || ' with d' || s || ';' WHEN 4 THEN 'create ' || it || ' as range (subtype = t' || s || ');' ELSE 'create ' || it || ' on e' || s || ' execute procedure f();' END AS line FROM t WHERE a = 'build'
+UNION ALL SELECT k, 0, CASE WHEN kind = 3 THEN 'alter text search configuration geo.conf drop mapping for ' || n || ';' ELSE 'drop ' || it || ';' END FROM t WHERE a = 'drop'
+UNION ALL SELECT k, 0, CASE kind WHEN 2 THEN 'alter ' || it || ' update to ' || chr(39) || s || chr(39) || ';' WHEN 3 THEN 'alter text search configuration geo.conf alter mapping for ' || n || ' with d' || s || ';' ELSE 'alter ' || it || ' disable;' END FROM t WHERE a = 'diff' AND kind IN (2, 3, 5)
+UNION ALL SELECT k, 1, 'alter ' || it || ' disable;' FROM t WHERE a = 'build' AND kind = 5
+UNION ALL SELECT k, 2, 'comment on ' || it || ' is ' || chr(39) || c || chr(39) || ';' FROM t WHERE kind <> 3 AND (a = 'build' OR a = 'diff' AND s % 2 = 0))
+SELECT k, row_number() OVER (PARTITION BY k ORDER BY place) - 1 AS part, line FROM lines""")
+def ddl_rarer_kinds(t):
+    size, k = text("p_size"), F.col("p_partkey")
+    kind = F.element_at(F.create_map(*(F.lit(x) for pair in _RARER.items() for x in pair)), (k % 6).cast("int"))
+    attrs = {"query": F.concat(F.lit("select "), size), "function": F.when(kind == "operator", F.concat(F.lit("f"), size)).otherwise("f"), "left": F.when(F.col("p_size") % 3 != 0, "int"), "right": F.lit("int"), "dictionaries": F.concat(F.lit("d"), size), "subtype": F.concat(F.lit("t"), size), "event": F.concat(F.lit("e"), size), "version": size, "enabled": F.lit("false"), "comment": F.col("p_name")}
+    made = lambda attrs: F.create_map(*(x for a, v in attrs.items() for x in (F.lit(a), v)))
+    old = made(attrs | {"version": text("p_partkey"), "dictionaries": F.lit("d"), "enabled": F.lit("true"), "comment": F.when(F.col("p_size") % 2 != 0, F.col("p_name"))})
+    # The versions differ in any case: an extension of size k would not change.
+    old = F.map_zip_with(old, made(attrs), lambda a, x, y: F.when((a == "version") & (x == y), F.concat(x, F.lit("+"))).otherwise(x))
+    action = F.when(k % 5 < 2, "build").when(k % 5 < 4, "diff").otherwise("drop")
+    rows = t.part.select(k.alias("k"), action.alias("action"), kind.alias("type"), F.lit("geo").alias("schema"), F.when(kind == "operator", "+").otherwise(F.concat(F.lit("o"), text("p_partkey"))).alias("name"), F.lit("conf").alias("relation"), made(attrs).alias("attrs"), old.alias("old_attrs"))
+    return render.statements(rows, ["k"]).select("k", "part", F.col("text").alias("line"))
+
+
 # --- fallbacks, prints, numbers and inherited children -------------------------------------------------------------------------
 
 

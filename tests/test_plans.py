@@ -70,6 +70,60 @@ def test_every_kind_builds_and_drops_with_all_it_asks_for(spark):
     assert {(r.type, r.action) for r in made} == {(k, a) for k, told in render.KINDS.items() for a in ("build", "drop", *(["diff"] if told.changes else []))}
 
 
+def test_statements_of_rarer_kinds(spark):
+    none = {}
+    made = said(
+        spark,
+        ("build", "operator", "s", "<>", None, {"function": "s.ne", "left": "int", "right": "int", "negator": "=", "hashes": "true"}, None),
+        ("build", "operator", "S", "!", None, {"function": "neg", "right": "int", "comment": "not"}, None),
+        ("drop", "operator", None, "!", None, {"right": "int"}, None),
+        ("build", "operator_class", "s", "c", None, {"default": "true", "type": "int", "method": "btree", "members": "operator 1 <", "owner": "o"}, None),
+        ("diff", "operator_family", "s", "f", None, {"method": "hash", "comment": "x"}, {"method": "hash"}),
+        ("build", "text_search_template", "s", "t", None, {"lexize": "l"}, None),
+        ("build", "text_search_dictionary", "s", "d", None, {"template": "simple", "options": "stopwords = english"}, None),
+        ("diff", "text_search_configuration_map", "s", "word", "conf", {"dictionaries": "a, b"}, {"dictionaries": "a"}),
+        ("diff", "foreign_data_wrapper", None, "w", None, none, {"handler": "h", "validator": "v"}),
+        ("build", "user_mapping", None, "My user", None, {"server": "x y"}, None),
+        ("diff", "extension", None, "e", None, {"version": "2"}, {"version": "1"}),
+        ("diff", "extension", None, "e", None, {"home": "h", "version": "1"}, {"home": "g", "version": "1"}),
+        ("build", "collation", "s", "c", None, {"collate": "de_DE", "ctype": "C"}, None),
+        ("build", "event_trigger", None, "t", None, {"event": "ddl_command_end", "tags": "'CREATE TABLE'", "function": "f", "enabled": "false"}, None),
+        ("build", "matview", "s", "m", None, {"query": "select 1"}, None),
+        ("build", "database", None, "db", None, {"owner": "o", "connections": "5"}, None),
+        ("diff", "database", None, "db", None, {"owner": "o"}, {"owner": "o", "connections": "5"}),
+        ("drop", "privilege", None, "createdb", None, {"of_role": "r", "privilege": "createdb"}, None),
+        ("build", "range", "s", "r", None, {"subtype": "float8", "difference": "float8mi"}, None),
+        ("build", "base", "s", "b", None, {"input": "i", "output": "o", "delimiter": ","}, None),
+        ("build", "base", "s", "b", None, {"input": "i"}, None),
+    )
+    assert made == [
+        "create operator s.<> (procedure = s.ne, leftarg = int, rightarg = int, negator = =, hashes);",
+        'create operator "S".! (procedure = neg, rightarg = int);',
+        "comment on operator \"S\".! (none, int) is 'not';",
+        "drop operator ! (none, int);",
+        "create operator class s.c default for type int using btree as operator 1 <;",
+        "alter operator class s.c using btree owner to o;",
+        "comment on operator family s.f using hash is 'x';",
+        "create text search template s.t (lexize = l);",
+        "create text search dictionary s.d (template = simple, stopwords = english);",
+        "alter text search configuration s.conf alter mapping for word with a, b;",
+        "alter foreign data wrapper w no handler;",
+        "alter foreign data wrapper w no validator;",
+        'create user mapping for "My user" server "x y";',
+        "alter extension e update to '2';",
+        "alter extension e set schema h;",
+        "create collation s.c (lc_collate = 'de_DE', lc_ctype = 'C');",
+        "create event trigger t on ddl_command_end when tag in ('CREATE TABLE') execute procedure f();",
+        "alter event trigger t disable;",
+        "create materialized view s.m as select 1;",
+        "create database db owner o connection limit 5;",
+        "alter database db connection limit -1;",
+        "alter role r with nocreatedb;",
+        "create type s.r as range (subtype = float8, subtype_diff = float8mi);",
+        "create type s.b (input = i, output = o, delimiter = ',');",
+    ]
+
+
 def test_a_dropped_first_column_changes_no_other(spark):
     frame = spark.createDataFrame([(1, 2, "x"), (2, None, "y")], "a int, b int, c string")
     run = lambda old, new: [r.text for r in Session(spark).extract({"t": old}, measured=True).extract({"t": new}, measured=True).diff().generate().result().orderBy("seq").collect()]
