@@ -280,6 +280,24 @@ def test_paths_without_a_slash_and_deep_hosts(spark):
     assert got == {0: (None, "allow"), 1: (None, "allow"), 2: (None, "allow"), 3: ("a.com", "allow"), 4: (None, "allow"), 5: ("a.com", "allow")}
 
 
+def test_verdicts_of_the_contracts_rules(spark, tmp_path):
+    # Written out from the contract, not read from the query's list.
+    wanted = {
+        "http://a.example.com/en/1": ("com/en/", "block"),
+        "http://a.example.com/en/7": ("example.com/en/7", "allow"),
+        "http://other.com/en/7": ("com/en/", "block"),
+        "http://net/de/": ("net/de/", "allow"),
+        "http://a.example.net/de/1": ("net/de/", "allow"),
+        "http://other.net/de/8": ("net/de/", "allow"),
+        "http://a.example.net/de/8": ("example.net/de/8", "block"),
+        "http://a.example.org/es/1": ("org/es/", "block"),
+        "http://a.example.org/de/1": (None, "allow"),
+    }
+    spark.createDataFrame(list(enumerate(wanted)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {x.page_id: (x.rule, x.verdict) for x in queries.op5_url_sweep(spark, str(tmp_path)).collect()}
+    assert got == dict(enumerate(wanted.values()))
+
+
 def test_rules_run_no_python(spark):
     d = "/root/testdata/sf0.001"
     plan = queries.op5_url_sweep(spark, d)._jdf.queryExecution().executedPlan().toString()
