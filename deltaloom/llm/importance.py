@@ -1,8 +1,8 @@
 """Resampling of documents towards a target distribution of hashed features.
 
 The documents are a sparse matrix of counts: a row for each document, a column
-for each bucket that features are hashed to. It is kept as blocks of compressed
-sparse rows (ids, ends of the rows, columns, counts), written once. Its column
+for each bucket that features are hashed to. It is written once, as compressed
+sparse rows (id, columns, counts), and worked on in blocks of them. Its column
 sums are the distribution of the documents, those of the target's matrix the
 distribution of the target; their log ratios are the gains, one a bucket; the
 product of matrix and gains gives each document's weight. The documents are then
@@ -17,17 +17,18 @@ from collections.abc import Iterator
 from functools import cache
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import dropped, lean, slices, stored
 
-#: Bytes of text of one block of the matrix; a longer text is a block of its own.
+#: Bytes of text, or entries, of one block of the matrix; a longer text is a block of its own.
 BLOCK = 4_000_000
 #: Words whose bucket a worker remembers at most, before it starts anew.
 MEMO = 200_000
-#: A block: ids of its rows, words and features of each, ends of the rows, columns and counts of the entries.
-CSR = "ids array<{kind}>, words array<bigint>, ends array<bigint>, columns array<int>, counts array<bigint>"
+#: A row: its words, columns and counts of its entries. Readers and Arrow take some thousand table rows at once, however large, so that none holds more than one document.
+CSR = "id {kind}, words bigint, columns array<int>, counts array<bigint>"
 
 
 @cache
@@ -50,10 +51,10 @@ def features(found: list[bytes], longest: int) -> list[bytes]:
 
 
 def count_matrix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", buckets: int = 10000, longest: int = 1) -> DataFrame:
-    """The documents by buckets of features, as blocks of compressed sparse rows.
+    """The documents by buckets of features, as compressed sparse rows.
 
     Each row of ``docs`` is one row of the matrix, a null or empty text one
-    without entries. A block holds at most 4 MB of text, or one longer text.
+    without entries; none has more entries than there are buckets.
     """
     kind = docs.schema[doc_id].dataType.simpleString()
 
@@ -71,8 +72,7 @@ def count_matrix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bu
 
         for batch in batches:
             for some in slices(batch, "text", BLOCK):
-                n_words, ends, columns, counts = [], [], [np.empty(0, np.int32)], [np.empty(0, np.int64)]
-                at = 0
+                n_words, ends, columns, counts = [], [0], [np.empty(0, np.int32)], [np.empty(0, np.int64)]
                 for value in some.column("text"):
                     found = words(value.as_buffer().to_pybytes()) if value.is_valid else []
                     times = Counter(features(found, longest))
@@ -81,11 +81,9 @@ def count_matrix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bu
                     columns.append(own.astype(np.int32))
                     counts.append(np.bincount(place, np.fromiter(times.values(), np.int64, len(times)), len(own)).astype(np.int64))
                     n_words.append(len(found))
-                    at += len(own)
-                    ends.append(at)
-                one = lambda values, kind: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind))
-                ids = pa.ListArray.from_arrays(pa.array([0, some.num_rows], pa.int32()), some.column("id"))
-                yield pa.RecordBatch.from_arrays([ids, one(n_words, pa.int64()), one(ends, pa.int64()), one(np.concatenate(columns), pa.int32()), one(np.concatenate(counts), pa.int64())], names=["ids", "words", "ends", "columns", "counts"])
+                    ends.append(ends[-1] + len(own))
+                each = lambda values: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(values)))
+                yield pa.RecordBatch.from_arrays([some.column("id"), pa.array(n_words, pa.int64()), each(columns), each(counts)], names=["id", "words", "columns", "counts"])
 
     return docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(build, CSR.format(kind=kind))
 
@@ -99,8 +97,9 @@ def column_sums(matrix: DataFrame, buckets: int = 10000) -> DataFrame:
 
         total = np.zeros(buckets, np.int64)
         for batch in batches:
-            columns, counts = batch.column("columns").flatten().to_numpy(), batch.column("counts").flatten().to_numpy()
-            total += np.bincount(columns, counts, buckets).astype(np.int64)
+            for block in slices(batch, "columns", BLOCK):
+                columns, counts = (block.column(c).flatten().to_numpy() for c in ("columns", "counts"))
+                total += np.bincount(columns, counts, buckets).astype(np.int64)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["bucket", "n"])
 
@@ -126,7 +125,7 @@ def gains(source: DataFrame, target: DataFrame, buckets: int = 10000, scale: int
 
 def weights(matrix: DataFrame, gain: list[int], doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, n_words, n_features, weight): the product of the matrix and the gains, block by block; 0 for a row without entries."""
-    kind = matrix.schema["ids"].dataType.elementType.simpleString()
+    kind = matrix.schema["id"].dataType.simpleString()
 
     @lean
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,11 +133,11 @@ def weights(matrix: DataFrame, gain: list[int], doc_id: str = "doc_id") -> DataF
 
         each = np.array(gain, np.int64)
         for batch in batches:
-            for i in range(batch.num_rows):
-                block = batch.slice(i, 1)
-                ends, columns, counts = (block.column(c).flatten().to_numpy() for c in ("ends", "columns", "counts"))
+            for block in slices(batch, "columns", BLOCK):
+                columns, counts = (block.column(c).flatten().to_numpy() for c in ("columns", "counts"))
+                ends = np.cumsum(pc.list_value_length(block.column("columns")).to_numpy())
                 upto = lambda values: np.diff(np.concatenate([[0], np.cumsum(values)])[np.concatenate([[0], ends])])
-                yield pa.RecordBatch.from_arrays([block.column("ids").flatten(), block.column("words").flatten(), pa.array(upto(counts)), pa.array(upto(each[columns] * counts))], names=["doc_id", "n_words", "n_features", "weight"])
+                yield pa.RecordBatch.from_arrays([block.column("id"), block.column("words"), pa.array(upto(counts)), pa.array(upto(each[columns] * counts))], names=["doc_id", "n_words", "n_features", "weight"])
 
     return matrix.mapInArrow(multiply, f"doc_id {kind}, n_words bigint, n_features bigint, weight bigint").withColumnRenamed("doc_id", doc_id)
 

@@ -74,6 +74,20 @@ def test_resampling_of_empty_tables(spark):
     assert rows(importance.resample(none.withColumnRenamed("item_id", "doc_id"), none)) == []
 
 
+def test_no_table_row_holds_more_of_the_matrix_than_one_document(spark, monkeypatch):
+    data = [(i, " ".join(f"w{i * 7 + j * j}" for j in range(200))) for i in range(60)]
+    docs = spark.createDataFrame(data, "doc_id long, text string").coalesce(1)
+    matrix = importance.count_matrix(docs, buckets=50)
+    assert matrix.count() == 60
+    assert matrix.select(F.max(F.size("columns"))).first()[0] <= 50
+    # Rows of several blocks of entries each, and one that is longer than a block.
+    monkeypatch.setattr(importance, "BLOCK", 45)
+    summed = {r.bucket: r.n for r in importance.column_sums(matrix, 50).collect()}
+    assert summed == Counter(zlib.crc32(w.encode()) % 50 for _, text in data for w in text.split())
+    weighed = rows(importance.weights(matrix, list(range(50))))
+    assert weighed == sorted(((i, 200, 200, sum(zlib.crc32(w.encode()) % 50 for w in text.split())) for i, text in data), key=repr)
+
+
 def test_ranks_have_no_gaps_between_ranges(spark):
     placed = importance.ranked(spark.range(1000).select((F.col("id") * 7919 % 1000).alias("x")).repartition(7), [F.desc("x")])
     assert rows(placed.select("rank", "x")) == sorted(((1000 - x, x) for x in range(1000)), key=repr)
