@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import cycles, kept, plan, released, without_cycles
+from .graph import cycles, kept, met, plan, released, without_cycles
 
 
 def flattened(parts: DataFrame) -> DataFrame:
@@ -202,11 +202,11 @@ def contracted(edges: DataFrame, removed: DataFrame) -> DataFrame:
     gone = kept(removed.select(F.col(removed.columns[0]).alias("node")).distinct())
     to_gone = gone.withColumnRenamed("node", "target")
     arrows = kept(edges.select("node", "target").filter("node is not null and target is not null and node <> target").distinct())
-    leaving = kept(arrows.join(gone, "node", "left_semi").join(to_gone, "target", "left_anti").select("node", "target"))
-    ways = kept(arrows.join(gone, "node", "left_semi").join(to_gone, "target", "left_semi").select("node", "target"))
+    leaving = kept(met(met(arrows, gone, "node", "left_semi"), to_gone, "target", "left_anti").select("node", "target"))
+    ways = kept(met(met(arrows, gone, "node", "left_semi"), to_gone, "target", "left_semi").select("node", "target"))
     known = ways.count()
     while known:
-        twice = ways.join(ways.select(F.col("node").alias("target"), F.col("target").alias("next")), "target").select("node", F.col("next").alias("target")).filter("node <> target")
+        twice = met(ways, ways.select(F.col("node").alias("target"), F.col("target").alias("next")), "target").select("node", F.col("next").alias("target")).filter("node <> target")
         longer = kept(ways.unionByName(twice).distinct())
         count = longer.count()
         released(ways)
@@ -214,10 +214,10 @@ def contracted(edges: DataFrame, removed: DataFrame) -> DataFrame:
         if count == known:
             break
         known = count
-    out = leaving.unionByName(ways.withColumnRenamed("target", "via").join(leaving.withColumnRenamed("node", "via"), "via").select("node", "target")).distinct()
-    stay = arrows.join(gone, "node", "left_anti")
-    direct = stay.join(to_gone, "target", "left_anti").select("node", "target")
-    bridged = stay.withColumnRenamed("target", "via").join(out.withColumnRenamed("node", "via"), "via").select("node", "target").filter("node <> target")
+    out = leaving.unionByName(met(ways.withColumnRenamed("target", "via"), leaving.withColumnRenamed("node", "via"), "via").select("node", "target")).distinct()
+    stay = met(arrows, gone, "node", "left_anti")
+    direct = met(stay, to_gone, "target", "left_anti").select("node", "target")
+    bridged = met(stay.withColumnRenamed("target", "via"), out.withColumnRenamed("node", "via"), "via").select("node", "target").filter("node <> target")
     return direct.unionByName(bridged).distinct()
 
 
@@ -232,7 +232,7 @@ def plan_of_printed(actions: DataFrame, edges: DataFrame, silent: DataFrame) ->
     """
     quiet = kept(silent.select(F.col(silent.columns[0]).alias("node")).distinct())
     ring = cycles(edges.select("node", "target"), "node", "target")
-    idle = ring.select("node").join(quiet, "node", "left_semi")
-    needs = kept(edges.select("node", "target").join(idle, "node", "left_anti"))
-    left = actions.join(quiet, "node", "left_anti")
+    idle = met(ring.select("node"), quiet, "node", "left_semi")
+    needs = kept(met(edges.select("node", "target"), idle, "node", "left_anti"))
+    left = met(actions, quiet, "node", "left_anti")
     return plan(left, contracted(needs, quiet))

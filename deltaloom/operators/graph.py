@@ -34,6 +34,11 @@ def released(*tables: DataFrame | None) -> None:
             at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def met(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """``left.join(right, on, how)``, by sorting and never by a broadcast: Spark judges tables by the size of their files, and those of a few narrow columns are many times as large in the driver's memory."""
+    return left.join(right.hint("merge"), on, how)
+
+
 #: Rows up to which a graph is walked within one task (some MB at most); a larger one goes by rounds of joins. Both give the same rows.
 SMALL = 1 << 16
 
@@ -185,19 +190,19 @@ def levels(nodes: DataFrame, edges: DataFrame, node: str = "node", source: str =
     """
     left = kept(nodes.select(F.col(node).alias("node")).distinct())
     arrows = edges.select(F.col(source).alias("s"), F.col(target).alias("t")).distinct()
-    arrows = kept(arrows.join(left.select(F.col("node").alias("s")), "s", "left_semi").join(left.select(F.col("node").alias("t")), "t", "left_semi"))
+    arrows = kept(met(met(arrows, left.select(F.col("node").alias("s")), "s", "left_semi"), left.select(F.col("node").alias("t")), "t", "left_semi"))
     kind = left.schema["node"].dataType
     pairs = arrows.unionByName(left.select(F.lit(None).cast(kind).alias("s"), F.col("node").alias("t")))
     if _is_small(pairs):
         return _walked(pairs.select("s", "t"), _depths, f"node {kind.simpleString()}, level int")
     done, level = None, 0
     while True:
-        free = kept(left.join(arrows.select(F.col("t").alias("node")).distinct(), "node", "left_anti").withColumn("level", F.lit(level)))
+        free = kept(met(left, arrows.select(F.col("t").alias("node")).distinct(), "node", "left_anti").withColumn("level", F.lit(level)))
         if not free.limit(1).count():
             break
         done = free if done is None else done.unionByName(free)
-        left = kept(left.join(free, "node", "left_anti"))
-        arrows = kept(arrows.join(free.select(F.col("node").alias("s")), "s", "left_anti"))
+        left = kept(met(left, free, "node", "left_anti"))
+        arrows = kept(met(arrows, free.select(F.col("node").alias("s")), "s", "left_anti"))
         level += 1
     rest = left.withColumn("level", F.lit(None).cast("int"))
     return rest if done is None else done.unionByName(rest)
@@ -213,14 +218,14 @@ def least_reaching(arrows: DataFrame) -> DataFrame:
     label = kept(arrows.select(F.explode(F.array("s", "t")).alias("node")).distinct().withColumn("label", F.col("node")))
 
     def along(now: DataFrame) -> DataFrame:
-        told = arrows.join(now.withColumnsRenamed({"node": "s"}), "s").select(F.col("t").alias("node"), "label")
+        told = met(arrows, now.withColumnsRenamed({"node": "s"}), "s").select(F.col("t").alias("node"), "label")
         return now.unionByName(told).groupBy("node").agg(F.min("label").alias("label"))
 
     while True:
         near = along(along(label.select("node", "label")))
         jump = label.select(F.col("node").alias("label"), F.col("label").alias("further"))
         was = label.select("node", F.col("label").alias("was"))
-        fresh = kept(near.join(jump, "label", "left").select("node", F.least("label", F.coalesce("further", "label")).alias("label")).join(was, "node"))
+        fresh = kept(met(met(near, jump, "label", "left").select("node", F.least("label", F.coalesce("further", "label")).alias("label")), was, "node"))
         if not fresh.filter("label <> was").limit(1).count():
             return fresh.select("node", "label")
         released(label)
@@ -244,7 +249,7 @@ def cycles(edges: DataFrame, source: str = "source", target: str = "target") ->
     while True:
         n_arrows = arrows.count()
         while n_arrows:
-            trimmed = kept(arrows.join(arrows.select(F.col("t").alias("s")).distinct(), "s", "left_semi").join(arrows.select(F.col("s").alias("t")).distinct(), "t", "left_semi").select("s", "t"))
+            trimmed = kept(met(met(arrows, arrows.select(F.col("t").alias("s")).distinct(), "s", "left_semi"), arrows.select(F.col("s").alias("t")).distinct(), "t", "left_semi").select("s", "t"))
             before, n_arrows, arrows = n_arrows, trimmed.count(), trimmed
             if n_arrows == before:
                 break
@@ -252,15 +257,15 @@ def cycles(edges: DataFrame, source: str = "source", target: str = "target") ->
             break
         colour = least_reaching(arrows)
         of = lambda end: colour.withColumnsRenamed({"node": end, "label": f"of_{end}"})
-        same = kept(arrows.join(of("s"), "s").join(of("t"), "t").filter("of_s = of_t").select("s", "t"))
+        same = kept(met(met(arrows, of("s"), "s"), of("t"), "t").filter("of_s = of_t").select("s", "t"))
         back = least_reaching(same.select(F.col("t").alias("s"), F.col("s").alias("t"))).withColumnRenamed("label", "back")
         # A node that has no arrow among those of its label is alone.
-        core = kept(colour.join(back, "node", "left").filter("label = coalesce(back, node)").select("node", F.col("label").alias("cycle")))
+        core = kept(met(colour, back, "node", "left").filter("label = coalesce(back, node)").select("node", F.col("label").alias("cycle")))
         # A node alone is on a cycle only by an edge to itself.
-        inside = same.join(core.select(F.col("node").alias("s")), "s", "left_semi").join(core.select(F.col("node").alias("t")), "t", "left_semi")
-        members = core.join(inside.select(F.col("s").alias("node")).distinct(), "node", "left_semi")
+        inside = met(met(same, core.select(F.col("node").alias("s")), "s", "left_semi"), core.select(F.col("node").alias("t")), "t", "left_semi")
+        members = met(core, inside.select(F.col("s").alias("node")).distinct(), "node", "left_semi")
         found = members if found is None else found.unionByName(members)
-        arrows = kept(arrows.join(core.select(F.col("node").alias("s")), "s", "left_anti").join(core.select(F.col("node").alias("t")), "t", "left_anti").select("s", "t"))
+        arrows = kept(met(met(arrows, core.select(F.col("node").alias("s")), "s", "left_anti"), core.select(F.col("node").alias("t")), "t", "left_anti").select("s", "t"))
     return found if found is not None else arrows.select(F.col("s").alias("node"), F.col("t").alias("cycle")).limit(0)
 
 
@@ -402,5 +407,5 @@ def plan(actions: DataFrame, edges: DataFrame) -> DataFrame:
     """
     needs = edges.select(F.col("target").alias("source"), F.col("node").alias("target"))
     level = levels(actions.select("node"), needs)
-    told = actions.join(level, "node")
+    told = met(actions, level, "node")
     return told.withColumn("place", F.when(F.col("action") == "drop", -F.col("level")).otherwise(F.col("level")))

@@ -1131,7 +1131,7 @@ def plan_contracted(t):
     actions = t.part.select(k.alias("node"), F.when(k % 2 == 0, "drop").otherwise("build").alias("action"))
     needs = part_edges(t).select(F.col("target").alias("node"), F.col("source").alias("target")).unionByName(t.part.filter((k % 14 == 3) & (k > 3)).select(F.floor(k / 2).alias("node"), k.alias("target")))
     known = t.part.select(k.alias("target"))
-    needs = needs.join(known, "target", "left_semi").join(known.withColumnRenamed("target", "node"), "node", "left_semi").select("node", "target")
+    needs = graph.met(graph.met(needs, known, "target", "left_semi"), known.withColumnRenamed("target", "node"), "node", "left_semi").select("node", "target")
     return depsets.plan_of_printed(actions, needs, t.part.filter((k % 7).isin(0, 3)).select(k))
 
 

@@ -5,6 +5,7 @@ import random
 
 import pytest
 
+from deltaloom import queries
 from deltaloom.operators import depsets, graph
 
 
@@ -180,6 +181,24 @@ def test_silent_nodes_break_cycles_and_leave_the_plan(spark):
     assert got == {"a": 0, "b": 1, "d": 0, "c": 1, "p": None, "q": None}
 
 
+def test_no_table_of_a_plan_is_broadcast(spark, monkeypatch, tmp_path):
+    plans = []
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        df.write.parquet(path := f"{tmp_path}/{len(plans)}")
+        return spark.read.schema(df.schema).parquet(path)
+
+    small = queries.QUERIES["plan_contracted"](spark, "/root/testdata/sf0.001")
+    monkeypatch.setattr(graph, "SMALL", 0)
+    monkeypatch.setattr(graph, "kept", noted)
+    monkeypatch.setattr(depsets, "kept", noted)
+    large = queries.QUERIES["plan_contracted"](spark, "/root/testdata/sf0.001")
+    assert rows(large) == rows(small)
+    plans.append(large._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 20 and not [p for p in plans if "Broadcast" in p]
+
+
 @pytest.mark.parametrize("small", [1 << 16, 0])
 def test_rounds_and_one_task_agree(spark, small, monkeypatch):
     monkeypatch.setattr(graph, "SMALL", small)
